@@ -1,0 +1,342 @@
+"""The operators against brute force on small tables with the awkward cases."""
+
+import hashlib
+import html
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, language, pages, pieces, quality, rules, simhash, substrings, tokens, toxicity
+from tessera.llm.common import components
+from tessera.llm.queries import tokenizer_file
+from tessera.llm.trees import fit
+
+RNG = random.Random(7)
+VOCAB = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
+DOC = "doc_id long, text string, lang string, source string, n_chars long, id int, block int, uid string"
+
+
+def prose(n, vocab=VOCAB):
+    return " ".join(RNG.choice(vocab) for _ in range(n))
+
+
+def texts():
+    shared, base = prose(60), prose(200)
+    near = base.split()
+    near[50] = "changed"
+    odd = [None, "", " \n\t ", "one", "two words", "a b a b a b " * 40, "same " * 100, "é ñ 漢字 🙂 ▁ x\x00y", "|||| ### $$$", base, base, " ".join(near)]
+    odd += [prose(30) + "\n" + shared + "\n" + prose(40), prose(10) + " " + shared, "Line\nLine\nother\nLine", prose(9000)]
+    return odd + [prose(RNG.randint(5, 300)) for _ in range(60)]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rows = [(k, t, RNG.choice(["en", "de", None]), RNG.choice(["s0", "s0", None]), 0, 1, 2, "u") for k, t in enumerate(texts())]
+    rows += [rows[9], (None, "null id here", None, None, 0, 1, 2, "u")]
+    return spark.createDataFrame(rows, DOC).repartition(3)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def by_id(df):
+    return sorted(df.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_rule_counts(corpus, spark):
+    text = {r["doc_id"]: r["text"] for r in corpus.collect()}
+    got = by_id(rules.op3(corpus))
+    assert len(got) == corpus.count()
+    for r in got:
+        t = text[r["doc_id"]] or ""
+        w, lines = words(t), [x for x in t.split("\n") if words(x)]
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        seen, hit = Counter(grams), set()
+        for i, g in enumerate(grams):
+            if seen[g] > 1:
+                hit.update(range(i, i + 5))
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit))
+        assert r["base_failed"] == (len(w) < 10 or 100 * len(hit) > 20 * len(w))
+        assert not (r["base_failed"] and r["kept"])
+    assert rules.op3(empty(spark)).count() == 0
+
+
+def _mcd(x):
+    """The fit by numpy: the same starts, bins and steps."""
+    d, floor = x.shape[1], np.diag(np.square(rules.FLOOR))
+    def distance(m, c):
+        low = np.linalg.cholesky(c)
+        return (np.linalg.solve(low, (x - m).T) ** 2).sum(0)
+    spread = (np.percentile(x, 75, axis=0, method="inverted_cdf") - np.percentile(x, 25, axis=0, method="inverted_cdf")) / 1.349
+    starts = [(x.mean(0), np.cov(x.T, bias=True) + floor), (np.percentile(x, 50, axis=0, method="inverted_cdf"), np.diag(spread**2) + floor)]
+    q = rules.chi_square(d, rules.COVER)
+    factor = rules.COVER / rules._gamma(d / 2 + 1, q / 2)
+    best = None
+    for m, c in starts:
+        for step in range(rules.STEPS):
+            bins = np.floor(rules.BINS * np.log(np.maximum(distance(m, c), 1e-9)))
+            cut = np.sort(bins)[int(np.ceil(rules.COVER * len(x))) - 1]
+            near = x[bins <= cut]
+            m, c = near.mean(0), np.cov(near.T, bias=True) * (factor if step == rules.STEPS - 1 else 1) + floor
+        if best is None or np.linalg.det(c) < best[2]:
+            best = (m, c, np.linalg.det(c))
+    return distance(*best[:2])
+
+
+def test_mcd_against_numpy(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, " ".join(f"{w}{'&#|' * (k % 50 == 0)}" for w in rng.choice(VOCAB, 80)) + (" ### |||" * int(rng.integers(0, 3)) if k % 9 == 0 else ""), "en", "s") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = rules.with_statistics(docs, "text", "lang", "source").filter("not _base_failed")
+    got = rules.judged(stats, rules.fit(stats)).orderBy("doc_id").select("_x0", "_x1", "_x2", "_x3", "d2", "kept").toPandas()
+    want = _mcd(got[["_x0", "_x1", "_x2", "_x3"]].to_numpy())
+    assert np.allclose(got["d2"], want, rtol=1e-5)
+    assert (got["kept"] == (want <= rules.chi_square(4, rules.KEEP))).all()
+    assert not got["kept"].all() and got["kept"].mean() > 0.9
+
+
+def _fingerprint(t):
+    w = (t or "").encode().lower().split()
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), seed=42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(corpus, spark):
+    text = {r["doc_id"]: r["text"] for r in corpus.collect()}
+    fp = {k: _fingerprint(t) for k, t in text.items()}
+    parent = {k: k for k in fp}
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+    for a in fp:
+        for b in fp:
+            if (fp[a] ^ fp[b]).bit_count() <= 2:
+                parent[root(a)] = root(b)
+    group = {}
+    for k in fp:
+        group.setdefault(root(k), []).append(k)
+    got = simhash.op5(corpus).collect()
+    assert len(got) == corpus.count()
+    for r in got:
+        members = [k for k in group[root(r["doc_id"])] if k is not None]
+        assert r["fingerprint"] == f"{fp[r['doc_id']]:016x}" and r["component_id"] == (min(members) if members else None)
+    assert simhash.op5(empty(spark)).count() == 0
+    kept = simhash.deduplicated(corpus)
+    assert kept.columns == corpus.columns
+    assert {r["doc_id"] for r in kept.collect()} == {r["component_id"] for r in got}
+
+
+def test_posting_lists_dense_and_sparse(monkeypatch):
+    rng = np.random.default_rng(0)
+    fp = np.unique(np.uint64(0x123456789ABCDEF0) ^ (rng.integers(0, 1 << 16, 600).astype(np.uint64) << np.uint64(24)))
+    dense = simhash._forest(fp)
+    monkeypatch.setattr(simhash, "DENSE", 10**6)
+    def parts(edges):
+        parent = {int(x): int(x) for x in fp}
+        def root(k):
+            while parent[k] != k:
+                k = parent[k]
+            return k
+        for a, b in edges:
+            parent[root(a)] = root(b)
+        return sorted(Counter(root(k) for k in parent).values())
+    assert parts(dense) == parts(simhash._forest(fp))
+
+
+def test_components_of_a_long_path_and_a_hub(spark):
+    edges = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1400)]
+    got = components(spark.createDataFrame(edges, "a long, b long")).toPandas()
+    assert len(got) == 301 + 400 and got[got["node"] <= 300]["root"].nunique() == 1 and got[got["node"] >= 1000]["root"].nunique() == 1
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _removed(all_texts, size):
+    docs = [words(t) for t in all_texts]
+    seen = Counter(tuple(w[i : i + size]) for w in docs for i in range(len(w) - size + 1))
+    out = []
+    for w in docs:
+        gone = set()
+        for i in range(len(w) - size + 1):
+            if seen[tuple(w[i : i + size])] > 1:
+                gone.update(range(i, i + size))
+        out.append((len(w), len(gone), [x for k, x in enumerate(w) if k not in gone]))
+    return out
+
+
+def test_substrings(corpus, spark):
+    rows = corpus.collect()
+    want = Counter((r["doc_id"], n, g, hashlib.sha256(" ".join(k).encode()).hexdigest()) for r, (n, g, k) in zip(rows, _removed([r["text"] for r in rows], 35), strict=True))
+    got = Counter(tuple(r) for r in substrings.op10(corpus).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert got == want and sum(g for _, _, g, _ in want.elements()) > 500
+    assert substrings.op10(empty(spark)).count() == 0
+    left = {r["doc_id"]: r for r in substrings.deduplicated(corpus).collect()}
+    assert left[0]["text"] is None and left[3]["text"] == "one" and left[13]["n_chars"] == len(left[13]["text"])
+
+
+@pytest.mark.parametrize("vocab", [1, 2, 5, 1000])
+def test_equal_windows_get_equal_anchors(vocab):
+    core = [RNG.randrange(vocab) for _ in range(60)]
+    docs = [" ".join(f"w{x}" for x in [RNG.randrange(vocab) for _ in range(RNG.randint(0, 40))] + core + [RNG.randrange(vocab) for _ in range(RNG.randint(0, 40))]).encode() for _ in range(6)]
+    h, edges = substrings._words(docs)
+    at, pos, label = substrings._parse(h, edges, 35)
+    seen = {}
+    for i, p, name in zip(at.tolist(), pos.tolist(), label.tolist(), strict=True):
+        assert seen.setdefault(h[i : i + 35].tobytes(), (p - i, name)) == (p - i, name) and i <= p < i + 35
+
+
+def _lower_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def test_decontamination(spark, corpus, monkeypatch):
+    rows = [r for r in corpus.collect() if r["text"]]
+    items = [(k, " ".join(r["text"].split()[5:25]).upper()) for k, r in enumerate(rows[:30])] + [(90, None), (91, "!!"), (92, "one"), (93, "two, words"), (94, "same same same same same same same same same")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    patterns = []
+    for k, t in items:
+        w = _lower_words(t)
+        patterns += [(str(k), w[i : i + 8]) for i in range(max(1, len(w) - 7) if w else 0)]
+    def brute(t):
+        w, hit, own = _lower_words(t), set(), set()
+        for k, p in patterns:
+            for i in range(len(w) - len(p) + 1):
+                if w[i : i + len(p)] == p:
+                    hit.update(range(i, i + len(p)))
+                    own.add(k)
+        return len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), len(own) >= 2
+    want = Counter((r["doc_id"], *brute(r["text"])) for r in corpus.collect())
+    got = Counter(tuple(r) for r in decontaminate.op9(corpus, bench).collect())
+    assert got == want
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 700)
+    assert Counter(tuple(r) for r in decontaminate.op9(corpus, bench).collect()) == want
+    clean = decontaminate.clean(corpus, bench)
+    assert clean.columns == corpus.columns and clean.count() == sum(n for k, n in want.items() if not k[-1])
+    assert decontaminate.op9(corpus, bench.limit(0)).filter("n_hit > 0").count() == 0 and decontaminate.op9(empty(spark), bench).count() == 0
+
+
+def test_token_counts(spark, corpus):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    more = spark.createDataFrame([(900, "<|endoftext|>a<|endoftext|> b"), (901, "it's  1² “quoted” — don't\n\n\tx"), (902, "word " * 300_000)], "doc_id long, text string")
+    docs = corpus.select("doc_id", "text").unionByName(more)
+    text = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    got = {r["doc_id"]: r for r in tokens.op6(docs, path).collect()}
+    for k, t in text:
+        n = len(tok.encode(t or "", add_special_tokens=False).ids)
+        assert (got[k]["n_bytes"], got[k]["n_tokens"], got[k]["over_limit"]) == (len((t or "").encode()), n, n > 512)
+    assert tokens.op6(empty(spark), path).count() == 0
+
+
+def test_regex_libraries_agree_on_pretokens():
+    c = tokens.Counter(tokenizer_file("byte_bpe_50k.json"))
+    for x in range(0x2100):
+        if not tokens._OTHER.search(ch := chr(x)):
+            t = f"a{ch}b {ch} 1{ch}{ch}  {ch}c\n{ch}"
+            assert c.findall(t) == [t[i:j] for _, (i, j) in c.tokenizer.pre_tokenizer.pre_tokenize_str(t)]
+
+
+def test_pieces_equal_the_library(spark, corpus):
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = by_id(pieces.transduce(corpus, path))
+    text = {r["doc_id"]: r["text"] for r in corpus.collect()}
+    for r in got:
+        t = text[r["doc_id"]]
+        if t is None:
+            assert r["ids"] is None and r["decoded"] is None and r["n_pieces"] == 0
+        else:
+            assert r["ids"] == lib.encode(t) and r["decoded"] == lib.decode(r["ids"]) and ("▁" in t or r["decoded"] == t)
+    fst = pieces.Transducer(path)
+    alphabet = "abcde  éß\n\t漢字🙂aa....--  0123<s>"
+    cases = ["".join(RNG.choice(alphabet) for _ in range(RNG.randint(0, 50))) for _ in range(500)] + ["".join(RNG.sample(list(fst.id), 3)).replace("▁", " ") for _ in range(500)]
+    assert [fst.encode(s).tolist() for s in cases] == lib.encode(cases)
+
+
+def test_longest_common_subsequence():
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+    for _ in range(300):
+        a, b = ([RNG.choice("abcd") for _ in range(RNG.randint(0, 12))] for _ in range(2))
+        s = pages.shared(a, b)
+        rest = iter(b)
+        assert len(s) == length(a, b) and all(a[i] in rest for i in s) and s == sorted(s)
+
+
+def test_pages(spark):
+    frame = "<p>Frame one</p>{}<p>Frame two</p>"
+    rows = [(k, f"http://h.example/a/{k}?q#f", f"<html><head><title>t</title></head><body>{frame.format(f'<p>own &amp; {k}  text</p>')}</body></html>") for k in range(6)]
+    rows += [(10, "http://x.example/1", "<nav>m</nav><article><h1>T</h1><p>in <b>bold</b>\n text<p class=ad>no<p>yes</article><footer>f</footer><div id=comments>c</div>"), (11, None, "<p>alone"), (12, "http://y/", None), (13, "http://y/", ""), (14, "bad url", "<<p>>a<b<script>x</scr"), (10, "http://x.example/1", "<article><p>in</article>")]
+    got = Counter((r["page_id"], r["text"], r["n_chars"]) for r in pages.op7(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert all((k, f"own & {k} text", len(f"own & {k} text")) in got for k in range(6))
+    assert (10, "T\nin bold text\nyes", 18) in got and (10, "in", 2) in got and (11, "alone", 5) in got and (12, "", 0) in got and (13, "", 0) in got
+    assert sum(got.values()) == len(rows)
+    assert pages.op7(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def _labelled(spark, n=600):
+    bad = ["grak", "blorf", "zint"]
+    rows, labels = [], []
+    for k in range(n):
+        toxic, good = int(k % 4 == 0), int(k % 3 != 0)
+        w = prose(RNG.randint(20, 120)).split()
+        if toxic:
+            for b in RNG.sample(bad, 2):
+                w.insert(RNG.randrange(len(w)), b)
+        if not good:
+            w = [x + "&&&" for x in w]
+        rows.append((k, " ".join(w), "en" if k % 2 else "fr"))
+        labels.append((k, good, toxic))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_classifiers_learn(spark):
+    docs, labels = _labelled(spark)
+    for op, label in ((quality.op2, "quality"), (toxicity.op8, "toxic")):
+        got = op(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
+        assert len(got) > 80 and (got["predicted"] == got[label]).mean() > 0.97 and got["score"].between(0, 1).all()
+        for odd in (op(docs, labels.limit(0)), op(docs.withColumn("text", F.lit(None).cast("string")), labels), op(docs.limit(0), labels)):
+            assert all(0 <= r["score"] <= 1 for r in odd.collect())
+
+
+def test_language(spark):
+    other = ["".join(RNG.choice("vwxyzäöü") for _ in range(RNG.randint(2, 7))) for _ in range(300)]
+    rows = [(k, prose(40, other if k % 2 else VOCAB), "zz" if k % 2 else "aa") for k in range(400)] + [(900, None, "aa"), (901, "12 !!", "aa"), (902, prose(200) + " " + prose(180, other), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.op1(docs).collect()}
+    assert sum(got[k]["lang_pred"] == lang for k, _, lang in rows[:400]) >= 396
+    assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[901]["score"] == 0
+    mix = {r["doc_id"]: r["languages"] for r in language.identify(docs, language.train(docs)).collect()}
+    assert len(mix[902]) == 2 and len(mix[0]) == 1
+    assert {r["lang_pred"] for r in language.op1(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert language.op1(docs.limit(0)).count() == 0
+
+
+def test_trees_fit_an_interaction():
+    x = np.random.default_rng(0).uniform(-1, 1, (2000, 3))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    assert ((fit(x, y).score(x) > 0.5) == y).mean() > 0.95 and fit(x[:0], y[:0]).score(x).max() == 0.5
+
+
+def test_entities_are_decoded():
+    assert pages.lines("<p>&lt;a&gt; &eacute;&nbsp;&#x41;</p>") == [("<a> é A", pages.OTHER)] and html.unescape("&nbsp;") == "\xa0"
