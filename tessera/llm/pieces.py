@@ -17,6 +17,7 @@ text comes back as a space, as the library does; ids may repeat or be null; only
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -26,11 +27,24 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import slices
 
-CACHE, BORDERS = 700_000, 1_000_000
+CACHE, BORDERS = 1_200_000, 1_000_000
 BAR = "▁"
 LONG = 1 << 20
 
 
+class _Paths(dict):
+    """The paths of words, found when first asked for; very long words are not kept."""
+
+    def __init__(self, find) -> None:
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.find(word)
+        if len(word) < 64:
+            self[word] = got
+        return got
+
+
 class Transducer:
     def __init__(self, path: str) -> None:
         from sentencepiece import sentencepiece_model_pb2
@@ -60,17 +74,21 @@ class Transducer:
         self.out = [b"" if p.type == 3 else b" \xe2\x81\x87 " if p.type == 2 else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(BAR, " ").encode() for p in model.pieces]
         self.borders: defaultdict[str, dict[str, bool]] = defaultdict(dict)
         self.met = 0
-        self.paths: dict[str, bytes] = {}
+        self.paths = _Paths(self.path)
 
     def merged(self, text: str) -> list[str]:
         """The model's merges on a short text: the best-ranked pair first, the leftmost of equals."""
-        part, rank = list(text), self.rank
-        while True:
-            best = min(((rank.get(a + b, np.inf), k) for k, (a, b) in enumerate(zip(part, part[1:], strict=False))), default=(np.inf, 0))
-            if best[0] == np.inf:
-                return part
-            k = best[1]
+        part, get, never = list(text), self.rank.get, np.inf
+        ranks = [get(a + b, never) for a, b in zip(part, part[1:], strict=False)]
+        while ranks and (best := min(ranks)) < never:
+            k = ranks.index(best)
             part[k : k + 2] = [part[k] + part[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get(part[k - 1] + part[k], never)
+            if k < len(ranks):
+                ranks[k] = get(part[k] + part[k + 1], never)
+        return part
 
     def border(self, a: str, b: str) -> bool:
         """Whether piece b may follow piece a; a is empty at the start."""
@@ -106,7 +124,8 @@ class Transducer:
             else:
                 out.append(self.unknown)
             j = back[j]
-        return np.array(out[::-1], np.int32).tobytes()
+        out.reverse()
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -117,13 +136,7 @@ class Transducer:
         while at < len(text):
             m = self.cut.search(text, at + LONG)
             end = m.start() if m else len(text)
-            for word in self.split(text[at:end] if m or at else text):
-                got = paths.get(word)
-                if got is None:
-                    got = self.path(word)
-                    if len(word) < 64:
-                        paths[word] = got
-                out.append(got)
+            out.extend(map(paths.__getitem__, self.split(text[at:end] if m or at else text)))
             at = end
         return np.frombuffer(b"".join(out), np.int32)
 
