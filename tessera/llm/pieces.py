@@ -61,7 +61,7 @@ class Transducer:
         self.rank = {p.piece: -p.score for p in model.pieces if p.type == 1}
         self.byte = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == 6}
         self.unknown = next(k for k, p in enumerate(model.pieces) if p.type == 2)
-        self.longest = max(map(len, self.id))
+        self.endings = {p[k:] for p in self.id for k in range(len(p))}
         if any(BAR in p.lstrip(BAR) for p in self.id):
             raise ValueError(f"{path}: a piece holds a space after another character")
         hard = "\n" if not any("\n" in p for p in self.id) else ""
@@ -101,18 +101,25 @@ class Transducer:
 
     def path(self, word: str) -> bytes:
         """Ids of the least path through the word's lattice, as 32-bit integers."""
-        n, ids, longest, borders = len(word), self.id, self.longest, self.borders
-        last, back = [""] * (n + 1), [0] * (n + 1)
+        n, ids, borders, endings = len(word), self.id, self.borders, self.endings
+        last, back, after = [""] * (n + 1), [0] * (n + 1), [borders[""]]
         for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                piece = word[i:j]
+            i = j - 1
+            piece = word[i:j]
+            while True:
+                # a lone character is an arc even if no piece has it: its bytes stand for it
                 if piece in ids or i == j - 1:
-                    ok = borders[last[i]].get(piece)
+                    ok = after[i].get(piece)
                     if ok is None:
                         ok = self.border(last[i], piece)
                     if ok:
-                        last[j], back[j] = piece, i
                         break
+                i -= 1
+                piece = word[i:j]
+                if i < 0 or piece not in endings:
+                    raise AssertionError(f"no path to position {j} of {word!r}")
+            last[j], back[j] = piece, i
+            after.append(borders[piece])
         out, j = [], n
         while j:
             piece = last[j]
