@@ -65,8 +65,9 @@ class Transducer:
         if any(BAR in p.lstrip(BAR) for p in self.id):
             raise ValueError(f"{path}: a piece holds a space after another character")
         hard = "\n" if not any("\n" in p for p in self.id) else ""
+        letter = re.compile(r"[^\W\d_]").match
         # a mark that no piece has after a letter starts a new word there, so that words repeat more often
-        after = {b for p in self.id for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        after = {b for p in self.id for a, b in zip(p, p[1:], strict=False) if letter(a)}
         marks = "".join(re.escape(c) for c in ".,;:!?%&$#*|" if c not in after)
         lone = rf"{BAR}*[^\W\d_]+(?=[{marks}{BAR}{hard}]|\Z)|" if marks else ""
         self.split = re.compile(rf"{lone}{BAR}*[^{BAR}{hard}]+|{BAR}+" + (f"|{hard}" if hard else "")).findall
