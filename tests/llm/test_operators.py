@@ -238,10 +238,14 @@ def test_token_counts(spark, corpus):
         n = len(tok.encode(t or "", add_special_tokens=False).ids)
         assert (got[k]["n_bytes"], got[k]["n_tokens"], got[k]["over_limit"]) == (len((t or "").encode()), n, n > 512)
     assert tokens.op6(empty(spark), path).count() == 0
+    # the result is the same wherever the common pre-tokens end
+    whole = sorted(map(tuple, tokens.token_counts(docs, path).collect()), key=repr)
+    for common in (0, 50):
+        assert sorted(map(tuple, tokens.token_counts(docs, path, common=common).collect()), key=repr) == whole
 
 
 def test_regex_libraries_agree_on_pretokens():
-    c = tokens.Counter(tokenizer_file("byte_bpe_50k.json"))
+    c = tokens.Splitter(tokenizer_file("byte_bpe_50k.json"))
     for x in range(0x2100):
         if not tokens._OTHER.search(ch := chr(x)):
             t = f"a{ch}b {ch} 1{ch}{ch}  {ch}c\n{ch}"
