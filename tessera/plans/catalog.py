@@ -548,3 +548,15 @@ def a5_group_concat(t):
 @query("select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, round(avg(l_discount), 6) as avg_disc, count(*) as n, count(*) filter (l_quantity > 25) as large, max(l_tax) as max_tax from lineitem group by all")
 def a1_grouped_sums(t):
     return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("large"), F.max("l_tax").alias("max_tax"))
+
+
+@query("""
+with d as (select p_brand as file, p_type as name, min(p_size) as fp from part where p_partkey % 4 <> 0 group by all),
+a as (select p_partkey as fact, p_brand as file, p_type as name, p_size as fp from part where p_partkey % 4 = 0)
+select fact, case when d.fp = a.fp then 'ok' when d.fp is not null then 'unconfirmed' when a.fp in (select fp from d) then 'moved' else 'orphaned' end as verdict
+from a left join d using (file, name)
+""")
+def r33_revalidate(t):
+    part = t.part.select(F.col("p_partkey").alias("fact"), F.col("p_brand").alias("file"), F.col("p_type").alias("name"), F.col("p_size").alias("fp"))
+    now = part.filter("fact % 4 <> 0").groupBy("file", "name").agg(F.min("fp").alias("fp"))
+    return memory.revalidate(part.filter("fact % 4 = 0"), now)
