@@ -551,12 +551,12 @@ def a1_grouped_sums(t):
 
 
 @query("""
-with d as (select p_brand as file, p_type as name, min(p_size) as fp from part where p_partkey % 4 <> 0 group by all),
+with d as (select p_brand as file, p_type as name, min(p_size) as fp from part where p_partkey % 20 = 1 group by all),
 a as (select p_partkey as fact, p_brand as file, p_type as name, p_size as fp from part where p_partkey % 4 = 0)
 select fact, case when d.fp = a.fp then 'ok' when d.fp is not null then 'unconfirmed' when a.fp in (select fp from d) then 'moved' else 'orphaned' end as verdict
 from a left join d using (file, name)
 """)
 def r33_revalidate(t):
     part = t.part.select(F.col("p_partkey").alias("fact"), F.col("p_brand").alias("file"), F.col("p_type").alias("name"), F.col("p_size").alias("fp"))
-    now = part.filter("fact % 4 <> 0").groupBy("file", "name").agg(F.min("fp").alias("fp"))
+    now = part.filter("fact % 20 = 1").groupBy("file", "name").agg(F.min("fp").alias("fp"))
     return memory.revalidate(part.filter("fact % 4 = 0"), now)
