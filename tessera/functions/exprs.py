@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Confidence of each resolution tier, and the label of tiers.
@@ -109,3 +109,32 @@ def directory_distance(a: Column, b: Column) -> Column:
     zero = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
     common = F.aggregate(agree, zero, lambda s, t: F.struct((s["n"] + F.when(s["on"] & t, 1).otherwise(0)).alias("n"), (s["on"] & t).alias("on")), lambda s: s["n"])
     return F.size(pa_) + F.size(pb) - 2 * common
+
+
+#: Endings of type names that a stem loses.
+STEM_SUFFIXES = "Impl Service Repository Controller Handler Manager Factory Util Utils Helper Adapter Provider Client".split()
+
+
+def stem_suffix(name: Column) -> Column:
+    """The name without one known ending; a name that is only an ending stays."""
+    return F.regexp_replace(name, f"(?<=.)({'|'.join(STEM_SUFFIXES)})$", "")
+
+
+def replace_first(text: Column, pattern: str, by: str) -> Column:
+    """The first match alone."""
+    return F.regexp_replace(text, f"(?s)^(.*?)(?:{pattern})", f"$1{by}")
+
+
+def module_stem(path: Column) -> Column:
+    """Lower-case file name without folders and the last extension."""
+    return F.lower(F.regexp_replace(F.regexp_extract(path, "[^/]*$", 0), r"\.[^.]*$", ""))
+
+
+def is_prose(path: Column) -> Column:
+    return F.lower(path).rlike(r"\.(md|mdc|markdown|rst|adoc|txt)$")
+
+
+def allowed(df: DataFrame, column: str, allow: tuple[str, ...] | None = None, deny: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows whose column is allowed and not denied; a list that isn't given filters nothing."""
+    out = df if allow is None else df.filter(F.col(column).isin(*allow))
+    return out if deny is None else out.filter(~F.col(column).isin(*deny))

@@ -66,3 +66,9 @@ def locality_rank(df: DataFrame, keys: list[str], weight: str, tier: str, distan
     """Relations of a node: heavier first, then stronger tier, nearer place, name."""
     order = [F.desc(weight), F.col(tier).asc_nulls_last(), F.col(distance).asc_nulls_last(), F.col(name)]
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def running_cap(df: DataFrame, keys: list[str], order: list[Column], counted: Column, cap: int) -> DataFrame:
+    """Rows in rank order without the counted ones beyond the first cap; all others stay."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_c", F.count_if(counted).over(w)).filter(~counted | (F.col("_c") <= cap)).drop("_c")

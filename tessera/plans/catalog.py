@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
 from tessera.operators import analytics, coupling, memory, rank, resolve, retrieval, traverse
 from tessera.plans.cuts import cut
 from tessera.plans.graphview import SQL_EDGES, SQL_NODES, SQL_TOUCHES, SQL_TRADE, Tables, node_id
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
+from tessera.plans.registry import query
 
 _FIRST_BRAND = "(select min(p_brand) from part)"
 

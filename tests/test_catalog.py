@@ -6,7 +6,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import catalog, links, shapes  # noqa: F401 - they register queries
+from tessera.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -29,7 +30,7 @@ def rows(df):
     return sorted(map(tuple, df.to_numpy().tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, duck, name):
-    got, want = catalog.QUERIES[name](spark, SF).toPandas(), duck.sql(catalog.ORACLES[name]).df()
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
