@@ -138,3 +138,11 @@ def allowed(df: DataFrame, column: str, allow: tuple[str, ...] | None = None, de
     """Rows whose column is allowed and not denied; a list that isn't given filters nothing."""
     out = df if allow is None else df.filter(F.col(column).isin(*allow))
     return out if deny is None else out.filter(~F.col(column).isin(*deny))
+
+
+def commit_kind(message: Column) -> Column:
+    """What a commit message says it does: revert, fix (conventional), issue (closes a number), keyword, other; the first that holds."""
+    m = F.lower(message)
+    conventional = m.rlike(r"^(fix|bugfix|hotfix)(\([^)]*\))?!?:")
+    issue = m.rlike(r"\b(close|fix|resolve)[sd]?(es|ed)? #[0-9]+")
+    return F.when(m.rlike("^revert"), "revert").when(conventional, "fix").when(issue, "issue").when(m.rlike(r"\b(bug|crash|error)\b"), "keyword").otherwise("other")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.exprs import sketch_similarity
+
 GAP = 30 * 60
 ORDER = ["ts", "id"]
 
@@ -94,10 +96,69 @@ def supersede(facts: DataFrame, key: str, tokens: str, order: str, least: float
     return n.withColumn("similarity", similar).filter(F.col("similarity") >= least).select(key, "old", "new", "similarity")
 
 
-def revalidate(anchors: DataFrame, now: DataFrame) -> DataFrame:
-    """(fact, verdict) of anchors (fact, file, name, fp) against declarations (file, name, fp). Our own rules: ok, unconfirmed, moved, orphaned."""
-    same = now.select("file", "name", F.col("fp").alias("_fp"))
-    else_where = now.groupBy("fp").agg(F.count("*").alias("_m"))
-    out = anchors.join(same, ["file", "name"], "left").join(else_where, "fp", "left")
-    verdict = F.when(F.col("_fp") == F.col("fp"), "ok").when(F.col("_fp").isNotNull(), "unconfirmed").when(F.col("_m").isNotNull(), "moved").otherwise("orphaned")
-    return out.groupBy("fact").agg(F.min(verdict).alias("verdict"))
+def revalidate(anchors: DataFrame, now: DataFrame, least: float = 0.6) -> DataFrame:
+    """(fact, verdict) of anchors (fact, file, name, fp) against declarations (file, name, fp). Our own rules, the first that holds:
+    ok (same place, same fingerprint), unconfirmed (same place, other fingerprint), moved (the fingerprint is elsewhere), renamed, orphaned.
+
+    renamed needs a column sketch (bottom hashes) on both sides: a declaration of the same file whose estimate is at least `least`.
+    Candidates meet on shared hashes within the file, so no group is compared pair by pair.
+    """
+    same = now.groupBy("file", "name").agg(F.min("fp").alias("_fp"), F.collect_set("fp").alias("_fps"))
+    elsewhere = now.select("fp").distinct().withColumn("_m", F.lit(1))
+    out = anchors.join(same, ["file", "name"], "left").join(elsewhere, "fp", "left")
+    verdict = F.when(F.array_contains("_fps", F.col("fp")), "ok").when(F.col("_fp").isNotNull(), "unconfirmed").when(F.col("_m").isNotNull(), "moved")
+    if "sketch" in anchors.columns and "sketch" in now.columns:
+        lost = out.filter("_fp is null and _m is null").select("fact", "file", "sketch", F.explode("sketch").alias("_h"))
+        there = now.select("file", F.col("name").alias("_to"), F.col("sketch").alias("_s"), F.explode("sketch").alias("_h"))
+        near = lost.join(there, ["file", "_h"]).dropDuplicates(["fact", "_to"]).filter(sketch_similarity(F.col("sketch"), F.col("_s")) >= least)
+        out = out.join(near.select("fact").distinct().withColumn("_r", F.lit(1)), "fact", "left")
+        verdict = verdict.when(F.col("_r").isNotNull(), "renamed")
+    return out.groupBy("fact").agg(F.min(verdict.otherwise("orphaned")).alias("verdict"))
+
+
+#: Fixed values of a lesson's weight: points, caps, steps of turns and of seconds, and the least weight that surfaces.
+POINTS = {"cross_session": 3.0, "cross_scope": 1.0, "repeat": 0.5, "abandonment": 1.25, "workaround": 0.75}
+CAPS = {"repeat": 1.5, "abandonment": 2.5, "effort": 2.0}
+TURN_STEPS = [(40, 1.5), (20, 1.0), (8, 0.5)]
+SECOND_STEPS = [(5400, 1.5), (1800, 1.0), (600, 0.5)]
+SURFACES = 3.0
+
+
+def _steps(c: Column, steps: list[tuple[int, float]]) -> Column:
+    out = F.lit(0.0)
+    for at, points in reversed(steps):
+        out = F.when(c >= at, points).otherwise(out)
+    return out
+
+
+def lesson_weight(sessions: Column, scopes: Column, occurrences: Column, turns: Column, seconds: Column, abandonments: Column, workaround: Column) -> Column:
+    """Points for a failure that comes back, that several scopes met, that cost effort; repeats, abandonment and effort are capped."""
+    over = lambda c: F.greatest(c, F.lit(0))
+    back = over(sessions - 1) * POINTS["cross_session"] + over(scopes - F.greatest(sessions, F.lit(1))) * POINTS["cross_scope"]
+    again = F.least(over(occurrences - F.greatest(scopes, F.lit(1))) * POINTS["repeat"], F.lit(CAPS["repeat"]))
+    gone = F.least(abandonments * POINTS["abandonment"], F.lit(CAPS["abandonment"]))
+    effort = F.least(_steps(turns, TURN_STEPS) + _steps(seconds, SECOND_STEPS) + F.when(workaround, POINTS["workaround"]).otherwise(0.0), F.lit(CAPS["effort"]))
+    return F.round(back + again + gone + effort, 2)
+
+
+def recall(facts: DataFrame, least: float = SURFACES) -> DataFrame:
+    """Facts (id, tier, weight, expired, grain, valid_at) that may be shown, with place: law before observation, the finer grain, the heavier, the newer, then id.
+
+    Expired facts and tiers other than law and observation are out; a weight under `least` is out unless the tier is law; no weight passes.
+    """
+    live = facts.filter(F.col("expired").isNull() & F.col("tier").isin("law", "observation")).filter((F.col("tier") == "law") | (F.coalesce(F.col("weight"), F.lit(least)) >= least))
+    order = [F.col("file"), F.when(F.col("tier") == "law", 0).otherwise(1), F.desc("grain"), F.desc_nulls_last("weight"), F.desc("valid_at"), F.col("id")]
+    return live.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy(*order[1:])))
+
+
+def contradicted(rules: DataFrame) -> DataFrame:
+    """(old, new) of rules (id, prefer, over): the next later rule that prefers just the other way round."""
+    later = rules.select(F.col("id").alias("_new"), F.col("over").alias("prefer"), F.col("prefer").alias("over"))
+    return rules.join(later, ["prefer", "over"]).filter("_new > id").groupBy(F.col("id").alias("old")).agg(F.min("_new").alias("new"))
+
+
+def once_per(rows: DataFrame, keys: list[str], place: list[Column], group: list[str], most: int = 2) -> DataFrame:
+    """The first row of each key, of those at most `most` of each group: a notice is shown once a session and place."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*place))
+    rows = rows.withColumn("_k", first).filter("_k = 1")
+    return rows.withColumn("_g", F.row_number().over(Window.partitionBy(*group).orderBy(*place))).filter(F.col("_g") <= most).drop("_k", "_g")

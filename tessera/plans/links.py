@@ -1 +1,165 @@
 """Linking, merging, memory and export operators as queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import exprs as X
+from tessera.operators import inherit, memory, rank, traverse
+from tessera.plans.graphview import SQL_EDGES, SQL_NODES, node_id
+from tessera.plans.registry import query
+from tessera.sources import exports
+
+# -- chains of declarations ------------------------------------------------------------------------------------------
+
+_FORWARD = "fw as (select c_custkey as src, c_custkey // 3 as dst from customer where c_custkey % 4 <> 1 and c_custkey > 0)"
+
+
+def _forwards(t):
+    return t.customer.filter("c_custkey % 4 <> 1 and c_custkey > 0").select(F.col("c_custkey").alias("src"), F.expr("c_custkey div 3").alias("dst"))
+
+
+@query(f"""with recursive {_FORWARD}, w as (select src, dst, 1 as hops from fw union all select w.src, fw.dst, hops + 1 from w join fw on w.dst = fw.src where hops < 4)
+select src, dst as target, hops::int as hops from w where dst not in (select src from fw)""")
+def e4_reexport_chase(t):
+    return inherit.chase(_forwards(t), 4)
+
+
+@query(f"""with recursive {_FORWARD}, m as (select c_custkey as id, c_mktsegment as name from customer where c_custkey % 2 = 0),
+w as (select src, dst, 1 as depth from fw union all select w.src, fw.dst, depth + 1 from w join fw on w.dst = fw.src where depth < 5),
+a as (select id, name, id as owner, 0 as depth from m union all select src, name, dst, depth from w join m on dst = m.id)
+select id, name, owner, depth::int as depth from a qualify row_number() over (partition by id, name order by depth, owner) = 1""")
+def e12_inherited_members(t):
+    members = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"))
+    return inherit.inherited(_forwards(t), members)
+
+
+_BASES = "ba as (select distinct p_brand as src, 'Brand#' || (substr(p_brand, 7)::int + 1) as dst from part)"
+_OVERRIDES = f"{_BASES}, ov as (select distinct a.p_partkey as src, b.p_partkey as dst from part a join ba on a.p_brand = ba.src join part b on b.p_brand = ba.dst and lower(b.p_name || ' ' || b.p_type) = lower(a.p_name || ' ' || a.p_type))"
+
+
+def _overrides(t):
+    bases = t.part.select(F.col("p_brand").alias("src"), F.concat(F.lit("Brand#"), (F.substring("p_brand", 7, 9).cast("int") + 1).cast("string")).alias("dst"))
+    return inherit.overrides(bases, t.part.select(F.col("p_brand").alias("owner"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.col("p_partkey").alias("id")))
+
+
+@query(f"with {_OVERRIDES} select * from ov")
+def e6_overrides(t):
+    return _overrides(t)
+
+
+@query(f"""with recursive {_OVERRIDES}, u as (select src as a, dst as b from ov union all select dst, src from ov), s as (select p_partkey as id from part where p_partkey % 50 = 0),
+w as (select id, 0 as depth from s union select b, depth + 1 from w join u on id = a where depth < 8) select id, min(depth)::int as depth from w group by id""")
+def g4_override_closure(t):
+    edges = _overrides(t).withColumn("edge_type", F.lit("OVERRIDES"))
+    return traverse.override_closure(edges, t.part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id")))
+
+
+@query("""with ty as (select p_partkey as type, p_brand || p_type as name, p_size % 3 as folder from part where p_partkey % 7 = 0), me as (select p_partkey as method, p_brand || p_type as name, p_size % 3 as folder from part where p_partkey % 7 <> 0),
+c as (select method, 0 as rung, type from me join ty using (name) union all select method, 1, type from me join ty using (name, folder)), o as (select method, rung, min(type) as type from c group by all having count(distinct type) = 1)
+select method, arg_min(type, rung) as type from o group by method""")
+def e7_method_owner(t):
+    rows = t.part.select("p_partkey", F.concat("p_brand", "p_type").alias("name"), (F.col("p_size") % 3).alias("folder"))
+    return inherit.owners(rows.filter("p_partkey % 7 <> 0").withColumnRenamed("p_partkey", "method"), rows.filter("p_partkey % 7 = 0").withColumnRenamed("p_partkey", "type"))
+
+
+@query("select p_partkey, first from (select p_partkey, min(p_partkey) over (partition by p_brand, p_type) as first from part) where p_partkey <> first")
+def e14_partials(t):
+    return inherit.partials(t.part, ["p_brand", "p_type"], "p_partkey")
+
+
+@query(f"with {SQL_EDGES}, {SQL_NODES} select (select count(*) from nodes where node_type = 'PART') as nodes, (select count(*) from edges where edge_type = 'IMPORTS') as edges, 'error' as verdict")
+def g5_coverage_assertion(t):
+    return inherit.coverage_assertion(t.nodes, t.edges, "PART", "IMPORTS")
+
+
+@query("""select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_quantity desc, case when l_returnflag <> 'N' then l_linenumber end nulls last, l_suppkey, l_partkey::varchar || '/' || l_linenumber)::int as rank from lineitem""")
+def g7_relation_ranking(t):
+    rows = t.lineitem.withColumn("tier", F.when(F.col("l_returnflag") != "N", F.col("l_linenumber"))).withColumn("name", F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")))
+    return rank.locality_rank(rows, ["l_orderkey"], "l_quantity", "tier", "l_suppkey", "name").select("l_orderkey", "l_partkey", "rank")
+
+
+@query("""with a as (select c_custkey as k, c_mktsegment as v, c_acctbal as e from customer where c_custkey % 3 <> 0), b as (select c_custkey as k, 'NEW' as v, case when c_custkey % 2 = 0 then 1.0 end as e from customer where c_custkey % 5 = 0)
+select k, case when b.v is null then a.v else b.v end as v, coalesce(b.e, a.e) as e from a full join b using (k)""")
+def k2_upsert(t):
+    old = t.customer.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"), F.col("c_acctbal").alias("e"))
+    new = t.customer.filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("k"), F.lit("NEW").alias("v"), F.when(F.expr("c_custkey % 2 = 0"), 1.0).alias("e"))
+    return inherit.upsert(old, new, ["k"], keep=("e",))
+
+
+# -- exports ---------------------------------------------------------------------------------------------------------
+
+_SMALL = f"""{SQL_EDGES}, {SQL_NODES}, n as (select * from nodes where node_type in ('REGION', 'NATION')), e as (select * from edges where src in (select id from n) and dst in (select id from n))"""
+
+
+def _small(t):
+    nodes = t.region.select(node_id("REGION", "r_regionkey").alias("id"), F.lit("REGION").alias("node_type"), F.col("r_name").alias("name")).unionAll(t.nation.select(node_id("NATION", "n_nationkey"), F.lit("NATION"), "n_name"))
+    return nodes, t.nation.select(node_id("REGION", "n_regionkey").alias("src"), node_id("NATION", "n_nationkey").alias("dst"), F.lit("CONTAINS").alias("edge_type"))
+
+
+@query(f"""with {_SMALL} select 'dot' as form, 'digraph graph_export {{' as line union all select 'dot', '  node [shape=box];' union all select 'dot', '}}' union all select 'mermaid', 'flowchart LR' union all select 'cypher', ';'
+union all select 'mermaid', '  n' || id || '["' || name || ' (' || node_type || ')"]' from n union all select 'mermaid', '  n' || src || ' -->|' || edge_type || '| n' || dst from e
+union all select 'dot', '  n' || id || ' [label="' || name || ' (' || node_type || ')"];' from n union all select 'dot', '  n' || src || ' -> n' || dst || ' [label="' || edge_type || '"];' from e
+union all select 'cypher', 'CREATE (n' || id || ':Declaration {{id: ' || id || ', name: ''' || name || ''', type: ''' || node_type || '''}})' from n union all select 'cypher', 'CREATE (n' || src || ')-[:' || edge_type || ']->(n' || dst || ')' from e
+union all select 'json', '{{"id":' || id || ',"name":"' || name || '","type":"' || node_type || '"}}' from n union all select 'json', '{{"from":' || src || ',"to":' || dst || ',"type":"' || edge_type || '"}}' from e""")
+def k3_graph_exports(t):
+    out = None
+    for form in ("dot", "mermaid", "cypher", "json"):
+        rows = exports.lines(*_small(t), form).select(F.lit(form).alias("form"), "line")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+@query("select n_regionkey, sha256('# ' || n_regionkey || chr(10) || chr(10) || string_agg('- ' || n_name, chr(10) order by n_nationkey) || chr(10)) as digest from nation where n_regionkey <> 2 group by n_regionkey")
+def k5_projection(t):
+    now = exports.projection(t.nation, "n_regionkey", "n_nationkey", "n_name")
+    return exports.to_write(now, now.filter("n_regionkey = 2"), "n_regionkey").select("n_regionkey", "digest")
+
+
+# -- memory ----------------------------------------------------------------------------------------------------------
+
+
+@query("""with w as (select p_partkey, p_size % 4 as s, p_size % 6 as c, p_size % 9 as o, p_size as t, p_size * 120 as sec, p_size % 3 as a, p_size % 2 = 0 as wk from part)
+select p_partkey, round(greatest(s - 1, 0) * 3.0 + greatest(c - greatest(s, 1), 0) + least(greatest(o - greatest(c, 1), 0) * 0.5, 1.5) + least(a * 1.25, 2.5)
++ least(case when t >= 40 then 1.5 when t >= 20 then 1 when t >= 8 then 0.5 else 0 end + case when sec >= 5400 then 1.5 when sec >= 1800 then 1 when sec >= 600 then 0.5 else 0 end + case when wk then 0.75 else 0 end, 2), 2)::double as weight from w""")
+def r27_lesson_weight(t):
+    s = F.col("p_size")
+    return t.part.select("p_partkey", memory.lesson_weight(s % 4, s % 6, s % 9, s, s * 120, s % 3, s % 2 == 0).alias("weight"))
+
+
+@query("""with f as (select o_orderkey as id, o_custkey as file, case o_orderstatus when 'F' then 'law' when 'O' then 'observation' else 'hypothesis' end as tier, case when o_orderkey % 3 > 0 then o_totalprice / 50000 end as weight, o_orderkey % 11 = 0 as gone, o_orderkey % 4 as grain, o_orderdate as valid_at from orders)
+select file, id, row_number() over (partition by file order by (tier <> 'law')::int, grain desc, weight desc nulls last, valid_at desc, id)::int as place from f where not gone and tier <> 'hypothesis' and (tier = 'law' or coalesce(weight, 3) >= 3)""")
+def r34_recall(t):
+    tier = F.when(F.col("o_orderstatus") == "F", "law").when(F.col("o_orderstatus") == "O", "observation").otherwise("hypothesis")
+    key = F.col("o_orderkey")
+    facts = t.orders.select(key.alias("id"), F.col("o_custkey").alias("file"), tier.alias("tier"), F.when(key % 3 > 0, F.col("o_totalprice") / 50000).alias("weight"), F.when(key % 11 == 0, F.col("o_orderdate")).alias("expired"), (key % 4).alias("grain"), F.col("o_orderdate").alias("valid_at"))
+    return memory.recall(facts).select("file", "id", "place")
+
+
+@query("""with w as (select p_partkey, p_brand, list_distinct(string_split(p_name || ' ' || p_type, ' ')) as w from part)
+select a.p_brand, a.p_partkey as old, b.p_partkey as new, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) as similarity
+from w a join w b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey where len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.6""")
+def r36_supersede(t):
+    return memory.supersede(t.part.select("p_brand", "p_partkey", F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("w")), "p_brand", "w", "p_partkey")
+
+
+@query("with r as (select s_suppkey as id, s_nationkey as prefer, s_suppkey % 5 as over_ from supplier) select a.id as old, min(b.id) as new from r a join r b on a.prefer = b.over_ and a.over_ = b.prefer and b.id > a.id group by a.id")
+def r38_contradicted(t):
+    return memory.contradicted(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("prefer"), (F.col("s_suppkey") % 5).cast("int").alias("over")))
+
+
+@query("with f as (select event_id, user_id, event_type, ts from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1) select event_id, user_id from f qualify row_number() over (partition by user_id order by ts, event_id) <= 2")
+def r39_preflight_once(t):
+    return memory.once_per(t.events, ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], ["user_id"]).select("event_id", "user_id")
+
+
+@query("""with f as (select o_orderkey // 8 as commit, o_custkey as anchor, o_orderstatus = 'F' as fix, left(o_orderpriority, 1) as p from orders) select anchor, count(distinct commit) as fixes, string_agg(distinct p, ',' order by p) as priorities from f where fix group by all having count(distinct commit) >= 2""")
+def r32_hazards(t):
+    fix = t.orders.filter("o_orderstatus = 'F'").select(F.expr("o_orderkey div 8").alias("commit"), F.col("o_custkey").alias("anchor"), F.substring("o_orderpriority", 1, 1).alias("p"))
+    return fix.groupBy("anchor").agg(F.count_distinct("commit").alias("fixes"), F.array_join(F.array_sort(F.collect_set("p")), ",").alias("priorities")).filter("fixes >= 2")
+
+
+@query("""with d as (select doc_id, lower(text) as text from documents where text is not null) select doc_id, case when regexp_matches(text, '^revert') then 'revert' when regexp_matches(text, '^(fix|bugfix|hotfix)(\\([^)]*\\))?!?:') then 'fix'
+when regexp_matches(text, '\\b(close|fix|resolve)[sd]?(es|ed)? #[0-9]+') then 'issue' when regexp_matches(text, '\\b(bug|crash|error)\\b') then 'keyword' else 'other' end as kind from d""")
+def c27_commit_kind(t):
+    return t.documents.filter("text is not null").select("doc_id", X.commit_kind(F.col("text")).alias("kind"))
