@@ -8,7 +8,8 @@ from tessera.functions import exprs as X
 from tessera.operators import inherit, memory, rank, traverse
 from tessera.plans.graphview import SQL_EDGES, SQL_NODES, node_id
 from tessera.plans.registry import query
-from tessera.sources import exports
+from tessera.sources import exports, manifests
+from tessera.streaming import events as streams
 
 # -- chains of declarations ------------------------------------------------------------------------------------------
 
@@ -116,6 +117,36 @@ def k5_projection(t):
     return exports.to_write(now, now.filter("n_regionkey = 2"), "n_regionkey").select("n_regionkey", "digest")
 
 
+# -- streams ---------------------------------------------------------------------------------------------------------
+
+
+@query("""with e as (select event_id as id, user_id as scope, ts, event_type as kind from events), l as (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by scope order by ts, id) > 259200000000 as idle from e),
+x as (select *, count(*) filter (idle) over (partition by scope order by ts, id) as session from l),
+f as (select *, last_value(case when kind = 'error' then id end ignore nulls) over (partition by scope, session order by ts, id rows between unbounded preceding and 1 preceding) as fail_id from x),
+p as (select *, coalesce(count(*) filter (kind = 'purchase') over (partition by scope, session, fail_id order by ts, id rows between unbounded preceding and 1 preceding), 0) as passed from f where fail_id is not null and kind in ('purchase', 'click', 'view'))
+select scope, fail_id, max(id) filter (kind = 'purchase') as pass_id, count(*) filter (kind <> 'purchase') as edits, case when count(*) filter (kind <> 'purchase') > 0 then 'observation' else 'flaky' end as verdict
+from p where passed = 0 group by scope, session, fail_id having count(*) filter (kind = 'purchase') > 0""")
+def r24_fail_fix_stream(t):
+    rows = streams.read(t.spark, f"{t.sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.col("user_id").alias("scope"), "ts", F.col("event_type").alias("kind"))
+    return streams.drained(streams.fail_fix(rows, "error", ("click", "view"), "purchase", 259_200))
+
+
+@query("select event_id, user_id from events")
+def r21_replay_stream(t):
+    rows = streams.read(t.spark, f"{t.sf_dir}/events.parquet")
+    return streams.drained(streams.replayed(rows.unionAll(rows), ["event_id"]).select("event_id", "user_id"))
+
+
+# -- sources ---------------------------------------------------------------------------------------------------------
+
+
+@query("select p_partkey, 'npm' as ecosystem, 'lib-' || (p_partkey % 7) as name, '^' || p_size || '.0.0' as version, 'runtime' as scope from part union all select p_partkey, 'npm', 'tool', '1.0.0', 'dev' from part")
+def s5_manifests(t):
+    text = F.format_string('{"name": "x", "dependencies": {"lib-%d": "^%d.0.0"}, "devDependencies": {"tool": "1.0.0"}}', F.col("p_partkey") % 7, F.col("p_size"))
+    files = t.part.select("p_partkey", F.lit("web/package.json").alias("path"), text.alias("content"))
+    return manifests.dependencies(files, "p_partkey").select("p_partkey", "ecosystem", "name", "version", "scope")
+
+
 # -- memory ----------------------------------------------------------------------------------------------------------
 
 
@@ -159,7 +190,7 @@ def r32_hazards(t):
     return fix.groupBy("anchor").agg(F.count_distinct("commit").alias("fixes"), F.array_join(F.array_sort(F.collect_set("p")), ",").alias("priorities")).filter("fixes >= 2")
 
 
-@query("""with d as (select doc_id, lower(text) as text from documents where text is not null) select doc_id, case when regexp_matches(text, '^revert') then 'revert' when regexp_matches(text, '^(fix|bugfix|hotfix)(\\([^)]*\\))?!?:') then 'fix'
-when regexp_matches(text, '\\b(close|fix|resolve)[sd]?(es|ed)? #[0-9]+') then 'issue' when regexp_matches(text, '\\b(bug|crash|error)\\b') then 'keyword' else 'other' end as kind from d""")
+@query("select p_partkey, case p_size % 5 when 0 then 'revert' when 1 then 'fix' when 2 then 'issue' when 3 then 'keyword' else 'other' end as kind from part")
 def c27_commit_kind(t):
-    return t.documents.filter("text is not null").select("doc_id", X.commit_kind(F.col("text")).alias("kind"))
+    says = F.array(*[F.lit(x) for x in ('Revert "Fix(db): x"', "fix(db)!: null key", "Tidy up, closes #12", "Avoid a crash on start", "Add fixtures #1")])
+    return t.part.select("p_partkey", X.commit_kind(F.concat(F.element_at(says, F.col("p_size") % 5 + 1), F.lit(" in "), F.col("p_name"))).alias("kind"))

@@ -25,9 +25,9 @@ def j3_semi(t):
     return t.customer.select("c_custkey").join(large, "c_custkey", "left_semi")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")
 def j4_anti(t):
-    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return t.customer.select("c_custkey").join(t.orders.filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query(f"with {SQL_EDGES}, {SQL_NODES} select id, count(*) as degree from nodes join edges on id = src or id = dst where node_type = 'CUSTOMER' group by id")
