@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import terms
 from tessera.operators.rank import top_per
+from tessera.operators.traverse import walk
 
 
 def chunks(docs: DataFrame, key: str, text: str, size: int = 60, overlap: int = 15, most: int = 400) -> DataFrame:
@@ -62,3 +63,61 @@ def graph_channel(edges: DataFrame, seeds: DataFrame, edge_types: tuple[str, ...
     back = seed.join(used, seed["id"] == used["dst"]).select("q", F.col("src").alias("to"))
     met = out.union(back).distinct().toDF("q", "id").join(seed, ["q", "id"], "left_anti")
     return top_per(met.withColumn("score", F.lit(0.42)), ["q"], [F.col("id")], limit)
+
+
+#: Least fused score by intent, its shift by risk, and hops by intent.
+FUSION_MIN = {"lookup": 0.28, "trace": 0.30, "impact": 0.32, "architecture": 0.30, "compare": 0.30, "default": 0.30}
+RISK_DELTA = {"low": -0.02, "medium": 0.0, "high": 0.04}
+HOPS = {"lookup": 1, "trace": 2, "impact": 2, "architecture": 2, "compare": 2, "default": 2}
+
+
+def fusion_threshold(intent: str = "default", risk: str = "medium", k: int = 60) -> float:
+    """Least fused score of a seed; an unknown intent or risk counts as the default one."""
+    return (FUSION_MIN.get(intent, FUSION_MIN["default"]) + RISK_DELTA.get(risk, 0.0)) / k
+
+
+def plan_seeds(fused: DataFrame, plan: str = "plan", anchor: str = "anchor", anchor_seeds: int = 4, item_seeds: int = 2) -> DataFrame:
+    """(plan, id, fused) from the queries (q, anchor or not) of plans: the best seeds of each query, each id once with its best score."""
+    place = F.row_number().over(Window.partitionBy(plan, "q").orderBy(F.desc("fused"), "id"))
+    kept = fused.withColumn("_r", place).filter(F.col("_r") <= F.when(F.col(anchor), anchor_seeds).otherwise(item_seeds))
+    return kept.groupBy(plan, "id").agg(F.max("fused").alias("fused"))
+
+
+def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.6) -> DataFrame:
+    """(id, depth, score) within hops of seeds (id, score), both ways: a seed's own score, else the best seed's, decayed by depth."""
+    best = seeds.agg(F.max("score").alias("_best"))
+    near = walk(edges, seeds, hops, "both").join(seeds.groupBy("id").agg(F.max("score").alias("_own")), "id", "left").crossJoin(F.broadcast(best))
+    return near.select("id", "depth", F.coalesce("_own", F.col("_best") * F.pow(F.lit(decay), F.greatest("depth", F.lit(1)))).alias("score"))
+
+
+def identity_first(exact_ids: DataFrame, pool: DataFrame, most: int = 100) -> DataFrame:
+    """(q, id, place): ids with just the asked name first, at most so many by id, then the pool (q, id, rank) without them."""
+    own = exact_ids.select("q", "id", F.row_number().over(Window.partitionBy("q").orderBy("id")).alias("rank")).filter(F.col("rank") <= most)
+    rest = pool.join(own.select("q", "id"), ["q", "id"], "left_anti").select("q", "id", "rank", F.lit(1).alias("_tier"))
+    both = own.withColumn("_tier", F.lit(0)).unionByName(rest)
+    return both.select("q", "id", F.row_number().over(Window.partitionBy("q").orderBy("_tier", "rank", "id")).alias("place"))
+
+
+def resolve_symbol(nodes: DataFrame, asked: list[str]) -> DataFrame:
+    """(q, id, tier) for each asked symbol: nodes of just that name (0), else of that last part (1), else that hold it (2).
+
+    The asked symbols are the caller's list, so their side is as small as the call.
+    """
+    asks = nodes.sparkSession.createDataFrame([(q,) for q in asked], "q string")
+    name = F.lower(F.col("name"))
+    want = F.lower(F.col("q"))
+    last = F.element_at(F.split(name, r"[\s./#:]+"), -1)
+    tier = F.when(name == want, 0).when(last == want, 1).otherwise(2)
+    hit = nodes.join(F.broadcast(asks), F.contains(name, want)).select("q", "id", tier.alias("tier"))
+    least = hit.groupBy("q").agg(F.min("tier").alias("tier"))
+    return hit.join(F.broadcast(least), ["q", "tier"]).select("q", "id", "tier")
+
+
+def focus(nodes: DataFrame, asked: list[str], size: Column, top: int = 3) -> DataFrame:
+    """(id, name, score, place): nodes whose name holds words of the question; 100 more for a name that is a word; trivial ones (size <= 2) last."""
+    name = F.lower(F.col("name"))
+    score = F.lit(0)
+    for word in asked:
+        score = score + F.when(F.contains(name, F.lit(word.lower())), 1).otherwise(0) + F.when(name == word.lower(), 100).otherwise(0)
+    scored = nodes.select("id", "name", score.alias("score"), (size <= 2).alias("_small")).filter("score > 0").orderBy("_small", F.desc("score"), "id").limit(top)
+    return scored.select("id", "name", "score", F.row_number().over(Window.orderBy("_small", F.desc("score"), "id")).alias("place"))

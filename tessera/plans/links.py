@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
-from tessera.operators import inherit, memory, rank, traverse
+from tessera.operators import inherit, memory, rank, retrieval, traverse
 from tessera.plans.graphview import SQL_EDGES, SQL_NODES, node_id
 from tessera.plans.registry import query
-from tessera.sources import exports, manifests
+from tessera.sources import exports, files, manifests
 from tessera.streaming import events as streams
 
 # -- chains of declarations ------------------------------------------------------------------------------------------
@@ -117,6 +117,43 @@ def k5_projection(t):
     return exports.to_write(now, now.filter("n_regionkey = 2"), "n_regionkey").select("n_regionkey", "digest")
 
 
+# -- retrieval -------------------------------------------------------------------------------------------------------
+
+
+@query("""with f as (select c_nationkey as plan, c_custkey % 4 as q, c_custkey % 4 = 0 as anchor, c_custkey // 7 as id, c_acctbal as fused from customer),
+k as (select * from f qualify row_number() over (partition by plan, q order by fused desc, id) <= case when anchor then 4 else 2 end) select plan, id, max(fused) as fused from k group by all""")
+def t11_plan_seeds(t):
+    key = F.col("c_custkey")
+    return retrieval.plan_seeds(t.customer.select(F.col("c_nationkey").alias("plan"), (key % 4).alias("q"), (key % 4 == 0).alias("anchor"), F.expr("c_custkey div 7").alias("id"), F.col("c_acctbal").alias("fused")))
+
+
+@query(f"""with {SQL_EDGES}, s as (select n_nationkey::bigint * 8 + 1 as id, (n_nationkey + 1) / 10 as score from nation where n_nationkey < 5), u as (select src as a, dst as b from edges union all select dst, src from edges),
+f1 as (select distinct b as id from u join s on a = s.id where b not in (select id from s)) select id, 0::int as depth, score::double as score from s union all select id, 1, round((select max(score) from s) * 0.6, 6) from f1""")
+def t13_expand(t):
+    seeds = t.nation.filter("n_nationkey < 5").select(node_id("NATION", "n_nationkey").alias("id"), ((F.col("n_nationkey") + 1) / 10).alias("score"))
+    return retrieval.expand(t.edges, seeds, 1).withColumn("score", F.round("score", 6))
+
+
+@query("""with p as (select o_custkey % 9 as q, o_orderkey as id, row_number() over (partition by o_custkey % 9 order by o_totalprice desc, o_orderkey) as rank from orders), x as (select o_custkey % 9 as q, o_orderkey as id, row_number() over (partition by o_custkey % 9 order by o_orderkey) as rank from orders where o_orderkey % 50 = 0),
+o as (select * from x where rank <= 100), b as (select *, 0 as tier from o union all select *, 1 from p where (q, id) not in (select q, id from o)) select q, id, row_number() over (partition by q order by tier, rank, id)::int as place from b qualify place <= 40""")
+def t18_identity_first(t):
+    rows = t.orders.select((F.col("o_custkey") % 9).alias("q"), F.col("o_orderkey").alias("id"), "o_totalprice")
+    pool = rank.top_per(rows, ["q"], [F.desc("o_totalprice"), F.col("id")], 2**31 - 1).select("q", "id", "rank")
+    return retrieval.identity_first(rows.filter("id % 50 = 0").select("q", "id"), pool).filter("place <= 40")
+
+
+@query("""with a(q) as (values ('red widget'), ('Widget'), ('old')), h as (select q, p_partkey as id, case when lower(p_name) = lower(q) then 0 when string_split(lower(p_name), ' ')[-1] = lower(q) then 1 else 2 end as tier from part join a on contains(lower(p_name), lower(q)))
+select q, id, tier::int as tier from h qualify tier = min(tier) over (partition by q)""")
+def t19_resolve_symbol(t):
+    return retrieval.resolve_symbol(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), ["red widget", "Widget", "old"])
+
+
+@query("""with s as (select p_partkey as id, p_name as name, contains(p_name, 'cold')::int + contains(p_name, 'widget')::int + 100 * (p_name = 'cold')::int + 100 * (p_name = 'widget')::int as score, p_size <= 2 as small from part)
+select id, name, score, row_number() over (order by small, score desc, id)::int as place from s where score > 0 qualify place <= 3""")
+def t20_explore_focus(t):
+    return retrieval.focus(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_size"), ["cold", "widget"], F.col("p_size"))
+
+
 # -- streams ---------------------------------------------------------------------------------------------------------
 
 
@@ -147,6 +184,21 @@ def s5_manifests(t):
     return manifests.dependencies(files, "p_partkey").select("p_partkey", "ecosystem", "name", "version", "scope")
 
 
+@query("""with f as (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*$', '') || case page_id % 6 when 0 then '.min.js' when 1 then '/node_modules/a.js' when 2 then '.png' when 3 then '.env' when 4 then '.stories.tsx' else '.py' end as path, case when page_id % 12 = 11 then 300000 else 10 end as size from pages)
+select page_id, case page_id % 6 when 2 then 'binary' when 0 then 'generated' when 4 then 'story' when 1 then 'dir_segment' when 3 then 'secret' else case when size > 200000 then 'size' else 'kept' end end as reason from f""")
+def s1_walk_policy(t):
+    tails = F.array(*[F.lit(x) for x in (".min.js", "/node_modules/a.js", ".png", ".env", ".stories.tsx", ".py")])
+    path = F.concat(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), "[?#].*$", ""), F.element_at(tails, (F.col("page_id") % 6 + 1).cast("int")))
+    size = F.when(F.col("page_id") % 12 == 11, 300_000).otherwise(10)
+    return t.pages.select("page_id", files.reason(path, size).alias("reason"))
+
+
+@query("select p_partkey, 'app.size' as key, p_size::varchar as value from part union all select p_partkey, 'app.tags[0]', p_brand from part")
+def s6_config_entries(t):
+    text = F.format_string('{"app": {"size": %d, "tags": ["%s"]}}', F.col("p_size"), F.col("p_brand"))
+    return files.config_entries(t.part.select("p_partkey", F.lit("conf/app.json").alias("path"), text.alias("content")), "p_partkey")
+
+
 # -- memory ----------------------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ import subprocess
 from pyspark.sql import functions as F
 
 from tessera.operators import inherit, memory
-from tessera.sources import exports, history, manifests
+from tessera.sources import exports, files, history, manifests
 from tessera.streaming import events as streams
 
 
@@ -65,3 +65,25 @@ def test_renamed_anchors(spark):
     anchors = spark.createDataFrame([(1, "f", "old", 9, [1, 2, 3, 4]), (2, "f", "gone", 8, [50, 60])], "fact long, file string, name string, fp long, sketch array<long>")
     now = spark.createDataFrame([("f", "new", 5, [1, 2, 3, 7])], "file string, name string, fp long, sketch array<long>")
     assert {tuple(r) for r in memory.revalidate(anchors, now, 0.5).collect()} == {(1, "renamed"), (2, "orphaned")}
+
+
+def test_walk_says_why(spark, tmp_path):
+    for name, data in {"a.py": b"x = 1\n", "img.png": b"x", "node_modules/b.js": b"x", "blob": b"a\0b", "empty.txt": b"", "latin.txt": b"caf\xe9"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[-1]: (r["reason"], r["content"]) for r in files.walk(spark, str(tmp_path)).collect()}
+    assert got == {"a.py": ("kept", "x = 1\n"), "img.png": ("binary", None), "b.js": ("dir_segment", None), "blob": ("binary", None), "empty.txt": ("kept", ""), "latin.txt": ("kept", "caf\ufffd")}
+
+
+def test_config_entries_of_each_kind():
+    assert files.entries("a.json", '{"a": {"b": [1, null, true]}}') == [("a.b[0]", "1"), ("a.b[1]", None), ("a.b[2]", "true")]
+    assert files.entries("a.properties", "# c=1\nx.y = 2=3\n\n") == [("x.y", "2=3")]
+    assert files.entries(".editorconfig", "root = true\n[*.py]\nindent = 4\n") == [("root", "true"), ("*.py.indent", "4")]
+    assert files.entries("a.json", "{") == [] and files.entries("a.bin", "x") == []
+
+
+def test_coverage_and_json_lines(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"f.js": {"statementMap": {"0": {"start": {"line": 3}}, "1": {"start": {"line": 3}}}, "s": {"0": 0, "1": 5}}}')
+    (tmp_path / "t.jsonl").write_text('{"a": 1}\nbroken\n')
+    assert [tuple(r) for r in files.coverage(spark, str(tmp_path / "c.json")).collect()] == [("f.js", 3, 5)]
+    assert [(r["a"], r["_broken"]) for r in files.json_lines(spark, str(tmp_path / "t.jsonl"), "a long").collect()] == [(1, None), (None, "broken")]
