@@ -43,7 +43,7 @@ def looks_binary(content: Column, head: int = 8000) -> Column:
 
 
 def walk(spark: SparkSession, root: str, **patterns: str | None) -> DataFrame:
-    """(path, size, reason, content): every file below root; content as text where it is read, else null."""
+    """(path, size, reason, content): every file below root but empty ones, which the file source skips; content as text where it is read, else null."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     why = reason(F.col("path"), F.col("length"), **patterns)
     out = raw.withColumn("reason", why).withColumn("reason", F.when((F.col("reason") == "kept") & looks_binary(F.col("content")), "binary").otherwise(F.col("reason")))
