@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import sketch_similarity
+from tessera.operators.resolve import similar_sets
 
 GAP = 30 * 60
 ORDER = ["ts", "id"]
@@ -87,13 +88,8 @@ def merge_mentions(rows: DataFrame, key: str, text: str, order: str) -> DataFram
 
 
 def supersede(facts: DataFrame, key: str, tokens: str, order: str, least: float = 0.6) -> DataFrame:
-    """(key, old, new, similarity): a later fact of a key that restates an earlier one. Pairs are met on shared tokens within the key."""
-    t = facts.select(key, order, tokens)
-    e = t.withColumn("_t", F.explode(F.array_distinct(tokens)))
-    pair = e.alias("a").join(e.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._t") == F.col("b._t")) & (F.col(f"a.{order}") < F.col(f"b.{order}")))
-    n = pair.groupBy(F.col(f"a.{key}").alias(key), F.col(f"a.{order}").alias("old"), F.col(f"b.{order}").alias("new"), F.size(F.array_distinct(f"a.{tokens}")).alias("_x"), F.size(F.array_distinct(f"b.{tokens}")).alias("_y")).agg(F.count("*").alias("_n"))
-    similar = F.round(F.col("_n") / (F.col("_x") + F.col("_y") - F.col("_n")), 6)
-    return n.withColumn("similarity", similar).filter(F.col("similarity") >= least).select(key, "old", "new", "similarity")
+    """(key, old, new, similarity): a later fact of a key that restates an earlier one. Pairs meet on rare tokens within the key."""
+    return similar_sets(facts, order, tokens, least, [key]).withColumnsRenamed({"a": "old", "b": "new"})
 
 
 def revalidate(anchors: DataFrame, now: DataFrame, least: float = 0.6) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.exprs import jaccard
+
 
 def unique_or_refuse(candidates: DataFrame, keys: list[str], target: str = "target", rung: str = "rung") -> DataFrame:
     """(keys, target, rung): of each reference the earliest rung with exactly one distinct target. An ambiguous rung doesn't block the next."""
@@ -98,3 +100,21 @@ def multiset_score(truth: DataFrame, system: DataFrame, keys: list[str]) -> Data
     both = t.join(s, keys, "full").select(F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("s", F.lit(0)).alias("s"))
     total = both.agg(F.sum(F.least("t", "s")).alias("matched"), F.sum("t").alias("truth"), F.sum("s").alias("system"))
     return total.select("*", F.round(F.col("matched") / F.nullif("truth", F.lit(0)), 6).alias("recall"), F.round(F.col("matched") / F.nullif("system", F.lit(0)), 6).alias("precision"))
+
+
+def similar_sets(sets: DataFrame, key: str, tokens: str, least: float, within: list[str] | None = None) -> DataFrame:
+    """(within, a, b, similarity) of all pairs a < b whose token sets have a Jaccard similarity of least or more; empty sets pair with none.
+
+    Prefix filtering: such sets share one of their rarest n - ceil(least * n) + 1 tokens, so only those meet, and frequent
+    tokens seldom do. Pairs are then held against the whole sets.
+    """
+    by = within or []
+    rows = sets.select(*by, key, F.array_distinct(tokens).alias("_t")).filter(F.size("_t") > 0)
+    each = rows.select(*by, key, F.explode("_t").alias("_w"))
+    ranked = each.join(each.groupBy(*by, "_w").agg(F.count("*").alias("_f")), [*by, "_w"]).groupBy(*by, key).agg(F.array_sort(F.collect_list(F.struct("_f", "_w"))).alias("_o"))
+    n = F.size("_o")
+    rare = ranked.select(*by, key, n.alias("_n"), F.explode(F.slice("_o", 1, n - F.ceil(least * n - 1e-9).cast("int") + 1)).alias("_p")).select(*by, key, "_n", F.col("_p._w").alias("_w"))
+    a, b = rare.withColumnsRenamed({key: "a", "_n": "_na"}), rare.withColumnsRenamed({key: "b", "_n": "_nb"})
+    met = a.join(b, [*by, "_w"]).filter((F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * least - 1e-9)).select(*by, "a", "b").distinct()
+    whole = met.join(rows.withColumnsRenamed({key: "a", "_t": "_x"}), [*by, "a"]).join(rows.withColumnsRenamed({key: "b", "_t": "_y"}), [*by, "b"])
+    return whole.withColumn("similarity", jaccard(F.col("_x"), F.col("_y"))).filter(F.col("similarity") >= least).select(*by, "a", "b", F.round("similarity", 6).alias("similarity"))

@@ -329,9 +329,7 @@ def c26_redact(t):
 @query("""with a as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) as w from benchmark)
 select a.item_id as a, b.item_id as b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) as jaccard from a join a b on a.item_id < b.item_id where len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.15""")
 def c21_jaccard(t):
-    w = t.benchmark.select("item_id", X.terms(F.col("text")).alias("w"))
-    pair = w.select(F.col("item_id").alias("a"), F.col("w").alias("x")).join(F.broadcast(w.select(F.col("item_id").alias("b"), F.col("w").alias("y"))), F.col("a") < F.col("b"))
-    return pair.withColumn("j", X.jaccard(F.col("x"), F.col("y"))).filter("j >= 0.15").select("a", "b", F.round("j", 6).alias("jaccard"))
+    return resolve.similar_sets(t.benchmark.select("item_id", X.terms(F.col("text")).alias("w")), "item_id", "w", 0.15).withColumnRenamed("similarity", "jaccard")
 
 
 @query("select levenshtein(a.n_name, b.n_name)::int as distance, a.n_name as a, b.n_name as b from nation a join nation b on a.n_nationkey < b.n_nationkey where levenshtein(a.n_name, b.n_name) <= 3")

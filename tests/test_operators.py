@@ -58,3 +58,16 @@ def test_expressions(spark):
     df = spark.createDataFrame([("parseHTTPBody", "a/b/c.py", "a/d.py")], "n string, p string, q string")
     r = df.select(X.camel_split(F.col("n")).alias("c"), X.snake_case(F.lit("fooBar")).alias("s"), X.plural(F.lit("box")).alias("x"), X.directory_distance(F.col("p"), F.col("q")).alias("d"), X.fnv1a(F.lit("a")).alias("h"), X.error_signature(F.lit("Fail 12 at /a/b.py 'x'")).alias("e")).first()
     assert r["c"] == ["parse", "HTTP", "Body"] and r["s"] == "foo_bar" and r["x"] == "boxes" and r["d"] == 1 and r["h"] == 0xE40C292C and r["e"] == "fail <n> at <path> <str>"
+
+
+def test_similar_sets_equal_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    sets = {k: {rng.choice("abcdefghij") for _ in range(rng.randint(0, 7))} for k in range(60)}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "k long, w array<string>")
+    for least in (0.2, 0.6, 1.0):
+        want = {(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] | sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+        got = [(r["a"], r["b"]) for r in resolve.similar_sets(df, "k", "w", least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
