@@ -87,3 +87,12 @@ def test_coverage_and_json_lines(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"a": 1}\nbroken\n')
     assert [tuple(r) for r in files.coverage(spark, str(tmp_path / "c.json")).collect()] == [("f.js", 3, 5)]
     assert [(r["a"], r["_broken"]) for r in files.json_lines(spark, str(tmp_path / "t.jsonl"), "a long").collect()] == [(1, None), (None, "broken")]
+
+
+def test_session_windows_close_behind_the_watermark(spark, tmp_path):
+    rows = [(1, 7, "2024-01-01 00:00:00"), (2, 7, "2024-01-01 00:20:00"), (3, 7, "2024-01-01 02:00:00"), (4, 8, "2024-01-02 00:00:00")]
+    df = spark.createDataFrame(rows, "id long, scope long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for k in range(1, 5):
+        df.filter(F.col("id") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = streams.drained(streams.session_counts(streams.read(spark, str(tmp_path / "in/*.parquet"), 1))).collect()
+    assert sorted((r["scope"], r["n"]) for r in got) == [(7, 1), (7, 2)]  # the last session is still open
