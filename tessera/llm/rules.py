@@ -12,9 +12,12 @@ floor FLOOR on its spread: most texts have no symbol or repeated line at all, an
 be zero. The cut at the COVER share is taken on a logarithmic histogram of distances (BINS a factor of e), so it needs
 no sort: the chosen subset is the smallest whole number of bins that holds the share.
 
+A group of under LEAST texts that pass the base rules is judged by a pooled fit: that of its language, else that of its
+source, else that of all texts, the first that holds LEAST texts; the fit of all texts needs no least number.
+
 Defined cases: a null or wordless text has zero counts and fails the base rules; a null language or source is a group
-of its own; groups of under LEAST texts have no fit and reject nothing; with no rows the result is empty; ids may
-repeat or be null, each row is judged by itself; only the id, text, language and source columns are read.
+of its own; with no text that passes the base rules there is no fit and no distance; with no rows the result is empty;
+ids may repeat or be null, each row is judged by itself; only the id, text, language and source columns are read.
 """
 
 from __future__ import annotations
@@ -79,14 +82,15 @@ def base_counts(text: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """docs with _b (the base counts), _base_failed, _group and the vector's columns _x0, _x1, ..."""
+    """docs with _b (the base counts), _base_failed, _group, its wider pools _lang and _source, and the vector's columns _x0, _x1, ..."""
     docs = docs.withColumn("_b", base_counts(F.col(text_col)))
     b = {n: F.col("_b")[n] for n in BASE}
     failed = (b["n_words"] < 10) | (100 * b["n_repeat_words"] > 20 * b["n_words"])
     n = F.greatest(b["n_words"], F.lit(1))
     x = (F.log1p(b["word_chars"] / n), F.log1p(10 * b["n_symbols"] / n), F.sqrt(b["n_dup_lines"] / n), F.sqrt(b["n_repeat_words"] / n))
     group = F.xxhash64(F.col(lang_col).isNull(), lang_col, F.col(source_col).isNull(), source_col)
-    return docs.withColumns({"_base_failed": failed, "_group": group} | {f"_x{i}": c for i, c in enumerate(x)})
+    wider = {f"_{k}": F.xxhash64(F.lit(k), F.col(c).isNull(), c) for k, c in (("lang", lang_col), ("source", source_col))}
+    return docs.withColumns({"_base_failed": failed, "_group": group} | wider | {f"_x{i}": c for i, c in enumerate(x)})
 
 
 def _gamma(a: float, x: float) -> float:
@@ -136,11 +140,36 @@ def _moments(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(f"_x{i}").alias(f"s{i}") for i in d], *[F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"s{i}{j}") for i in d for j in range(i + 1)])
 
 
+def pools(stats: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(_group, _pool) twice: the pool by which each group is judged, and the used pools that each group's texts are in.
+
+    None if each group holds LEAST texts, and so is its own pool and in no other.
+    """
+    keys = ["_group", "_lang", "_source"]
+    sizes = stats.groupBy(*keys).agg(F.count_if(~F.col("_base_failed")).alias("_n"))
+    if sizes.filter(F.col("_n") < LEAST).isEmpty():
+        return None
+    sizes = staged(sizes, "mcd-sizes")
+    for k in ("_lang", "_source"):
+        sizes = join_small(sizes, sizes.groupBy(k).agg(F.sum("_n").alias(f"_n{k}")), [k])
+    pool = F.when(F.col("_n") >= LEAST, F.col("_group")).when(F.col("_n_lang") >= LEAST, F.col("_lang")).when(F.col("_n_source") >= LEAST, F.col("_source")).otherwise(F.lit(0))
+    judge = staged(sizes.select(*keys, pool.alias("_pool")), "mcd-pools")
+    inside = judge.select("_group", F.explode(F.array(*keys, F.lit(0).cast("long"))).alias("_pool"))
+    return judge.select("_group", "_pool"), staged(join_small(inside, judge.select("_pool").distinct(), ["_pool"]).select("_group", "_pool"), "mcd-members")
+
+
 def fit(stats: DataFrame) -> DataFrame:
-    """MCD estimates, one row for each _group of at least LEAST rows: m_i, l_ij, logdet. stats has _group and _x0, ..."""
-    d, keys = range(len(NAMES)), ["_group", "_start"]
+    """MCD estimates, one row for each _group: m_i, l_ij, logdet. stats has _base_failed, _group, its wider pools and _x0, ..."""
+    d, keys = range(len(NAMES)), ["_pool", "_start"]
+    found = pools(stats)
+    stats = stats.filter("not _base_failed")
+    inside, pooled = (lambda df: df.withColumn("_group", F.col("_pool"))), stats.withColumn("_pool", F.col("_group"))
+    if found:
+        judge, members = found
+        inside = lambda df: join_small(df, members, ["_pool"])
+        pooled = join_small(stats, members.groupBy("_group").agg(F.collect_list("_pool").alias("_in")), ["_group"]).select(F.explode("_in").alias("_pool"), *[f"_x{i}" for i in d])
     quart = [F.percentile_approx(f"_x{i}", [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i in d]
-    first = stats.groupBy("_group").agg(F.count("*").alias("_n"), *quart, *_aggs()).filter(F.col("_n") >= LEAST)
+    first = pooled.groupBy("_pool").agg(F.count("*").alias("_n"), *quart, *_aggs())
     plain = first.withColumn("_start", F.lit(0)).withColumn("n", F.col("_n"))
     spread = [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in d]
     robust = first.withColumns({"_start": F.lit(1), "n": F.lit(1)} | {f"s{i}": F.col(f"q{i}")[1] for i in d} | {f"s{i}{j}": F.col(f"q{i}")[1] * F.col(f"q{j}")[1] + (spread[i] ** 2 if i == j else 0.0) for i in d for j in range(i + 1)})
@@ -150,14 +179,15 @@ def fit(stats: DataFrame) -> DataFrame:
     p, q = len(NAMES), chi_square(len(NAMES), COVER)
     consistent = COVER / _gamma(p / 2 + 1, q / 2)
     for step in range(STEPS):
-        near = _distance(join_small(stats, _by_group(params), ["_group"]).select("*", F.explode("_p")).select("_group", *[f"_x{i}" for i in d], "col.*"))
+        near = _distance(join_small(stats, _by_group(inside(params)), ["_group"]).select(F.explode("_p"), *[f"_x{i}" for i in d]).select(*[f"_x{i}" for i in d], "col.*"))
         near = near.withColumn("_bin", F.floor(BINS * F.log(F.greatest("d2", F.lit(1e-9)))).cast("int"))
         seen = near.groupBy(*keys, "_bin").agg(F.count("*").alias("n"))
         upto = seen.withColumn("c", F.sum("n").over(Window.partitionBy(*keys).orderBy("_bin")))
         cut = staged(upto.join(F.broadcast(sizes), keys).filter(F.col("c") >= F.ceil(COVER * F.col("_n"))).groupBy(*keys).agg(F.min("_bin").alias("_cut")), "mcd-cut")
         inner = join_small(near, cut, keys).filter("_bin <= _cut")
         params = staged(_params(_moments(inner, keys), keys, consistent if step == STEPS - 1 else 1.0), "mcd")
-    best = params.groupBy("_group").agg(F.min_by(F.struct(*[c for c in params.columns if c != "_group"]), F.struct("logdet", "_start")).alias("p"))
+    best = params.groupBy("_pool").agg(F.min_by(F.struct(*[c for c in params.columns if c != "_pool"]), F.struct("logdet", "_start")).alias("p"))
+    best = join_small(judge, best, ["_pool"]) if found else inside(best)
     return staged(best.select("_group", "p.*").drop("_start"), "mcd")
 
 
@@ -176,7 +206,7 @@ def _by_group(params: DataFrame) -> DataFrame:
 
 
 def judged(df: DataFrame, params: DataFrame) -> DataFrame:
-    """df (with_statistics) with kept: false for base failures and for outliers of a fitted group."""
+    """df (with_statistics) with kept: false for base failures and for outliers of the fit that judges their group."""
     d = range(len(NAMES))
     held = params.select("_group", F.struct(*[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)]).alias("_fit"))
     # every group has a row, so that the join may be an inner one
@@ -189,7 +219,7 @@ def judged(df: DataFrame, params: DataFrame) -> DataFrame:
 def op3(docs: DataFrame) -> DataFrame:
     plain = docs.select("doc_id", "text", "lang", "source")
     stats = staged(with_statistics(plain, "text", "lang", "source").drop("text", "lang", "source"), "rules")
-    params = fit(stats.filter("not _base_failed"))
+    params = fit(stats)
     return judged(stats, params).select("doc_id", "_b.*", F.col("_base_failed").alias("base_failed"), "kept", F.col("d2").alias("distance2"))
 
 
@@ -197,5 +227,5 @@ def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """The rows of docs that the rules keep, with their columns."""
     columns = docs.columns
     stats = staged(with_statistics(docs.select(F.struct("*").alias("_row"), text_col, lang_col, source_col), text_col, lang_col, source_col).drop(text_col, lang_col, source_col), "rules")
-    params = fit(stats.filter("not _base_failed"))
+    params = fit(stats)
     return judged(stats, params).filter("kept").select("_row.*").select(*columns)

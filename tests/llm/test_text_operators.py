@@ -105,6 +105,27 @@ def test_mcd_against_numpy(spark):
     assert not got["kept"].all() and got["kept"].mean() > 0.9
 
 
+def test_small_groups_are_judged_by_pooled_fits(spark):
+    """Groups under LEAST texts: by the language (en), by the source (fr, too few), by all texts (null language, lone source)."""
+    rng = np.random.default_rng(2)
+    def text(k):
+        return " ".join(f"{w}{'&#|' * (k % 17 == 0)}" for w in rng.choice(VOCAB, 60))
+    groups = [("en", f"s{k % 8}", k) for k in range(160)] + [("fr", f"s{k % 4}", 200 + k) for k in range(40)] + [(None, "t", 300 + k) for k in range(9)]
+    groups += [("de", f"s{k % 4}", 400 + k) for k in range(240)]
+    docs = spark.createDataFrame([(k, text(k), lang, source) for lang, source, k in groups] + [(999, "two words", "xx", "t")], "doc_id long, text string, lang string, source string")
+    stats = rules.with_statistics(docs, "text", "lang", "source")
+    got = rules.judged(stats, rules.fit(stats)).orderBy("doc_id").select("doc_id", "lang", "source", "_x0", "_x1", "_x2", "_x3", "_base_failed", "d2", "kept").toPandas()
+    assert len(got) == len(groups) + 1 and got["d2"].notna().all()
+    fine = got[~got["_base_failed"]]
+    x = fine[["_x0", "_x1", "_x2", "_x3"]].to_numpy()
+    pools = {"en": fine["lang"] == "en", None: fine["doc_id"] >= 0} | {s: fine["source"] == s for s in ("s0", "s1", "s2", "s3")}
+    for mask, pool in [(fine["lang"] == "en", "en"), (fine["lang"].isna(), None)] + [((fine["lang"] == "fr") & (fine["source"] == s), s) for s in ("s0", "s1", "s2", "s3")]:
+        inside = pools[pool].to_numpy()
+        want = dict(zip(fine["doc_id"][inside], _mcd(x[inside]), strict=True))
+        assert np.allclose(fine["d2"][mask], [want[k] for k in fine["doc_id"][mask]], rtol=1e-5)
+    assert not fine["kept"].all() and not rules.op3(docs.filter("lang = 'en'")).filter("kept").count() == 160
+
+
 def _fingerprint(t):
     w = (t or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), seed=42) for i in range(max(1, len(w) - 2))] if w else []
