@@ -35,10 +35,11 @@ NEAR = np.array(sorted({1 << a | 1 << b for a in range(16) for b in range(16)}),
 ROWS_PER_TASK = 2_000_000
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle in order; a text of fewer words is one shingle, a wordless one has none."""
     w = text.lower().split() if text else []
     if not w:
-        return 0
+        return np.empty(0, np.uint64)
     flat = b" ".join(w)
     length = np.fromiter(map(len, w), np.int64, len(w)) + 1
     start = np.r_[0, np.cumsum(length)]
@@ -47,7 +48,13 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     else:
         spans = zip(start[: len(w) - shingle + 1].tolist(), (start[shingle:] - 1).tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(flat[a:b], SEED) for a, b in spans), np.uint64, max(1, len(w) - shingle + 1))
+    return np.fromiter((digest(flat[a:b], SEED) for a, b in spans), np.uint64, max(1, len(w) - shingle + 1))
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language, pages, pieces, quality, rules, simhash, substrings, tokens, toxicity
+from tessera.llm import decontaminate, language, neardup, pages, pieces, quality, rules, simhash, substrings, tokens, toxicity
 from tessera.llm.common import components
 from tessera.llm.queries import tokenizer_file
 from tessera.llm.trees import fit
@@ -158,6 +158,43 @@ def test_simhash(corpus, spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["component_id"] for r in got}
 
 
+def _near_corpus():
+    """Texts with copies of one to eight changed words, so that similarities lie on both sides of 0.8."""
+    out = []
+    for _ in range(40):
+        base = prose(120).split()
+        out.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 6, 8):
+            w = list(base)
+            for at in RNG.sample(range(len(w)), edits):
+                w[at] = "edit%d" % RNG.randrange(10**6)
+            out.append(" ".join(w))
+    return [None, "", "a b", "A  b"] + out
+
+
+def test_near_duplicates_on_five_word_shingles(spark):
+    """The stage removes what links at a similarity of 0.8 or more, as brute force finds it."""
+    import corpus_pipeline
+
+    all_texts = _near_corpus()
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in all_texts]
+    parent = list(range(len(sets)))
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+    for b in range(len(sets)):
+        for a in range(b):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                ra, rb = sorted((root(a), root(b)))
+                parent[rb] = ra
+    docs = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [k for k in range(len(sets)) if root(k) == k]
+    assert neardup.deduplicated(docs.limit(0)).count() == 0
+
+
 def test_posting_lists_dense_and_sparse(monkeypatch):
     rng = np.random.default_rng(0)
     fp = np.unique(np.uint64(0x123456789ABCDEF0) ^ (rng.integers(0, 1 << 16, 600).astype(np.uint64) << np.uint64(24)))
