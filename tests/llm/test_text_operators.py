@@ -195,6 +195,16 @@ def test_near_duplicates_on_five_word_shingles(spark):
     assert neardup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_by_row_not_id(spark):
+    """Of a class one row stays, whatever ids are null or repeat."""
+    import corpus_pipeline
+
+    one, two = prose(50), prose(50)
+    docs = spark.createDataFrame([(None, one), (1, one), (1, one), (None, two), (None, two), (None, prose(50)), (2, prose(50)), (2, prose(50))], "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(kept) == 5 and (1, one) in kept and (None, two) in kept and sum(k == 2 for k, _ in kept) == 2
+
+
 def test_posting_lists_dense_and_sparse(monkeypatch):
     rng = np.random.default_rng(0)
     fp = np.unique(np.uint64(0x123456789ABCDEF0) ^ (rng.integers(0, 1 << 16, 600).astype(np.uint64) << np.uint64(24)))
