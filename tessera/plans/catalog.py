@@ -231,6 +231,18 @@ def t2_lexical_bm25(t):
     return retrieval.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), _bench(t))
 
 
+_BM25_ALL = _BM25.replace(_QUERIES, "q as (select item_id as q, text from benchmark)")
+
+
+def _bench_all(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("q"), "text")
+
+
+@query(f"with {_BM25_ALL} select *, row_number() over (partition by q order by score desc, id)::int as rank from lex qualify rank <= 16")
+def t2_lexical_bm25_all(t):
+    return retrieval.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), _bench_all(t))
+
+
 _NEEDLES = "n(q, needle) as (values (1, 'ivory'), (1, 'blue'), (2, 'st'), (3, 'Customer#000000012'), (3, '00012'))"
 
 
@@ -280,22 +292,36 @@ lb as (select q, id, score, row_number() over (partition by q order by score des
 fu as (select q, id, round(sum(p) / 1.5, 9) as fused from (select q, id, 1.0::double / (60 + r) as p from la union all select q, id, 0.5::double / (60 + r) from lb) group by q, id)"""
 
 
-def _fused(t: Tables) -> DataFrame:
-    lexical = retrieval.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), _bench(t))
+def _fused(t: Tables, bench: DataFrame) -> DataFrame:
+    lexical = retrieval.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), bench)
     docs = t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 3).alias("p"), F.length("text").cast("double").alias("score"))
-    prefix = docs.join(F.broadcast(_bench(t).select("q", F.substring("text", 1, 3).alias("p"))), "p").select("q", "id", "score")
+    prefix = docs.join(F.broadcast(bench.select("q", F.substring("text", 1, 3).alias("p"))), "p").select("q", "id", "score")
     return rank.fuse({"lexical": (lexical, 1.0), "prefix": (prefix, 0.5)})
 
 
 @query(f"with {_FUSED} select * from fu")
 def t7_rank_fusion(t):
-    return _fused(t)
+    return _fused(t, _bench(t))
+
+
+@query(f"with {_FUSED.replace(_BM25, _BM25_ALL)} select * from fu")
+def t7_rank_fusion_all(t):
+    return _fused(t, _bench_all(t))
+
+
+def _judged(fused: DataFrame) -> DataFrame:
+    ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("fused"), "id")))
+    return ranked.withColumn("reason", F.when(F.col("fused") < 0.3 / 60, "below_threshold").when(F.col("rank") > 8, "truncated_top_k").otherwise("selected"))
 
 
 @query(f"with {_FUSED}, k as (select *, row_number() over (partition by q order by fused desc, id)::int as rank from fu) select q, id, fused, rank, case when fused < 0.3 / 60 then 'below_threshold' when rank > 8 then 'truncated_top_k' else 'selected' end as reason from k")
 def t9_t10_seeds_and_rejects(t):
-    ranked = _fused(t).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("fused"), "id")))
-    return ranked.withColumn("reason", F.when(F.col("fused") < 0.3 / 60, "below_threshold").when(F.col("rank") > 8, "truncated_top_k").otherwise("selected"))
+    return _judged(_fused(t, _bench(t)))
+
+
+@query(f"with {_FUSED.replace(_BM25, _BM25_ALL)}, k as (select *, row_number() over (partition by q order by fused desc, id)::int as rank from fu) select q, id, fused, rank, case when fused < 0.3 / 60 then 'below_threshold' when rank > 8 then 'truncated_top_k' else 'selected' end as reason from k")
+def t9_t10_seeds_and_rejects_all(t):
+    return _judged(_fused(t, _bench_all(t)))
 
 
 @query("""with l as (select doc_id, string_split(text, chr(10)) as l from documents), c as (select doc_id, l, unnest(range(0, least(399, ceil(greatest(len(l) - 60, 0) / 45))::int + 1))::int as chunk from l)
