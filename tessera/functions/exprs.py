@@ -86,6 +86,18 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(out, r"\b[A-Fa-f0-9]{32,}\b", "[hex]")
 
 
+def json_kind(text: Column) -> Column:
+    """Type of a JSON text by DuckDB's names; null for null and for text that is no JSON."""
+    t = F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    whole = t.try_cast("decimal(38,0)")
+    number = F.when(~t.rlike(r"^-?[0-9]+$"), "DOUBLE").when(whole.between(F.lit("0").cast("decimal(38,0)"), F.lit("18446744073709551615").cast("decimal(38,0)")) & ~t.startswith("-"), "UBIGINT")
+    number = number.when(whole.between(F.lit("-9223372036854775808").cast("decimal(38,0)"), F.lit("0").cast("decimal(38,0)")), "BIGINT").otherwise("DOUBLE")
+    kind = number
+    for start, name in (("{", "OBJECT"), ("[", "ARRAY"), ('"', "VARCHAR"), ("t", "BOOLEAN"), ("f", "BOOLEAN"), ("n", "NULL")):
+        kind = F.when(t.startswith(start), name).otherwise(kind)
+    return F.when(F.try_parse_json(text).isNotNull(), kind)
+
+
 def url_path(url: Column) -> Column:
     """Path of a url without scheme, host, query, fragment and trailing slash; parameters and numbers as {}."""
     rest = F.regexp_replace(F.regexp_replace(url, r"^[a-z]+://[^/]*", ""), r"[?#].*$", "")

@@ -366,7 +366,12 @@ def c32_near_misses(t):
 
 @query("select event_id, json_extract_string(props, '$.page') as page, json_type(props) as kind from events where event_id % 7 = 0")
 def c5_json(t):
-    return t.events.filter("event_id % 7 = 0").select("event_id", F.get_json_object("props", "$.page").alias("page"), F.lit("OBJECT").alias("kind"))
+    return t.events.filter("event_id % 7 = 0").select("event_id", F.get_json_object("props", "$.page").alias("page"), X.json_kind(F.col("props")).alias("kind"))
+
+
+@query("select event_id, json_extract_string(props, '$.page') as page, json_type(props) as kind from events")
+def c5_json_all(t):
+    return t.events.select("event_id", F.get_json_object("props", "$.page").alias("page"), X.json_kind(F.col("props")).alias("kind"))
 
 
 # -- resolution ----------------------------------------------------------------------------------------------------

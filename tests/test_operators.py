@@ -71,3 +71,12 @@ def test_similar_sets_equal_brute_force(spark):
         want = {(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] | sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
         got = [(r["a"], r["b"]) for r in resolve.similar_sets(df, "k", "w", least).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_json_kinds(spark):
+    from tessera.plans.registry import QUERIES
+
+    want = [('{"a": 1}', "OBJECT"), (" [1, 2]", "ARRAY"), ('"x"', "VARCHAR"), ("true", "BOOLEAN"), ("null", "NULL"), ("12", "UBIGINT"), ("-3", "BIGINT"), ("1.5", "DOUBLE"), ("{a", None), ("", None), (None, None)]
+    df = spark.createDataFrame([(p,) for p, _ in want], "p string")
+    assert [r["k"] for r in df.select(X.json_kind(F.col("p")).alias("k")).collect()] == [k for _, k in want]
+    assert QUERIES["c5_json_all"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
