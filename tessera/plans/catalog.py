@@ -552,13 +552,22 @@ def f5_ilike(t):
     return t.part.filter(F.col("p_name").ilike(r"%st\_%") | F.col("p_name").ilike("%blue%")).select("p_partkey", "p_name")
 
 
-@query("select s_suppkey, string_agg(distinct left(p_brand, 7), ',' order by left(p_brand, 7)) as brands, count(distinct l_partkey) as parts from supplier left join lineitem on s_suppkey = l_suppkey left join part on p_partkey = l_partkey where s_suppkey % 5 = 0 group by s_suppkey having count(distinct l_partkey) > 1")
-def a5_group_concat(t):
-    rows = t.supplier.filter("s_suppkey % 5 = 0").join(t.lineitem, F.col("s_suppkey") == F.col("l_suppkey"), "left").join(t.part, F.col("p_partkey") == F.col("l_partkey"), "left")
+def _brands(t: Tables, suppliers: DataFrame) -> DataFrame:
+    rows = suppliers.join(t.lineitem, F.col("s_suppkey") == F.col("l_suppkey"), "left").join(t.part, F.col("p_partkey") == F.col("l_partkey"), "left")
     out = rows.groupBy("s_suppkey").agg(F.array_join(F.array_sort(F.collect_set(F.substring("p_brand", 1, 7))), ",").alias("brands"), F.count_distinct("l_partkey").alias("parts"))
     return out.filter("parts > 1")
 
 
+@query("select s_suppkey, string_agg(distinct left(p_brand, 7), ',' order by left(p_brand, 7)) as brands, count(distinct l_partkey) as parts from supplier left join lineitem on s_suppkey = l_suppkey left join part on p_partkey = l_partkey where s_suppkey % 5 = 0 group by s_suppkey having count(distinct l_partkey) > 1")
+def a5_group_concat(t):
+    return _brands(t, t.supplier.filter("s_suppkey % 5 = 0"))
+
+
+@query("select s_suppkey, string_agg(distinct left(p_brand, 7), ',' order by left(p_brand, 7)) as brands, count(distinct l_partkey) as parts from supplier left join lineitem on s_suppkey = l_suppkey left join part on p_partkey = l_partkey group by s_suppkey having count(distinct l_partkey) > 1")
+def a5_group_concat_all(t):
+    return _brands(t, t.supplier)
+
+
 @query("select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, round(avg(l_discount), 6) as avg_disc, count(*) as n, count(*) filter (l_quantity > 25) as large, max(l_tax) as max_tax from lineitem group by all")
 def a1_grouped_sums(t):
     return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("large"), F.max("l_tax").alias("max_tax"))
