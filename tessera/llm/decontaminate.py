@@ -1,79 +1,127 @@
 """Benchmark decontamination: Wu-Manber multi-pattern search over words.
 
 The patterns are the n-word windows of the benchmark items (an item of fewer words is one window). For each pattern
-length the shift table tells, for the block of two words at the end of the search position, how far the position may
-move; a block that ends some pattern has shift 0, its bucket lists the patterns with that suffix, and these are
-compared word by word. In prose nearly every block is unknown, so the search moves n - 1 words at a time.
-
-Defined cases: a null or wordless text has no words and no hits; a wordless item gives no window; an empty benchmark
-leaves all documents clean; repeated items and rows each count by their own id; only id and text columns are read.
-The benchmark is read in blocks of items of at most BLOCK_CHARS characters each, so any size of it can be searched:
-each block is broadcast by itself and searched in every document, and the hits of several blocks are united by row.
+length the shift table tells, by the hash of the block of two words at the end of the search position, how far the
+position may move: the least shift of all blocks of that hash, so no occurrence is passed over. Where the shift is 0 the
+bucket of that hash lists the patterns with such a suffix, and these are compared word by word. A word that no item has
+moves the position past itself. In prose nearly every block is unknown, so the search moves n - 1 words at a time.
+
+The tables are arrays: SHIFT_BITS bits of hash for shifts and bucket starts, and for each distinct window its words'
+numbers and its items. A worker process builds them once for a broadcast block of the benchmark and keeps the last one
+only; a block has BLOCK_CHARS characters at most, or one item. A benchmark of one block is searched in one scan without
+a shuffle. One of more blocks numbers the documents once in a written table, and each block sends back only the rows
+that it hits, which are united by that number.
+
+Defined cases: a null or wordless text has no words and no hits; a wordless or null item, or one of a null id, gives no
+window; an empty benchmark leaves all documents clean; items of one id are one item, whatever rows it has; rows of one
+document id are answered each by itself; a text of any length is searched whole; other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import BROADCAST_ROWS, slices, staged
 
-WINDOW = 8
-BLOCK_CHARS = 32 << 20
+WINDOW, SHIFT_BITS = 8, 20
+BLOCK_CHARS = 8 << 20
 #: Lower-cases A-Z; every other byte below 128 that is no digit and no a-z becomes a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_K1, _K2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_FULL = (1 << 64) - 1
 
 
 def words(text: bytes | None) -> list[bytes]:
     return text.translate(_WORDS).split() if text else []
 
 
+class _Table:
+    """Shift table and suffix buckets of the patterns of one length: rows of word numbers, and the items of each."""
+
+    def __init__(self, rows: np.ndarray, items: np.ndarray) -> None:
+        self.length = rows.shape[1]
+        order = np.lexsort((items, *rows.T[::-1]))
+        rows, items = rows[order], items[order]
+        new = np.r_[True, (rows[1:] != rows[:-1]).any(1)]
+        self.rows = np.ascontiguousarray(rows[new], np.uint32)
+        again = np.r_[False, ~new[1:] & (items[1:] == items[:-1])]
+        self.items = items[~again].astype(np.uint32)
+        owner = (np.cumsum(new) - 1)[~again]
+        self.owned = np.searchsorted(owner, np.arange(len(self.rows) + 1))
+        m, block = self.length, min(2, self.length)
+        self.shift = bytearray(np.full(1 << SHIFT_BITS, m - block + 1, np.uint8).tobytes())
+        table = np.frombuffer(self.shift, np.uint8)
+        for end in range(block, m + 1):
+            table[self._hash(self.rows[:, end - block], self.rows[:, end - 1])] = m - end
+        suffix = self._hash(self.rows[:, m - block], self.rows[:, m - 1])
+        order = np.argsort(suffix, kind="stable")
+        self.bucket = order.astype(np.uint32)
+        self.start = np.searchsorted(suffix[order], np.arange((1 << SHIFT_BITS) + 1)).astype(np.uint32)
+
+    @staticmethod
+    def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a.astype(np.uint64) * np.uint64(_K1) + b.astype(np.uint64) * np.uint64(_K2)) >> np.uint64(64 - SHIFT_BITS)
+
+    def find(self, w: list[int], spans: list[tuple[int, int]], owners: set[int]) -> None:
+        m, n, shift, move = self.length, len(w), self.shift, 64 - SHIFT_BITS
+        block = min(2, m)
+        at = m - 1
+        while at < n:
+            last = w[at]
+            if not last:
+                at += m
+                continue
+            before = w[at - 1] if block == 2 else last
+            if not before:
+                # no pattern holds the unknown word, so the next possible start is after it
+                at += m - 1
+                continue
+            h = (before * _K1 + last * _K2 & _FULL) >> move
+            by = shift[h]
+            if by:
+                at += by
+                continue
+            here = np.array(w[at - m + 1 : at + 1], np.uint32)
+            for k in self.bucket[self.start[h] : self.start[h + 1]].tolist():
+                if (self.rows[k] == here).all():
+                    spans.append((at - m + 1, at + 1))
+                    owners.update(self.items[self.owned[k] : self.owned[k + 1]].tolist())
+                    break
+            at += 1
+
+
 class Search:
-    """Shift tables and suffix buckets, one pair for each pattern length."""
+    """The windows of items, in one table for each pattern length."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW) -> None:
-        patterns: dict[tuple[bytes, ...], set[str]] = {}
+        self.number: dict[bytes, int] = {}
+        self.items = sorted({i for i, _ in items})
+        place = {x: k for k, x in enumerate(self.items)}
+        by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
-            w = words(text)
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                patterns.setdefault(tuple(w[i : i + window]), set()).add(item)
-        self.by_length: dict[int, tuple[dict, dict]] = {}
-        for p, owners in patterns.items():
-            m = len(p)
-            shift, bucket = self.by_length.setdefault(m, ({}, {}))
-            block = min(2, m)
-            for end in range(block, m + 1):
-                b = p[end - block : end] if block == 2 else p[end - 1]
-                shift[b] = min(shift.get(b, m), m - end)
-            bucket.setdefault(p[-block:] if block == 2 else p[-1], []).append((p, owners))
+            w = np.array([self.number.setdefault(x, len(self.number) + 1) for x in words(text)], np.uint32)
+            if len(w):
+                m = min(window, len(w))
+                by_length.setdefault(m, []).append((np.lib.stride_tricks.sliding_window_view(w, m), place[item]))
+        self.tables = [_Table(np.concatenate([r for r, _ in own]), np.repeat([k for _, k in own], [len(r) for r, _ in own])) for _, own in sorted(by_length.items())]
 
     def find(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """The occurrences as (start, end), and the items that own them."""
-        spans, owners, n = [], set(), len(w)
-        for m, (shift, bucket) in self.by_length.items():
-            if m == 1:
-                for i, x in enumerate(w):
-                    if x in bucket:
-                        spans.append((i, i + 1))
-                        owners |= bucket[x][0][1]
-                continue
-            get, skip, at = shift.get, m - 1, m - 1
-            while at < n:
-                block = (w[at - 1], w[at])
-                by = get(block, skip)
-                if by:
-                    at += by
-                    continue
-                found = tuple(w[at - m + 1 : at + 1])
-                for p, own in bucket[block]:
-                    if p == found:
-                        spans.append((at - m + 1, at + 1))
-                        owners |= own
-                at += 1
-        return spans, owners
+        get, spans, owners = self.number.get, [], set()
+        known = [get(x, 0) for x in w]
+        for table in self.tables:
+            table.find(known, spans, owners)
+        return spans, {self.items[k] for k in owners}
+
+
+#: The tables that this process built last, by the broadcast block's mark and the window.
+_BUILT: dict[tuple[str, int], Search] = {}
 
 
 def covered(spans: list[tuple[int, int]]) -> int:
@@ -85,46 +133,62 @@ def covered(spans: list[tuple[int, int]]) -> int:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
-    """The items in blocks of a bounded number of characters, dealt by id."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).filter("item is not null and text is not null")
+    """The items in blocks of a bounded number of characters, dealt by id and text; equal rows are one."""
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).filter("item is not null and text is not null").distinct()
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-size // BLOCK_CHARS)
-    return [rows.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
+    rows = staged(rows, "items") if n > 1 else rows
+    return [rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def _searched(given: DataFrame, block: DataFrame, window: int, only_hit: bool) -> DataFrame:
+    """given (text, other columns) with n_words, spans and items in place of the text."""
+    held = given.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in block.collect()])
+    rest = [c for c in given.columns if c != "text"]
+    kinds = given.select(*rest).schema.simpleString()[len("struct<") : -1]
+    mark = uuid.uuid4().hex
+
+    def run(batches):
+        key = (mark, window)
+        if key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[key] = Search(held.value, window)
+        search = _BUILT[key]
+        for batch in slices(batches):
+            n, spans, owners = [], [], []
+            for text in batch.column("text").to_pylist():
+                w = words(text)
+                s, o = search.find(w)
+                n.append(len(w))
+                spans.append([{"a": a, "b": b} for a, b in sorted(s)])
+                owners.append(sorted(o))
+            found = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(owners, pa.list_(pa.string()))]
+            out = pa.record_batch([batch.column(c) for c in rest] + found, [*rest, "n_words", "spans", "items"])
+            yield out.filter(pa.array([bool(x) for x in owners], pa.bool_())) if only_hit else out
+
+    return given.mapInArrow(run, f"{kinds}, n_words long, spans array<struct<a:int,b:int>>, items array<string>")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep_columns: bool = False) -> DataFrame:
     """Rows (id, n_words, spans, items) for each row of docs; with keep_columns also all columns of docs, under `row`."""
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    parts, more = [], ["row"] * keep_columns
-    given = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), *[F.struct("*").alias("row")] * keep_columns)
-    row = f", row {docs.select(F.struct('*').alias('row')).schema['row'].dataType.simpleString()}" if keep_columns else ""
-    blocks = _blocks(benchmark, item_col, item_text) or [None]
-    for block in blocks:
-        items = [(r["item"], bytes(r["text"])) for r in block.collect()] if block is not None else []
-        held = spark.sparkContext.broadcast(items)
-
-        def run(batches, held=held):
-            search = Search(held.value, window)
-            for batch in slices(batches):
-                n, spans, owners = [], [], []
-                for text in batch.column("text").to_pylist():
-                    w = words(text)
-                    s, o = search.find(w)
-                    n.append(len(w))
-                    spans.append([{"a": a, "b": b} for a, b in sorted(s)])
-                    owners.append(sorted(o))
-                cols = [batch.column("uid"), batch.column("id"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(owners, pa.list_(pa.string()))]
-                yield pa.record_batch(cols + [batch.column(c) for c in more], ["uid", "id", "n_words", "spans", "items", *more])
-
-        parts.append(given.mapInArrow(run, f"uid long, id {kind}, n_words long, spans array<struct<a:int,b:int>>, items array<string>{row}"))
-    if len(parts) == 1:
-        return parts[0].drop("uid")
+    more = [F.struct("*").alias("row")] * keep_columns
+    given = docs.select(F.col(id_col).alias("id"), *more, F.col(text_col).cast("binary").alias("text"))
+    blocks = _blocks(benchmark, item_col, item_text)
+    if len(blocks) == 1:
+        return _searched(given, blocks[0], window, False)
+    # counted without a search; the number of a row is fixed by being written
+    given = staged(given.select(F.monotonically_increasing_id().alias("uid"), "*"), "numbered") if blocks else given
+    none = _searched(given, benchmark.select(F.lit("").alias("item"), F.lit(b"").alias("text")).limit(0), window, False)
+    if not blocks:
+        return none
+    parts = [_searched(given.select("uid", "text"), block, window, True).drop("n_words") for block in blocks]
     everything = parts[0]
     for part in parts[1:]:
         everything = everything.unionByName(part)
-    united = [F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")]
-    return everything.groupBy("uid").agg(F.first("id").alias("id"), *united, *[F.first(c).alias(c) for c in more]).drop("uid")
+    united = everything.groupBy("uid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    united = staged(united, "hits")
+    few = F.broadcast(united) if united.count() <= BROADCAST_ROWS // 10 else united
+    return none.drop("spans", "items").join(few, "uid", "left").withColumns({c: F.coalesce(c, F.expr(f"cast(array() as {dict(united.dtypes)[c]})")) for c in ("spans", "items")}).drop("uid")
 
 
 def _digest(batches):
@@ -142,9 +206,12 @@ def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.mapInArrow(_digest, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").withColumnRenamed("id", "doc_id")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, at_least: int = 2) -> DataFrame:
-    """The rows of docs in which fewer than at_least items occur, with their columns."""
-    found = hits(docs, benchmark, keep_columns=True)
+def clean(docs: DataFrame, benchmark: DataFrame, at_least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs in which windows of fewer than at_least items occur, with their columns.
+
+    A null or wordless text stays; equal rows stay or go together.
+    """
+    found = hits(docs, benchmark, id_col=id_col, text_col=text_col, keep_columns=True)
     return found.filter(F.size("items") < at_least).select("row.*")
 
 

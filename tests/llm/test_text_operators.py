@@ -288,8 +288,9 @@ def test_decontamination(spark, corpus, monkeypatch):
     assert got == want
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 700)
     assert Counter(tuple(r) for r in decontaminate.op9(corpus, bench).collect()) == want
-    clean = decontaminate.clean(corpus, bench)
+    clean = decontaminate.clean(corpus, bench, at_least=2)
     assert clean.columns == corpus.columns and clean.count() == sum(n for k, n in want.items() if not k[-1])
+    assert decontaminate.clean(corpus, bench).count() == sum(n for k, n in want.items() if not k[3])
     assert decontaminate.op9(corpus, bench.limit(0)).filter("n_hit > 0").count() == 0 and decontaminate.op9(empty(spark), bench).count() == 0
 
 
