@@ -60,10 +60,16 @@ def sample_ids(labels: DataFrame, label: str, id_col: str, rows: int) -> DataFra
     return labels.select(F.col(id_col).alias("id"), F.col(label).alias("label")).filter("id is not null and label is not null").orderBy(F.xxhash64("id"), "id", "label").limit(rows)
 
 
+def labelled(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, label, text as bytes) of the ids, which are few: one for each id and label, the least text where an id is repeated."""
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(ids), "id")
+    return some.groupBy("id", "label").agg(F.min("text").alias("text"))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> Forest:
     kind = docs.schema[id_col].dataType.simpleString()
     ids = sample_ids(labels, label, id_col, rows)  # that many rows at most are broadcast
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(ids), "id")
+    some = labelled(docs, ids, id_col, text_col)
     got = some.select("id", "text", F.col("label").cast("int").alias("label")).mapInArrow(_collect, f"id {kind}, x array<double>, label int").toPandas().sort_values(["id", "label"], kind="stable")
     x = np.array([*got["x"]], float).reshape(len(got), len(NAMES))
     return fit(x, got["label"].to_numpy(float))

@@ -1,19 +1,25 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A text's fingerprint has a bit set where over half of its shingles' XXH64 values have it set. Two fingerprints link at
-2 or fewer differing bits; then at least 6 of their 8 positional bytes agree (the guaranteed minimum). The index files
-each distinct fingerprint under every choice of 6 positional bytes, 28 posting lists, so a pair meets in a list exactly
-if its tally of shared positional bytes reaches the minimum; pairs that share fewer never meet. A list holds distinct
-fingerprints that differ in two bytes at most, so 65,536 of them at most, whatever the input. Members are verified by
-their differing bits; lists of over DENSE members look their neighbours (1 + 16 + 120 bit patterns) up instead of
-forming pairs, and each list gives only a spanning forest of its links, which keeps the components the same.
+BITS = 2 or fewer differing bits; then at least LEAST = 6 of their 8 positional bytes agree (the guaranteed minimum).
+
+The inverted index files each distinct fingerprint under positional bytes. A list for one byte would hold a share of all
+rows, so a list's key is the bytes of two of the four byte pairs, six lists a fingerprint: of four pairs at most BITS can
+hold a difference, so a linked pair has two whole pairs alike and meets in a list. In a list the positional bytes that
+each two members share are tallied over all eight positions, pairs of LEAST or more are retained, and those are verified
+by their differing bits. Members of a longer list (over DENSE) meet by postings of the list instead: under each two of
+the four remaining positions, so that their tally is the minimum from the start; such a posting holds 65,536 members at
+most, and looks the 1 + 16 + 120 patterns of differing bits up instead of forming pairs. Lists of over LONG members are
+dealt by these postings already between tasks, so no task holds a list that grows with the input. Each list gives a
+spanning forest of its links only, which keeps the components the same.
 
 Exact copies are one fingerprint from the start, so a hot text costs one row. Components are found by randomised
 contraction, and each document gets the smallest id that it can reach.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; a text of fewer words than a
 shingle is one shingle; rows of one id are one document for the component's smallest id, and each row is answered; a
-null id takes part but is never the smallest id unless its component has no other; only id and text are read.
+null id takes part but is never the smallest id unless its component has no other; an empty table gives no rows; only
+id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -26,12 +32,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, join_skewed, slices, staged, tasks_for
+from tessera.llm.common import BROADCAST_ROWS, components, join_skewed, slices, staged, tasks_for
 
-SHINGLE, BITS, SEED, DENSE = 3, 2, 42, 128
-MASKS = [sum(0xFF << 8 * k for k in range(8) if k not in gone) for gone in combinations(range(8), BITS)]
+SHINGLE, BITS, SEED = 3, 2, 42
+#: Positional bytes that a linked pair shares at least; lists whose pairs are not formed one by one; lists that no task holds whole.
+LEAST, DENSE, LONG = 8 - BITS, 128, 50_000
+
+
+def _mask(positions) -> int:
+    return sum(0xFF << 8 * k for k in positions)
+
+
+#: The positions of each list's key (two of four pairs), then of each posting of a long list (two more positions).
+LISTS = [(*p, *q) for p, q in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
+POSTINGS = [[(*key, *two) for two in combinations([k for k in range(8) if k not in key], LEAST - 4)] for key in LISTS]
+MASKS = [_mask(key) for key in LISTS] + [_mask(key) for own in POSTINGS for key in own]
 #: Patterns of at most BITS bits over 16.
-NEAR = np.array(sorted({1 << a | 1 << b for a in range(16) for b in range(16)}), np.uint32)
+NEAR = np.array(sorted({1 << a | 1 << b for a in range(16) for b in range(16)} | {0}), np.uint32)
 ROWS_PER_TASK = 2_000_000
 
 
@@ -74,40 +91,77 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the members of one posting list (sorted, distinct)."""
-    parent = list(range(len(fp)))
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of positional bytes that each two fingerprints share."""
+    return ((a ^ b).view(np.uint8).reshape(-1, 8) == 0).sum(1)
+
+
+class _Forest:
+    """A spanning forest of links among fp (distinct)."""
 
-    def root(i: int) -> int:
+    def __init__(self, fp: np.ndarray) -> None:
+        self.fp, self.parent, self.links = fp, list(range(len(fp))), []
+
+    def root(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
-    if len(fp) <= DENSE:
-        i, j = np.triu_indices(len(fp), 1)
-        linked = np.bitwise_count(fp[i] ^ fp[j]) <= BITS
-        pairs = zip(i[linked].tolist(), j[linked].tolist(), strict=True)
-    else:
-        differ = np.bitwise_or.reduce(fp ^ fp[0])
-        at = [k for k in range(8) if int(differ) >> 8 * k & 0xFF]
-        at = np.array((at + [k for k in range(8) if k not in at])[:BITS], np.uint64) * np.uint64(8)
-        code = sum((fp >> a & np.uint64(0xFF)) << np.uint64(8 * k) for k, a in enumerate(at)).astype(np.uint32)
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            ra, rb = self.root(a), self.root(b)
+            if ra != rb:
+                self.parent[max(ra, rb)] = min(ra, rb)
+                self.links.append((int(self.fp[a]), int(self.fp[b])))
+
+    def counted(self, at: np.ndarray) -> None:
+        """Tally each two of the members at, retain those of the minimum, and verify."""
+        i, j = np.triu_indices(len(at), 1)
+        i, j = at[i], at[j]
+        retained = tally(self.fp[i], self.fp[j]) >= LEAST
+        i, j = i[retained], j[retained]
+        linked = np.bitwise_count(self.fp[i] ^ self.fp[j]) <= BITS
+        self.add(i[linked], j[linked])
+
+    def posting(self, at: np.ndarray, key: tuple[int, ...]) -> None:
+        """Members at that share the positional bytes of key (LEAST of them): verify by the patterns that differ."""
+        if len(at) <= DENSE:
+            self.counted(at)
+            return
+        rest = np.array([8 * k for k in range(8) if k not in key], np.uint64)
+        code = sum((self.fp[at] >> r & np.uint64(0xFF)) << np.uint64(8 * k) for k, r in enumerate(rest)).astype(np.uint32)
         where = np.full(1 << 16, -1)
-        where[code] = np.arange(len(fp))
-        other = where[code[:, None] ^ NEAR[None, :]]
-        i, k = np.nonzero(other >= 0)
-        pairs = zip(i.tolist(), other[i, k].tolist(), strict=True)
-    out = []
-    for a, b in pairs:
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            out.append((int(fp[a]), int(fp[b])))
-    return out
+        where[code] = at
+        for pattern in NEAR[1:]:
+            other = where[code ^ pattern]
+            hit = other > at
+            self.add(at[hit], other[hit])
+
+
+def _groups(key: np.ndarray, fp: np.ndarray) -> list[np.ndarray]:
+    """The positions of the members of each posting of two or more."""
+    order = np.lexsort((fp, key))
+    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    return [x for x in np.split(order, first[1:]) if len(x) > 1]
+
+
+def linked(fp: np.ndarray, number: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the members (distinct) of a list (number below 6) or of a posting of a long list."""
+    forest = _Forest(fp)
+    if number >= len(LISTS):
+        forest.posting(np.arange(len(fp)), [key for own in POSTINGS for key in own][number - len(LISTS)])
+    elif len(fp) <= DENSE:
+        forest.counted(np.arange(len(fp)))
+    else:
+        for key in POSTINGS[number]:
+            for at in _groups(fp & np.uint64(_mask(key)), fp):
+                forest.posting(at, key)
+    return forest.links
 
 
 def _postings(batches):
-    """One task's posting lists: rows (list number, key, fp) in any order."""
+    """One task's lists: rows (list number, fp) in any order."""
     held = [(b.column("list").to_numpy(), b.column("fp").to_numpy().view(np.uint64)) for b in batches if b.num_rows]
     if not held:
         return
@@ -119,21 +173,36 @@ def _postings(batches):
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (number[1:] != number[:-1])])
     size = np.diff(np.r_[first, len(fp)])
     two = first[size == 2]
+    two = two[tally(fp[two], fp[two + 1]) >= LEAST]
     two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= BITS]
     links = set(zip(fp[two].tolist(), fp[two + 1].tolist(), strict=True))
     for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        links.update(_forest(fp[a : a + n]))
+        links.update(linked(fp[a : a + n], int(number[a])))
     a, b = (np.array(x, np.uint64).view(np.int64) for x in (zip(*links, strict=True) if links else ((), ())))
     yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _key(number: str) -> str:
+    """SQL: the positional bytes of fp that list `number` has as its key."""
+    signed = ", ".join(f"{m - (1 << 64) if m >> 63 else m}L" for m in MASKS)
+    return f"fp & array({signed})[{number}]"
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) pairs of distinct fingerprints that span the components of the link graph. fps: column fp, distinct."""
-    tasks = tasks_for(fps.sparkSession, fps.count() * len(MASKS), ROWS_PER_TASK)
-    key = F.expr("element_at(array(" + ", ".join(f"{m - (1 << 64) if m >> 63 else m}L" if m != 1 << 63 else "0L" for m in MASKS) + "), list + 1)")
-    index = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(MASKS) - 1))).alias("list"))
-    dealt = index.repartition(tasks, F.col("list"), F.col("fp").bitwiseAND(key))
-    return dealt.mapInArrow(_postings, "a long, b long")
+    spark = fps.sparkSession
+    tasks = tasks_for(spark, fps.count() * len(LISTS), ROWS_PER_TASK)
+    index = fps.selectExpr("fp", f"explode(sequence(0, {len(LISTS) - 1})) as list").selectExpr("fp", "list", f"{_key('list')} as key")
+    sizes = index.groupBy("list", "key").agg(F.count("*").alias("n")).filter(F.col("n") > LONG)
+    long = staged(sizes.select("list", "key", F.lit(True).alias("long")), "long")
+    if long.isEmpty():
+        dealt = index.select("fp", "list", "key")
+    else:
+        marked = index.join(F.broadcast(long) if long.count() <= BROADCAST_ROWS else long, ["list", "key"], "left")
+        each = len(POSTINGS[0])
+        finer = marked.filter("long").selectExpr("fp", f"explode(sequence({len(LISTS)} + list * {each}, {len(LISTS)} + list * {each} + {each - 1})) as list").selectExpr("fp", "list", f"{_key('list')} as key")
+        dealt = marked.filter("long is null").select("fp", "list", "key").unionByName(finer)
+    return dealt.repartition(tasks, "list", "key").select("list", "fp").mapInArrow(_postings, "a long, b long")
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -205,21 +205,51 @@ def test_near_duplicates_by_row_not_id(spark):
     assert len(kept) == 5 and (1, one) in kept and (None, two) in kept and sum(k == 2 for k, _ in kept) == 2
 
 
+def _parts(members, edges):
+    parent = {int(x): int(x) for x in members}
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    groups = {}
+    for k in parent:
+        groups.setdefault(root(k), set()).add(k)
+    return sorted(sorted(g) for g in groups.values())
+
+
 def test_posting_lists_dense_and_sparse(monkeypatch):
     rng = np.random.default_rng(0)
     fp = np.unique(np.uint64(0x123456789ABCDEF0) ^ (rng.integers(0, 1 << 16, 600).astype(np.uint64) << np.uint64(24)))
-    dense = simhash._forest(fp)
+    list_number = simhash.LISTS.index((0, 1, 6, 7))
+    posting = len(simhash.LISTS) + [key for own in simhash.POSTINGS for key in own].index((0, 1, 6, 7, 2, 5))
+    dense = simhash.linked(fp, list_number)
+    assert _parts(fp, simhash.linked(fp, posting)) == _parts(fp, dense)
     monkeypatch.setattr(simhash, "DENSE", 10**6)
-    def parts(edges):
-        parent = {int(x): int(x) for x in fp}
-        def root(k):
-            while parent[k] != k:
-                k = parent[k]
-            return k
-        for a, b in edges:
-            parent[root(a)] = root(b)
-        return sorted(Counter(root(k) for k in parent).values())
-    assert parts(dense) == parts(simhash._forest(fp))
+    assert _parts(fp, dense) == _parts(fp, simhash.linked(fp, list_number))
+    assert simhash.tally(np.array([0x11223344], np.uint64), np.array([0x11FF3344], np.uint64)).tolist() == [7]
+
+
+@pytest.mark.parametrize(("dense", "long"), [(128, 50_000), (3, 50_000), (3, 2)])
+def test_links_against_all_pairs(spark, monkeypatch, dense, long):
+    rng = random.Random(3)
+    fps = {0, (1 << 64) - 1, 1 << 63, 3 << 62}
+    for _ in range(60):
+        centre = rng.getrandbits(64)
+        fps.update(centre ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 3))}) for _ in range(12))
+    fps.update(5 ^ (k << 24) for k in rng.sample(range(1 << 16), 300))
+    fps = sorted(fps)
+    want = _parts(fps, [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 2])
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "LONG", long)
+    rows = [((k - (1 << 64) if k >> 63 else k),) for k in fps]
+    # the worker processes see DENSE as it is in the module, so the lists are linked here too
+    got = simhash.links(spark.createDataFrame(rows, "fp long")).collect()
+    assert _parts(fps, [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in got]) == want
+    members = np.array(fps, np.uint64)
+    here = [e for n in range(6) for at in simhash._groups(members & np.uint64(simhash.MASKS[n]), members) for e in simhash.linked(members[at], n)]
+    assert _parts(fps, here) == want
 
 
 def test_components_of_a_long_path_and_a_hub(spark):
