@@ -1,20 +1,23 @@
 """HTML extraction by nearest-URL page differencing.
 
-A page becomes lines, one for each block of text. Pages are sorted by host and URL path, and each is paired with the
-neighbour of its host whose path shares more leading segments (the earlier one of equals). The two pages' lines are
-aligned by longest common subsequence, and lines that both have are deleted as the site's frame.
-
-Differencing alone takes too much and too little: two pages of a site may carry one article, and a menu may differ
-from page to page. So a line also has a role from its markup. Lines in menus, footers, side columns, forms, adverts,
-notices and reader comments go whether shared or not; lines of an `article` or `main` element stay even if shared; and
-where a page has such an element, only its lines count. All other lines stay unless they are shared.
-
-Neighbours are found on keys and line hashes alone: rows are dealt by range of (host, path), numbered densely, and
-joined by number, so a host of any size spreads over all tasks.
-
-Defined cases: null or empty html gives an empty text; a page without a partner loses no shared lines; unclosed,
-stray and badly nested tags never fail; a null url is a host of its own and has no partner; repeated rows are each
-answered, and of rows with equal keys each may be the other's neighbour; only id, url and html columns are read.
+A page becomes lines, one for each block of text, menus and footers included. Within each host, pages of different lines
+are sorted by URL path; a page's neighbours are those at most REACH places before or after it, the NEAR ones whose paths
+share most leading segments (then the closest), and each is aligned with the page by longest common subsequence. A
+neighbour that shares COPY of the page's text outside its frame, or of its own, carries the same article and tells
+nothing, so it counts for no line. A line shared with VOTES of the other neighbours (with one, if there is only one) is
+the site's frame and is deleted, wherever it stands.
+
+Markup settles only what differencing leaves open: a line that no neighbour has, such as a menu that differs from page
+to page, has a role from its markup. Lines in menus, footers, side columns, forms, adverts, notices and reader comments
+go; and where a page has an `article` or `main` element, only its lines count.
+
+Neighbours are found on keys and line hashes alone: pages of equal lines on a host are one page, which is dealt by range
+of (host, path), numbered densely, and joined by number, so a host or a group of copies of any size spreads over all
+tasks.
+
+Defined cases: null or empty html gives an empty text; a page without a neighbour loses no shared lines; unclosed,
+stray and badly nested tags never fail; a null url is a host of its own and has no neighbour; repeated rows and repeated
+ids are each answered; a page of any length is read whole; only the id, url and html columns are read.
 """
 
 from __future__ import annotations
@@ -35,25 +38,30 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _DROP = frozenset("nav footer aside form head button select menu dialog".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _OPEN_END = frozenset("p li dt dd tr td th option".split())
-_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|site-?header|topbar|toolbar|comments?|disqus|respond|repl(?:y|ies)|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|widget|tags?|skip-?link|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
+#: Class and id words of parts that are no article: everywhere, and those that count outside an article only.
+_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo|banner|cookies?|consent|popup|modal|overlay|sidebar|navbar|navigation|breadcrumbs?|pagination|comments?|share|sharing|newsletter|subscribe|signup)(?:$|[\s_-])", re.I)
+_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:notices?|alert|side|menu|nav|pager|footer|masthead|site-?header|topbar|toolbar|repl(?:y|ies)|social|related|recommend\w*|login|widget|tags?|skip-?link|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 #: Roles of a line.
-OTHER, MAIN = 0, 1
+OTHER, MAIN, FRAME = 0, 1, 2
+REACH, NEAR, VOTES, COPY = 3, 4, 2, 0.75
 
 
-def _unwanted(attrs: str, tag: str) -> bool:
+def _unwanted(attrs: str, tag: str, inside: bool) -> bool:
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and _HINT.search(value) or name == "role" and value.lower() in _ROLE or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        if name in ("class", "id") and (_HINT.search(value) or not inside and _OUTSIDE.search(value)):
+            return True
+        if name == "role" and value.lower() in _ROLE or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
     return False
 
 
 def lines(page: str | None) -> list[tuple[str, int]]:
-    """(text, role) of each block of the page, without what its markup marks as no main text."""
+    """(text, role) of each block of the page."""
     out: list[tuple[str, int]] = []
     held: list[str] = []
     inside, skip, depth, at = 0, "", 0, 0
@@ -62,12 +70,12 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append((text, MAIN if inside else OTHER))
+                out.append((text, FRAME if skip else MAIN if inside else OTHER))
             held.clear()
 
     page = page or ""
     for m in _TOKEN.finditer(page):
-        if not skip and m.start() > at:
+        if m.start() > at:
             held.append(page[at : m.start()])
         at = m.end()
         tag = m[3]
@@ -75,26 +83,28 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             continue
         tag, closing = tag.lower(), bool(m[2])
         root = tag in ("article", "main")
+        if tag in _BLOCK:
+            flush()
+        elif tag == "br":
+            held.append(" ")
         if skip:
             # an unclosed element ends at the article, and one whose end may be left out ends at the next block
             if root and not closing or skip in _OPEN_END and tag in _BLOCK and (tag != skip or not closing):
+                flush()
                 skip = ""
             else:
                 if tag == skip:
                     depth += -1 if closing else 1
                     if depth <= 0:
+                        flush()
                         skip = ""
                 continue
-        if tag in _BLOCK:
-            flush()
-        elif tag == "br":
-            held.append(" ")
         if root:
             inside = max(0, inside + (-1 if closing else 1))
-        elif not closing and tag not in _VOID and (tag in _DROP or tag == "header" and not inside or _unwanted(m[4], tag)):
+        elif not closing and tag not in _VOID and (tag in _DROP or tag == "header" and not inside or _unwanted(m[4], tag, inside > 0)):
+            flush()
             skip, depth = tag, 1
-    if not skip:
-        held.append(page[at:])
+    held.append(page[at:])
     flush()
     return out
 
@@ -145,16 +155,14 @@ def _read(batches):
     for batch in slices(batches):
         url = batch.column("url").to_pylist()
         key = [_url(u) for u in url]
-        got = []
-        for page in batch.column("html").to_pylist():
-            found = lines(page)
-            if any(role == MAIN for _, role in found):
-                found = [x for x in found if x[1] == MAIN]
-            got.append(found)
+        got = [lines(page) for page in batch.column("html").to_pylist()]
         marks = [b"".join(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest() for t, _ in x) for x in got]
+        # how much each line weighs in telling copies: its length, but nothing in a frame
+        weigh = [np.array([0 if r == FRAME else len(t) for t, r in x], np.uint32).tobytes() for x in got]
+        sig = [hashlib.blake2b(f"{h}\0".encode("utf-8", "replace") + m, digest_size=16).digest() for (h, _), m in zip(key, marks, strict=True)]
         cols = [batch.column("uid"), batch.column("id"), batch.column("url"), pa.array([k[0] for k in key], pa.string()), pa.array([k[1] for k in key], pa.string())]
-        text, main = pa.array([[t for t, _ in x] for x in got], pa.list_(pa.string())), pa.array([any(r == MAIN for _, r in x) for x in got], pa.bool_())
-        yield pa.record_batch([*cols, pa.array(marks, pa.binary()), text, main], ["uid", "id", "url", "host", "path", "marks", "lines", "main"])
+        text, role = pa.array([[t for t, _ in x] for x in got], pa.list_(pa.string())), pa.array([bytes(r for _, r in x) for x in got], pa.binary())
+        yield pa.record_batch([*cols, pa.array(sig, pa.binary()), pa.array(marks, pa.binary()), pa.array(weigh, pa.binary()), text, role], ["uid", "id", "url", "host", "path", "sig", "marks", "weigh", "lines", "role"])
 
 
 def _number(batches):
@@ -167,56 +175,90 @@ def _number(batches):
         n += rows
 
 
-def _align(batches):
-    """Rows (uid, host, path, marks, main) with those of the rows before (p_) and after (n_): the lines to delete."""
+def _common(a: str, b: str) -> int:
+    """Leading path segments that two paths share."""
+    n = 0
+    for x, y in zip(a.split("/"), b.split("/"), strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def frame(page: tuple[list[int], list[int]], neighbours: list[tuple[list[int], list[int]]]) -> list[int]:
+    """Positions of the lines that differencing deletes. Pages: (line hashes, weights), the nearest neighbour first."""
+    marks, weigh = page
+    votes, told = [0] * len(marks), 0
+    for other, other_weigh in neighbours:
+        found = shared(marks, other)
+        same = sum(weigh[k] for k in found)
+        # a copy, or a page that holds this one's article or is held by it
+        if same and same >= COPY * min(sum(weigh), sum(other_weigh)):
+            continue
+        told += 1
+        for k in found:
+            votes[k] += 1
+    return [k for k, n in enumerate(votes) if n and n >= min(VOTES, told)]
 
-    def common(a: str, b: str) -> int:
-        n = 0
-        for x, y in zip(a.split("/"), b.split("/"), strict=False):
-            if x != y:
-                break
-            n += 1
-        return n
 
+def _align(batches):
+    """Rows (sig, host, path, marks, weigh, and around: those of the pages near it): the lines to delete."""
     for batch in slices(batches):
-        uid, gone = [], []
+        sig, gone = [], []
         for r in batch.to_pylist():
-            if r["host"] is None or r["main"] or not r["marks"]:
-                continue
-            near = [(-common(r["path"], r[f"{s}path"]), k, s) for k, s in enumerate(("p_", "n_")) if r[f"{s}host"] == r["host"]]
-            if near:
-                side = min(near)[2]
-                a, b = (np.frombuffer(x or b"", np.uint64).tolist() for x in (r["marks"], r[f"{side}marks"]))
-                if found := shared(a, b):
-                    uid.append(r["uid"])
-                    gone.append(found)
-        yield pa.record_batch([pa.array(uid, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["uid", "gone"])
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows (id, url, lines) for each row of pages: the lines of main text in page order."""
+            near = sorted((x for x in r["around"] if x["host"] == r["host"]), key=lambda x: (-_common(r["path"], x["path"]), abs(x["off"]), x["off"]))[:NEAR]
+            read = lambda x: (np.frombuffer(x["marks"] or b"", np.uint64).tolist(), np.frombuffer(x["weigh"] or b"", np.uint32).tolist())
+            if found := frame(read(r), [read(x) for x in near]):
+                sig.append(r["sig"])
+                gone.append(found)
+        yield pa.record_batch([pa.array(sig, pa.binary()), pa.array(gone, pa.list_(pa.int32()))], ["sig", "gone"])
+
+
+def _numbered(pages: DataFrame) -> DataFrame:
+    """pages (sorted within partitions) with `at`, their place in the whole."""
+    spark = pages.sparkSession
+    kinds = pages.schema.simpleString()[len("struct<") : -1]
+    ranked = staged(pages.mapInArrow(_number, f"{kinds}, part int, no long"), "ranked")
+    start, total = [], 0
+    # one row a task
+    for r in ranked.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        start.append((r["part"], total))
+        total += r["n"]
+    offsets = spark.createDataFrame(start or [(0, 0)], "part int, start long")
+    return ranked.join(F.broadcast(offsets), "part").withColumn("at", F.col("start") + F.col("no")).drop("part", "no", "start")
+
+
+def frames(read: DataFrame) -> DataFrame:
+    """(sig, gone): the lines that differencing deletes from pages of sig. read: sig, host, path, marks, weigh."""
+    spark = read.sparkSession
+    keys = ["sig", "host", "path", "marks", "weigh"]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # copies have equal marks, so only the least path has to be chosen
+    pages = read.filter("host is not null and octet_length(marks) > 0").groupBy("sig").agg(F.min(F.struct("path", "host", "marks", "weigh")).alias("p")).select("sig", "p.*").select(*keys)
+    dealt = _numbered(pages.repartitionByRange(tasks, "host", "path", "sig").sortWithinPartitions("host", "path", "sig"))
+    offsets = [k for k in range(-REACH, REACH + 1) if k]
+    told = F.explode(F.array(*[F.lit(k) for k in offsets])).alias("off")
+    # each page tells itself to those near it, so a place gets its own row and 2 x REACH others at most
+    near = dealt.select("host", "path", "marks", "weigh", "at", told).select((F.col("at") - F.col("off")).alias("at"), F.struct("off", "host", "path", "marks", "weigh").alias("x"))
+    around = near.groupBy("at").agg(F.collect_list("x").alias("around"))
+    return dealt.join(around, "at").drop("at").mapInArrow(_align, "sig binary, gone array<int>")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", differ: bool = True) -> DataFrame:
+    """Rows (id, url, lines) for each row of pages: the lines of main text in page order. Without differ markup alone decides."""
     kind = pages.schema[id_col].dataType.simpleString()
     given = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    read = staged(given.mapInArrow(_read, f"uid long, id {kind}, url string, host string, path string, marks binary, lines array<string>, main boolean"), "pages")
-    keys = ["uid", "host", "path", "marks", "main"]
-    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = read.select(*keys).repartitionByRange(tasks, "host", "path", "uid").sortWithinPartitions("host", "path", "uid")
-    ranked = staged(dealt.mapInArrow(_number, "uid long, host string, path string, marks binary, main boolean, part int, no long"), "ranked")
-    # one row a task
-    first = {r["part"]: r["n"] for r in ranked.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()}
-    start, total = [], 0
-    for part, n in first.items():
-        start.append((part, total))
-        total += n
-    offsets = pages.sparkSession.createDataFrame(start or [(0, 0)], "part int, start long")
-    ranked = ranked.join(F.broadcast(offsets), "part").withColumn("at", F.col("start") + F.col("no")).select("at", *keys)
-    side = lambda s, by: ranked.select((F.col("at") + by).alias("at"), *[F.col(c).alias(s + c) for c in ("host", "path", "marks")])
-    gone = ranked.join(side("p_", 1), "at", "left").join(side("n_", -1), "at", "left").drop("at")
-    gone = staged(gone.mapInArrow(_align, "uid long, gone array<int>"), "gone")
-    few = gone.count() <= BROADCAST_ROWS
-    joined = read.join(F.broadcast(gone) if few else gone, "uid", "left")
-    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
-    return joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), left.alias("lines"))
+    read = staged(given.mapInArrow(_read, f"uid long, id {kind}, url string, host string, path string, sig binary, marks binary, weigh binary, lines array<string>, role binary"), "pages")
+    lines = read.select("sig", "id", "url", "lines", "role")
+    if differ:
+        gone = staged(frames(read.select("sig", "host", "path", "marks", "weigh")), "gone")
+        lines = lines.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "sig", "left")
+    else:
+        lines = lines.withColumn("gone", F.lit(None).cast("array<int>"))
+    # of the lines left, those of the article if the page has one, and else all that markup does not mark as frame
+    left = F.expr(f"""filter(transform(lines, (x, i) -> struct(x as text, conv(hex(substring(role, i + 1, 1)), 16, 10) as role, i)),
+        x -> x.role = if(hex(role) rlike '^(..)*0{MAIN}', '{MAIN}', '{OTHER}') and (gone is null or not array_contains(gone, x.i))).text""")
+    return lines.select(F.col("id").alias(id_col), F.col("url").alias(url_col), left.alias("lines"))
 
 
 def op7(pages: DataFrame) -> DataFrame:

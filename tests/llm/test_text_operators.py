@@ -443,3 +443,52 @@ def test_trees_fit_an_interaction():
 
 def test_entities_are_decoded():
     assert pages.lines("<p>&lt;a&gt; &eacute;&nbsp;&#x41;</p>") == [("<a> é A", pages.OTHER)] and html.unescape("&nbsp;") == "\xa0"
+
+
+def _page(body):
+    return f"<html><head><title>t</title></head><body>{body}</body></html>"
+
+
+def test_differencing_decides_inside_and_outside_articles(spark):
+    """Frames without markup go, frames inside an article go, menus that differ go by markup, an article on two pages stays."""
+    host = "http://h.example"
+    frame = lambda k, body: _page(f"<nav><a>menu {k}</a></nav><article><p>Subscribe to our letter today</p>{body}<p>All rights kept by h</p></article>")
+    own = {k: f"<p>Story {k} has words of its own and goes on</p><p>and a second paragraph number {k}</p>" for k in range(6)}
+    own[3] = own[2]
+    rows = [(k, f"{host}/a/{k}", frame(k, own[k])) for k in range(6)]
+    plain = [(20 + k, f"http://p.example/{k}", _page(f"<div>Site name</div><div>Post {k} is about {k} things of note</div><div>Contact us</div>")) for k in range(4)]
+    copies = [(40 + k, f"http://c.example/{k}", _page("<p>One text on every page of the host</p>")) for k in range(50)]
+    data = spark.createDataFrame(rows + plain + copies, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.op7(data).collect()}
+    for k in range(6):
+        n = 2 if k == 3 else k
+        assert got[k] == f"Story {n} has words of its own and goes on\nand a second paragraph number {n}"
+    assert all(got[20 + k] == f"Post {k} is about {k} things of note" for k in range(4))
+    assert all(got[40 + k] == "One text on every page of the host" for k in range(50))
+    alone = {r["page_id"]: "\n".join(r["lines"]) for r in pages.extract(data, differ=False).collect()}
+    assert alone[0] != got[0] and "Subscribe to our letter today" in alone[0] and alone[20].startswith("Site name")
+
+
+def test_frame_votes_against_brute_force():
+    rng = random.Random(4)
+    def brute(page, others):
+        votes, told = Counter(), 0
+        for o in others:
+            found = pages.shared(page[0], o[0])
+            same = sum(page[1][k] for k in found)
+            if not same or same < pages.COPY * min(sum(page[1]), sum(o[1])):
+                told += 1
+                votes.update(found)
+        return sorted(k for k, n in votes.items() if n >= min(2, told))
+    for _ in range(200):
+        make = lambda: (x := [rng.randrange(6) for _ in range(rng.randint(0, 7))], [10 if v else 0 for v in x])
+        page, others = make(), [make() for _ in range(rng.randint(0, 4))]
+        assert pages.frame(page, others) == brute(page, others)
+
+
+def test_pages_differ_on_the_given_pages(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    with_it = {r[0]: r[1] for r in pages.extract(given).select("page_id", F.array_join("lines", "\n")).collect()}
+    without = {r[0]: r[1] for r in pages.extract(given, differ=False).select("page_id", F.array_join("lines", "\n")).collect()}
+    changed = [k for k in with_it if with_it[k] != without[k]]
+    assert changed and len(changed) < 0.1 * len(with_it)
