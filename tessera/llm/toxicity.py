@@ -5,9 +5,14 @@ log ratio of its smoothed document frequency under the two labels; logistic regr
 features. The fit is on a bounded sample of labelled rows (SAMPLE of each label, by hash order of the id); every row
 is scored.
 
+Texts stay on the executors: they count document frequencies, of which the driver gets the 2 ** BITS sums at most, and
+then send for each sampled row the numbers of its n-grams that tell something. ORDERS were chosen on a split of the
+training rows (fitted on three of the four remainders that may be learnt from, measured on the fourth).
+
 Defined cases: a null or empty text has no n-gram and gets the score of the intercept; with no labelled row, or one
-label only, every score is the smoothed share of label 1; ids may repeat or be null; only the id and text columns
-are read.
+label only, every score is the smoothed share of label 1; of rows that repeat a labelled id the least text is learnt
+from, and each is scored; equal texts get equal scores; a label of a null id is not learnt from; only the id and text
+columns are read.
 """
 
 from __future__ import annotations
@@ -17,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, slices
-from tessera.llm.quality import sample_ids
+from tessera.llm.common import held_out, slices, staged, tasks_for
+from tessera.llm.quality import labelled, sample_ids
 
-ORDERS = (5, 6, 7)
+ORDERS = (6, 7)
 BITS = 20
 #: Labelled rows of each label that a model is fitted on, at most.
 SAMPLE = 3_000
@@ -49,25 +54,21 @@ def grams(texts: list[bytes | None], useful: np.ndarray | None = None) -> tuple[
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def fit(texts: list[bytes], y: np.ndarray, steps: int = 100, ridge: float = 1e-3, alpha: float = 1.0, least: int = 3) -> tuple[np.ndarray, float]:
-    """(weight of each n-gram, intercept) by accelerated gradient descent."""
-    weight, share = np.zeros(1 << BITS), (y.sum() + 0.5) / (len(y) + 1)
+def ratios(pos: np.ndarray, df: np.ndarray, ones: float, rows: float, alpha: float = 1.0, least: int = 3) -> np.ndarray:
+    """Naive Bayes log-count ratio of each n-gram, from its document frequencies under label 1 and in all."""
+    ratio = np.log((pos + alpha) / (ones + 2 * alpha)) - np.log((df - pos + alpha) / (rows - ones + 2 * alpha))
+    # an n-gram that is rare, or whose ratio is within chance, tells nothing and only adds the length of the text
+    ratio[(df < least) | (np.abs(ratio) < 0.7)] = 0
+    return ratio
+
+
+def regression(of: np.ndarray, gram: np.ndarray, y: np.ndarray, ratio: np.ndarray, steps: int = 100, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """(weight of each n-gram, intercept) by accelerated gradient descent on the scaled features. of, gram: (row, n-gram) pairs."""
+    weight, share = np.zeros(len(ratio)), (y.sum() + 0.5) / (len(y) + 1)
     base = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
         return weight.astype(np.float32), base
-    size, chunks = 1 << BITS, range(0, len(texts), 100)
-    pos, df = np.zeros(size), np.zeros(size)
-    for k in chunks:
-        of, gram = grams(texts[k : k + 100])
-        pos += np.bincount(gram, y[of + k], size)
-        df += np.bincount(gram, minlength=size)
-    ratio = np.log((pos + alpha) / (y.sum() + 2 * alpha)) - np.log((df - pos + alpha) / (len(y) - y.sum() + 2 * alpha))
-    # an n-gram that is rare, or whose ratio is within chance, tells nothing and only adds the length of the text
-    ratio[(df < least) | (np.abs(ratio) < 0.7)] = 0
-    kept = [grams(texts[k : k + 100], ratio != 0) for k in chunks]
-    of = np.concatenate([(a + k).astype(np.int32) for k, (a, _) in zip(chunks, kept, strict=True)])
-    names, gram = np.unique(np.concatenate([b.astype(np.int32) for _, b in kept]), return_inverse=True)
-    del kept
+    names, gram = np.unique(gram, return_inverse=True)
     r = ratio[names]
     rows = np.bincount(of, r[gram] ** 2, len(y))
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -84,16 +85,45 @@ def fit(texts: list[bytes], y: np.ndarray, steps: int = 100, ridge: float = 1e-3
     return weight.astype(np.float32), float(b)
 
 
+def _frequencies(batches):
+    """One task's document frequencies: rows (gram, pos, df)."""
+    pos, df = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for batch in slices(batches):
+        of, gram = grams(batch.column("text").to_pylist())
+        label = np.array(batch.column("label").to_pylist(), np.int64)
+        np.add.at(pos, gram, label[of])
+        df += np.bincount(gram, minlength=1 << BITS)
+    at = np.flatnonzero(df)
+    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(pos[at]), pa.array(df[at])], ["gram", "pos", "df"])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> tuple[np.ndarray, float]:
-    some = None
+    spark, some = docs.sparkSession, None
     for value in (0, 1):
         own = sample_ids(labels.filter(F.col(label) == value), label, id_col, rows)
         some = own if some is None else some.unionAll(own)
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(some), "id")
-    # a very long text is whole here too; the sample's bytes are those of 2 x rows documents
-    got = [(r["id"], bytes(r["text"] or b""), int(r["label"])) for r in found.collect()]
-    got.sort(key=lambda r: (r[2], r[0], r[1]))
-    return fit([t for _, t, _ in got], np.array([v for _, _, v in got], float))
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = staged(labelled(docs, some, id_col, text_col).withColumn("label", F.col("label").cast("int")).repartition(tasks_for(spark, 2 * rows, 250), "id"), "labelled")
+    sizes = texts.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    counts = texts.select("text", "label").mapInArrow(_frequencies, "gram int, pos long, df long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("df").alias("df")).toArrow()
+    pos, df = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    at = counts.column("gram").to_numpy()
+    pos[at], df[at] = counts.column("pos").to_numpy(), counts.column("df").to_numpy()
+    ratio = ratios(pos, df, float(sizes[1]), float(sizes[0]))
+    held = spark.sparkContext.broadcast(ratio != 0)
+
+    def rest(batches):
+        for batch in slices(batches):
+            of, gram = grams(batch.column("text").to_pylist(), held.value)
+            own = np.split(gram.astype(np.int32), np.searchsorted(of, np.arange(1, batch.num_rows)))
+            yield pa.record_batch([batch.column("id"), batch.column("label"), pa.array([x.tobytes() for x in own], pa.binary())], ["id", "label", "grams"])
+
+    got = texts.select("id", "label", "text").mapInArrow(rest, f"id {kind}, label int, grams binary").collect()
+    got.sort(key=lambda r: (r["label"], r["id"]))
+    found = [np.frombuffer(bytes(r["grams"]), np.int32) for r in got]
+    of = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])
+    gram = np.concatenate([np.zeros(0, np.int32), *found])
+    return regression(of, gram, np.array([r["label"] for r in got], float), ratio)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

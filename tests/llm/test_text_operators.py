@@ -71,59 +71,138 @@ def test_rule_counts(corpus, spark):
     assert rules.op3(empty(spark)).count() == 0
 
 
-def _mcd(x):
-    """The fit by numpy: the same starts, bins and steps."""
-    d, floor = x.shape[1], np.diag(np.square(rules.FLOOR))
-    def distance(m, c):
-        low = np.linalg.cholesky(c)
-        return (np.linalg.solve(low, (x - m).T) ** 2).sum(0)
-    spread = (np.percentile(x, 75, axis=0, method="inverted_cdf") - np.percentile(x, 25, axis=0, method="inverted_cdf")) / 1.349
-    starts = [(x.mean(0), np.cov(x.T, bias=True) + floor), (np.percentile(x, 50, axis=0, method="inverted_cdf"), np.diag(spread**2) + floor)]
-    q = rules.chi_square(d, rules.COVER)
-    factor = rules.COVER / rules._gamma(d / 2 + 1, q / 2)
-    best = None
-    for m, c in starts:
-        for step in range(rules.STEPS):
-            bins = np.floor(rules.BINS * np.log(np.maximum(distance(m, c), 1e-9)))
-            cut = np.sort(bins)[int(np.ceil(rules.COVER * len(x))) - 1]
-            near = x[bins <= cut]
-            m, c = near.mean(0), np.cov(near.T, bias=True) * (factor if step == rules.STEPS - 1 else 1) + floor
-        if best is None or np.linalg.det(c) < best[2]:
-            best = (m, c, np.linalg.det(c))
-    return distance(*best[:2])
+def _moments_of(x, weight, scale):
+    n = weight.sum()
+    m = (weight[:, None] * x).sum(0) / n
+    return m, scale * ((weight[:, None] * x).T @ x / n - np.outer(m, m))
+
+
+def _mixed(n, own, up):
+    w = rules.SHRINK / (n + rules.SHRINK)
+    gap = own[0] - up[0]
+    return own[0] - w * gap, (1 - w) * own[1] + w * up[1] + w * (1 - w) * np.outer(gap, gap)
+
+
+def _d2(x, fit):
+    return np.einsum("ni,ij,nj->n", x - fit[0], np.linalg.inv(fit[1]), x - fit[0])
+
+
+def _mcd(pools):
+    """{name: (vectors, parent)} with parents first: {name: (centre, scatter)}, the estimate in numpy, step by step."""
+    p = rules.D
+    starts = []
+    for k in (0, 1):
+        own = {}
+        for name, (x, _) in pools.items():
+            q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+            robust = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2)
+            own[name] = robust if k else _moments_of(x, np.ones(len(x)), 1.0)
+            if name == "all":
+                target = robust
+        starts.append(own)
+    def shrunk(own):
+        out = {}
+        for name, (x, up) in pools.items():
+            out[name] = _mixed(len(x), own[name], out[up] if up else target)
+        return out
+    logdet = lambda fits: {k: np.linalg.slogdet(f[1])[1] for k, f in fits.items()}
+    fits = [shrunk(own) for own in starts]
+    for _ in range(rules.STEPS):
+        before = [logdet(f) for f in fits]
+        done = []
+        for f in fits:
+            own = {}
+            for name, (x, _) in pools.items():
+                bins = np.floor(rules.BINS * np.log(np.maximum(_d2(x, f[name]), 1e-9))).astype(int)
+                need, weight = np.ceil(rules.COVER * len(x)), np.zeros(len(x))
+                for b in np.unique(bins):
+                    inside = bins == b
+                    weight[inside] = min(1, max(0, need / inside.sum()))
+                    need -= inside.sum()
+                own[name] = _moments_of(x, weight, rules._consistent(rules.COVER))
+            done.append(shrunk(own))
+        fits = done
+        if max(abs(logdet(f)[k] - b[k]) for f, b in zip(fits, before, strict=True) for k in pools) <= rules.SETTLED:
+            break
+    best = {k: min(fits, key=lambda f: np.linalg.slogdet(f[k][1])[1])[k] for k in pools}
+    own = {k: _moments_of(x, (_d2(x, best[k]) <= rules.chi_square(p, rules.REWEIGHT)).astype(float), rules._consistent(rules.REWEIGHT)) for k, (x, _) in pools.items()}
+    return shrunk(own)
+
+
+def _stats(docs):
+    return rules.with_statistics(docs.select("*", F.col("text").alias("_text"), F.col("lang").alias("_lang_of"), F.col("source").alias("_source_of")))
+
+
+def _ruled(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = _stats(docs)
+    return rules.judged(stats, rules.fit(stats)).orderBy("doc_id").select("doc_id", "lang", "source", *[f"_x{i}" for i in range(rules.D)], "_base_failed", "d2", "kept").toPandas()
+
+
+def _varied(rng, n):
+    w = [x.capitalize() if rng.random() < 0.1 else x for x in rng.choice(VOCAB, n)]
+    return " ".join(x + ("." if rng.random() < 0.12 else "") for x in w)
 
 
 def test_mcd_against_numpy(spark):
+    """Groups of many texts and of few, a null language and a lone source: each estimate equals the numpy version's."""
     rng = np.random.default_rng(1)
-    rows = [(k, " ".join(f"{w}{'&#|' * (k % 50 == 0)}" for w in rng.choice(VOCAB, 80)) + (" ### |||" * int(rng.integers(0, 3)) if k % 9 == 0 else ""), "en", "s") for k in range(300)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    stats = rules.with_statistics(docs, "text", "lang", "source").filter("not _base_failed")
-    got = rules.judged(stats, rules.fit(stats)).orderBy("doc_id").select("_x0", "_x1", "_x2", "_x3", "d2", "kept").toPandas()
-    want = _mcd(got[["_x0", "_x1", "_x2", "_x3"]].to_numpy())
-    assert np.allclose(got["d2"], want, rtol=1e-5)
-    assert (got["kept"] == (want <= rules.chi_square(4, rules.KEEP))).all()
-    assert not got["kept"].all() and got["kept"].mean() > 0.9
-
-
-def test_small_groups_are_judged_by_pooled_fits(spark):
-    """Groups under LEAST texts: by the language (en), by the source (fr, too few), by all texts (null language, lone source)."""
-    rng = np.random.default_rng(2)
-    def text(k):
-        return " ".join(f"{w}{'&#|' * (k % 17 == 0)}" for w in rng.choice(VOCAB, 60))
-    groups = [("en", f"s{k % 8}", k) for k in range(160)] + [("fr", f"s{k % 4}", 200 + k) for k in range(40)] + [(None, "t", 300 + k) for k in range(9)]
-    groups += [("de", f"s{k % 4}", 400 + k) for k in range(240)]
-    docs = spark.createDataFrame([(k, text(k), lang, source) for lang, source, k in groups] + [(999, "two words", "xx", "t")], "doc_id long, text string, lang string, source string")
-    stats = rules.with_statistics(docs, "text", "lang", "source")
-    got = rules.judged(stats, rules.fit(stats)).orderBy("doc_id").select("doc_id", "lang", "source", "_x0", "_x1", "_x2", "_x3", "_base_failed", "d2", "kept").toPandas()
-    assert len(got) == len(groups) + 1 and got["d2"].notna().all()
+    rows = []
+    for lang, source, n in (("en", "a", 120), ("en", "b", 60), ("en", "c", 5), ("fr", "a", 40), (None, "t", 2)):
+        for _ in range(n):
+            k = len(rows)
+            t = _varied(rng, int(rng.integers(30, 120)))
+            rows.append((k, t + (" ### |||" * int(rng.integers(5, 30)) if k % 11 == 0 else ""), lang, source))
+    rows += [(900, rows[0][1], "en", "a"), (999, "two words", "xx", "t")]
+    got = _ruled(spark, rows)
+    assert len(got) == len(rows)
     fine = got[~got["_base_failed"]]
-    x = fine[["_x0", "_x1", "_x2", "_x3"]].to_numpy()
-    pools = {"en": fine["lang"] == "en", None: fine["doc_id"] >= 0} | {s: fine["source"] == s for s in ("s0", "s1", "s2", "s3")}
-    for mask, pool in [(fine["lang"] == "en", "en"), (fine["lang"].isna(), None)] + [((fine["lang"] == "fr") & (fine["source"] == s), s) for s in ("s0", "s1", "s2", "s3")]:
-        inside = pools[pool].to_numpy()
-        want = dict(zip(fine["doc_id"][inside], _mcd(x[inside]), strict=True))
-        assert np.allclose(fine["d2"][mask], [want[k] for k in fine["doc_id"][mask]], rtol=1e-5)
-    assert not fine["kept"].all() and not rules.op3(docs.filter("lang = 'en'")).filter("kept").count() == 160
+    x = lambda part: np.unique(part[[f"_x{i}" for i in range(rules.D)]].to_numpy(), axis=0)
+    lang = fine["lang"].fillna("none")
+    whole = fine.assign(lang=lang).drop_duplicates(["lang", "source", *[f"_x{i}" for i in range(rules.D)]])
+    columns = [f"_x{i}" for i in range(rules.D)]
+    pools = {"all": (whole[columns].to_numpy(), None)}
+    pools |= {("l", a): (whole[whole["lang"] == a][columns].to_numpy(), "all") for a in whole["lang"].unique()}
+    pools |= {(a, b): (g[columns].to_numpy(), ("l", a)) for (a, b), g in whole.groupby(["lang", "source"])}
+    fits = _mcd(pools)
+    for (a, b), g in fine.assign(lang=lang).groupby(["lang", "source"]):
+        assert np.allclose(g["d2"], _d2(g[columns].to_numpy(), fits[a, b]), rtol=1e-5), (a, b)
+    assert (fine["kept"] == (fine["d2"] <= rules.chi_square(rules.D, rules.KEEP))).all()
+    junk = fine["doc_id"] % 11 == 0
+    assert not fine[junk & (fine["doc_id"] < 900)]["kept"].any() and fine[~junk]["kept"].mean() > 0.98
+
+
+def test_outlier_visible_only_jointly(spark):
+    """Word length and variety go together in these texts; a text of long words and little variety is odd in neither alone."""
+    rng = np.random.default_rng(5)
+    def text(long, repeat, n=200):
+        words = ["".join(rng.choice(list("abcdefgh"), 4 + int(5 * long))) for _ in range(n)]
+        return " ".join(words[int(rng.integers(0, max(1, n * (1 - repeat))))] if rng.random() < 0.9 else w for w in words)
+    rows = [(k, text(u := k % 50 / 50, 0.9 * (1 - u) ** 0.5), "en", "s") for k in range(400)]
+    rows += [(1000 + k, text(0.9, 0.85), "en", "s") for k in range(4)]
+    got = _ruled(spark, rows)
+    odd = got["doc_id"] >= 1000
+    for i in range(rules.D):
+        lo, hi = got[~odd][f"_x{i}"].min(), got[~odd][f"_x{i}"].max()
+        assert got[odd][f"_x{i}"].between(lo, hi).all() or i in (1, 2)
+    assert not got[odd]["kept"].any() and got[~odd]["kept"].mean() > 0.97
+
+
+def test_rules_of_copies_constants_and_odd_tables(spark):
+    rng = np.random.default_rng(6)
+    one = _varied(rng, 80)
+    # copies count once: they do not make the rest of their source outliers
+    rows = [(k, one, "en", "s") for k in range(300)] + [(500 + k, _varied(rng, 80), "en", "s") for k in range(60)]
+    got = _ruled(spark, rows)
+    assert got["kept"].mean() > 0.97
+    # only copies: no coordinate has spread, and none departs
+    assert _ruled(spark, [(k, one, None, None) for k in range(20)])["kept"].all()
+    clash = spark.createDataFrame([(k, _varied(rng, 60), "en", "s", k, k, k, "r") for k in range(30)] + [(None, None, None, None, 1, 1, 1, None), (7, "", "en", "s", 1, 1, 1, None)], "doc_id long, text string, lang string, source string, _x0 int, kept int, d2 int, _row string")
+    kept = rules.filtered(clash)
+    assert kept.columns == clash.columns and kept.count() == 30
+    assert rules.op3(empty(spark)).count() == 0 and rules.filtered(empty(spark)).count() == 0
+    long = spark.createDataFrame([(1, " ".join(_varied(rng, 200_000).split()), "en", "s"), (2, _varied(rng, 60), "en", "s")], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"]: r["n_words"] for r in rules.op3(long).collect()} == {1: 200_000, 2: 60}
 
 
 def _fingerprint(t):
@@ -492,3 +571,61 @@ def test_pages_differ_on_the_given_pages(spark):
     without = {r[0]: r[1] for r in pages.extract(given, differ=False).select("page_id", F.array_join("lines", "\n")).collect()}
     changed = [k for k in with_it if with_it[k] != without[k]]
     assert changed and len(changed) < 0.1 * len(with_it)
+
+
+def _unigram(path, rng, fallback, crossing, charsmap, squeeze, suffix=False, user=()):
+    """A unigram model put together by hand (none is trained): pieces with scores, and a public normaliser's map."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = 1, fallback
+    model.trainer_spec.treat_whitespace_as_suffix = suffix
+    norm = model.normalizer_spec
+    norm.add_dummy_prefix, norm.remove_extra_whitespaces, norm.escape_whitespaces = True, squeeze, True
+    norm.precompiled_charsmap = charsmap
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        model.pieces.add(piece=piece, score=0, type=kind)
+    if fallback:
+        for b in range(256):
+            model.pieces.add(piece=f"<0x{b:02X}>", score=0, type=6)
+    made = {"▁", *"abcdeé."} | {"".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 5))) for _ in range(60)}
+    made |= {"▁" + w for w in list(made)[:40] if "▁" not in w}
+    if crossing:
+        made |= {"a▁b", "c▁", "e▁a▁"}
+    for w in sorted(made - {"d", *user}):
+        model.pieces.add(piece=w, score=-round(rng.uniform(1, 12), 4), type=1)
+    for w in user:
+        model.pieces.add(piece=w, score=0, type=4)
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+
+
+@pytest.mark.parametrize(("fallback", "crossing", "rule", "squeeze", "user"), [(True, False, None, False, ()), (False, False, None, True, ()), (True, True, "nmt_nfkc", True, ()), (False, True, "nmt_nfkc_cf", False, ("[x]", "ab")), (True, False, "nfkc", True, ("<s2>",))])
+def test_unigram_pieces_equal_the_library(tmp_path, fallback, crossing, rule, squeeze, user):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    charsmap = b""
+    if rule:
+        held = pb.ModelProto()
+        held.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+        charsmap = held.normalizer_spec.precompiled_charsmap
+        assert charsmap
+    rng, path = random.Random(11), str(tmp_path / "unigram.model")
+    _unigram(path, rng, fallback, crossing, charsmap, squeeze, user=user)
+    lib, fst = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Transducer(path)
+    alphabet = [*"aabbccddeeé", " ", " ", "  ", ".", "ﬁ", "Ａ", "A", "①", "漢", "🙂", "\t", "\n", "　", "é", "[x]", "<s2>", "ab"]
+    cases = ["", " ", "   ", "a", " a ", "漢字", "漢 字"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    for t in cases:
+        assert fst.normal(t) == lib.normalize(t), t
+        ids = fst.encode(t)
+        assert ids.tolist() == lib.encode(t), t
+        assert fst.decode(ids) == lib.decode(ids.tolist()), t
+
+
+def test_pieces_of_an_empty_table_and_of_repeated_rows(spark):
+    path = tokenizer_file("piece_bpe_32k.model")
+    assert pieces.transduce(empty(spark), path).count() == 0
+    rows = [(1, "a b", "z"), (1, "a b", "y"), (None, "", None), (2, None, None)]
+    got = pieces.transduce(spark.createDataFrame(rows, "doc_id long, text string, ids string"), path).collect()
+    assert len(got) == 4 and len({tuple(r["ids"]) for r in got if r["doc_id"] == 1}) == 1
