@@ -143,9 +143,7 @@ class Transducer:
         self.id = {p.piece: k for k, p in enumerate(model.pieces) if p.type in (1, 4)}
         self.rank = {p.piece: -p.score for p in model.pieces if p.type == 1}
         scores = [p.score for p in model.pieces if p.type == 1]
-        # a user-defined piece beats any other path over its characters
-        bonus = max([0.0, *scores])
-        self.score = {p.piece: len(p.piece.encode()) * bonus - 0.1 if p.type == 4 else p.score for p in model.pieces if p.type in (1, 4)}
+        self.score = {p.piece: 0.1 * (len(p.piece.encode()) - 1) if p.type == 4 else p.score for p in model.pieces if p.type in (1, 4)}
         self.missing = min(scores, default=0.0) - 10
         self.byte = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == 6} if spec.byte_fallback else {}
         self.unknown = next(k for k, p in enumerate(model.pieces) if p.type == 2)
