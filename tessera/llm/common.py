@@ -27,31 +27,87 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session sets none."""
+    """The folder of spark.checkpoint.dir; one of our own only where the session sets none and runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Intermediate results that are still there: the folder, and the table's name if it is one.
+_MADE: dict[str, str | None] = {}
+
+
 def _remove(spark: SparkSession, path: str) -> None:
+    name = _MADE.pop(path, None)
     try:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
     except Exception:  # noqa: BLE001  the session has ended; its shared folder goes with it
         pass
 
 
+def _made(spark: SparkSession, path: str, name: str | None = None) -> None:
+    _MADE[path] = name
+    atexit.register(lambda: path in _MADE and _remove(spark, path))
+
+
+def made() -> set[str]:
+    """The intermediate results that are there now."""
+    return set(_MADE)
+
+
+def release(spark: SparkSession, before: set[str], keep: DataFrame | None = None) -> None:
+    """Remove the intermediate results made since `before` was taken; keep is a staged DataFrame whose own rows stay.
+
+    For callers who have written a result and need no DataFrame that was derived before it.
+    """
+    stay = {f.rpartition("/")[0] for f in keep.inputFiles()} if keep is not None else set()
+    for path in made() - before:
+        if not any(x.endswith(path.split(":", 1)[-1]) for x in stay):
+            _remove(spark, path)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lineage ends here, and any executor may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _made(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """df written once as a table in the shared folder, in buckets by key, so that joins by key need not move it."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).option("compression", "uncompressed").saveAsTable(name)
+    _made(spark, path, name)
+    return spark.table(name)
+
+
+def bucket_of(value: int, buckets: int) -> int:
+    """The bucket of a long: Spark's own hash (Murmur3 of both halves, seed 42), modulo the number of buckets."""
+    h, full = 42, 0xFFFFFFFF
+    for half in (value & full, value >> 32 & full):
+        k = half * 0xCC9E2D51 & full
+        k = (k << 15 | k >> 17) * 0x1B873593 & full
+        h ^= k
+        h = (h << 13 | h >> 19) * 5 + 0xE6546B64 & full
+    h ^= 8
+    h = (h ^ h >> 16) * 0x85EBCA6B & full
+    h = (h ^ h >> 13) * 0xC2B2AE35 & full
+    h ^= h >> 16
+    return (h - (1 << 32) if h >> 31 else h) % buckets
+
+
 def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for rows, so that a task holds about per_task of them at most, and the session's number at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task), 1)

@@ -16,13 +16,12 @@ rounds' findings come back to them without moving text again.
 
 Defined cases: null has no words and keeps null; texts of fewer words than a window lose nothing but can not be matched
 either; repeats inside one text count, overlapping ones too; ids may repeat or be null, each row is a text of its own;
-other columns may have any name.
+an empty table gives no rows; a text of any length is one block's at least; other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir, staged, tasks_for
+from tessera.llm.common import bucket_of, bucketed, staged, tasks_for
 
 WINDOW, BLOCK = 35, 2 << 20
 #: Rounds of runs (true) and pairs.
@@ -48,32 +47,43 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def _pack(batches):
-    """Rows (block, rest, sizes, body): texts of about BLOCK bytes together."""
-    from pyspark import TaskContext
+def _pack(buckets: int):
+    """Rows (block, rest, sizes, body): texts of about BLOCK bytes together.
 
-    part, n = TaskContext.get().partitionId(), 0
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    rest, sizes, body, held = [], [], [], 0
+    A block's number is chosen so that the buckets get their blocks in turn: each task starts at a place of its own, spread
+    by the golden ratio, and goes on from there.
+    """
 
-    def block():
-        nonlocal rest, sizes, body, held, n
-        out = pa.record_batch([pa.array([part << 33 | n], pa.int64()), pa.array([rest], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([squeeze(b"".join(body))], pa.binary())], ["block", "rest", "sizes", "body"])
-        rest, sizes, body, held, n = [], [], [], 0, n + 1
-        return out
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, n, kind = TaskContext.get().partitionId(), 0, None
+        begin = int(part * 0.6180339887498949 % 1 * buckets)
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        rest, sizes, body, held = [], [], [], 0
+
+        def block():
+            nonlocal rest, sizes, body, held, n
+            number = (part << 24 | n) << 20
+            while bucket_of(number, buckets) != (begin + n) % buckets:
+                number += 1
+            out = pa.record_batch([pa.array([number], pa.int64()), pa.array([rest], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([squeeze(b"".join(body))], pa.binary())], ["block", "rest", "sizes", "body"])
+            rest, sizes, body, held, n = [], [], [], 0, n + 1
+            return out
 
-    kind = None
-    for batch in batches:
-        kind = batch.schema.field("rest").type
-        for r, text in zip(batch.column("rest").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            rest.append(r)
-            sizes.append(-1 if text is None else len(text))
-            body.append(text or b"")
-            held += len(text or b"")
-            if held >= BLOCK:
-                yield block()
-    if rest:
-        yield block()
+        for batch in batches:
+            kind = batch.schema.field("rest").type
+            for r, text in zip(batch.column("rest").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rest.append(r)
+                sizes.append(-1 if text is None else len(text))
+                body.append(text or b"")
+                held += len(text or b"")
+                if held >= BLOCK:
+                    yield block()
+        if rest:
+            yield block()
+
+    return run
 
 
 def _texts(sizes: list[int], body: bytes) -> list[bytes | None]:
@@ -268,11 +278,9 @@ def removed(docs: DataFrame, window: int = WINDOW, text_col: str = "text", keep_
     others = [c for c in docs.columns if c != text_col]
     given = docs.select((F.struct(*others) if others else F.struct(F.lit(0).alias("_"))).alias("rest"), F.col(text_col).cast("binary").alias("text"))
     rest = given.schema["rest"].dataType.simpleString()
-    packed = given.mapInArrow(_pack, f"block long, rest array<{rest}>, sizes array<bigint>, body binary")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"recompress_{uuid.uuid4().hex}"
-    packed.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
-    blocks = spark.table(name)
+    packed = given.mapInArrow(_pack(buckets), f"block long, rest array<{rest}>, sizes array<bigint>, body binary")
+    blocks = bucketed(packed, "block", buckets, "recompress")
     words = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     tasks = tasks_for(spark, words // 6, ROWS_PER_TASK)
     found = _found(blocks.select("block", "sizes", "body").mapInArrow(_anchors(window), _ROWS), tasks, "anchors")

@@ -629,3 +629,25 @@ def test_pieces_of_an_empty_table_and_of_repeated_rows(spark):
     rows = [(1, "a b", "z"), (1, "a b", "y"), (None, "", None), (2, None, None)]
     got = pieces.transduce(spark.createDataFrame(rows, "doc_id long, text string, ids string"), path).collect()
     assert len(got) == 4 and len({tuple(r["ids"]) for r in got if r["doc_id"] == 1}) == 1
+
+
+def test_buckets_as_spark_has_them(spark):
+    from tessera.llm.common import bucket_of
+
+    values = [0, 1, -1, 42, 1 << 20, (7 << 24 | 3) << 20, (1 << 62) + 12345]
+    got = spark.createDataFrame([(v,) for v in values], "v long").select("v", F.expr("pmod(hash(v), 51)").alias("b")).collect()
+    assert [bucket_of(r["v"] % (1 << 64), 51) for r in got] == [r["b"] for r in got]
+
+
+def test_intermediate_results_are_released(spark):
+    from tessera.llm.common import bucketed, made, release, staged
+
+    before = made()
+    one, two = staged(spark.range(5), "one"), staged(spark.range(3), "two")
+    table = bucketed(spark.range(4), "id", 2, "three")
+    assert len(made() - before) == 3 and table.count() == 4
+    release(spark, before, keep=two)
+    assert len(made() - before) == 1 and two.count() == 3
+    release(spark, before)
+    assert made() == before
+    del one
