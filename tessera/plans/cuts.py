@@ -8,15 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own only where none is set and all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the session's shared folder, so that a loop's plan stays small; our own folder only where none is set."""
+    """df checkpointed in the session's shared folder, so that a loop's plan stays small."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        context.setCheckpointDir(_root(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{root}/{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}"
