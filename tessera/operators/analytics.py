@@ -37,16 +37,40 @@ def dead_nodes(edges: DataFrame, nodes: DataFrame, node_type: str, used_by: tupl
     return nodes.filter(F.col("node_type") == node_type).join(use.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
-def cycles(edges: DataFrame, length: int = 3) -> DataFrame:
-    """Simple cycles of up to length nodes, each once, from its least node: (n, path)."""
-    step = cut(edges.select("src", "dst").filter("src != dst").distinct())
+def on_cycles(step: DataFrame) -> DataFrame:
+    """The edges (src, dst) left when those from a node that nothing enters, or to one that nothing leaves, are taken off again and again.
+
+    Each round halves no more than a tail, so the rounds are as many as the longest tail; all simple cycles stay.
+    """
+    left = cut(step)
+    size = left.count()
+    while size:
+        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left, before = cut(kept.select("src", "dst")), size
+        size = left.count()
+        if size == before:
+            break
+    return left
+
+
+def cycles(edges: DataFrame, length: int | None = 3) -> DataFrame:
+    """Simple cycles of up to length nodes (None: of any length), each once, from its least node: (n, path).
+
+    Paths grow only over edges that can lie on a cycle, only to nodes beyond their first, and end with the last that grows.
+    """
+    step = on_cycles(edges.select("src", "dst").filter("src != dst").distinct())
     path = step.filter("src < dst").select(F.array("src", "dst").alias("path"))
-    found = None
-    for n in range(2, length + 1):
+    found, n = None, 2
+    while length is None or n <= length:
         head, last = F.col("path")[0], F.element_at("path", -1)
         closing = path.join(step, (last == F.col("src")) & (head == F.col("dst"))).select(F.lit(n).alias("n"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
         found = closing if found is None else found.unionAll(closing)
         path = path.join(step, last == F.col("src")).filter((F.col("dst") > head) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+        n += 1
+        if length is None:
+            path = cut(path)
+            if path.isEmpty():
+                break
     return found
 
 
@@ -77,8 +101,15 @@ def shrink_guard(before: DataFrame, after: DataFrame, most: float = 0.3) -> Data
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """(key, change): added, removed or changed rows; unchanged ones are left out. Compared by a hash of all columns."""
-    digest = lambda df, name: df.select(key, F.xxhash64(*sorted(c for c in df.columns if c != key)).alias(name))
+    """(key, change): added, removed or changed rows; unchanged ones are left out.
+
+    Compared by a hash of all columns, each with a mark of its being null, since the hash itself passes nulls over.
+    """
+
+    def digest(df: DataFrame, name: str) -> DataFrame:
+        marked = [c for x in sorted(df.columns) if x != key for c in (F.col(x).isNull(), F.col(x))]
+        return df.select(key, F.xxhash64(*marked).alias(name))
+
     both = digest(before, "_b").join(digest(after, "_a"), key, "full")
     change = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed")
     return both.select(key, change.alias("change")).filter("change is not null")

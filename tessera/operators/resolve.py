@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import jaccard
@@ -15,6 +15,55 @@ def unique_or_refuse(candidates: DataFrame, keys: list[str], target: str = "targ
     return one.withColumn("_r", first).filter("_r = 1").select(*keys, target, rung)
 
 
+def ladder(references: DataFrame, keys: list[str], rungs: list[tuple[str, DataFrame]]) -> DataFrame:
+    """unique_or_refuse without forming candidates: (keys, target, rung) of references whose key has one target in a rung.
+
+    rungs: the reference's column and the declarations (key, target), the first rung first. Each rung's declarations become
+    one row a key before any join, so a key with very many of them costs no more than one with two. keys are unique.
+    """
+    found = None
+    for k, (column, declared) in enumerate(rungs):
+        one = declared.groupBy("key").agg(F.count_distinct("target").alias("_n"), F.min("target").alias("target")).filter("_n = 1").drop("_n")
+        own = references.join(one, references[column] == one["key"]).select(*keys, "target", F.lit(k).alias("rung"))
+        found = own if found is None else found.unionAll(own)
+    return found.groupBy(*keys).agg(F.min_by("target", "rung").alias("target"), F.min("rung").alias("rung"))
+
+
+def narrow_and_fan_out(references: DataFrame, declared: DataFrame, key: str, near: str, strong: int = 3, most: int = 10) -> DataFrame:
+    """narrow and fan_out without forming candidates first: references with the declared of equal key, of equal near value only
+    if there are any, and the edge type by their number; none beyond most.
+
+    Numbers are counted by key and by (key, near) before any join, so a reference meets most declarations at most.
+    """
+    many = declared.groupBy(key).agg(F.count("*").alias("_all"))
+    close = declared.groupBy(key, near).agg(F.count("*").alias("_near"))
+    counted = references.join(many, key).join(close, [key, near], "left").withColumn("_n", F.coalesce("_near", "_all")).filter(F.col("_n") <= most)
+    rest = declared.drop(near).join(many.filter(F.col("_all") <= most).select(key), key, "left_semi")
+    some = declared.join(close.filter(F.col("_near") <= most).select(key, near), [key, near], "left_semi")
+    both = counted.filter("_near is not null").join(some, [key, near]).unionByName(counted.filter("_near is null").join(rest, key))
+    return both.withColumn("edge_type", F.when(F.col("_n") <= strong, "CALLS").otherwise("HEURISTIC_CALLS")).drop("_all", "_near", "_n")
+
+
+def near_misses(names: DataFrame, asked: DataFrame, distance: int = 3) -> DataFrame:
+    """Pairs of names (i, a) and asked (j, b) within an edit distance, by shared deletion variants: (i, a, j, b, distance).
+
+    Two texts within d edits become equal by d deletions at most from each, so pairs meet on an equal variant, and the edit
+    distance decides. A name of n characters has about n ** d / d! variants: meant for identifiers.
+    """
+
+    def variants(text: str) -> Column:
+        held = F.array(F.col(text))
+        for _ in range(distance):
+            shorter = F.flatten(F.transform(held, lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))), lambda k: F.concat(F.substring(v, F.lit(1), k - 1), F.substring(v, k + 1, F.length(v))))))
+            held = F.array_distinct(F.concat(held, shorter))
+        return held
+
+    left = names.select("i", "a", F.explode(variants("a")).alias("_v"))
+    right = asked.select("j", "b", F.explode(variants("b")).alias("_v"))
+    met = left.join(right, "_v").select("i", "a", "j", "b").distinct()
+    return met.withColumn("distance", F.levenshtein("a", "b")).filter(F.col("distance") <= distance)
+
+
 def narrow(candidates: DataFrame, keys: list[str], flag: str) -> DataFrame:
     """Keeps a reference's flagged candidates if it has any, else all."""
     some = F.max(F.col(flag).cast("int")).over(Window.partitionBy(*keys))

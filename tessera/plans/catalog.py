@@ -126,6 +126,15 @@ def g11_cycles(t):
     return analytics.cycles(heavy, 3)
 
 
+@query("""with recursive e as (select distinct s_nationkey as src, s_suppkey % 7 + s_nationkey // 7 * 7 as dst from supplier where s_suppkey % 3 = 0 and s_suppkey % 7 + s_nationkey // 7 * 7 <> s_nationkey),
+p as (select [src, dst] as path from e where src < dst union all select list_append(path, dst) from p join e on p.path[-1] = e.src where e.dst > p.path[1] and not list_contains(path, e.dst))
+select len(path)::int as n, array_to_string(path, '>') as path from p join e on p.path[-1] = e.src and p.path[1] = e.dst""")
+def g11_cycles_any_length(t):
+    ring = F.expr("s_suppkey % 7 + s_nationkey div 7 * 7")
+    edges = t.supplier.filter("s_suppkey % 3 = 0").select(F.col("s_nationkey").cast("long").alias("src"), ring.cast("long").alias("dst"))
+    return analytics.cycles(edges, None)
+
+
 def _ppr_sql(rounds: int = 8) -> str:
     ctes = [SQL_TRADE, """b as (select src, dst, sum(weight)::double as w from (select src, dst, weight from trade where src <> dst union all select dst, src, weight from trade where src <> dst) group by all),
 p as (select src, dst, w / sum(w) over (partition by src) as p from b), ids as (select distinct src as id from b),
@@ -150,6 +159,17 @@ def g17_graph_diff(t):
     return analytics.snapshot_diff(old, new, "o_orderkey")
 
 
+@query("""with b as (select o_orderkey, case when o_orderkey % 7 in (1, 2) then null else o_orderstatus end as x, case when o_orderkey % 7 in (1, 3) then null else o_orderstatus end as y from orders where o_orderkey % 10 <> 3),
+a as (select o_orderkey, case when o_orderkey % 7 in (1, 3) then null else o_orderstatus end as x, case when o_orderkey % 7 in (1, 2, 4) then null else o_orderstatus end as y from orders where o_orderkey % 10 <> 4)
+select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, case when b.o_orderkey is null then 'added' when a.o_orderkey is null then 'removed' else 'changed' end as change
+from b full join a on a.o_orderkey = b.o_orderkey where b.o_orderkey is null or a.o_orderkey is null or a.x is distinct from b.x or a.y is distinct from b.y""")
+def g17_graph_diff_nulls(t):
+    kept = lambda name, *gone: F.when(~(F.col("o_orderkey") % 7).isin(*gone), F.col("o_orderstatus")).alias(name)
+    old = t.orders.filter("o_orderkey % 10 <> 3").select("o_orderkey", kept("x", 1, 2), kept("y", 1, 3))
+    new = t.orders.filter("o_orderkey % 10 <> 4").select("o_orderkey", kept("x", 1, 3), kept("y", 1, 2, 4))
+    return analytics.snapshot_diff(old, new, "o_orderkey")
+
+
 @query("with n as (select (select count(*) from orders where o_orderdate < timestamp '1997-01-01') as before, (select count(*) from orders where o_orderdate < timestamp '1996-01-01') as after) select before, after, round(1 - after / before, 6) as loss, case when 1 - after / before > 0.3 then 'DEGRADED' else 'ACTIVE' end as verdict from n")
 def g20_shrink_guard(t):
     return analytics.shrink_guard(t.orders.filter("o_orderdate < timestamp_ntz '1997-01-01'"), t.orders.filter("o_orderdate < timestamp_ntz '1996-01-01'"))
@@ -360,8 +380,8 @@ def c21_jaccard(t):
 
 @query("select levenshtein(a.n_name, b.n_name)::int as distance, a.n_name as a, b.n_name as b from nation a join nation b on a.n_nationkey < b.n_nationkey where levenshtein(a.n_name, b.n_name) <= 3")
 def c32_near_misses(t):
-    a, b = t.nation.select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("a")), t.nation.select(F.col("n_nationkey").alias("j"), F.col("n_name").alias("b"))
-    return a.join(F.broadcast(b), F.col("i") < F.col("j")).withColumn("distance", F.levenshtein("a", "b")).filter("distance <= 3").select("distance", "a", "b")
+    names = t.nation.select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("a"))
+    return resolve.near_misses(names, names.toDF("j", "b")).filter("i < j").select("distance", "a", "b")
 
 
 @query("select event_id, json_extract_string(props, '$.page') as page, json_type(props) as kind from events where event_id % 7 = 0")
@@ -380,16 +400,18 @@ def c5_json_all(t):
 u as (select o_orderkey, rung, count(distinct target) as n, min(target) as target from c group by all having count(distinct target) = 1)
 select o_orderkey, target, rung::int as rung from u qualify row_number() over (partition by o_orderkey order by rung) = 1""")
 def e1_unique_or_refuse(t):
-    a = t.orders.join(t.part, F.col("p_size") == F.col("o_orderkey") % 97).select("o_orderkey", F.lit(0).alias("rung"), F.col("p_brand").alias("target"))
-    b = t.orders.join(t.supplier.filter("s_suppkey % 5 = 0"), F.col("s_nationkey") == F.col("o_custkey") % 31).select("o_orderkey", F.lit(1).alias("rung"), F.col("s_name").alias("target"))
-    return resolve.unique_or_refuse(a.unionAll(b), ["o_orderkey"])
+    references = t.orders.select("o_orderkey", (F.col("o_orderkey") % 97).alias("size"), (F.col("o_custkey") % 31).alias("nation"))
+    by_size = t.part.select(F.col("p_size").cast("long").alias("key"), F.col("p_brand").alias("target"))
+    by_nation = t.supplier.filter("s_suppkey % 5 = 0").select(F.col("s_nationkey").cast("long").alias("key"), F.col("s_name").alias("target"))
+    return resolve.ladder(references, ["o_orderkey"], [("size", by_size), ("nation", by_nation)])
 
 
 @query("""with c as (select c_custkey, s_suppkey, c_nationkey = s_nationkey as near from customer join supplier on c_custkey % 10 = s_suppkey % 10), n as (select *, max(near) over (partition by c_custkey) as any_near from c),
 k as (select c_custkey, s_suppkey from n where near or not any_near), f as (select *, count(*) over (partition by c_custkey) as n from k) select c_custkey, s_suppkey, case when n <= 3 then 'CALLS' else 'HEURISTIC_CALLS' end as edge_type from f where n <= 10""")
 def e2_narrow_and_fan_out(t):
-    c = t.customer.join(t.supplier, F.col("c_custkey") % 10 == F.col("s_suppkey") % 10).select("c_custkey", "s_suppkey", (F.col("c_nationkey") == F.col("s_nationkey")).alias("near"))
-    return resolve.fan_out(resolve.narrow(c, ["c_custkey"], "near").drop("near"), ["c_custkey"])
+    references = t.customer.select("c_custkey", (F.col("c_custkey") % 10).alias("key"), F.col("c_nationkey").alias("nation"))
+    declared = t.supplier.select("s_suppkey", (F.col("s_suppkey") % 10).alias("key"), F.col("s_nationkey").alias("nation"))
+    return resolve.narrow_and_fan_out(references, declared, "key", "nation").select("c_custkey", "s_suppkey", "edge_type")
 
 
 @query("""with x as (select distinct p_type, unnest(range(1, len(string_split(p_type, ' ')) + 1)) as k from part), c as (select p_type, k, array_to_string(string_split(p_type, ' ')[1:k], ' ') as p from x),

@@ -138,7 +138,7 @@ def t13_expand(t):
 o as (select * from x where rank <= 100), b as (select *, 0 as tier from o union all select *, 1 from p where (q, id) not in (select q, id from o)) select q, id, row_number() over (partition by q order by tier, rank, id)::int as place from b qualify place <= 40""")
 def t18_identity_first(t):
     rows = t.orders.select((F.col("o_custkey") % 9).alias("q"), F.col("o_orderkey").alias("id"), "o_totalprice")
-    pool = rank.top_per(rows, ["q"], [F.desc("o_totalprice"), F.col("id")], 2**31 - 1).select("q", "id", "rank")
+    pool = rank.top_per(rows, ["q"], [F.desc("o_totalprice"), F.col("id")], 40 + 100).select("q", "id", "rank")
     return retrieval.identity_first(rows.filter("id % 50 = 0").select("q", "id"), pool).filter("place <= 40")
 
 
