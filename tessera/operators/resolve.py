@@ -64,6 +64,15 @@ def near_misses(names: DataFrame, asked: DataFrame, distance: int = 3) -> DataFr
     return met.withColumn("distance", F.levenshtein("a", "b")).filter(F.col("distance") <= distance)
 
 
+def contained_name(left: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """Rows of left and names where the name occurs in the text: each text is cut at every place into the lengths that names
+    have, and the cuts meet the names by equality, so no text meets a name that it does not hold."""
+    lengths = F.broadcast(names.agg(F.collect_set(F.length(name)).alias("_lengths")))
+    places = F.flatten(F.transform("_lengths", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda k: F.substring(F.col(text), k, n))))
+    cuts = left.crossJoin(lengths).withColumn("_cut", F.explode(F.array_distinct(places))).drop("_lengths")
+    return cuts.join(names.filter(F.length(name) > 0), F.col("_cut") == F.col(name)).drop("_cut")
+
+
 def narrow(candidates: DataFrame, keys: list[str], flag: str) -> DataFrame:
     """Keeps a reference's flagged candidates if it has any, else all."""
     some = F.max(F.col(flag).cast("int")).over(Window.partitionBy(*keys))
