@@ -45,7 +45,7 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 #: Roles of a line.
 OTHER, MAIN, FRAME = 0, 1, 2
-REACH, NEAR, VOTES, COPY = 3, 4, 2, 0.75
+REACH, NEAR, VOTES, COPY, BLOCK = 3, 4, 2, 0.75, 64
 
 
 def _unwanted(attrs: str, tag: str, inside: bool) -> bool:
@@ -202,16 +202,33 @@ def frame(page: tuple[list[int], list[int]], neighbours: list[tuple[list[int], l
 
 
 def _align(batches):
-    """Rows (sig, host, path, marks, weigh, and around: those of the pages near it): the lines to delete."""
-    for batch in slices(batches):
+    """Rows (block, own, at, sig, host, path, marks, weigh) sorted by block and place: the lines to delete from a block's own pages.
+
+    A block has BLOCK pages of its own and those near them, so only so many are held.
+    """
+    held: list[dict] = []
+
+    def done() -> pa.RecordBatch:
         sig, gone = [], []
-        for r in batch.to_pylist():
-            near = sorted((x for x in r["around"] if x["host"] == r["host"]), key=lambda x: (-_common(r["path"], x["path"]), abs(x["off"]), x["off"]))[:NEAR]
-            read = lambda x: (np.frombuffer(x["marks"] or b"", np.uint64).tolist(), np.frombuffer(x["weigh"] or b"", np.uint32).tolist())
-            if found := frame(read(r), [read(x) for x in near]):
+        read = {r["at"]: (np.frombuffer(r["marks"] or b"", np.uint64).tolist(), np.frombuffer(r["weigh"] or b"", np.uint32).tolist()) for r in held}
+        for r in held:
+            if not r["own"]:
+                continue
+            around = [x for x in held if 0 < abs(x["at"] - r["at"]) <= REACH and x["host"] == r["host"]]
+            near = sorted(around, key=lambda x, r=r: (-_common(r["path"], x["path"]), abs(x["at"] - r["at"]), x["at"]))[:NEAR]
+            if found := frame(read[r["at"]], [read[x["at"]] for x in near]):
                 sig.append(r["sig"])
                 gone.append(found)
-        yield pa.record_batch([pa.array(sig, pa.binary()), pa.array(gone, pa.list_(pa.int32()))], ["sig", "gone"])
+        held.clear()
+        return pa.record_batch([pa.array(sig, pa.binary()), pa.array(gone, pa.list_(pa.int32()))], ["sig", "gone"])
+
+    for batch in slices(batches):
+        for r in batch.to_pylist():
+            if held and held[-1]["block"] != r["block"]:
+                yield done()
+            held.append(r)
+    if held:
+        yield done()
 
 
 def _numbered(pages: DataFrame) -> DataFrame:
@@ -236,12 +253,11 @@ def frames(read: DataFrame) -> DataFrame:
     # copies have equal marks, so only the least path has to be chosen
     pages = read.filter("host is not null and octet_length(marks) > 0").groupBy("sig").agg(F.min(F.struct("path", "host", "marks", "weigh")).alias("p")).select("sig", "p.*").select(*keys)
     dealt = _numbered(pages.repartitionByRange(tasks, "host", "path", "sig").sortWithinPartitions("host", "path", "sig"))
-    offsets = [k for k in range(-REACH, REACH + 1) if k]
-    told = F.explode(F.array(*[F.lit(k) for k in offsets])).alias("off")
-    # each page tells itself to those near it, so a place gets its own row and 2 x REACH others at most
-    near = dealt.select("host", "path", "marks", "weigh", "at", told).select((F.col("at") - F.col("off")).alias("at"), F.struct("off", "host", "path", "marks", "weigh").alias("x"))
-    around = near.groupBy("at").agg(F.collect_list("x").alias("around"))
-    return dealt.join(around, "at").drop("at").mapInArrow(_align, "sig binary, gone array<int>")
+    # a page goes to the block of its place, and near a border to the block next to it too
+    own, place = F.floor(F.col("at") / BLOCK), F.col("at") % BLOCK
+    sides = F.array_compact(F.array(own, F.when(place < REACH, own - 1), F.when(place >= BLOCK - REACH, own + 1)))
+    blocks = dealt.withColumn("block", F.explode(sides)).withColumn("own", F.col("block") == own)
+    return blocks.repartition(tasks, "block").sortWithinPartitions("block", "at").mapInArrow(_align, "sig binary, gone array<int>")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", differ: bool = True) -> DataFrame:
