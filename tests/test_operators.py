@@ -74,6 +74,7 @@ def test_similar_sets_equal_brute_force(spark):
 
 
 def test_json_kinds(spark):
+    from tessera.plans import catalog  # noqa: F401 - it registers the query
     from tessera.plans.registry import QUERIES
 
     want = [('{"a": 1}', "OBJECT"), (" [1, 2]", "ARRAY"), ('"x"', "VARCHAR"), ("true", "BOOLEAN"), ("null", "NULL"), ("12", "UBIGINT"), ("-3", "BIGINT"), ("1.5", "DOUBLE"), ("{a", None), ("", None), (None, None)]
