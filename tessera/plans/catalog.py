@@ -233,7 +233,7 @@ def p5_decay(t):
 
 # -- retrieval -----------------------------------------------------------------------------------------------------
 
-_QUERIES = "q as (select item_id as q, text from benchmark where item_id < 10)"
+_QUERIES = "q as (select item_id as q, text from benchmark)"
 _TERMS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))"
 _BM25 = f"""{_QUERIES}, w as (select distinct q, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) as term from q),
 d as (select doc_id as id, regexp_extract_all(lower(text), '[a-z0-9]{{2,}}') as terms from documents), l as (select id, len(terms) as len from d),
@@ -243,7 +243,7 @@ lex as (select q, tf.id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5))
 
 
 def _bench(t: Tables) -> DataFrame:
-    return t.benchmark.filter("item_id < 10").select(F.col("item_id").alias("q"), "text")
+    return t.benchmark.select(F.col("item_id").alias("q"), "text")
 
 
 @query(f"with {_BM25} select *, row_number() over (partition by q order by score desc, id)::int as rank from lex qualify rank <= 16")
@@ -251,18 +251,6 @@ def t2_lexical_bm25(t):
     return retrieval.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), _bench(t))
 
 
-_BM25_ALL = _BM25.replace(_QUERIES, "q as (select item_id as q, text from benchmark)")
-
-
-def _bench_all(t: Tables) -> DataFrame:
-    return t.benchmark.select(F.col("item_id").alias("q"), "text")
-
-
-@query(f"with {_BM25_ALL} select *, row_number() over (partition by q order by score desc, id)::int as rank from lex qualify rank <= 16")
-def t2_lexical_bm25_all(t):
-    return retrieval.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), _bench_all(t))
-
-
 _NEEDLES = "n(q, needle) as (values (1, 'ivory'), (1, 'blue'), (2, 'st'), (3, 'Customer#000000012'), (3, '00012'))"
 
 
@@ -315,7 +303,7 @@ fu as (select q, id, round(sum(p) / 1.5, 9) as fused from (select q, id, 1.0::do
 def _fused(t: Tables, bench: DataFrame) -> DataFrame:
     lexical = retrieval.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), bench)
     docs = t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 3).alias("p"), F.length("text").cast("double").alias("score"))
-    prefix = docs.join(F.broadcast(bench.select("q", F.substring("text", 1, 3).alias("p"))), "p").select("q", "id", "score")
+    prefix = docs.join(bench.select("q", F.substring("text", 1, 3).alias("p")), "p").select("q", "id", "score")
     return rank.fuse({"lexical": (lexical, 1.0), "prefix": (prefix, 0.5)})
 
 
@@ -324,11 +312,6 @@ def t7_rank_fusion(t):
     return _fused(t, _bench(t))
 
 
-@query(f"with {_FUSED.replace(_BM25, _BM25_ALL)} select * from fu")
-def t7_rank_fusion_all(t):
-    return _fused(t, _bench_all(t))
-
-
 def _judged(fused: DataFrame) -> DataFrame:
     ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("fused"), "id")))
     return ranked.withColumn("reason", F.when(F.col("fused") < 0.3 / 60, "below_threshold").when(F.col("rank") > 8, "truncated_top_k").otherwise("selected"))
@@ -339,11 +322,6 @@ def t9_t10_seeds_and_rejects(t):
     return _judged(_fused(t, _bench(t)))
 
 
-@query(f"with {_FUSED.replace(_BM25, _BM25_ALL)}, k as (select *, row_number() over (partition by q order by fused desc, id)::int as rank from fu) select q, id, fused, rank, case when fused < 0.3 / 60 then 'below_threshold' when rank > 8 then 'truncated_top_k' else 'selected' end as reason from k")
-def t9_t10_seeds_and_rejects_all(t):
-    return _judged(_fused(t, _bench_all(t)))
-
-
 @query("""with l as (select doc_id, string_split(text, chr(10)) as l from documents), c as (select doc_id, l, unnest(range(0, least(399, ceil(greatest(len(l) - 60, 0) / 45))::int + 1))::int as chunk from l)
 select doc_id, chunk, chunk * 45 + 1 as start_line, least(chunk * 45 + 60, len(l))::int as end_line, array_to_string(l[chunk * 45 + 1:chunk * 45 + 60], chr(10)) as text from c""")
 def t21_chunks(t):
@@ -384,25 +362,20 @@ def c32_near_misses(t):
     return resolve.near_misses(names, names.toDF("j", "b")).filter("i < j").select("distance", "a", "b")
 
 
-@query("select event_id, json_extract_string(props, '$.page') as page, json_type(props) as kind from events where event_id % 7 = 0")
-def c5_json(t):
-    return t.events.filter("event_id % 7 = 0").select("event_id", F.get_json_object("props", "$.page").alias("page"), X.json_kind(F.col("props")).alias("kind"))
-
-
 @query("select event_id, json_extract_string(props, '$.page') as page, json_type(props) as kind from events")
-def c5_json_all(t):
+def c5_json(t):
     return t.events.select("event_id", F.get_json_object("props", "$.page").alias("page"), X.json_kind(F.col("props")).alias("kind"))
 
 
 # -- resolution ----------------------------------------------------------------------------------------------------
 
-@query("""with c as (select o_orderkey, 0 as rung, p_brand as target from orders join part on p_size = o_orderkey % 97 union all select o_orderkey, 1, s_name from orders join supplier on s_nationkey = o_custkey % 31 and s_suppkey % 5 = 0),
+@query("""with c as (select o_orderkey, 0 as rung, p_brand as target from orders join part on p_size = o_orderkey % 97 union all select o_orderkey, 1, s_name from orders join supplier on s_nationkey = o_custkey % 31),
 u as (select o_orderkey, rung, count(distinct target) as n, min(target) as target from c group by all having count(distinct target) = 1)
 select o_orderkey, target, rung::int as rung from u qualify row_number() over (partition by o_orderkey order by rung) = 1""")
 def e1_unique_or_refuse(t):
     references = t.orders.select("o_orderkey", (F.col("o_orderkey") % 97).alias("size"), (F.col("o_custkey") % 31).alias("nation"))
     by_size = t.part.select(F.col("p_size").cast("long").alias("key"), F.col("p_brand").alias("target"))
-    by_nation = t.supplier.filter("s_suppkey % 5 = 0").select(F.col("s_nationkey").cast("long").alias("key"), F.col("s_name").alias("target"))
+    by_nation = t.supplier.select(F.col("s_nationkey").cast("long").alias("key"), F.col("s_name").alias("target"))
     return resolve.ladder(references, ["o_orderkey"], [("size", by_size), ("nation", by_nation)])
 
 
@@ -580,13 +553,8 @@ def _brands(t: Tables, suppliers: DataFrame) -> DataFrame:
     return out.filter("parts > 1")
 
 
-@query("select s_suppkey, string_agg(distinct left(p_brand, 7), ',' order by left(p_brand, 7)) as brands, count(distinct l_partkey) as parts from supplier left join lineitem on s_suppkey = l_suppkey left join part on p_partkey = l_partkey where s_suppkey % 5 = 0 group by s_suppkey having count(distinct l_partkey) > 1")
-def a5_group_concat(t):
-    return _brands(t, t.supplier.filter("s_suppkey % 5 = 0"))
-
-
 @query("select s_suppkey, string_agg(distinct left(p_brand, 7), ',' order by left(p_brand, 7)) as brands, count(distinct l_partkey) as parts from supplier left join lineitem on s_suppkey = l_suppkey left join part on p_partkey = l_partkey group by s_suppkey having count(distinct l_partkey) > 1")
-def a5_group_concat_all(t):
+def a5_group_concat(t):
     return _brands(t, t.supplier)
 
 

@@ -49,11 +49,11 @@ def e6_overrides(t):
     return _overrides(t)
 
 
-@query(f"""with recursive {_OVERRIDES}, u as (select src as a, dst as b from ov union all select dst, src from ov), s as (select p_partkey as id from part where p_partkey % 50 = 0),
+@query(f"""with recursive {_OVERRIDES}, u as (select src as a, dst as b from ov union all select dst, src from ov), s as (select p_partkey as id from part where p_partkey % 20 = 0),
 w as (select id, 0 as depth from s union select b, depth + 1 from w join u on id = a where depth < 8) select id, min(depth)::int as depth from w group by id""")
 def g4_override_closure(t):
     edges = _overrides(t).withColumn("edge_type", F.lit("OVERRIDES"))
-    return traverse.override_closure(edges, t.part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id")))
+    return traverse.override_closure(edges, t.part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id")))
 
 
 @query("""with ty as (select p_partkey as type, p_brand || p_type as name, p_size % 3 as folder from part where p_partkey % 7 = 0), me as (select p_partkey as method, p_brand || p_type as name, p_size % 3 as folder from part where p_partkey % 7 <> 0),
