@@ -137,6 +137,14 @@ def replace_first(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, f"(?s)^(.*?)(?:{pattern})", f"$1{by}")
 
 
+def greatest_or_null(*columns: Column) -> Column:
+    """The greatest value; null if any is null."""
+    known = columns[0].isNotNull()
+    for c in columns[1:]:
+        known = known & c.isNotNull()
+    return F.when(known, F.greatest(*columns))
+
+
 def module_stem(path: Column) -> Column:
     """Lower-case file name without folders and the last extension."""
     return F.lower(F.regexp_replace(F.regexp_extract(path, "[^/]*$", 0), r"\.[^.]*$", ""))
@@ -152,9 +160,15 @@ def allowed(df: DataFrame, column: str, allow: tuple[str, ...] | None = None, de
     return out if deny is None else out.filter(~F.col(column).isin(*deny))
 
 
+#: Types of a conventional commit that say that it mends something.
+FIX_TYPES = ("fix", "bugfix", "hotfix")
+
+
 def commit_kind(message: Column) -> Column:
     """What a commit message says it does: revert, fix (conventional), issue (closes a number), keyword, other; the first that holds."""
     m = F.lower(message)
-    conventional = m.rlike(r"^(fix|bugfix|hotfix)(\([^)]*\))?!?:")
+    # the head of a conventional commit: a type, then perhaps a scope in brackets, then perhaps a mark of a break
+    head = F.regexp_replace(F.substring_index(m, ":", 1), "!$", "")
+    conventional = m.contains(":") & F.regexp_replace(head, r"\([^()]*\)$", "").isin(*FIX_TYPES)
     issue = m.rlike(r"\b(close|fix|resolve)[sd]?(es|ed)? #[0-9]+")
     return F.when(m.rlike("^revert"), "revert").when(conventional, "fix").when(issue, "issue").when(m.rlike(r"\b(bug|crash|error)\b"), "keyword").otherwise("other")

@@ -102,3 +102,59 @@ def j13_name_contained(t):
     names = t.supplier.select("s_suppkey", plain(F.col("s_name")).alias("name"), "s_nationkey")
     met = contained_name(targets, "target", names, "name").filter("s_nationkey <> c_nationkey")
     return met.groupBy("c_custkey").agg(F.min("s_suppkey").alias("s_suppkey"))
+
+
+#: Globs, and what each says of a path's segments s.
+GLOBS = {
+    "folder": ("tests/", "list_contains(s, 'tests')"),
+    "python": ("*.py", "len(list_filter(s, lambda x: ends_with(x, '.py'))) > 0"),
+    "nested": ("**/__tests__", "list_contains(s[2:], '__tests__')"),
+    "rooted": ("/src/*.spec.ts", "s[1] = 'src' and ends_with(coalesce(s[2], ''), '.spec.ts')"),
+    "letters": ("x??.py", "len(list_filter(s, lambda x: length(x) = 6 and starts_with(x, 'x') and ends_with(x, '.py'))) > 0"),
+    "across": ("/lib/**.go", "s[1] = 'lib' and ends_with(s[-1], '.go')"),
+}
+
+
+@query(f"""with x as (select p_partkey, string_split({PATHS}, '/') as s from part)
+select p_partkey, {", ".join(f"{sql} as {name}" for name, (_, sql) in GLOBS.items())} from x""")
+def s2_globs(t):
+    path = t.part.select("p_partkey", F.expr(PATHS).alias("p"))
+    return path.select("p_partkey", *[F.col("p").rlike(C.glob_pattern(glob)).alias(name) for name, (glob, _) in GLOBS.items()])
+
+
+#: Outputs of failed commands (n: a part's name), and the class, family and message of each.
+OUTPUTS = [
+    (r"concat('Error: Exit code 1\n> npm test\nfoo.test.js\nAssertionError: expected ', n)", "code", "assertion", "'AssertionError: expected ' || n"),
+    (r"concat('Exit code 127\nbash: ', n, ': command not found')", "environment", "command_not_found", "'bash: ' || n || ': command not found'"),
+    (r"concat('running\nFAIL ', n, '\n./pkg/a.go:12:3: undefined: x')", "code", "compile", "'pkg/a.go undefined: x'"),
+    (r"concat('SqliteError: no such column: ', n)", "code", "sql", "'no such column: ' || n"),
+    (r"concat('Cannot find module ', n, '\nENOMEM')", "environment", "oom", "'ENOMEM'"),
+    (r"concat('Cannot find module ', n, '\n1 failed')", "code", "module_not_found", "'Cannot find module ' || string_split(n, ' ')[1]"),
+    (r"'Exit code 2'", "environment", "empty", "''"),
+    (r"concat('all is well with ', n)", "environment", "unrecognised", "''"),
+    (r"concat('  java.lang.IllegalStateException: ', n, '\n at x')", "code", "exception", "'IllegalStateException: ' || n"),
+    (r"concat('panic: ', n)", "code", "panic", "'panic: ' || n"),
+    (r"concat('cat: ', n, ': No such file or directory')", "environment", "missing_path", "'cat: ' || n || ': No such file or directory'"),
+    (r"concat(n, '\n7 tests failed')", "code", "test_failure", "'7 tests failed'"),
+]
+
+
+def _by_part(expressions: list[str]) -> str:
+    whens = " ".join(f"when {k} then {x}" for k, x in enumerate(expressions))
+    return f"case p_partkey % {len(expressions)} {whens} end"
+
+
+@query(f"""with x as (select p_partkey, p_name as n from part)
+select p_partkey, {_by_part([f"'{x[1]}'" for x in OUTPUTS])} as class, {_by_part([f"'{x[2]}'" for x in OUTPUTS])} as family,
+{_by_part([x[3] for x in OUTPUTS])} as message from x""")
+def c24_failures(t):
+    said = t.part.withColumn("n", F.col("p_name")).select("p_partkey", F.expr(_by_part([x[0] for x in OUTPUTS])).alias("text"))
+    return said.select("p_partkey", C.failure(F.col("text")).alias("f")).select("p_partkey", "f.*")
+
+
+@query("""select p_partkey, case when p_size % 3 = 0 or p_partkey % 5 = 0 then null else greatest(p_size::double, p_partkey % 50, 0.36) end as top
+from part""")
+def c6_greatest_or_null(t):
+    size = F.when(F.col("p_size") % 3 != 0, F.col("p_size").cast("double"))
+    key = F.when(F.col("p_partkey") % 5 != 0, (F.col("p_partkey") % 50).cast("double"))
+    return t.part.select("p_partkey", X.greatest_or_null(size, key, F.lit(0.36)).alias("top"))

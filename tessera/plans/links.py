@@ -242,7 +242,23 @@ def r32_hazards(t):
     return fix.groupBy("anchor").agg(F.count_distinct("commit").alias("fixes"), F.array_join(F.array_sort(F.collect_set("p")), ",").alias("priorities")).filter("fixes >= 2")
 
 
-@query("select p_partkey, case p_size % 5 when 0 then 'revert' when 1 then 'fix' when 2 then 'issue' when 3 then 'keyword' else 'other' end as kind from part")
+#: Commit messages (n: a part's name), and the kind of each.
+_MESSAGES = [
+    ("concat('Revert \"Fix(db): ', n, '\"')", "revert"),
+    ("concat('fix(', n, ')!: null key')", "fix"),
+    ("concat('Tidy ', n, ', closes #', p_size)", "issue"),
+    ("concat('Avoid a crash on ', n)", "keyword"),
+    ("concat('Add fixtures #', p_size, ' ', n)", "other"),
+    ("concat('hotfix: ', n)", "fix"),
+    ("concat('bugfix(a)(b): ', n)", "other"),
+    ("concat('fixed ', n, ': all')", "other"),
+    ("concat(n, ' resolves #', p_partkey)", "issue"),
+    ("concat('prefix(x): ', n)", "other"),
+    ("concat('Bug in ', n)", "keyword"),
+]
+
+
+@query("select p_partkey, case p_partkey % 11 " + " ".join(f"when {k} then '{kind}'" for k, (_, kind) in enumerate(_MESSAGES)) + " end as kind from part")
 def c27_commit_kind(t):
-    says = F.array(*[F.lit(x) for x in ('Revert "Fix(db): x"', "fix(db)!: null key", "Tidy up, closes #12", "Avoid a crash on start", "Add fixtures #1")])
-    return t.part.select("p_partkey", X.commit_kind(F.concat(F.element_at(says, F.col("p_size") % 5 + 1), F.lit(" in "), F.col("p_name"))).alias("kind"))
+    says = F.expr("case p_partkey % 11 " + " ".join(f"when {k} then {text}" for k, (text, _) in enumerate(_MESSAGES)) + " end")
+    return t.part.withColumn("n", F.col("p_name")).select("p_partkey", X.commit_kind(says).alias("kind"))

@@ -193,9 +193,14 @@ def c2_regexp_replace(t):
     return t.part.select("p_partkey", X.replace_first(F.col("p_name"), "[aeiou]", "_").alias("first"), F.regexp_replace("p_name", "[aeiou]", "_").alias("every"))
 
 
-@query("select p_partkey, upper(left(p_brand, 1)) || substr(p_brand, 2, 4) || '|' || 'Part' || '|' || 'XML' || '|' || 'Reader' as parts from part")
+@query("""with w as (select p_partkey, string_split(p_name, ' ') as w from part)
+select p_partkey, array_to_string(list_transform(range(1, len(w) + 1), lambda k: case
+  when k = 1 and p_partkey % 3 = 0 then w[k] when k = 1 and p_partkey % 3 = 1 then upper(w[k]) else upper(w[k][1:1]) || w[k][2:] end), '|') as parts from w""")
 def c8_camel_split(t):
-    name = F.concat(F.substring("p_brand", 1, 5), F.lit("PartXMLReader"))
+    capital = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    first = F.substring_index("p_name", " ", 1)
+    rest = F.substring(capital, F.length(first) + 1, F.length(capital))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(first, rest)).when(F.col("p_partkey") % 3 == 1, F.concat(F.upper(first), rest)).otherwise(capital)
     return t.part.select("p_partkey", F.array_join(X.camel_split(name), "|").alias("parts"))
 
 
@@ -211,10 +216,15 @@ def c12_directory_distance(t):
     return t.pages.crossJoin(least).select("page_id", X.directory_distance(F.regexp_replace("url", "[?#].*$", ""), F.col("_b")).alias("distance"))
 
 
-@query("select p_partkey, case p_size % 3 when 0 then 'Order' when 1 then 'Service' else 'User' end as stem from part")
+_ENDINGS = ["", "Thing", *X.STEM_SUFFIXES]
+
+
+@query(f"""with x as (select *, p_partkey % {len(_ENDINGS)} as k from part)
+select p_partkey, case when k = 1 then case when p_size % 10 = 0 then '' else p_name end || 'Thing' when p_size % 10 = 0 then {_ENDINGS}[k + 1] else p_name end as stem from x""")
 def c18_stem_suffix(t):
-    name = F.when(F.col("p_size") % 3 == 0, "OrderServiceImpl").when(F.col("p_size") % 3 == 1, "Service").otherwise("UserFactory")
-    return t.part.select("p_partkey", X.stem_suffix(X.stem_suffix(name)).alias("stem"))
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("p_partkey") % len(_ENDINGS) + 1).cast("int"))
+    front = F.when(F.col("p_size") % 10 == 0, "").otherwise(F.col("p_name"))
+    return t.part.select("p_partkey", X.stem_suffix(F.concat(front, ending)).alias("stem"))
 
 
 _FNV = "list_reduce(list_prepend(2166136261::bigint, list_transform(string_split({0}, ''), lambda c: ascii(c)::bigint)), lambda h, u: (xor(h, u) * 16777619) & 4294967295)"
@@ -238,10 +248,13 @@ def c20_sketches(t):
     return s.join(nxt, "item_id").select("item_id", F.size("a").alias("n"), F.round(X.sketch_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@query("select 'error at <path>:<n> code <hex> in <str>' as signature, count(*) as n from events where event_type = 'error'")
+@query("""select case event_id % 4 when 0 then event_type || ' at <path>:<n> code <hex> in <str>' when 1 then 'cannot open <path> for ' || event_type
+  when 2 then '<n> of <n> ' || event_type || 's failed' else '<str> is no ' || event_type end as signature, count(*) as n from events group by all""")
 def c23_error_signature(t):
-    text = F.concat(F.lit("Error at  /srv/app.py:"), F.col("event_id").cast("string"), F.lit(" code 0xAF in 'main'"))
-    return t.events.filter("event_type = 'error'").groupBy(X.error_signature(text).alias("signature")).agg(F.count("*").alias("n"))
+    text = F.expr(r"""case event_id % 4 when 0 then concat(upper(event_type), ' at  /srv/app', event_id, '.py:', event_id, ' code 0xAF', user_id % 10, ' in \'main\'')
+        when 1 then concat('Cannot open /var/', user_id, '/log  for ', event_type) when 2 then concat(event_id, ' of ', user_id, ' ', event_type, 's failed')
+        else concat('"user ', user_id, '" is no\t', event_type, ' ') end""")
+    return t.events.groupBy(X.error_signature(text).alias("signature")).agg(F.count("*").alias("n"))
 
 
 @query("select doc_id, ceil(length(text) / 4)::bigint as tokens, greatest(25, least(200, ceil(length(text) / 4 / 34)))::bigint as nodes, greatest(8, least(64, ceil(greatest(25, least(200, ceil(length(text) / 4 / 34))) * 35 / 100)))::bigint as seeds from documents where text is not null")
