@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: A key is hot if it holds this share of all rows; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 2_000
+#: Edges of a graph that one task may hold.
+EDGES_PER_TASK = 1_000_000
 SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -63,6 +67,12 @@ def made() -> set[str]:
     return set(_MADE)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove what staged() wrote for these; nothing that is still to be computed may read them."""
+    for df in frames:
+        _remove(df.sparkSession, df.staged_at)
+
+
 def release(spark: SparkSession, before: set[str], keep: DataFrame | None = None) -> None:
     """Remove the intermediate results made since `before` was taken; keep is a staged DataFrame whose own rows stay.
 
@@ -80,7 +90,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
@@ -134,16 +146,33 @@ def join_skewed(big: DataFrame, small: DataFrame, key: str, count: str) -> DataF
     return big.join(F.broadcast(hot), key).unionByName(cold.join(rest, key))
 
 
+def _settled(batches: Iterator) -> Iterator:
+    """One task's graph: each node with the least node of its component, by hooking roots and pointer jumping."""
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    node, at = np.unique(np.concatenate([x[k] for k in (0, 1) for x in held]), return_inverse=True)
+    i, j = np.split(at, 2)
+    root = np.arange(len(node))
+    while (differ := root[i] != root[j]).any():
+        i, j = root[i[differ]], root[j[differ]]
+        np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.record_batch([pa.array(node), pa.array(node[root])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (a, b) longs by randomised contraction: rows (node, root), for nodes with an edge.
+    """Connected components of (a, b) longs: rows (node, root), staged, for nodes with an edge.
 
-    Each round every node moves to the neighbour (or itself) of least seeded hash and the graph is contracted, which
-    leaves a constant share of the nodes; labels are composed backwards. Rounds aggregate with map-side minima, so a
-    node with very many neighbours gathers in no task.
+    While there are more edges than one task may hold the graph is contracted at random: each round every node moves to
+    the neighbour (or itself) of least seeded hash, which leaves a constant share of the nodes; labels are composed
+    backwards. Rounds aggregate with map-side minima, so a node with very many neighbours gathers in no task. What is left
+    of the graph, EDGES_PER_TASK at most, is settled in one task, so a small graph costs the driver one job and no rounds.
     """
     pair = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     pair, moves = staged(pair, "edges"), []
-    while not pair.isEmpty():
+    while pair.count() > EDGES_PER_TASK:
         seeded = lambda c, n=len(moves): F.struct(F.xxhash64(c, F.lit(n)).alias("h"), c.alias("v"))
         a, b = F.col("a"), F.col("b")
         near = pair.select(a.alias("node"), F.least(seeded(a), seeded(b)).alias("m")).unionAll(pair.select(b.alias("node"), F.least(seeded(a), seeded(b)).alias("m")))
@@ -151,13 +180,19 @@ def components(edges: DataFrame) -> DataFrame:
         moves.append(move)
         ra, rb = move.toDF("a", "ra"), move.toDF("b", "rb")
         met = pair.join(ra, "a").join(rb, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        pair = staged(met.filter("a < b").distinct(), "edges")
+        after = staged(met.filter("a < b").distinct(), "edges")
+        discard(pair)
+        pair = after
+    label = staged(pair.coalesce(1).mapInArrow(_settled, "node long, root long"), "settled")
+    discard(pair)
     if not moves:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-    label = moves[-1]
-    for move in reversed(moves[:-1]):
+        return label
+    rounds = [*moves, label]
+    for move in reversed(moves):
         onward = label.toDF("root", "_next")
         label = move.join(onward, "root", "left").select("node", F.coalesce("_next", "root").alias("root"))
+    label = staged(label, "settled")
+    discard(*rounds)
     return label
 
 

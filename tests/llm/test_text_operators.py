@@ -338,6 +338,26 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000_000, 100, 1])
+def test_components_need_no_rounds_on_a_small_graph(spark, monkeypatch, most):
+    from tessera.llm import common
+
+    labels, write = [], common.staged
+    monkeypatch.setattr(common, "staged", lambda df, label: (labels.append(label), write(df, label))[1])
+    monkeypatch.setattr(common, "EDGES_PER_TASK", most)
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(150)] + [(1000, k) for k in range(1001, 1200)] + [(rng.randrange(-900, -100), rng.randrange(-900, -100)) for _ in range(400)] + [(7000, 7000)]
+    before = common.made()
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault(r["root"], set()).add(r["node"])
+    assert sorted(map(sorted, parts.values())) == _parts({k for e in edges for k in e if e[0] != e[1]}, edges[:-1])
+    assert len(got) == len({r["node"] for r in got}) and all(k in v for k, v in parts.items())
+    assert ("moves" in labels) == (most < len(edges))
+    assert len(common.made() - before) == 1
+
+
 def _removed(all_texts, size):
     docs = [words(t) for t in all_texts]
     seen = Counter(tuple(w[i : i + size]) for w in docs for i in range(len(w) - size + 1))
