@@ -1,14 +1,20 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, every link verified on the shingle sets.
+"""SimHash near-duplicates, every link verified on the shingle sets by Jaccard similarity.
 
 A text is the set of the XXH64 values of its shingles of SHINGLE lower-case words. Texts of equal sets are one set from
-the start. Each set has BANDS keys, each made of ROWS minima under different hash functions; sets that share a key are
-candidates, which two sets of similarity s miss with probability (1 - s ** ROWS) ** BANDS: 8 in a million at 0.8 and 2
-in a thousand million at 0.85, if minima were ideal. Candidates are joined into components (one edge for each member of
-a key's list, so a hot key makes no pairs), and within each component all links of SIMILARITY or more are found by a
-search over the sets themselves, so no candidate stays unverified, and a miss is made good where others connect the two.
+the start, and a set has a SimHash fingerprint. Fingerprints go through the byte-position index of simhash.py: lists by
+positional bytes, tallies of shared bytes, the count filter, verification of the differing bits. That index is sure of two
+differing bits, and sets of SIMILARITY differ in more as a rule; so each set also has BANDS keys of ROWS minima under
+different hash functions, and sets that share a key are candidates too, which two sets of similarity s miss with
+probability (1 - s ** ROWS) ** BANDS: 8 in a million at 0.8 and 2 in a thousand million at 0.85, if minima were ideal.
+Both kinds of candidates are joined into components (one edge for each member of a key's list, so a hot key makes no
+pairs), and within each component all links of SIMILARITY or more are found by a search over the sets themselves, so no
+candidate stays unverified, and a miss is made good where others connect the two.
+
+Texts are packed into the blocks of substrings.py, stored once and bucketed: rows are named by block and position, and
+what is found of them comes back to their block, so texts do not move again and no list of rows is broadcast.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null and wordless texts are one class; of each class
-one row stays, that of the smallest id, ids of null last; rows are told apart by number, so ids may repeat or be null.
+one row stays, that of the smallest id, ids of null last; rows are told apart by place, so ids may repeat or be null.
 """
 
 from __future__ import annotations
@@ -19,8 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, components, join_small, slices, staged, tasks_for
+from tessera.llm import simhash
+from tessera.llm.common import components, discard, join_skewed, staged, tasks_for
 from tessera.llm.simhash import SEED, shingle_hashes
+from tessera.llm.substrings import packed, texts_of
 
 SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 8, 64
 KEYS_PER_TASK, SETS_PER_TASK = 2_000_000, 20_000
@@ -45,18 +53,38 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, ROWS) * _MIX[:, :ROWS]).sum(1, dtype=np.uint64) + _MIX[:, ROWS]
 
 
-def _keyed(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows (row, id, set, keys): set names the shingle set. docs: _row, id, text as bytes."""
-    kind = docs.schema["id"].dataType.simpleString()
+def _keyed(blocks: DataFrame, id_col: str, shingle: int) -> DataFrame:
+    """Rows (block, pos, id, set, fp, keys): set names the shingle set, fp is its SimHash fingerprint."""
+    given = blocks.select("block", F.col("rest").getField(id_col).alias("ids"), "sizes", "body")
+    kind = given.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches):
-        for batch in slices(batches):
-            sets = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
-            names = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets))
-            keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column("_row"), batch.column("id"), pa.array(names.view(np.int64)), keys], ["_row", "id", "set", "keys"])
+        for batch in batches:
+            for k, r in enumerate(batch.select(["block", "sizes", "body"]).to_pylist()):
+                ids = batch.column("ids").slice(k, 1).flatten()
+                texts = texts_of(r["sizes"], r["body"])
+                for at in range(0, len(texts), 1024):
+                    sets = [shingle_set(t, shingle) for t in texts[at : at + 1024]]
+                    names = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets))
+                    fps = np.fromiter(map(simhash.majority, sets), np.uint64, len(sets))
+                    keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                    place = [pa.array(np.full(len(sets), r["block"]), pa.int64()), pa.array(np.arange(at, at + len(sets)), pa.int32())]
+                    yield pa.record_batch([*place, ids.slice(at, len(sets)), pa.array(names.view(np.int64)), pa.array(fps.view(np.int64)), keys], ["block", "pos", "id", "set", "fp", "keys"])
 
-    return docs.mapInArrow(run, f"_row long, id {kind}, set long, keys array<long>")
+    return given.mapInArrow(run, f"block long, pos int, id {kind}, set long, fp long, keys array<long>")
+
+
+def _fingerprints(sets: DataFrame) -> DataFrame:
+    """The distinct fingerprints: fp, first (one of its sets), n (its sets)."""
+    return staged(sets.groupBy("fp").agg(F.min("set").alias("first"), F.count("*").alias("n")), "fingerprints")
+
+
+def _simhash_edges(sets: DataFrame, fps: DataFrame) -> DataFrame:
+    """(a, b) pairs of sets that span the components of the SimHash links: fingerprints of one value, and of simhash.BITS
+    differing bits at most by the byte-position index, its tallies and its count filter."""
+    same = join_skewed(sets.select("fp", "set"), fps, "fp", "n").select(F.col("first").alias("a"), F.col("set").alias("b"))
+    link = simhash.links(fps).join(fps.select(F.col("fp").alias("a"), F.col("first").alias("fa")), "a").join(fps.select(F.col("fp").alias("b"), F.col("first").alias("fb")), "b")
+    return same.unionAll(link.select("fa", "fb"))
 
 
 def _stars(batches):
@@ -113,28 +141,53 @@ def _verified(similarity: float):
     return run
 
 
+def _members(shingle: int):
+    """Rows (root, set, members) of the texts that a block's `found` asks for."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                texts = texts_of(r["sizes"], r["body"])
+                for at in range(0, len(r["found"]), 256):
+                    some = r["found"][at : at + 256]
+                    held = [shingle_set(texts[x["pos"]], shingle).tobytes() for x in some]
+                    yield pa.record_batch([pa.array([x[c] for x in some], pa.int64()) for c in ("root", "set")] + [pa.array(held, pa.binary())], ["root", "set", "members"])
+
+    return run
+
+
+def _stay(batches):
+    """Rows (rest, text) of the positions that a block's `found` has."""
+    for batch in batches:
+        for k, r in enumerate(batch.select(["sizes", "body", "found"]).to_pylist()):
+            texts, at = texts_of(r["sizes"], r["body"]), r["found"]
+            rest = batch.column("rest").slice(k, 1).flatten().take(pa.array(at, pa.int32()))
+            yield pa.record_batch([rest, pa.array([texts[p] for p in at], pa.binary())], ["rest", "text"])
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each near-duplicate class, with its columns."""
     spark = docs.sparkSession
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    texts = rows.select("_row", F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    keyed = staged(_keyed(texts, shingle), "keyed")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "_row")
-    sets = staged(keyed.groupBy("set").agg(F.min(place).alias("least"), F.first("keys").alias("keys")), "sets")
+    blocks, rest = packed(docs, text_col, "neardup")
+    keyed = staged(_keyed(blocks, id_col, shingle), "keyed")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "block", "pos")
+    sets = staged(keyed.groupBy("set").agg(F.min(place).alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
+    discard(keyed)
     tasks = tasks_for(spark, sets.count() * BANDS, KEYS_PER_TASK)
     stars = sets.select("set", F.explode("keys").alias("key")).repartition(tasks, "key").mapInArrow(_stars, "a long, b long")
-    near = staged(components(stars).withColumnRenamed("node", "set"), "candidates")
-    members = staged(sets.select("set", F.col("least._row").alias("_row")).join(near, "set"), "members")
-
-    def with_members(batches):
-        for batch in slices(batches):
-            found = [shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("root"), batch.column("set"), pa.array(found, pa.binary())], ["root", "set", "members"])
-
-    held = join_small(texts.select("_row", "text"), members, ["_row"]).select("root", "set", "text").mapInArrow(with_members, "root long, set long, members binary")
-    tasks = tasks_for(spark, members.count(), SETS_PER_TASK)
+    fps = _fingerprints(sets)
+    near = components(_simhash_edges(sets, fps).unionAll(stars))
+    slim = staged(sets.select("set", "least"), "slim")
+    discard(sets, fps)
+    members = slim.select("set", "least.block", "least.pos").join(near.withColumnRenamed("node", "set"), "set")
+    asked = staged(members.groupBy("block").agg(F.collect_list(F.struct("pos", "root", "set")).alias("found")), "members")
+    held = blocks.select("block", "sizes", "body").join(asked, "block").select("sizes", "body", "found").mapInArrow(_members(shingle), "root long, set long, members binary")
+    tasks = tasks_for(spark, near.count(), SETS_PER_TASK)
     leaders = staged(held.repartition(tasks, "root").mapInArrow(_verified(similarity), "set long, leader long"), "leaders")
-    labelled = sets.select("set", "least").join(leaders, "set", "left").withColumn("leader", F.coalesce("leader", "set"))
-    keep = labelled.groupBy("leader").agg(F.min("least")["_row"].alias("_row")).select("_row")
-    gone = staged(keyed.select("_row").join(keep, "_row", "left_anti"), "gone")
-    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "_row", "left_anti").select(*docs.columns)
+    labelled = slim.join(leaders, "set", "left").withColumn("leader", F.coalesce("leader", "set"))
+    first = labelled.groupBy("leader").agg(F.min("least").alias("least")).select("least.block", "least.pos")
+    keep = staged(first.groupBy("block").agg(F.array_sort(F.collect_list("pos")).alias("found")), "stay")
+    discard(near, slim, asked, leaders)
+    kept = blocks.join(keep, "block").select("rest", "sizes", "body", "found").mapInArrow(_stay, f"rest {rest}, text binary")
+    kind = docs.schema[text_col].dataType
+    return kept.select(*[F.col("text").cast(kind).alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns])

@@ -68,8 +68,8 @@ def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(flat[a:b], SEED) for a, b in spans), np.uint64, max(1, len(w) - shingle + 1))
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    h = shingle_hashes(text, shingle)
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is set where over half of them have it set."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -79,6 +79,10 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, fp): the fingerprint as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()

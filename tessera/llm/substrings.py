@@ -86,7 +86,7 @@ def _pack(buckets: int):
     return run
 
 
-def _texts(sizes: list[int], body: bytes) -> list[bytes | None]:
+def texts_of(sizes: list[int], body: bytes) -> list[bytes | None]:
     flat, at, out = zstandard.ZstdDecompressor().decompress(body, max_output_size=max(1, sum(s for s in sizes if s > 0))), 0, []
     for s in sizes:
         out.append(None if s < 0 else flat[at : at + s])
@@ -192,7 +192,7 @@ def _anchors(window: int):
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                h, edges = _words(_texts(r["sizes"], r["body"]))
+                h, edges = _words(texts_of(r["sizes"], r["body"]))
                 at, pos, label = _parse(h, edges, window)
                 s = _segments(pos, label)
                 yield _rows(r["block"], label[s], np.zeros(len(s), np.uint32), at[s])
@@ -204,7 +204,7 @@ def _windows(window: int):
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                h, edges = _words(_texts(r["sizes"], r["body"]))
+                h, edges = _words(texts_of(r["sizes"], r["body"]))
                 at, pos, label = _parse(h, edges, window)
                 s = _segments(pos, label)
                 chosen = np.isin(at[s], np.array(r["found"]))
@@ -245,7 +245,7 @@ def _emit(window: int, keep_text: bool):
     def run(batches):
         for batch in batches:
             for k, r in enumerate(batch.select(["sizes", "body", "found"]).to_pylist()):
-                texts = _texts(r["sizes"], r["body"])
+                texts = texts_of(r["sizes"], r["body"])
                 split = [t.split() if t else [] for t in texts]
                 edges = np.cumsum([0, *map(len, split)])
                 change = np.zeros(edges[-1] + 1, np.int64)
@@ -271,16 +271,21 @@ def _emit(window: int, keep_text: bool):
     return run
 
 
+def packed(docs: DataFrame, text_col: str, label: str) -> tuple[DataFrame, str]:
+    """The blocks of docs as a bucketed table, and the type of rest, a struct of the other columns."""
+    others = [c for c in docs.columns if c != text_col]
+    given = docs.select((F.struct(*others) if others else F.struct(F.lit(0).alias("_"))).alias("rest"), F.col(text_col).cast("binary").alias("text"))
+    rest = given.schema["rest"].dataType.simpleString()
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = given.mapInArrow(_pack(buckets), f"block long, rest array<{rest}>, sizes array<bigint>, body binary")
+    return bucketed(blocks, "block", buckets, label), rest
+
+
 def removed(docs: DataFrame, window: int = WINDOW, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Rows (rest, n_words, n_removed, last) for each row of docs: rest holds the other columns, and last the text left
     (as it was if nothing goes, else the kept words joined by one space), or without keep_text the kept words' SHA-256."""
     spark = docs.sparkSession
-    others = [c for c in docs.columns if c != text_col]
-    given = docs.select((F.struct(*others) if others else F.struct(F.lit(0).alias("_"))).alias("rest"), F.col(text_col).cast("binary").alias("text"))
-    rest = given.schema["rest"].dataType.simpleString()
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = given.mapInArrow(_pack(buckets), f"block long, rest array<{rest}>, sizes array<bigint>, body binary")
-    blocks = bucketed(packed, "block", buckets, "recompress")
+    blocks, rest = packed(docs, text_col, "recompress")
     words = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     tasks = tasks_for(spark, words // 6, ROWS_PER_TASK)
     found = _found(blocks.select("block", "sizes", "body").mapInArrow(_anchors(window), _ROWS), tasks, "anchors")

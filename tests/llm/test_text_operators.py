@@ -358,6 +358,24 @@ def test_components_need_no_rounds_on_a_small_graph(spark, monkeypatch, most):
     assert len(common.made() - before) == 1
 
 
+def test_near_duplicates_go_through_the_simhash_index(spark, monkeypatch):
+    """Without the minima, what the index links within two bits still goes, as far as the shingle sets bear it out."""
+    monkeypatch.setattr(neardup, "_stars", lambda batches: iter(()))
+    rng = random.Random(12)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join([*base[:-1], "changed"]), " ".join(["other", *base[1:]]), " ".join(rng.sample(base, 400))]
+    texts += ["one two", "one  Two", "three", None, ""]
+    sets = [neardup.shingle_set(t.encode() if t else None) for t in texts]
+    fp = [simhash.majority(x) for x in sets]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2]
+    alike = [(i, j) for g in _parts(range(len(texts)), pairs) for i in g for j in g if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    want = sorted(g[0] for g in _parts(range(len(texts)), alike))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in neardup.deduplicated(docs).collect()) == want and len(want) < len(texts) - 30
+
+
 def _removed(all_texts, size):
     docs = [words(t) for t in all_texts]
     seen = Counter(tuple(w[i : i + size]) for w in docs for i in range(len(w) - size + 1))
