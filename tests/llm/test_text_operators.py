@@ -376,6 +376,17 @@ def test_near_duplicates_go_through_the_simhash_index(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in neardup.deduplicated(docs).collect()) == want and len(want) < len(texts) - 30
 
 
+def test_a_stage_leaves_only_what_its_result_reads(spark):
+    from tessera.llm.common import made
+
+    docs = spark.createDataFrame([(k, prose(60), "en", "s") for k in range(60)], "doc_id long, text string, lang string, source string")
+    docs = docs.unionAll(docs.limit(5))
+    for stage, left in ((neardup.deduplicated, 3), (rules.filtered, 3)):
+        before = made()
+        out = stage(docs)
+        assert len(made() - before) <= left and 0 < out.count() <= 65
+
+
 def _removed(all_texts, size):
     docs = [words(t) for t in all_texts]
     seen = Counter(tuple(w[i : i + size]) for w in docs for i in range(len(w) - size + 1))
