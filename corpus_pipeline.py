@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, neardup, pieces, rules, substrings
-from tessera.llm.common import made, release, staged, table
+from tessera.llm.common import made, release, small_batches, staged, table
 from tessera.llm.queries import tokenizer_file
 
 
@@ -25,6 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and wordless texts are one group; of rows that repeat an id one stays; a null id stays only where no other does.
     """
+    small_batches(spark)
     return neardup.deduplicated(docs)
 
 
@@ -33,6 +34,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A null text stays null; a text of which nothing is left stays as an empty one; repeats inside one text count.
     """
+    small_batches(spark)
     return substrings.deduplicated(docs)
 
 
@@ -41,11 +43,13 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts hold none and stay; equal rows stay or go together.
     """
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), at_least=1)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, and the text that they decode to; null ids and text for a null text, every row answered."""
+    small_batches(spark)
     return pieces.transduce(docs, tokenizer_file("piece_bpe_32k.model"))
 
 

@@ -18,6 +18,8 @@ BROADCAST_ROWS = 200_000
 HOT_SHARE = 2_000
 #: Edges of a graph that one task may hold.
 EDGES_PER_TASK = 1_000_000
+#: Bytes of rows that Spark hands to Python at once; a row of more goes alone.
+BATCH_BYTES = 2 << 20
 SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -196,6 +198,14 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Spark gathers BATCH_BYTES of rows for Python, or what the session has if that is less, not 64 MB in the
+    executor's JVM and once more in the worker. It is read when a plan runs, so it stays set; no result depends on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def slices(batches: Iterator, limit: int = 2 << 20) -> Iterator:
     """Arrow batches cut so that each holds about limit bytes, or one row."""
     for batch in batches:

@@ -6,12 +6,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontaminate, rules
+from tessera.llm.common import BATCH_BYTES, small_batches
 from tessera.llm.queries import tokenizer_file
 
 from test_text_operators import VOCAB, _d2, _lower_words, _mcd, _removed, words
@@ -158,3 +160,25 @@ def test_a_removed_stage_changes_the_result(spark, folder):
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
     assert decontaminate.clean(docs, bench).count() < docs.count()
     assert docs.filter(F.col("text").contains("***")).count() == 3 and not [r for r in rules.filtered(docs).collect() if re.search(r"\*\*\*", r["text"])]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_python_gets_small_batches(spark, folder, k):
+    """After a stage that runs Python, rows of 12 MB go to it 2 MB at a time, and no row is lost."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    corpus_pipeline.STAGES[k][1](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([[b.num_rows], [b.nbytes]], ["n", "size"])
+
+    got = spark.range(0, 600, 1, 1).selectExpr("id", "repeat('x', 20000) as text").mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 600 and max(r["size"] for r in got) <= BATCH_BYTES + 25_000
+
+
+def test_a_smaller_batch_of_the_session_stays(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "1m")
+    small_batches(spark)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
