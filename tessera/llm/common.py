@@ -135,8 +135,8 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 3
     return big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns[:1]), F.lit(salts)).cast("int")).join(dealt, [*keys, "_salt"]).drop("_salt")
 
 
-def join_skewed(big: DataFrame, small: DataFrame, key: str, count: str) -> DataFrame:
-    """Inner join with a table of one row a key that also holds the key's rows in big.
+def join_skewed(big: DataFrame, small: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """Join (inner or left) with a table of one row a key that also holds the key's rows in big.
 
     Keys with over 1/HOT_SHARE of the rows, of which there can be HOT_SHARE at most, are broadcast; the rest are shuffled.
     """
@@ -145,7 +145,7 @@ def join_skewed(big: DataFrame, small: DataFrame, key: str, count: str) -> DataF
     hot, rest = small.filter(is_hot).drop(count), small.filter(~is_hot).drop(count)
     marked = big.join(F.broadcast(hot.select(key).withColumn("_hot", F.lit(True))), key, "left")
     cold = marked.filter(F.col("_hot").isNull()).drop("_hot")
-    return big.join(F.broadcast(hot), key).unionByName(cold.join(rest, key))
+    return big.join(F.broadcast(hot), key).unionByName(cold.join(rest, key, how))
 
 
 def _settled(batches: Iterator) -> Iterator:
