@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import audit, decontaminate, language, pages, pieces, quality, rules, simhash, substrings, tokens, toxicity
+from tessera.llm import audit, decontaminate, language, pages, phrases, pieces, quality, rules, simhash, substrings, tokens, toxicity
 from tessera.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.op10(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.op12(table(spark, sf_dir, "documents"))
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,9 +69,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_language, op2_quality, op3_rules, op4_pieces, op5_simhash, op6_tokens, op7_pages, op8_toxicity, op9_decontaminate, op10_substrings, op13_audit, pipeline)
+    own = (op1_language, op2_quality, op3_rules, op4_pieces, op5_simhash, op6_tokens, op7_pages, op8_toxicity, op9_decontaminate, op10_substrings, op12_phrases, op13_audit, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": decontaminate.ORACLE, "op10_substrings": substrings.ORACLE, "op13_audit": audit.ORACLE}
+    return {"op9_decontaminate": decontaminate.ORACLE, "op10_substrings": substrings.ORACLE, "op12_phrases": phrases.ORACLE, "op13_audit": audit.ORACLE}
