@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import audit, decontaminate, language, pages, phrases, pieces, quality, rules, simhash, substrings, tokens, toxicity
+from tessera.llm import audit, decontaminate, language, packing, pages, phrases, pieces, quality, rules, simhash, substrings, tokens, toxicity
 from tessera.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op11(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.op12(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_language, op2_quality, op3_rules, op4_pieces, op5_simhash, op6_tokens, op7_pages, op8_toxicity, op9_decontaminate, op10_substrings, op12_phrases, op13_audit, pipeline)
+    own = (op1_language, op2_quality, op3_rules, op4_pieces, op5_simhash, op6_tokens, op7_pages, op8_toxicity, op9_decontaminate, op10_substrings, op11_packing, op12_phrases, op13_audit, pipeline)
     return {f.__name__: f for f in own}
 
 
