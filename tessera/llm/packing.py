@@ -23,6 +23,7 @@ import json
 import os
 import re
 import zlib
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ class Encoder:
         self.tokenizer.no_padding()
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         # only what matches the pattern is left, none of it white space, and nothing that normalises reaches over white space
-        drops = steps[0].get("type") == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and r"[^\s" in str(steps[0]["pattern"])
+        drops = steps[0].get("type") == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and r"[^\s" in steps[0]["pattern"].get("Regex", "")
         plain = {x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])} <= {"NFC", "Replace", "Lowercase"} and all(not x.get("add_prefix_space") for x in steps)
         own = [a for a in spec.get("added_tokens") or [] if not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"])]
         self.by_runs = bool(drops and plain and own and len(own) == len(spec["added_tokens"]) and not any(re.search(r"\s", a["content"]) for a in own))
@@ -69,7 +70,7 @@ class Encoder:
         runs = [r for r in runs if mark not in r] if odd else runs
         for k in range(0, len(runs), ASKED):
             part = runs[k : k + ASKED]
-            ids = self._ids(mark.join(r.decode() for r in part))
+            ids = self._ids(self.mark.join(r.decode() for r in part))
             raw, start = ids.tobytes(), 0
             for run, end in zip(part, [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)], strict=True):
                 self.kept[run] = raw[4 * start : 4 * end]
@@ -210,16 +211,22 @@ def _exchange(own: list[int], room: int, lengths: list[int], index: _Index) -> t
 def improved(bins: list[list[int]], lengths: list[int], capacity: int, passes: int = PASSES) -> list[list[int]]:
     """The same bins after local search: the fullest underfull one first, each takes from emptier ones; empty ones stay as [].
 
-    The larger fill always grows by what an emptier one loses, so the sum of squared fills rises with every exchange.
+    Every exchange that is made raises the sum of squared fills, so the search ends.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     for _ in range(passes):
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: -fill[b])
         index, moves = _Index(lengths, capacity), 0
-        for b in under:
+        waiting = [(-fill[b], b) for b in range(len(bins)) if 0 < fill[b] < capacity]
+        heapify(waiting)
+        for _, b in waiting:
             for i in bins[b]:
                 index.put(i, b)
-        for b in under:
+        settled = set()
+        while waiting:
+            was, b = heappop(waiting)
+            if b in settled or -was != fill[b]:
+                continue
+            settled.add(b)
             for i in bins[b]:
                 index.drop(i)
             while fill[b] and fill[b] < capacity:
@@ -231,10 +238,13 @@ def improved(bins: list[list[int]], lengths: list[int], capacity: int, passes: i
                     i = next(reversed(index.bin_of[size]))
                     got.append((i, index.bin_of[size][i]))
                     index.drop(i)
-                # what is given goes to the first giver that has room for it
-                back = sum(lengths[i] for i in gives)
-                to = next((a for _, a in got if fill[a] - sum(lengths[i] for i, x in got if x == a) + back <= capacity), None)
-                if gives and to is None:
+                # what is given goes to the first giver that has room for it, if that raises the squares
+                back, after = sum(lengths[i] for i in gives), {a: fill[a] for _, a in got}
+                for i, a in got:
+                    after[a] -= lengths[i]
+                to = next((a for a in after if after[a] + back <= capacity), None)
+                rise = (fill[b] + gain) ** 2 - fill[b] ** 2 + sum((f + back * (a == to)) ** 2 - fill[a] ** 2 for a, f in after.items())
+                if to is None or rise <= 0:
                     for i, a in got:
                         index.put(i, a)
                     break
@@ -247,9 +257,10 @@ def improved(bins: list[list[int]], lengths: list[int], capacity: int, passes: i
                     bins[to].append(i)
                     index.put(i, to)
                 fill[b] += gain
-                if gives:
-                    fill[to] += back
+                fill[to] += back
                 moves += 1
+                for a in after:
+                    heappush(waiting, (-fill[a], a))
         if not moves:
             break
     return bins
