@@ -207,8 +207,9 @@ def scored(counted: DataFrame, share: int) -> DataFrame:
     cand = phrases.filter("words > 1").select("phrase", "lang", F.col("f").alias("a"), F.split("phrase", SEP).alias("w"))
     cuts = cand.select("phrase", "lang", "a", "w", F.explode(F.expr("sequence(1, size(w) - 1)")).alias("k"))
     cuts = cuts.select("phrase", "lang", "a", "k", _joined("w", "1", "k").alias("first"), _joined("w", "k + 1", "size(w) - k").alias("rest"))
-    cuts = join_small(cuts, part.withColumnsRenamed({"part": "first", "f": "l"}), ["lang", "first"])
-    cuts = join_small(cuts.select("phrase", "lang", "a", "k", "l", "rest"), part.withColumnsRenamed({"part": "rest", "f": "r"}), ["lang", "rest"])
+    # one row a phrase on the right, so Spark may split a frequent part's rows on the left among tasks
+    cuts = cuts.join(part.withColumnsRenamed({"part": "first", "f": "l"}), ["lang", "first"]).drop("first")
+    cuts = cuts.join(part.withColumnsRenamed({"part": "rest", "f": "r"}), ["lang", "rest"])
     exact = {c: F.col(c).cast("decimal(14,0)") for c in "alr"}
     score = F.call_function("div", 1_000_000 * exact["a"] * exact["a"], exact["l"] * exact["r"])
     scores = cuts.select("phrase", "lang", F.struct(score.alias("score"), "k", "a", "l", "r").alias("cut"))
@@ -221,7 +222,7 @@ def scored(counted: DataFrame, share: int) -> DataFrame:
 def first_by_score(phrases: DataFrame, top: int) -> DataFrame:
     """The first `top` of each language with their rank. Each task ranks what it has of a language, then the winners meet."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salted = phrases.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    salted = phrases.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(16)))
     near = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).filter(F.col("rank") <= top)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top).drop("_salt")
 
