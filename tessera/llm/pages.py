@@ -5,7 +5,8 @@ are sorted by URL path; a page's neighbours are those at most REACH places befor
 share most leading segments (then the closest), and each is aligned with the page by longest common subsequence. A
 neighbour that shares COPY of the page's text outside its frame, or of its own, carries the same article and tells
 nothing, so it counts for no line. A line shared with VOTES of the other neighbours (with one, if there is only one) is
-the site's frame and is deleted, wherever it stands.
+the site's frame and is deleted, unless it stands inside an article: articles share sentences, so there a line goes only
+if SITE of the host's pages lose it and nothing but such lines lies between it and the article's edge.
 
 Markup settles only what differencing leaves open: a line that no neighbour has, such as a menu that differs from page
 to page, has a role from its markup. Lines in menus, footers, side columns, forms, adverts, notices and reader comments
@@ -31,9 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, slices, staged
+from tessera.llm.common import BROADCAST_ROWS, join_skewed, slices, staged, tasks_for
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/<>]*))")
+_STOP, _ANGLE = re.compile(r"[<>\"']"), re.compile("[<>]")
+#: What stands before an attribute's opening quote; before the quote of another tag's attribute.
+_VALUE, _OTHER_TAG = re.compile(r"=\s*\Z"), re.compile(r"<[a-zA-Z][^<>]*=\s*\Z")
+#: Elements without text of the page; each is read up to its end tag.
+_RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in "script style noscript template textarea svg iframe title".split()}
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _DROP = frozenset("nav footer aside form head button select menu dialog".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -46,6 +52,10 @@ _ROLE = frozenset("navigation banner contentinfo complementary search form dialo
 #: Roles of a line.
 OTHER, MAIN, FRAME = 0, 1, 2
 REACH, NEAR, VOTES, COPY, BLOCK = 3, 4, 2, 0.75, 64
+#: A line inside articles is the site's frame on SITE of a host's pages, and SITE_PAGES, at least.
+SITE, SITE_PAGES = 0.9, 5
+#: Bits of the largest table that aligning two pages holds; pages that a task sorts or aligns.
+TABLE, SORTED = 1 << 24, 20_000
 
 
 def _unwanted(attrs: str, tag: str, inside: bool) -> bool:
@@ -60,6 +70,50 @@ def _unwanted(attrs: str, tag: str, inside: bool) -> bool:
     return False
 
 
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag ends whose name ends at `at`; last: the last place of each quote.
+
+    A quote after = holds all up to the next one, unless none follows or it opens another tag's attribute; then the tag
+    ends at the next < or >, as does one without quotes.
+    """
+    while m := _STOP.search(page, at):
+        quote = m[0]
+        if quote == ">":
+            return m.end()
+        if quote == "<":
+            return m.start()
+        at = m.end()
+        if _VALUE.search(page, max(0, m.start() - 64), m.start()):
+            end = page.find(quote, at) if at <= last[quote] else -1
+            if end < 0 or _OTHER_TAG.search(page, max(at, end - 256), end):
+                stop = _ANGLE.search(page, at)
+                return len(page) if not stop else stop.end() if stop[0] == ">" else stop.start()
+            at = end + 1
+    return len(page)
+
+
+def _tags(page: str):
+    """(start, end, name, whether it closes, attributes) of each tag, and of what is no text with an empty name, in one pass."""
+    last, at = {q: page.rfind(q) for q in "\"'"}, 0
+    while m := _START.search(page, at):
+        start, name = m.start(), (m[4] or "").lower()
+        if m[1]:
+            at = page.find("-->", m.end())
+            at = len(page) if at < 0 else at + 3
+        elif m[2]:
+            stop = _ANGLE.search(page, m.end())
+            at = len(page) if not stop else stop.end() if stop[0] == ">" else stop.start()
+        else:
+            at = end = _tag_end(page, m.end(), last)
+            if name not in _RAW or m[3]:
+                yield start, end, name, bool(m[3]), page[m.end() : end].removesuffix(">")
+                continue
+            if not page.endswith("/>", start, end):
+                close = _RAW[name].search(page, end)
+                at = close.end() if close else len(page)
+        yield start, at, "", False, ""
+
+
 def lines(page: str | None) -> list[tuple[str, int]]:
     """(text, role) of each block of the page."""
     out: list[tuple[str, int]] = []
@@ -74,14 +128,12 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             held.clear()
 
     page = page or ""
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
+    for start, end, tag, closing, attrs in _tags(page):
+        if start > at:
+            held.append(page[at:start])
+        at = end
         if not tag:
             continue
-        tag, closing = tag.lower(), bool(m[2])
         root = tag in ("article", "main")
         if tag in _BLOCK:
             flush()
@@ -101,7 +153,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
                 continue
         if root:
             inside = max(0, inside + (-1 if closing else 1))
-        elif not closing and tag not in _VOID and (tag in _DROP or tag == "header" and not inside or _unwanted(m[4], tag, inside > 0)):
+        elif not closing and tag not in _VOID and (tag in _DROP or tag == "header" and not inside or _unwanted(attrs, tag, inside > 0)):
             flush()
             skip, depth = tag, 1
     held.append(page[at:])
@@ -109,28 +161,29 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     return out
 
 
-def shared(a: list, b: list) -> list[int]:
-    """Positions in a of one longest common subsequence of a and b, by bit-parallel dynamic programming."""
-    both = set(a) & set(b)
-    at_a, at_b = [i for i, x in enumerate(a) if x in both], [x for x in b if x in both]
-    if not at_a:
-        return []
+def _rows(a: list, b: list) -> tuple[list[int], dict]:
+    """The rows of the bit-parallel table of a against b, where a zero bit at j says that the length grows with column j; and where b's values are."""
     where: dict = {}
-    for j, x in enumerate(at_b):
+    for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
-    full, row, rows = (1 << len(at_b)) - 1, (1 << len(at_b)) - 1, []
-    for i in at_a:
-        u = row & where[a[i]]
+    full, row, rows = (1 << len(b)) - 1, (1 << len(b)) - 1, []
+    for x in a:
+        u = row & where.get(x, 0)
         row = (row + u | row - u) & full
         rows.append(row)
-    # a zero bit at j: the length grows with column j
-    out, j = [], len(at_b)
-    for k in range(len(at_a) - 1, -1, -1):
+    return rows, where
+
+
+def _traced(a: list, b: list) -> list[int]:
+    """shared() with the whole table held."""
+    rows, where = _rows(a, b)
+    full, out, j = (1 << len(b)) - 1, [], len(b)
+    for k in range(len(a) - 1, -1, -1):
         row, before = rows[k] | ~((1 << j) - 1), (rows[k - 1] if k else full) | ~((1 << j) - 1)
         zeros = lambda r, j=j: j - (r & (1 << j) - 1).bit_count()
         if zeros(row) > zeros(before):
-            out.append(at_a[k])
-            hit = where[a[at_a[k]]] & (1 << j) - 1
+            out.append(k)
+            hit = where[a[k]] & (1 << j) - 1
             length = zeros(row)
             while hit:
                 top = hit.bit_length() - 1
@@ -142,6 +195,54 @@ def shared(a: list, b: list) -> list[int]:
     return out[::-1]
 
 
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and each prefix of b, from the last row alone."""
+    where: dict = {}
+    for j, x in enumerate(b):
+        where.setdefault(x, []).append(j)
+    masks = {}
+    full = row = (1 << len(b)) - 1
+    for x in a:
+        if x not in masks:
+            bits = np.zeros(len(b), np.uint8)
+            bits[where.get(x, [])] = 1
+            masks[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            if len(masks) > 1_000:  # each is as long as b
+                masks.pop(next(iter(masks)))
+        u = row & (masks[x] if x in masks else 0)
+        row = (row + u | row - u) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _halved(a: list, b: list) -> list[int]:
+    """shared() by halving a where the table would take over TABLE bits, so that memory grows with the lines, not their square."""
+    if not a or not b:
+        return []
+    if len(a) == 1:
+        return [0] if a[0] in b else []
+    if len(a) * len(b) <= TABLE:
+        return _traced(a, b)
+    half = len(a) // 2
+    cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+    return _halved(a[:half], b[:cut]) + [half + k for k in _halved(a[half:], b[cut:])]
+
+
+def shared(a: list, b: list) -> list[int]:
+    """Positions in a of one longest common subsequence of a and b."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    mid_a, mid_b = a[head : len(a) - tail], b[head : len(b) - tail]
+    both = set(mid_a) & set(mid_b)
+    at_a = [k for k, x in enumerate(mid_a) if x in both]
+    found = _halved([mid_a[k] for k in at_a], [x for x in mid_b if x in both])
+    return [*range(head), *(head + at_a[k] for k in found), *range(len(a) - tail, len(a))]
+
+
 def _url(url: str | None) -> tuple[str | None, str]:
     if url is None:
         return None, ""
@@ -202,14 +303,16 @@ def frame(page: tuple[list[int], list[int]], neighbours: list[tuple[list[int], l
 
 
 def _align(batches):
-    """Rows (block, own, at, sig, host, path, marks, weigh) sorted by block and place: the lines to delete from a block's own pages.
+    """Rows (block, own, at, sig, host, path, marks, weigh, role) sorted by block and place: the lines of a block's own pages
+    that differencing would delete, as gone outside articles, and inside as (place among the article's lines, their number, hash).
 
     A block has BLOCK pages of its own and those near them, so only so many are held.
     """
     held: list[dict] = []
+    inner = pa.list_(pa.struct([("line", pa.int32()), ("place", pa.int32()), ("mark", pa.int64())]))
 
     def done() -> pa.RecordBatch:
-        sig, gone = [], []
+        out: list[tuple] = []
         read = {r["at"]: (np.frombuffer(r["marks"] or b"", np.uint64).tolist(), np.frombuffer(r["weigh"] or b"", np.uint32).tolist()) for r in held}
         for r in held:
             if not r["own"]:
@@ -217,10 +320,13 @@ def _align(batches):
             around = [x for x in held if 0 < abs(x["at"] - r["at"]) <= REACH and x["host"] == r["host"]]
             near = sorted(around, key=lambda x, r=r: (-_common(r["path"], x["path"]), abs(x["at"] - r["at"]), x["at"]))[:NEAR]
             if found := frame(read[r["at"]], [read[x["at"]] for x in near]):
-                sig.append(r["sig"])
-                gone.append(found)
+                place = np.cumsum(np.frombuffer(r["role"], np.uint8) == MAIN) - 1
+                marks = np.frombuffer(r["marks"], np.int64)
+                inside = [{"line": k, "place": int(place[k]), "mark": int(marks[k])} for k in found if r["role"][k] == MAIN]
+                out.append((r["sig"], r["host"], [k for k in found if r["role"][k] != MAIN], inside, int(place[-1]) + 1))
         held.clear()
-        return pa.record_batch([pa.array(sig, pa.binary()), pa.array(gone, pa.list_(pa.int32()))], ["sig", "gone"])
+        sig, host, gone, inside, size = zip(*out, strict=True) if out else ((),) * 5
+        return pa.record_batch([pa.array(sig, pa.binary()), pa.array(host, pa.string()), pa.array(gone, pa.list_(pa.int32())), pa.array(inside, inner), pa.array(size, pa.int32())], ["sig", "host", "gone", "inside", "size"])
 
     for batch in slices(batches):
         for r in batch.to_pylist():
@@ -246,18 +352,31 @@ def _numbered(pages: DataFrame) -> DataFrame:
 
 
 def frames(read: DataFrame) -> DataFrame:
-    """(sig, gone): the lines that differencing deletes from pages of sig. read: sig, host, path, marks, weigh."""
+    """(sig, gone, n): the lines that differencing deletes from pages of sig, and their number. read: sig, host, path, marks, weigh, role.
+
+    Lines outside articles go as voted. A line inside one is the article's own unless nearly all of the host's pages lose it
+    too (SITE) and only such lines stand between it and the article's beginning or end.
+    """
     spark = read.sparkSession
-    keys = ["sig", "host", "path", "marks", "weigh"]
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["sig", "host", "path", "marks", "weigh", "role"]
+    known = read.filter("host is not null and octet_length(marks) > 0")
     # copies have equal marks, so only the least path has to be chosen
-    pages = read.filter("host is not null and octet_length(marks) > 0").groupBy("sig").agg(F.min(F.struct("path", "host", "marks", "weigh")).alias("p")).select("sig", "p.*").select(*keys)
-    dealt = _numbered(pages.repartitionByRange(tasks, "host", "path", "sig").sortWithinPartitions("host", "path", "sig"))
+    pages = staged(known.groupBy("sig").agg(F.min(F.struct(*keys[1:])).alias("p"), F.count("*").alias("n")).select("sig", "p.*", "n"), "keys")
+    tasks = tasks_for(spark, pages.count(), SORTED)
+    dealt = _numbered(pages.select("sig", "host", "path", "marks", "weigh", "role").repartitionByRange(tasks, "host", "path", "sig").sortWithinPartitions("host", "path", "sig"))
     # a page goes to the block of its place, and near a border to the block next to it too
     own, place = F.floor(F.col("at") / BLOCK), F.col("at") % BLOCK
     sides = F.array_compact(F.array(own, F.when(place < REACH, own - 1), F.when(place >= BLOCK - REACH, own + 1)))
     blocks = dealt.withColumn("block", F.explode(sides)).withColumn("own", F.col("block") == own)
-    return blocks.repartition(tasks, "block").sortWithinPartitions("block", "at").mapInArrow(_align, "sig binary, gone array<int>")
+    kinds = "sig binary, host string, gone array<int>, inside array<struct<line:int,place:int,mark:bigint>>, size int"
+    voted = staged(blocks.repartition(tasks, "block").sortWithinPartitions("block", "at").mapInArrow(_align, kinds), "voted")
+    inside = voted.select("sig", "host", "size", F.inline("inside"))
+    held = inside.select("sig", "host", "mark").distinct().groupBy("host", "mark").agg(F.count("*").alias("held"))
+    everywhere = held.join(pages.groupBy("host").agg(F.count("*").alias("pages")), "host").filter((F.col("held") >= SITE_PAGES) & (F.col("held") >= SITE * F.col("pages")))
+    lost = inside.join(everywhere.select("host", "mark"), ["host", "mark"]).groupBy("sig", "size").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("at"))
+    edges = F.expr("filter(at, (x, i) -> x.place = i or x.place = size - (size(at) - i)).line")
+    gone = F.concat("gone", F.coalesce("edge", F.array().cast("array<int>"))).alias("gone")
+    return voted.select("sig", "gone").join(lost.select("sig", edges.alias("edge")), "sig", "left").select("sig", gone).filter(F.size("gone") > 0).join(pages.select("sig", "n"), "sig")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", differ: bool = True) -> DataFrame:
@@ -267,8 +386,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     read = staged(given.mapInArrow(_read, f"uid long, id {kind}, url string, host string, path string, sig binary, marks binary, weigh binary, lines array<string>, role binary"), "pages")
     lines = read.select("sig", "id", "url", "lines", "role")
     if differ:
-        gone = staged(frames(read.select("sig", "host", "path", "marks", "weigh")), "gone")
-        lines = lines.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "sig", "left")
+        gone = staged(frames(read.select("sig", "host", "path", "marks", "weigh", "role")), "gone")
+        rows, held = gone.agg(F.count("*"), F.sum(F.size("gone"))).first()
+        few = rows <= BROADCAST_ROWS and (held or 0) <= 4 * BROADCAST_ROWS
+        lines = lines.join(F.broadcast(gone.drop("n")), "sig", "left") if few else join_skewed(lines, gone, "sig", "n", how="left")
     else:
         lines = lines.withColumn("gone", F.lit(None).cast("array<int>"))
     # of the lines left, those of the article if the page has one, and else all that markup does not mark as frame

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -614,12 +615,52 @@ def test_frame_votes_against_brute_force():
         assert pages.frame(page, others) == brute(page, others)
 
 
-def test_pages_differ_on_the_given_pages(spark):
-    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    with_it = {r[0]: r[1] for r in pages.extract(given).select("page_id", F.array_join("lines", "\n")).collect()}
-    without = {r[0]: r[1] for r in pages.extract(given, differ=False).select("page_id", F.array_join("lines", "\n")).collect()}
-    changed = [k for k in with_it if with_it[k] != without[k]]
-    assert changed and len(changed) < 0.1 * len(with_it)
+def test_articles_of_the_given_pages_are_whole(spark):
+    """A page was made from the document whose id is in its URL: the article holds a heading and the document's lines."""
+    sf = "/root/testdata/sf0.01"
+    document = {r["doc_id"]: [" ".join(x.split()) for x in (r["text"] or "").split("\n") if x.split()] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    wrong = 0
+    for r in pages.op7(spark.read.parquet(f"{sf}/pages.parquet")).collect():
+        doc = document[int(re.search(r"/(\d+)", re.sub(r"^\w+://[^/]*", "", r["url"]))[1])]
+        wrong += r["text"].split("\n")[1:] != doc
+    assert wrong == 0
+
+
+def test_articles_keep_the_sentences_that_they_share(spark):
+    """A closing line that several articles of a host share stays; one on all pages, at the edge, goes; in the middle it stays."""
+    own = lambda k: f"<p>Story {k} has words of its own and goes on for a while</p><p>second paragraph number {k} says more</p>"
+    body = lambda k: f"<p>Our letter</p>{own(k)}<p>Ask us</p><p>third paragraph {k}</p>" + ("<p>All agree on that.</p>" if k < 6 else f"<p>End {k}</p>")
+    rows = [(k, f"http://h.example/{k:02}", _page(f"<article>{body(k)}</article>")) for k in range(12)]
+    rows += [(k, rows[0][1], rows[0][2]) for k in range(100, 130)]  # copies of one page
+    got = {r["page_id"]: r["text"].split("\n") for r in pages.op7(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert got[k] == [f"Story {k} has words of its own and goes on for a while", f"second paragraph number {k} says more", "Ask us", f"third paragraph {k}", "All agree on that." if k < 6 else f"End {k}"]
+    assert all(got[k] == got[0] for k in range(100, 130))
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<a b='" * 200_000, '<a b="' * 200_000, "<script " * 100_000, "<! " * 300_000, "<!--" * 200_000, "<" * 300_000, "<a =" * 200_000])
+def test_stray_marks_take_linear_time(page):
+    began = time.process_time()
+    pages.lines(page)
+    assert time.process_time() - began < 20
+
+
+def test_quotes_that_never_close():
+    assert [t for t, _ in pages.lines('<p class="x <b>t</b> more <a href="y">z</a>')] == ["t more z"]
+    assert [t for t, _ in pages.lines("<p class='x>one</p><p>two")] == ["one", "two"]
+    assert [t for t, _ in pages.lines('<p title="a > b < c">it\'s "so"</p><svg/>on')] == ['it\'s "so"', "on"]
+
+
+def test_long_pages_align_in_little_memory(monkeypatch):
+    rng = random.Random(8)
+    a, b = ([rng.randrange(60_000) for _ in range(100_000)] for _ in range(2))
+    began = time.process_time()
+    got = pages.shared(a, b)
+    assert time.process_time() - began < 60 and len(got) == pages._lengths(a, b)[-1]
+    rest = iter(b)
+    assert all(a[k] in rest for k in got)
+    monkeypatch.setattr(pages, "TABLE", 20)
+    test_longest_common_subsequence()
 
 
 def _unigram(path, rng, fallback, crossing, charsmap, squeeze, suffix=False, user=()):
