@@ -10,8 +10,9 @@ Sequences that stay underfull are dealt anew with those of other groups and sear
 are too many for one group and get fewer by a tenth at least; so no task holds more than a group, at any size, and
 sequences left half empty by the groups meet.
 
-A tokenizer that drops white space is asked once for each distinct run of other characters, as it splits there anyway;
-any other gets whole texts.
+A tokenizer that drops white space parts texts there anyway, so each distinct run of other characters is encoded once
+and a batch of texts is put together from its runs as arrays; runs of plain characters in turn from their pre-tokens. Any
+other tokenizer gets whole texts.
 
 Defined cases: a null or empty text is the end id alone; rows of one id, and null ids, are each packed by themselves; an
 empty table gives no rows; a piece of a whole sequence stands alone; only the id and text columns are read.
@@ -23,24 +24,29 @@ import json
 import os
 import re
 import zlib
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices, staged, tasks_for
 
-#: Pieces that a group has, about; runs whose ids a task keeps; bytes of text that are split at once; runs asked for at once.
-GROUP, KEPT, BLOCK, ASKED = 8_192, 1_000_000, 4 << 20, 1_000
+#: Pieces that a group has, about; runs and pre-tokens whose ids a task keeps; bytes of text put together at once; runs asked for at once.
+GROUP, KEPT, BLOCK, ASKED = 8_192, 1_000_000, 8 << 20, 1_000
 #: Exchanges for two pieces are looked for this far below the best fill; searches over all underfull sequences of a group.
 NEAR, PASSES = 16, 4
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Characters that no normaliser composes, and on which the two regular expression libraries agree.
+_SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 
 
 class Encoder:
-    """Token ids of texts as bytes, four a token, as the library gives them without added begin and end tokens."""
+    """Token ids of texts as the library gives them, without added begin and end tokens."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -55,44 +61,83 @@ class Encoder:
         plain = {x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])} <= {"NFC", "Replace", "Lowercase"} and all(not x.get("add_prefix_space") for x in steps)
         own = [a for a in spec.get("added_tokens") or [] if not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"])]
         self.by_runs = bool(drops and plain and own and len(own) == len(spec["added_tokens"]) and not any(re.search(r"\s", a["content"]) for a in own))
+        self.kept: dict[str, bytes] = {}  # of runs
         if self.by_runs:
             self.mark, self.mark_id = own[0]["content"], own[0]["id"]
-        self.kept: dict[bytes, bytes] = {}
+            self.special = re.compile("|".join(re.escape(a["content"]) for a in own)).search
+            self.pretokens = regex.compile(steps[0]["pattern"]["Regex"]).findall
+            self.lower = "Lowercase" in str(spec["normalizer"])
+            self.parts: dict[str, bytes] = {}  # of pre-tokens
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _ask(self, runs: list[bytes]) -> None:
+    def _ask(self, runs: list[str], into: dict[str, bytes]) -> None:
         """Encodes runs, as one text in which a special token, that always splits, stands between them."""
-        mark = self.mark.encode()
-        odd = [r for r in runs if mark in r]
-        self.kept.update((r, self._ids(r.decode()).tobytes()) for r in odd)
-        runs = [r for r in runs if mark not in r] if odd else runs
         for k in range(0, len(runs), ASKED):
-            part = runs[k : k + ASKED]
-            ids = self._ids(self.mark.join(r.decode() for r in part))
+            part = [r for r in runs[k : k + ASKED] if self.mark not in r]
+            ids = self._ids(self.mark.join(part))
             raw, start = ids.tobytes(), 0
-            for run, end in zip(part, [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)], strict=True):
-                self.kept[run] = raw[4 * start : 4 * end]
+            for run, end in zip(part, [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)], strict=False):  # no part, one end
+                into[run] = raw[4 * start : 4 * end]
                 start = end + 1
-
-    def encode(self, text: str) -> bytes:
+            into.update((r, self._ids(r).tobytes()) for r in runs[k : k + ASKED] if self.mark in r)
+
+    def _of_runs(self, runs: list[str]) -> list[bytes]:
+        """The ids of each run, from those kept; what is new is asked for."""
+        missing = [r for r in runs if r not in self.kept]
+        if missing:
+            if len(self.kept) > KEPT:
+                self.kept.clear()
+                missing = runs
+            split, odd, new = [], [], set()
+            for r in missing:
+                if not _SAFE(r) or self.special(r):
+                    odd.append(r)
+                    continue
+                split.append((r, self.pretokens(r.lower() if self.lower else r)))
+                new.update(split[-1][1])
+            if len(self.parts) > KEPT:
+                self.parts.clear()
+            self._ask([p for p in new if p not in self.parts], self.parts)
+            parts = self.parts.__getitem__
+            self.kept.update((r, b"".join(map(parts, own))) for r, own in split)
+            self._ask(odd, self.kept)
+        return [*map(self.kept.__getitem__, runs)]
+
+    def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's end."""
+        lists = pc.ascii_split_whitespace(texts)
+        runs = lists.flatten().dictionary_encode()
+        which = runs.indices.to_numpy()
+        known = self._of_runs(runs.dictionary.to_pylist())
+        size = np.array([len(x) // 4 for x in known], np.int64)
+        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(known), "<u4")
+        n = size[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(begin[which] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, upto[np.cumsum(pc.list_value_length(lists).to_numpy())]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of an array without nulls."""
         if not self.by_runs:
-            return self._ids(text).tobytes()
-        data, out, at = text.encode(), [], 0
-        while at < len(data):
-            cut = _GAP.search(data, at + BLOCK)
-            end = cut.start() if cut else len(data)
-            runs = data[at:end].split()  # at the six ASCII white-space characters
-            try:
-                out.append(b"".join([self.kept[r] for r in runs]))
-            except KeyError:
-                if len(self.kept) > KEPT:
-                    self.kept.clear()
-                self._ask([*{r for r in runs if r not in self.kept}])
-                out.append(b"".join([self.kept[r] for r in runs]))
+            yield from (self._ids(t) for t in texts.to_pylist())
+            return
+        at, size = 0, np.cumsum(pc.binary_length(texts).to_numpy())
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK, "right")))
+            if end == at + 1:  # a text that may be very long, in blocks that end at white space
+                data, cut, found = texts[at].as_py().encode(), 0, [np.array([], "<u4")]
+                while cut < len(data):
+                    gap = _GAP.search(data, cut + BLOCK)
+                    upto = gap.start() if gap else len(data)
+                    found.append(self._together(pa.array([data[cut:upto].decode()]))[0])
+                    cut = upto
+                yield np.concatenate(found)
+            else:
+                ids, ends = self._together(texts[at:end])
+                yield from np.split(ids, ends[:-1])
             at = end
-        return b"".join(out)
 
 
 _OPEN: dict[str, Encoder] = {}
@@ -115,10 +160,10 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, with_ids: boo
 
     def run(batches):
         encoder = _open(path)
-        for batch in slices(batches):
+        for batch in slices(batches, BLOCK):
             of, piece, length, crc, ids = [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                raw = encoder.encode(text or "") + end
+            for row, own in enumerate(encoder.encode(batch.column("text"))):
+                raw = own.tobytes() + end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     of.append(row)
@@ -131,7 +176,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, with_ids: boo
             cols = [batch.column("id").take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), start, pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.record_batch([*cols, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return given.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -71,8 +72,19 @@ def test_whole_texts_where_runs_do_not_part():
     encoder = packing.Encoder(tokenizer_file("byte_bpe_50k.json"))  # keeps white space
     assert not encoder.by_runs and packing.Encoder(PATH).by_runs
     tok = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    for text in ODD[1:]:
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    got = [x.tolist() for x in encoder.encode(pa.array(ODD[1:]))]
+    assert got == [tok.encode(text, add_special_tokens=False).ids for text in ODD[1:]]
+
+
+@pytest.mark.parametrize(("block", "kept"), [(1 << 23, 10**6), (40, 10**6), (1, 3), (500, 20)])
+def test_runs_give_the_library_s_ids(monkeypatch, block, kept):
+    monkeypatch.setattr(packing, "BLOCK", block)
+    monkeypatch.setattr(packing, "KEPT", kept)
+    tok, encoder = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    chars = [chr(k) for k in range(0x250)] + list("ΣςΩйЙ\u0301\u0327\u1e9e\u212b\ufb01가각漢🙂<|>'") + ["'S", "<|endoftext|>", " ", " ", "\n"] * 20
+    texts = ["".join(RNG.choice(chars) for _ in range(RNG.choice([0, 1, 5, 80]))) for _ in range(400)] + ODD[1:]
+    got = [x.tolist() for x in encoder.encode(pa.array(texts))]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def _squares(bins, lengths):
@@ -154,8 +166,6 @@ def test_scores_past_64_bits(spark):
 
 def test_suffixes_by_parts(monkeypatch):
     """Held words run out within texts, so suffixes reach over the stretches that are counted at once."""
-    import pyarrow as pa
-
     text = b" ".join(RNG.choice([b"a", b"b", b"c."]) for _ in range(500))
     batch = pa.record_batch([pa.array([b"en", b"en"]), pa.array([text, b"a b"])], ["lang", "text"])
 
