@@ -26,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,32 @@ GROUP, KEPT, BLOCK, ASKED = 8_192, 1_000_000, 8 << 20, 1_000
 #: Exchanges for two pieces are looked for this far below the best fill; searches over all underfull sequences of a group.
 NEAR, PASSES = 16, 4
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
-#: Characters that no normaliser composes, and on which the two regular expression libraries agree.
-_SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+#: Characters that no normaliser composes, and on which the two regular expression libraries agree; line feeds stand between runs.
+_SAFE = re.compile("[!-~À-ÖØ-öø-ÿ\n]*").fullmatch
+
+
+class _Kept:
+    """Strings by number, and by number where each string's ids lie in one array."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.begin, self.size = np.array([], "<u4"), np.array([], np.int64), np.array([], np.int64)
+
+    def add(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        start = len(self.size)
+        self.number.update(zip(names, range(start, start + len(names)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+
+    def numbers(self, names: list[str]) -> np.ndarray:
+        """The number of each, -1 of what is not kept."""
+        return np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+
+    def together(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all one after another, and where each begins; the last place is their end."""
+        size = self.size[numbers]
+        at = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(self.begin[numbers] - at[:-1], size) + np.arange(at[-1])], at
 
 
 class Encoder:
@@ -61,62 +86,63 @@ class Encoder:
         plain = {x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])} <= {"NFC", "Replace", "Lowercase"} and all(not x.get("add_prefix_space") for x in steps)
         own = [a for a in spec.get("added_tokens") or [] if not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"])]
         self.by_runs = bool(drops and plain and own and len(own) == len(spec["added_tokens"]) and not any(re.search(r"\s", a["content"]) for a in own))
-        self.kept: dict[str, bytes] = {}  # of runs
         if self.by_runs:
             self.mark, self.mark_id = own[0]["content"], own[0]["id"]
             self.special = re.compile("|".join(re.escape(a["content"]) for a in own)).search
-            self.pretokens = regex.compile(steps[0]["pattern"]["Regex"]).findall
+            self.pretokens = regex.compile(rf"\n|{steps[0]['pattern']['Regex']}").findall
             self.lower = "Lowercase" in str(spec["normalizer"])
-            self.parts: dict[str, bytes] = {}  # of pre-tokens
+            self.runs, self.parts = _Kept(), _Kept()  # parts: pre-tokens
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _ask(self, runs: list[str], into: dict[str, bytes]) -> None:
-        """Encodes runs, as one text in which a special token, that always splits, stands between them."""
-        for k in range(0, len(runs), ASKED):
-            part = [r for r in runs[k : k + ASKED] if self.mark not in r]
+    def _ask(self, names: list[str], into: _Kept) -> None:
+        """Encodes names, as one text in which a special token, that always splits, stands between them."""
+        for k in range(0, len(names), ASKED):
+            part = [x for x in names[k : k + ASKED] if self.mark not in x]
             ids = self._ids(self.mark.join(part))
-            raw, start = ids.tobytes(), 0
-            for run, end in zip(part, [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)], strict=False):  # no part, one end
-                into[run] = raw[4 * start : 4 * end]
-                start = end + 1
-            into.update((r, self._ids(r).tobytes()) for r in runs[k : k + ASKED] if self.mark in r)
-
-    def _of_runs(self, runs: list[str]) -> list[bytes]:
-        """The ids of each run, from those kept; what is new is asked for."""
-        missing = [r for r in runs if r not in self.kept]
+            ends = np.flatnonzero(ids == self.mark_id)
+            size = np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
+            into.add(part, ids[ids != self.mark_id], size[: len(part)])
+            for odd in (x for x in names[k : k + ASKED] if self.mark in x):
+                ids = self._ids(odd)
+                into.add([odd], ids, np.array([len(ids)]))
+
+    def _numbers(self, runs: list[str]) -> np.ndarray:
+        """The number of each distinct run among those kept; what is new is put together from pre-tokens, or asked for."""
+        numbers = self.runs.numbers(runs)
+        if (numbers >= 0).all():
+            return numbers
+        if len(self.runs.number) > KEPT:
+            self.runs = _Kept()
+            numbers[:] = -1
+        missing = [runs[k] for k in np.flatnonzero(numbers < 0).tolist()]
+        safe = "\n".join(missing)
+        if not _SAFE(safe) or self.special(safe):
+            odd = [r for r in missing if not _SAFE(r) or self.special(r)]
+            self._ask(odd, self.runs)
+            gone = set(odd)
+            missing = [r for r in missing if r not in gone]
+            safe = "\n".join(missing)
         if missing:
-            if len(self.kept) > KEPT:
-                self.kept.clear()
-                missing = runs
-            split, odd, new = [], [], set()
-            for r in missing:
-                if not _SAFE(r) or self.special(r):
-                    odd.append(r)
-                    continue
-                split.append((r, self.pretokens(r.lower() if self.lower else r)))
-                new.update(split[-1][1])
-            if len(self.parts) > KEPT:
-                self.parts.clear()
-            self._ask([p for p in new if p not in self.parts], self.parts)
-            parts = self.parts.__getitem__
-            self.kept.update((r, b"".join(map(parts, own))) for r, own in split)
-            self._ask(odd, self.kept)
-        return [*map(self.kept.__getitem__, runs)]
+            found = self.pretokens(safe.lower() if self.lower else safe)
+            if len(self.parts.number) > KEPT:
+                self.parts = _Kept()
+            self._ask([p for p in set(found) if p != "\n" and p not in self.parts.number], self.parts)
+            part = self.parts.numbers(found)  # -1: a line feed, between runs
+            of_run = np.cumsum(part < 0)[part >= 0]
+            ids, _ = self.parts.together(part[part >= 0])
+            size = np.bincount(of_run, self.parts.size[part[part >= 0]], len(missing)).astype(np.int64)
+            self.runs.add(missing, ids, size)
+        return self.runs.numbers(runs)
 
     def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's end."""
         lists = pc.ascii_split_whitespace(texts)
         runs = lists.flatten().dictionary_encode()
-        which = runs.indices.to_numpy()
-        known = self._of_runs(runs.dictionary.to_pylist())
-        size = np.array([len(x) // 4 for x in known], np.int64)
-        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(known), "<u4")
-        n = size[which]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(begin[which] - upto[:-1], n) + np.arange(upto[-1])]
-        return ids, upto[np.cumsum(pc.list_value_length(lists).to_numpy())]
+        numbers = self._numbers(runs.dictionary.to_pylist())
+        ids, at = self.runs.together(numbers[runs.indices.to_numpy()])
+        return ids, at[np.cumsum(pc.list_value_length(lists).to_numpy())]
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of an array without nulls."""
