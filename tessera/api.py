@@ -9,13 +9,14 @@ facts: as memory.recall takes them, with body.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import allowed, terms
-from tessera.operators import analytics, coupling, inherit, memory, rank, retrieval, traverse
+from tessera.operators import analytics, coupling, inherit, lexical, memory, rank, retrieval, traverse
 
 REQUIRED = object()
 
@@ -99,12 +100,16 @@ class Engine:
         found = retrieval.focus(self.nodes, words, size)
         return traverse.neighbours(self.edges, self.nodes, found.select("id"), "both", 6)
 
+    @cached_property
+    def _names(self) -> lexical.TextIndex:
+        """The index of the nodes' names, written at the first search and read by all that follow."""
+        return lexical.build_index(self.nodes.select("id", F.coalesce("name", F.lit("")).alias("text")))
+
     def _search_code(self, query: str, limit: int) -> DataFrame:
         """Exact and lexical channels over names, fused."""
         ask = self.spark.createDataFrame([(0, query)], "q int, text string")
-        names = self.nodes.select("id", F.coalesce("name", F.lit("")).alias("text"))
         words = ask.select("q", F.explode(F.array_append(F.array_distinct(terms(F.col("text"))), F.col("text"))).alias("needle")).distinct()
-        channels = {"exact": (retrieval.exact(self.nodes, words), 1.0), "lexical": (retrieval.bm25(names, ask), 1.0)}
+        channels = {"exact": (retrieval.exact(self.nodes, words), 1.0), "lexical": (lexical.search(self._names, ask), 1.0)}
         return rank.fuse(channels).join(self.nodes.select("id", "node_type", "name"), "id").orderBy(F.desc("fused"), "id").limit(limit)
 
     def _neighbours(self, symbol: str, direction: str, edge_types: list | None, include_heuristic: bool, include_cochange: bool, include_defined_in: bool, depth: int, limit: int) -> DataFrame:

@@ -16,25 +16,29 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Data
     return df.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def union_channels(channels: dict[str, DataFrame], cap: int = 1000) -> DataFrame:
-    """From (q, id, score) of each channel: (q, id, channels, score, first): the best score, the channels met in order."""
+def union_channels(channels: dict[str, DataFrame], cap: int | None = None) -> DataFrame:
+    """From (q, id, score) of each channel: (q, id, channels, score, first): the best score, the channels met in order.
+
+    cap: ids of a query at most, the best ones; None for all of them.
+    """
     rows = None
     for k, (name, df) in enumerate(channels.items()):
         own = df.select("q", "id", "score", F.lit(k).alias("k"), F.lit(name).alias("channel"))
         rows = own if rows is None else rows.unionAll(own)
     merged = rows.groupBy("q", "id").agg(F.max("score").alias("score"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("k", "channel"))), lambda x: x["channel"]), ",").alias("channels"), F.min("k").alias("first"))
-    return top_per(merged, ["q"], [F.desc("score"), F.col("id")], cap).drop("rank")
+    return top_per(merged, ["q"], [F.desc("score"), F.col("id")], cap).drop("rank") if cap else merged
 
 
 def fuse(channels: dict[str, tuple[DataFrame, float]], k: int = 60) -> DataFrame:
     """Weighted reciprocal rank fusion of (q, id, score): ranks from 0, ties by id; divided by the active weights of the query."""
     rows = None
-    for df, weight in channels.values():
-        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id")) - 1
-        own = df.select("q", "id", (F.lit(float(weight)) / (k + rank)).alias("part"), F.lit(float(weight)).alias("weight"))
+    for channel, (df, weight) in channels.items():
+        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id")) - 1
+        own = df.select("q", "id", (F.lit(float(weight)) / (k + place)).alias("part"), F.lit(float(weight)).alias("weight"), F.lit(channel).alias("channel"))
         rows = own if rows is None else rows.unionAll(own)
-    active = sum(w for _, w in channels.values())
-    return rows.groupBy("q", "id").agg(F.round(F.sum("part") / active, 9).alias("fused"))
+    active = rows.groupBy("q", "channel").agg(F.max("weight").alias("weight")).groupBy("q").agg(F.sum("weight").alias("active"))
+    parts = rows.groupBy("q", "id").agg(F.sum("part").alias("part"))
+    return parts.join(active, "q").select("q", "id", F.round(F.col("part") / F.col("active"), 9).alias("fused"))
 
 
 def budget_prefix(df: DataFrame, keys: list[str], order: list[Column], cost: str, budget: int) -> DataFrame:

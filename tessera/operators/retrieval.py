@@ -1,45 +1,28 @@
-"""Lexical retrieval: chunks, postings, BM25, exact matching. Queries are small tables (q, text)."""
+"""Retrieval: chunks, exact matching, channels, seeds. Queries are small tables (q, text)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import terms
 from tessera.operators.rank import top_per
 from tessera.operators.traverse import walk
 
 
-def chunks(docs: DataFrame, key: str, text: str, size: int = 60, overlap: int = 15, most: int = 400) -> DataFrame:
-    """(key, chunk, start_line, end_line, text): windows of size lines that overlap; the last one ends with the text."""
+def chunks(docs: DataFrame, key: str, text: str, size: int = 60, overlap: int = 15, most: int | None = None) -> DataFrame:
+    """(key, chunk, start_line, end_line, text): windows of size lines that overlap; the last one ends with the text.
+
+    most: windows of a text at most, the first ones; None for all of them.
+    """
     step, n = size - overlap, F.size("_l")
     rows = docs.select(key, F.split(text, "\n").alias("_l")).filter(F.col("_l").isNotNull())
-    last = F.least(F.lit(most - 1), F.ceil(F.greatest(n - size, F.lit(0)) / step)).cast("int")
+    last = F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int")
+    last = F.least(F.lit(most - 1), last) if most else last
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
     start = F.col("chunk") * step + 1
     return rows.select(key, "chunk", start.alias("start_line"), F.least(start + size - 1, n).alias("end_line"), F.array_join(F.slice("_l", start, F.lit(size)), "\n").alias("text"))
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, len)."""
-    rows = docs.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return rows.withColumn("len", F.sum("tf").over(Window.partitionBy(key)))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "id", text: str = "text", k1: float = 1.2, b: float = 0.75, limit: int = 16) -> DataFrame:
-    """(q, id, score, rank) of the best documents of each query, Okapi BM25 with a floored idf. Only the queries' terms are counted."""
-    wanted = queries.select("q", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    split = docs.select(F.col(key).alias("id"), terms(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
-    size = split.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    tf = split.select("id", "len", F.explode("_t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    hit = tf.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(size))
-    scored = hit.groupBy("q", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_per(scored, ["q"], [F.desc("score"), F.col("id")], limit)
-
-
 def exact(nodes: DataFrame, needles: DataFrame, limit: int = 16) -> DataFrame:
     """(q, id, score, hits, rank): the best of each node's matches of its query's needles, by name tier.
 
@@ -76,6 +59,16 @@ def fusion_threshold(intent: str = "default", risk: str = "medium", k: int = 60)
     return (FUSION_MIN.get(intent, FUSION_MIN["default"]) + RISK_DELTA.get(risk, 0.0)) / k
 
 
+def seeds(fused: DataFrame, candidates: DataFrame, threshold: float, top: int, dense_least: float = 0.0, least: float = 0.34) -> DataFrame:
+    """(q, id, score, origin): the `top` best of each query with a fused score of threshold or more; a query that has none takes
+    all its candidates (q, id, score) of max(threshold, dense_least, least) or more instead (`rescue`).
+    """
+    kept = top_per(fused.filter(F.col("fused") >= threshold), ["q"], [F.desc("fused"), F.col("id")], top)
+    kept = kept.select("q", "id", F.col("fused").alias("score"), F.lit("fused").alias("origin"))
+    rescued = candidates.filter(F.col("score") >= max(threshold, dense_least, least)).join(kept.select("q").distinct(), "q", "left_anti")
+    return kept.unionByName(rescued.select("q", "id", "score", F.lit("rescue").alias("origin")))
+
+
 def plan_seeds(fused: DataFrame, plan: str = "plan", anchor: str = "anchor", anchor_seeds: int = 4, item_seeds: int = 2) -> DataFrame:
     """(plan, id, fused) from the queries (q, anchor or not) of plans: the best seeds of each query, each id once with its best score."""
     place = F.row_number().over(Window.partitionBy(plan, "q").orderBy(F.desc("fused"), "id"))

@@ -233,24 +233,6 @@ def p5_decay(t):
 
 # -- retrieval -----------------------------------------------------------------------------------------------------
 
-_QUERIES = "q as (select item_id as q, text from benchmark)"
-_TERMS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))"
-_BM25 = f"""{_QUERIES}, w as (select distinct q, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) as term from q),
-d as (select doc_id as id, regexp_extract_all(lower(text), '[a-z0-9]{{2,}}') as terms from documents), l as (select id, len(terms) as len from d),
-s as (select count(*) as n_docs, avg(len) as avg_len from l), tf as (select id, term, count(*) as tf from (select id, unnest(terms) as term from d) where term in (select term from w) group by all),
-df as (select term, count(*) as df from tf group by term),
-lex as (select q, tf.id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) as score from tf join df using (term) join w using (term) join l on tf.id = l.id, s group by all)"""
-
-
-def _bench(t: Tables) -> DataFrame:
-    return t.benchmark.select(F.col("item_id").alias("q"), "text")
-
-
-@query(f"with {_BM25} select *, row_number() over (partition by q order by score desc, id)::int as rank from lex qualify rank <= 16")
-def t2_lexical_bm25(t):
-    return retrieval.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), _bench(t))
-
-
 _NEEDLES = "n(q, needle) as (values (1, 'ivory'), (1, 'blue'), (2, 'st'), (3, 'Customer#000000012'), (3, '00012'))"
 
 
@@ -295,34 +277,7 @@ def t6_first_claim(t):
     return rank.first_claim({"exact": found, "graph": _graph(t, found)})
 
 
-_FUSED = _BM25 + """, a as (select q, id, score, row_number() over (partition by q order by score desc, id) - 1 as r from lex), la as (select * from a where r < 16),
-lb as (select q, id, score, row_number() over (partition by q order by score desc, id) - 1 as r from (select q.q, d.doc_id as id, len(d.text)::double as score from q join documents d on left(d.text, 3) = left(q.text, 3))),
-fu as (select q, id, round(sum(p) / 1.5, 9) as fused from (select q, id, 1.0::double / (60 + r) as p from la union all select q, id, 0.5::double / (60 + r) from lb) group by q, id)"""
-
-
-def _fused(t: Tables, bench: DataFrame) -> DataFrame:
-    lexical = retrieval.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), bench)
-    docs = t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 3).alias("p"), F.length("text").cast("double").alias("score"))
-    prefix = docs.join(bench.select("q", F.substring("text", 1, 3).alias("p")), "p").select("q", "id", "score")
-    return rank.fuse({"lexical": (lexical, 1.0), "prefix": (prefix, 0.5)})
-
-
-@query(f"with {_FUSED} select * from fu")
-def t7_rank_fusion(t):
-    return _fused(t, _bench(t))
-
-
-def _judged(fused: DataFrame) -> DataFrame:
-    ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("fused"), "id")))
-    return ranked.withColumn("reason", F.when(F.col("fused") < 0.3 / 60, "below_threshold").when(F.col("rank") > 8, "truncated_top_k").otherwise("selected"))
-
-
-@query(f"with {_FUSED}, k as (select *, row_number() over (partition by q order by fused desc, id)::int as rank from fu) select q, id, fused, rank, case when fused < 0.3 / 60 then 'below_threshold' when rank > 8 then 'truncated_top_k' else 'selected' end as reason from k")
-def t9_t10_seeds_and_rejects(t):
-    return _judged(_fused(t, _bench(t)))
-
-
-@query("""with l as (select doc_id, string_split(text, chr(10)) as l from documents), c as (select doc_id, l, unnest(range(0, least(399, ceil(greatest(len(l) - 60, 0) / 45))::int + 1))::int as chunk from l)
+@query("""with l as (select doc_id, string_split(text, chr(10)) as l from documents), c as (select doc_id, l, unnest(range(0, ceil(greatest(len(l) - 60, 0) / 45)::int + 1))::int as chunk from l)
 select doc_id, chunk, chunk * 45 + 1 as start_line, least(chunk * 45 + 60, len(l))::int as end_line, array_to_string(l[chunk * 45 + 1:chunk * 45 + 60], chr(10)) as text from c""")
 def t21_chunks(t):
     return retrieval.chunks(t.documents, "doc_id", "text")
