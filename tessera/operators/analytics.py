@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.reach import strong_components
 from tessera.plans.cuts import cut
 
 #: Weights of edge types in a node's inbound importance; all others count 0.5.
@@ -37,28 +38,16 @@ def dead_nodes(edges: DataFrame, nodes: DataFrame, node_type: str, used_by: tupl
     return nodes.filter(F.col("node_type") == node_type).join(use.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
-def on_cycles(step: DataFrame) -> DataFrame:
-    """The edges (src, dst) left when those from a node that nothing enters, or to one that nothing leaves, are taken off again and again.
-
-    Each round halves no more than a tail, so the rounds are as many as the longest tail; all simple cycles stay.
-    """
-    left = cut(step)
-    size = left.count()
-    while size:
-        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        left, before = cut(kept.select("src", "dst")), size
-        size = left.count()
-        if size == before:
-            break
-    return left
-
-
 def cycles(edges: DataFrame, length: int | None = 3) -> DataFrame:
     """Simple cycles of up to length nodes (None: of any length), each once, from its least node: (n, path).
 
-    Paths grow only over edges that can lie on a cycle, only to nodes beyond their first, and end with the last that grows.
+    Paths grow only inside a strongly connected component, only to nodes beyond their first, and end with the last that
+    grows. A dense component of n nodes has more simple cycles than any power of n, so ask for a length there; the
+    components themselves are reach.strong_components.
     """
-    step = on_cycles(edges.select("src", "dst").filter("src != dst").distinct())
+    step = edges.select("src", "dst").filter("src != dst").distinct()
+    part = strong_components(step)
+    step = cut(step.join(part.toDF("src", "_a"), "src").join(part.toDF("dst", "_b"), "dst").filter("_a = _b").select("src", "dst"))
     path = step.filter("src < dst").select(F.array("src", "dst").alias("path"))
     found, n = None, 2
     while length is None or n <= length:

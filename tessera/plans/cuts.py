@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -21,11 +22,24 @@ def _root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the session's shared folder, so that a loop's plan stays small."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(_root(df.sparkSession))
-    return df.checkpoint()
+    """df written to the session's shared folder and read back, so that a loop's plan, and Spark's estimate of its size, stay small.
+
+    A checkpoint would compute df twice and keep the estimate, which grows with every join of a loop. The folder is removed
+    when the interpreter ends, as any DataFrame may read it until then.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+    except Exception:  # noqa: BLE001  the session has ended; its shared folder goes with it
+        pass
 
 
 def shared_folder(spark: SparkSession) -> str:
