@@ -98,11 +98,16 @@ def _small(t):
     return nodes, t.nation.select(node_id("REGION", "n_regionkey").alias("src"), node_id("NATION", "n_nationkey").alias("dst"), F.lit("CONTAINS").alias("edge_type"))
 
 
-@query(f"""with {_SMALL} select 'dot' as form, 'digraph graph_export {{' as line union all select 'dot', '  node [shape=box];' union all select 'dot', '}}' union all select 'mermaid', 'flowchart LR' union all select 'cypher', ';'
-union all select 'mermaid', '  n' || id || '["' || name || ' (' || node_type || ')"]' from n union all select 'mermaid', '  n' || src || ' -->|' || edge_type || '| n' || dst from e
-union all select 'dot', '  n' || id || ' [label="' || name || ' (' || node_type || ')"];' from n union all select 'dot', '  n' || src || ' -> n' || dst || ' [label="' || edge_type || '"];' from e
-union all select 'cypher', 'CREATE (n' || id || ':Declaration {{id: ' || id || ', name: ''' || name || ''', type: ''' || node_type || '''}})' from n union all select 'cypher', 'CREATE (n' || src || ')-[:' || edge_type || ']->(n' || dst || ')' from e
-union all select 'json', '{{"id":' || id || ',"name":"' || name || '","type":"' || node_type || '"}}' from n union all select 'json', '{{"from":' || src || ',"to":' || dst || ',"type":"' || edge_type || '"}}' from e""")
+@query(f"""with {_SMALL}
+select 'dot' as form, unnest(['digraph {{', '}}']) as line union all select 'mermaid', 'graph TD'
+union all select 'mermaid', '  v' || id || '(["' || node_type || ': ' || name || '"])' from n
+union all select 'mermaid', '  v' || src || ' -- "' || edge_type || '" --> v' || dst from e
+union all select 'dot', '  ' || id || ' [label="' || name || '", class="' || node_type || '"]' from n
+union all select 'dot', '  ' || src || ' -> ' || dst || ' [class="' || edge_type || '"]' from e
+union all select 'cypher', 'MERGE (v:`' || node_type || '` {{id: ' || id || '}}) SET v.name = ''' || name || ''';' from n
+union all select 'cypher', 'MATCH (a {{id: ' || src || '}}), (b {{id: ' || dst || '}}) MERGE (a)-[:`' || edge_type || '`]->(b);' from e
+union all select 'json', '{{"id":' || id || ',"kind":"' || node_type || '","label":"' || name || '"}}' from n
+union all select 'json', '{{"source":' || src || ',"target":' || dst || ',"relation":"' || edge_type || '"}}' from e""")
 def k3_graph_exports(t):
     out = None
     for form in ("dot", "mermaid", "cypher", "json"):

@@ -50,7 +50,8 @@ def test_exports_are_whole_files(spark, tmp_path):
     for form in ("mermaid", "dot", "cypher", "json", "graphml"):
         exports.write_lines(exports.lines(nodes, edges, form), str(tmp_path / form))
     text = lambda form: "".join(p.read_text() for p in sorted((tmp_path / form).glob("part-*")))
-    assert text("mermaid") == "flowchart LR\n  n1[\" (T)\"]\n  n2[\"a'b&c (T)\"]\n  n1 -->|X Y| n2\n"
+    assert text("mermaid") == 'graph TD\n  v1(["T: "])\n  v2(["T: a#34;b#38;c"])\n  v1 -- "X#124;Y" --> v2\n'
+    assert text("dot") == 'digraph {\n  1 [label="", class="T"]\n  2 [label="a\\"b&c", class="T"]\n  1 -> 2 [class="X|Y"]\n}\n'
     import xml.etree.ElementTree as ET
 
     assert [d.text for d in ET.fromstring(text("graphml").encode()).iter("{http://graphml.graphdrawing.org/xmlns}data")][2] == 'a"b&c'
