@@ -7,8 +7,9 @@ differing bits, and sets of SIMILARITY differ in more as a rule; so each set als
 different hash functions, and sets that share a key are candidates too, which two sets of similarity s miss with
 probability (1 - s ** ROWS) ** BANDS: 8 in a million at 0.8 and 2 in a thousand million at 0.85, if minima were ideal.
 Both kinds of candidates are joined into components (one edge for each member of a key's list, so a hot key makes no
-pairs), and within each component all links of SIMILARITY or more are found by a search over the sets themselves, so no
-candidate stays unverified, and a miss is made good where others connect the two.
+pairs; a task sends only the first set that it has of a key), and within each component all links of SIMILARITY or more
+that connect it are found by a search over the sets themselves, so no candidate stays unverified, and a miss is made good
+where others connect the two. A component of over SPLIT sets is searched in blocks, so no task holds it.
 
 Texts are packed into the blocks of substrings.py, stored once and bucketed: rows are named by block and position, and
 what is found of them comes back to their block, so texts do not move again and no list of rows is broadcast.
@@ -26,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
-from tessera.llm.common import components, discard, join_skewed, staged, tasks_for
+from tessera.llm.common import BROADCAST_ROWS, components, discard, join_skewed, staged, tasks_for
 from tessera.llm.simhash import SEED, shingle_hashes
 from tessera.llm.substrings import packed, texts_of
 
 SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 8, 64
 KEYS_PER_TASK, SETS_PER_TASK = 2_000_000, 20_000
+#: Sets of a component above which it is verified in blocks of so many.
+SPLIT = 128
 _DRAW = np.random.default_rng(SEED)
 _XOR = _DRAW.integers(0, 1 << 32, ROWS * BANDS, np.uint32)[:, None]
 _TIMES = _DRAW.integers(0, 1 << 32, ROWS * BANDS, np.uint32)[:, None] | np.uint32(1)
@@ -87,19 +90,34 @@ def _simhash_edges(sets: DataFrame, fps: DataFrame) -> DataFrame:
     return same.unionAll(link.select("fa", "fb"))
 
 
-def _stars(batches):
-    """One task's key lists: from the first set of a list an edge to each other."""
-    held = [(b.column("key").to_numpy(), b.column("set").to_numpy()) for b in batches if b.num_rows]
-    if not held:
-        return
-    key, name = (np.concatenate(x) for x in zip(*held, strict=True))
-    del held
+def _edges(key: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From the first set of each key's list an edge to each other, once; and the keys with their first sets."""
     order = np.lexsort((name, key))
     key, name = key[order], name[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     head = np.repeat(name[first], np.diff(np.r_[first, len(key)]))
-    pairs = np.unique(np.stack([head, name], 1)[head != name], axis=0)
-    yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    return np.unique(np.stack([head, name], 1)[head != name], axis=0), key[first], name[first]
+
+
+def _partial_stars(batches):
+    """Rows (key, a, b) of what a task has of each key: edges without a key, and the key's first set as a, for those of other tasks."""
+    for batch in batches:
+        keys = batch.column("keys")
+        n = np.diff(keys.offsets.to_numpy())
+        if not n.sum():
+            continue
+        edge, key, head = _edges(keys.flatten().to_numpy(), np.repeat(batch.column("set").to_numpy(), n))
+        none = pa.nulls(len(edge), pa.int64())
+        yield pa.record_batch([none, pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["key", "a", "b"])
+        yield pa.record_batch([pa.array(key), pa.array(head), pa.nulls(len(key), pa.int64())], ["key", "a", "b"])
+
+
+def _stars(batches):
+    """One task's lists of keys, each of the first sets that tasks have found, as edges."""
+    held = [(b.column("key").to_numpy(), b.column("a").to_numpy()) for b in batches if b.num_rows]
+    if held:
+        edge, _, _ = _edges(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.record_batch([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["a", "b"])
 
 
 def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -141,6 +159,81 @@ def _verified(similarity: float):
     return run
 
 
+def _crossed(similarity: float):
+    """Links (a, b) between the sets of a group that ask and all others of the group; rows in order of group, those that ask first."""
+
+    def run(batches):
+        group, asks, rest = None, [], []
+
+        def done():
+            if not asks or not rest:
+                return pa.record_batch([pa.array([], pa.int64())] * 2, ["a", "b"])
+            sets = [np.frombuffer(m, np.uint64) for _, m in rest]
+            size, name = np.fromiter(map(len, sets), np.int64, len(sets)), np.array([x for x, _ in rest])
+            values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            begin, out = np.r_[0, np.cumsum(size)[:-1]], []
+            for ask, m in asks:
+                own = np.frombuffer(m, np.uint64)
+                at = np.searchsorted(values, own).clip(max=len(values) - 1)
+                mark = np.zeros(len(values), np.int32)
+                mark[at[values[at] == own]] = 1
+                shared = np.add.reduceat(mark[flat], begin)
+                hit = (shared >= similarity * (size + len(own) - shared) - 1e-9) & (name != ask)
+                out.append(np.stack([np.full(hit.sum(), ask), name[hit]], 1))
+            found = np.concatenate(out)
+            return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = r["root"], r["block"], r["chunk"]
+                if key != group:
+                    if group:
+                        yield done()
+                    group, asks, rest = key, [], []
+                (asks if r["asks"] else rest).append((r["set"], r["members"]))
+                if len(rest) >= 4 * SPLIT:  # a group's rows are about SPLIT, but a hash may give more
+                    yield done()
+                    rest = []
+        if group:
+            yield done()
+
+    return run
+
+
+def _split_links(held: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), staged: links that connect each class of the components of sizes (root, n), without any task that has a component.
+
+    held: (root, set, members). A component's first set is held against all others, dealt in blocks; those that it does not
+    reach, against all in turn, blocks of the one against blocks of the other. Links among the reached would join what is
+    joined already, so no link between classes is left out.
+    """
+    blocks = F.ceil(F.col("n") / SPLIT).cast("long")
+    held = staged(held.join(F.broadcast(sizes), "root") if sizes.count() <= BROADCAST_ROWS else held.join(sizes, "root"), "held")
+    first = held.groupBy("root").agg(F.min("set").alias("set"))
+    own = F.pmod(F.xxhash64("set"), blocks)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    cols = ["root", "block", "chunk", "asks", "set", "members"]
+
+    def links(asking: DataFrame, chunks) -> DataFrame:
+        """asking: rows of held with `chunk`; chunks: how many of them each component has."""
+        rest = held.join(chunks, "root").select("root", own.alias("block"), every(F.col("chunks")).alias("chunk"), F.lit(False).alias("asks"), "set", "members")
+        ask = asking.select("root", every(blocks).alias("block"), "chunk", F.lit(True).alias("asks"), "set", "members")
+        dealt = rest.select(*cols).unionByName(ask.select(*cols)).repartition("root", "block", "chunk").sortWithinPartitions("root", "block", "chunk", F.desc("asks"))
+        return dealt.mapInArrow(_crossed(similarity), "a long, b long")
+
+    pivot = held.join(first, ["root", "set"]).withColumn("chunk", F.lit(0).cast("long"))
+    reached = staged(links(pivot, first.select("root", F.lit(1).cast("long").alias("chunks"))), "reached")
+    far = held.join(reached.select(F.col("b").alias("set")).unionAll(first.select("set")), "set", "left_anti")
+    many = staged(far.groupBy("root").agg(F.ceil(F.count("*") / SPLIT).cast("long").alias("chunks")), "far")
+    if many.isEmpty():
+        discard(held, many)
+        return reached
+    asking = far.join(many, "root").withColumn("chunk", F.pmod(F.xxhash64("set", F.lit(1)), F.col("chunks")))
+    found = staged(reached.unionAll(links(asking, many)), "links")
+    discard(held, reached, many)
+    return found
+
+
 def _members(shingle: int):
     """Rows (root, set, members) of the texts that a block's `found` asks for."""
 
@@ -173,17 +266,28 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = F.struct(F.col("id").isNull().alias("none"), "id", "block", "pos")
     sets = staged(keyed.groupBy("set").agg(F.min(place).alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
     discard(keyed)
-    tasks = tasks_for(spark, sets.count() * BANDS, KEYS_PER_TASK)
-    stars = sets.select("set", F.explode("keys").alias("key")).repartition(tasks, "key").mapInArrow(_stars, "a long, b long")
+    starred = staged(sets.select("set", "keys").mapInArrow(_partial_stars, "key long, a long, b long"), "stars")
+    heads = starred.filter("key is not null").select("key", "a")
+    tasks = tasks_for(spark, heads.count(), KEYS_PER_TASK)
+    stars = starred.filter("key is null").select("a", "b").unionAll(heads.repartition(tasks, "key").mapInArrow(_stars, "a long, b long"))
     fps = _fingerprints(sets)
     near = components(_simhash_edges(sets, fps).unionAll(stars))
     slim = staged(sets.select("set", "least"), "slim")
-    discard(sets, fps)
+    discard(sets, fps, starred)
     members = slim.select("set", "least.block", "least.pos").join(near.withColumnRenamed("node", "set"), "set")
     asked = staged(members.groupBy("block").agg(F.collect_list(F.struct("pos", "root", "set")).alias("found")), "members")
     held = blocks.select("block", "sizes", "body").join(asked, "block").select("sizes", "body", "found").mapInArrow(_members(shingle), "root long, set long, members binary")
+    large = staged(near.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT), "large")
     tasks = tasks_for(spark, near.count(), SETS_PER_TASK)
-    leaders = staged(held.repartition(tasks, "root").mapInArrow(_verified(similarity), "set long, leader long"), "leaders")
+    few = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    leaders = held.join(few, "root", "left_anti").repartition(tasks, "root").mapInArrow(_verified(similarity), "set long, leader long")
+    used = [large]
+    if not large.isEmpty():
+        links = _split_links(held.join(few.select("root"), "root", "left_semi"), large, similarity)
+        used += [links, components(links)]
+        leaders = leaders.unionAll(used[-1].toDF("set", "leader"))
+    leaders = staged(leaders, "leaders")
+    discard(*used)
     labelled = slim.join(leaders, "set", "left").withColumn("leader", F.coalesce("leader", "set"))
     first = labelled.groupBy("leader").agg(F.min("least").alias("least")).select("least.block", "least.pos")
     keep = staged(first.groupBy("block").agg(F.array_sort(F.collect_list("pos")).alias("found")), "stay")
