@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import reach
+from tessera.functions.exprs import STEM_SUFFIXES
+from tessera.operators import reach, waterfall
+from tessera.plans.cuts import cut
 from tessera.plans.registry import query
 
 # -- reachability ------------------------------------------------------------------------------------------------------
@@ -76,3 +78,93 @@ def e13_reresolve(t):
     imports = t.customer.filter("c_custkey % 4 = 0").selectExpr("c_custkey % 50 as file", "concat('T', c_custkey % 43) as name")
     known = loose.filter("edge % 6 = 0").join(methods.filter("target % 2 = 0"), "name").select("caller", "target")
     return reach.reresolve(loose, methods, reach.closure(up), imports, types, known)
+
+
+# -- the waterfall of references ---------------------------------------------------------------------------------------
+
+
+def _declared(t):
+    own = """select p_partkey as target, concat(case when p_partkey % 13 = 0 then upper(p_name) else p_name end, '_', p_size % 9, case when p_partkey % 6 = 0 then 'Impl' else '' end) as name,
+      case when p_partkey % 4 > 0 then p_brand end as owner, concat('Brand#', p_partkey % 25 + 1) as returns,
+      concat('src/m', p_partkey % 40) as folder, concat('f', p_partkey % 11) as stem, p_partkey % 10 = 0 as test from {part}"""
+    types = """select -cast(substr(p_brand, 7) as bigint) as target, p_brand as name, cast(null as string) as owner, cast(null as string) as returns, 'src/types' as folder, 'types' as stem, false as test from {part}"""
+    spark, part = t.spark, t.part
+    return spark.sql(own, part=part).unionByName(spark.sql(types, part=part).distinct())
+
+
+_WORLD = """
+declared as materialized (
+  select p_partkey as target, (case when p_partkey % 13 = 0 then upper(p_name) else p_name end) || '_' || p_size % 9 || (case when p_partkey % 6 = 0 then 'Impl' else '' end) as name,
+    case when p_partkey % 4 > 0 then p_brand end as owner, 'Brand#' || (p_partkey % 25 + 1) as returns, 'src/m' || p_partkey % 40 as folder, 'f' || p_partkey % 11 as stem, p_partkey % 10 = 0 as test from part
+  union select -substr(p_brand, 7)::bigint, p_brand, null, null, 'src/types', 'types', false from part),
+n as (select count(*) as n from part),
+refs as materialized (
+  select o_orderkey as ref, 'src/m' || o_custkey % 40 || '/g' || o_custkey % 7 as file, 'src/m' || o_custkey % 40 as folder,
+    case o_orderkey % 7 when 5 then lower(name) when 6 then name || 'Service' else name end as name,
+    case o_orderkey % 5 when 1 then 'v' || o_custkey % 9 when 2 then 'f' || o_orderkey % 11 when 3 then 'p' || o_custkey % 6 when 4 then 'v' || o_orderkey % 9 end as receiver,
+    case when o_orderkey % 3 = 0 then 'v' || o_orderkey % 9 end as assigned
+  from orders, n join declared on target = o_orderkey % n + 1),
+imports as materialized (
+  select 'src/m' || c_custkey % 40 || '/g' || c_custkey % 7 as file, name, target from customer, n join declared on target = c_custkey % n + 1
+  union all select 'src/m' || c_custkey % 40 || '/g' || c_custkey % 7, 'p' || c_custkey % 6, target from customer join declared on target = -(c_custkey % 27) where c_custkey % 2 = 0),
+variables as materialized (select distinct 'src/m' || c_custkey % 40 || '/g' || c_custkey % 7 as file, 'v' || c_custkey % 9 as receiver, 'Brand#' || (c_custkey % 30) as type from customer where c_custkey % 7 = 0),
+bases as (select distinct p_brand as src, 'Brand#' || (substr(p_brand, 7)::int + 1) as dst from part),
+up as (select src as id, src as own, 0 as depth from (select src from bases union select dst from bases) union select id, dst, depth + 1 from up join bases on own = src where depth < 6),
+has as (
+  select id as type, name, owner from up join (select distinct owner, name from declared where owner is not null) on owner = own
+  qualify row_number() over (partition by id, name order by depth, owner) = 1),
+of_type as materialized (select type, name, min(target) as target from has join declared using (owner, name) group by all having count(distinct target) = 1),
+imported as materialized (select file, name, min(target) as target from imports group by all having count(distinct target) = 1),
+of_import as (select i.file, i.name as receiver, d.name as type from imported i join declared d using (target)),
+by_stem as (select stem as receiver, name, min(target) as target from declared group by all having count(distinct target) = 1),
+few as (select name from declared where not test group by name having count(distinct target) <= 3),
+folded as (select lower(name) as key, min(target) as target from declared group by 1 having count(distinct target) = 1),
+stems as (select lower(regexp_replace(name, '{suffix}', '')) as key, min(target) as target from declared group by 1 having count(distinct target) = 1)"""
+
+
+def _waterfall_sql(passes: int) -> str:
+    """Each rung of each pass as three tables: what it settles, the types known after it, what is left."""
+    out, left, typed = [], "refs", "variables"
+    lone = "select ref, min(target) as target from ({}) group by ref having count(distinct target) = 1"
+    # distances of folders that share src or all: every folder has two parts
+    near = """select ref, target from (select ref, target, case when r.folder = d.folder then 0 else 2 end as dist from {left} r join declared d using (name) join few using (name) where not test)
+      qualify dist = min(dist) over (partition by ref)"""
+    for p in range(1, passes + 1):
+        for rung, body in (
+            ("import", "select ref, target from {left} join imported using (file, name) where receiver is null"),
+            ("receiver_import", lone.format("select ref, target from {left} join of_import using (file, receiver) join of_type using (type, name)")),
+            ("receiver_type", lone.format("select ref, target from {left} join {typed} using (file, receiver) join of_type using (type, name)")),
+            ("module", "select ref, target from {left} join by_stem using (receiver, name)"),
+            ("global", lone.format(near)),
+            ("folded", "select ref, target from {left} join folded on key = lower(name)"),
+            ("stem", "select ref, target from {left} join stems on key = lower(regexp_replace(name, '{suffix}', ''))"),
+        ):
+            own = f"{rung}_{p}"
+            out.append(f"new_{own} as materialized ({body.replace('{left}', left).replace('{typed}', typed)})")
+            out.append(f"typed_{own} as materialized (select * from {typed} union select file, assigned, returns from new_{own} join {left} using (ref) join declared using (target) where assigned is not null and returns is not null)")
+            out.append(f"left_{own} as materialized (select * from {left} where ref not in (select ref from new_{own}))")
+            left, typed = f"left_{own}", f"typed_{own}"
+    every = " union all ".join(f"select ref, target, '{r}' as rung, {p}::int as pass from new_{r}_{p}" for p in range(1, passes + 1) for r in waterfall.RUNGS)
+    return f"with recursive {_WORLD}, {', '.join(out)} {every}"
+
+
+@query(_waterfall_sql(4).replace("{suffix}", f"({'|'.join(STEM_SUFFIXES)})$"))
+def e1_waterfall(t):
+    """Seven rungs over 15 references an import, of which some are settled only by the types that earlier rungs found."""
+    declared = cut(_declared(t))
+    n = t.part.agg(F.count("*").alias("n"))
+    spark = t.spark
+    refs = spark.sql(
+        """select o_orderkey as ref, concat('src/m', o_custkey % 40, '/g', o_custkey % 7) as file, concat('src/m', o_custkey % 40) as folder,
+          case o_orderkey % 7 when 5 then lower(name) when 6 then concat(name, 'Service') else name end as name,
+          case o_orderkey % 5 when 1 then concat('v', o_custkey % 9) when 2 then concat('f', o_orderkey % 11) when 3 then concat('p', o_custkey % 6) when 4 then concat('v', o_orderkey % 9) end as receiver,
+          case when o_orderkey % 3 = 0 then concat('v', o_orderkey % 9) end as assigned
+        from {orders} cross join {n} join {declared} on target = o_orderkey % n + 1""",
+        orders=t.orders, n=F.broadcast(n), declared=declared,
+    )
+    customers = t.customer.crossJoin(F.broadcast(n)).selectExpr("c_custkey", "concat('src/m', c_custkey % 40, '/g', c_custkey % 7) as file", "c_custkey % n + 1 as target")
+    imports = customers.join(declared.select("target", "name"), "target").select("file", "name", "target")
+    of_types = customers.filter("c_custkey % 2 = 0").selectExpr("file", "concat('p', c_custkey % 6) as name", "-(c_custkey % 27) as target").join(declared.select("target"), "target").select("file", "name", "target")
+    variables = customers.filter("c_custkey % 7 = 0").selectExpr("file", "concat('v', c_custkey % 9) as name", "concat('Brand#', c_custkey % 30) as type")
+    bases = t.part.selectExpr("p_brand as src", "concat('Brand#', cast(substr(p_brand, 7) as int) + 1) as dst").distinct()
+    return waterfall.resolve(refs, declared, imports.unionByName(of_types), variables, bases)
