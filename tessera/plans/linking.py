@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import STEM_SUFFIXES
-from tessera.operators import reach, waterfall
+from tessera.operators import generations, reach, routes, waterfall
 from tessera.plans.cuts import cut
 from tessera.plans.registry import query
 
@@ -168,3 +168,102 @@ def e1_waterfall(t):
     variables = customers.filter("c_custkey % 7 = 0").selectExpr("file", "concat('v', c_custkey % 9) as name", "concat('Brand#', c_custkey % 30) as type")
     bases = t.part.selectExpr("p_brand as src", "concat('Brand#', cast(substr(p_brand, 7) as int) + 1) as dst").distinct()
     return waterfall.resolve(refs, declared, imports.unionByName(of_types), variables, bases)
+
+
+# -- routes ------------------------------------------------------------------------------------------------------------
+
+_PATHS = r"""paths as (
+  select page_id, list_filter(string_split(regexp_replace(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '') as s from pages),
+routed as (
+  select page_id, case page_id % 3 when 0 then 'GET' when 1 then 'POST' end as verb,
+    case when page_id % 4 = 0 then list_transform(s, lambda x: case when regexp_matches(x, '^[0-9]+') then '{}' else x end) else s end as s
+  from paths where page_id % 2 = 0 and len(s) > 0),
+called as (
+  select page_id, case page_id % 5 when 0 then 'GET' when 1 then 'POST' when 2 then 'PUT' end as verb,
+    case page_id % 6 when 0 then list_concat(['api', 'v1'], s) when 1 then list_transform(s, lambda x: case when len(x) = 2 then '{}' else x end) else s end as s
+  from paths where len(s) > 0),
+tried as (
+  select page_id as call, verb, s, 0 as tier, 0 as cut from called
+  union all select page_id, verb, s, 1, 0 from called
+  union all select page_id, verb, s[k + 1:], 2, k from (select *, unnest(range(1, len(s) - 1)) as k from called)),
+met as (
+  select call, tier, cut, r.page_id as handler from tried t join routed r on len(t.s) = len(r.s) and (t.verb is null or r.verb is null or t.verb = r.verb)
+    and case when tier = 0 then t.s = r.s else list_bool_and(list_transform(list_zip(t.s, r.s), lambda p: p[1] = p[2] or p[1] = '{}' or p[2] = '{}')) end),
+first as (select * from met qualify rank() over (partition by call order by tier, cut) = 1)"""
+
+
+@query(rf"""with {_PATHS} select call, min(handler) as handler, ['equal', 'pattern', 'suffix'][any_value(tier) + 1] as tier from first group by call having count(distinct handler) = 1""")
+def e11_routes(t):
+    """The one route that serves each call of a page's path: wildcards on either side, verbs, longest endings, refusal of two."""
+    parts = routes.segments(F.col("url"))
+    pages = t.pages.select("page_id", parts.alias("s"))
+    number = F.transform("s", lambda x: F.when(x.rlike("^[0-9]+"), "{id}").otherwise(x))
+    language = F.transform("s", lambda x: F.when(F.length(x) == 2, ":lang").otherwise(x))
+    given = pages.filter("page_id % 2 = 0").select(
+        F.col("page_id").alias("handler"), F.expr("case page_id % 3 when 0 then 'GET' when 1 then 'POST' end").alias("verb"),
+        F.array_join(F.when(F.col("page_id") % 4 == 0, number).otherwise(F.col("s")), "/").alias("path"),
+    )
+    own = F.when(F.col("page_id") % 6 == 0, F.concat(F.array(F.lit("api"), F.lit("v1")), "s")).when(F.col("page_id") % 6 == 1, language).otherwise(F.col("s"))
+    verb = F.expr("case page_id % 5 when 0 then 'GET' when 1 then 'POST' when 2 then 'PUT' end").alias("verb")
+    calls = pages.filter(F.size("s") > 0).select(F.col("page_id").alias("call"), verb, F.array_join(own, "/").alias("path"))
+    return routes.served(calls, given)
+
+
+# -- generations -------------------------------------------------------------------------------------------------------
+
+
+def _written_sql(g: int) -> str:
+    """Generation g of parts: which files are read, what they hold, and the state after it, from that of g - 1."""
+    b = g - 1
+    return f"""
+changed{g} as (select distinct p_brand as file from part where substr(p_brand, 7)::int % 3 <> {g % 3} or {g} = 1),
+new{g} as (
+  select p_partkey as key, p_name || p_size % 4 as name, p_brand as file, case when p_partkey % 17 = 0 then 'DOC' else 'METHOD' end as kind,
+    p_type || (case when p_partkey % 5 = {g} then '{g}' else '' end) as body, case when p_partkey % 4 = {g % 4} then 'seen {g}' end as evidence
+  from part join changed{g} on file = p_brand where p_partkey % 7 <> {g} and p_size % 50 <> {g}),
+links{g} as (select distinct key as src, key * 3 % (select count(*) from part) + 1 as dst, case when key % 6 = 0 then 'IMPORTS' else 'CALLS' end as edge_type from new{g}),
+nodes{g} as materialized (
+  select coalesce(n.key, o.key) as key, coalesce(n.name, o.name) as name, coalesce(n.file, o.file) as file, coalesce(n.kind, o.kind) as kind, coalesce(n.body, o.body) as body,
+    case when n.key is null then o.evidence when n.body = o.body then coalesce(n.evidence, o.evidence) else n.evidence end as evidence,
+    case when n.key is not null then 'APPROVED' when o.file in (select file from changed{g}) and o.kind not in ('FILE', 'DEPENDENCY', 'DOC') then 'ARCHIVED' else o.status end as status,
+    n.key is not null and coalesce(o.status <> 'APPROVED', true) as back
+  from nodes{b} o full join new{g} n on o.key = n.key),
+alive{g} as (select * from nodes{g} where status = 'APPROVED'),
+held{g} as (
+  select e.* from edges{b} e left join nodes{b} s on s.key = e.src where s.file is null or s.file not in (select file from changed{g})
+  union all select src, dst, edge_type, null from links{g}),
+loose{g} as (
+  select src, case when dst in (select key from alive{g}) then dst end as dst, edge_type,
+    case when dst is null then called when dst not in (select key from alive{g}) then (select name from nodes{g} n where n.key = h.dst) end as called
+  from held{g} h where src in (select key from alive{g}) and (dst is null or dst in (select key from alive{g}) or edge_type = 'CALLS')),
+lone{g} as (select name as called, min(key) as target from alive{g} group by name having count(*) = 1 and bool_or(back)),
+edges{g} as materialized (
+  select distinct src, case when l.dst is null and target is not null then target else l.dst end as dst, edge_type, case when l.dst is null and target is null then l.called end as called
+  from loose{g} l left join lone{g} on lone{g}.called = l.called)"""
+
+
+_NONE = """nodes0 as (select 0::bigint as key, '' as name, '' as file, '' as kind, '' as body, '' as evidence, '' as status where false),
+edges0 as (select 0::bigint as src, 0::bigint as dst, '' as edge_type, '' as called where false)"""
+
+
+@query(f"""with {_NONE}, {_written_sql(1)}, {_written_sql(2)}, {_written_sql(3)},
+members as (select 1 as generation, key from alive1 union all select 2, key from alive2 union all select 3, key from alive3)
+select 'node' as part, key as a, null::bigint as b, status as x, coalesce(evidence, '') || '|' || body as y from nodes3
+union all select 'edge', src, dst, edge_type, called from edges3
+union all select 'member', key, generation, null, null from members""")
+def e23_e24_generations(t):
+    """Three generations of parts by brand: nodes, links and membership after the last; calls are lost and found again by name."""
+    spark, n = t.spark, t.part.agg(F.count("*").alias("n"))
+    graph = generations.start(spark)
+    nothing = spark.createDataFrame([], "file string")
+    for g in (1, 2, 3):
+        changed = t.part.filter(f"cast(substr(p_brand, 7) as int) % 3 <> {g % 3} or {g} = 1").select(F.col("p_brand").alias("file")).distinct()
+        new = t.part.withColumnRenamed("p_brand", "file").join(changed, "file").filter(f"p_partkey % 7 <> {g} and p_size % 50 <> {g}").selectExpr(
+            "p_partkey as key", "concat(p_name, p_size % 4) as name", "file", "case when p_partkey % 17 = 0 then 'DOC' else 'METHOD' end as kind",
+            f"concat(p_type, case when p_partkey % 5 = {g} then '{g}' else '' end) as body", f"case when p_partkey % 4 = {g % 4} then 'seen {g}' end as evidence", "'EXTRACTED' as origin",
+        )
+        links = new.crossJoin(F.broadcast(n)).selectExpr("key as src", "key * 3 % n + 1 as dst", "case when key % 6 = 0 then 'IMPORTS' else 'CALLS' end as edge_type")
+        graph = generations.written(graph, g, changed, new, links, nothing)
+    nodes = graph.nodes.selectExpr("'node' as part", "key as a", "cast(null as bigint) as b", "status as x", "concat(coalesce(evidence, ''), '|', body) as y")
+    edges = graph.edges.selectExpr("'edge'", "src", "dst", "edge_type", "called")
+    return nodes.union(edges).union(graph.members.selectExpr("'member'", "key", "cast(generation as bigint)", "cast(null as string)", "cast(null as string)"))
