@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import catalog, codes, linking, links, search, shapes  # noqa: F401 - they register queries
+from tessera.plans import catalog, codes, linking, links, past, search, shapes  # noqa: F401 - they register queries
 from tessera.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
