@@ -26,11 +26,15 @@ def terms(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= 2)
 
 
-def search_text(text: Column) -> Column:
-    """The text, then its names parted at case borders, dots, slashes and underscores; tokens over 2,000 bytes go, and all over 512 KiB."""
-    tokens = F.filter(F.split(text, r"\s+"), lambda t: (t != "") & (F.octet_length(t) <= 2000))
+def search_text(text: Column, token_bytes: int | None = None, most: int | None = None) -> Column:
+    """The text, then its names parted at case borders, dots, slashes and underscores.
+
+    token_bytes: longer tokens are left out; most: characters at most. None for all of them.
+    """
+    tokens = F.filter(F.split(text, r"\s+"), lambda t: (t != "") & (F.lit(token_bytes is None) | (F.octet_length(t) <= (token_bytes or 0))))
     parts = F.flatten(F.transform(tokens, lambda t: F.split(F.regexp_replace(t, r"([a-z0-9])([A-Z])", "$1 $2"), r"[\s./_-]+")))
-    return F.substring(F.concat_ws(" ", tokens, F.filter(parts, lambda p: p != "")), 1, 512 * 1024)
+    whole = F.concat_ws(" ", tokens, F.filter(parts, lambda p: p != ""))
+    return F.substring(whole, 1, most) if most else whole
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sized(touches: DataFrame, least: int, most: int) -> DataFrame:
-    """Touches of commits with least to most items. The sweep filter stands before the self-join, so pairs stay bounded by most for each touch."""
-    size = touches.groupBy("commit").agg(F.count("*").alias("_n")).filter(F.col("_n").between(least, most))
+def sized(touches: DataFrame, least: int, most: int | None) -> DataFrame:
+    """Touches of commits with least to most items (None: any number). The sweep filter stands before the self-join, so pairs stay
+    bounded by most for each touch."""
+    size = touches.groupBy("commit").agg(F.count("*").alias("_n")).filter((F.col("_n") >= least) & (F.lit(most is None) | (F.col("_n") <= (most or 0))))
     return touches.join(size.select("commit"), "commit", "left_semi")
 
 
-def pairs(touches: DataFrame, support: int = 3, most: int = 20) -> DataFrame:
-    """(a, b, n): unordered pairs that at least support commits touch."""
+def pairs(touches: DataFrame, support: int = 3, most: int | None = 20) -> DataFrame:
+    """(a, b, n): unordered pairs that at least support commits touch.
+
+    A commit of more than most items is a sweep that says nothing of any two, and is left out; None counts every commit. An
+    item that fewer commits touch is in no pair, and goes before pairs are formed.
+    """
     t = sized(touches, 2, most).select("commit", "item")
+    t = t.join(t.groupBy("item").agg(F.count_distinct("commit").alias("_n")).filter(F.col("_n") >= support).select("item"), "item", "left_semi")
     other = t.withColumnRenamed("item", "b")
     return t.withColumnRenamed("item", "a").join(other, "commit").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
 

@@ -62,9 +62,12 @@ def dead_commands(events: DataFrame, failed: Column, least: int = 2) -> DataFram
     return out.select("scope", "shape", "fails", F.col("_first")["id"].alias("first_fail"))
 
 
-def rituals(events: DataFrame, failed: Column, half_life_days: float = 30.0, passes: int = 5, weight: float = 3.0, most_failures: float = 0.25, recent: int = 20_000) -> DataFrame:
-    """Habits: shapes whose decayed passes weigh enough, of the newest events of each scope, that fail seldom and not just now."""
-    e = events.withColumn("_bad", failed.cast("int")).withColumn("_k", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("ts"), F.desc("id")))).filter(F.col("_k") <= recent)
+def rituals(events: DataFrame, failed: Column, half_life_days: float = 30.0, passes: int = 5, weight: float = 3.0, most_failures: float = 0.25, recent: int | None = None) -> DataFrame:
+    """Habits: shapes whose decayed passes weigh enough, that fail seldom and not just now. recent: events of a scope at most, the
+    newest; None for all of them."""
+    e = events.withColumn("_bad", failed.cast("int"))
+    if recent:
+        e = e.withColumn("_k", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("ts"), F.desc("id")))).filter(F.col("_k") <= recent)
     e = e.withColumn("_age", (seconds(F.max("ts").over(Window.partitionBy("scope"))) - seconds(F.col("ts"))) / 86400)
     w = Window.partitionBy("scope", "shape").orderBy(F.desc("ts"), F.desc("id"))
     good_before = F.sum(1 - F.col("_bad")).over(w.rowsBetween(Window.unboundedPreceding, 0))
