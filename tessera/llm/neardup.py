@@ -160,7 +160,8 @@ def _verified(similarity: float):
 
 
 def _crossed(similarity: float):
-    """Links (a, b) between the sets of a group that ask and all others of the group; rows in order of group, those that ask first."""
+    """Links (a, b) that connect what is linked between the sets of a group that ask and all others of the group; rows in order of
+    group, those that ask first."""
 
     def run(batches):
         group, asks, rest = None, [], []
@@ -171,15 +172,19 @@ def _crossed(similarity: float):
             sets = [np.frombuffer(m, np.uint64) for _, m in rest]
             size, name = np.fromiter(map(len, sets), np.int64, len(sets)), np.array([x for x, _ in rest])
             values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-            begin, out = np.r_[0, np.cumsum(size)[:-1]], []
+            begin, out, part = np.r_[0, np.cumsum(size)[:-1]], [], np.arange(len(sets))
             for ask, m in asks:
                 own = np.frombuffer(m, np.uint64)
                 at = np.searchsorted(values, own).clip(max=len(values) - 1)
                 mark = np.zeros(len(values), np.int32)
                 mark[at[values[at] == own]] = 1
                 shared = np.add.reduceat(mark[flat], begin)
-                hit = (shared >= similarity * (size + len(own) - shared) - 1e-9) & (name != ask)
-                out.append(np.stack([np.full(hit.sum(), ask), name[hit]], 1))
+                hit = np.flatnonzero((shared >= similarity * (size + len(own) - shared) - 1e-9) & (name != ask))
+                # one link to each part that earlier ones have made, so a group gives no more links than it has sets
+                met, first = np.unique(part[hit], return_index=True)
+                out.append(np.stack([np.full(len(met), ask), name[hit[first]]], 1))
+                if len(met) > 1:
+                    part[np.isin(part, met)] = met[0]
             found = np.concatenate(out)
             return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
