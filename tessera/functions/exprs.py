@@ -118,6 +118,11 @@ def plural(text: Column) -> Column:
     return F.when(text.rlike("(s|x|z|ch|sh)$"), F.concat(text, F.lit("es"))).when(text.rlike("[^aeiou]y$"), F.concat(F.regexp_replace(text, "y$", ""), F.lit("ies"))).otherwise(F.concat(text, F.lit("s")))
 
 
+def table_name(given: Column, entity: Column) -> Column:
+    """The table of an entity: the name that it states, unless empty, else the plural of its own in snake case."""
+    return F.coalesce(F.nullif(given, F.lit("")), plural(snake_case(entity)))
+
+
 def directory_distance(a: Column, b: Column) -> Column:
     """Steps up and down between the folders of two paths."""
     pa_, pb = F.slice(F.split(a, "/"), 1, F.greatest(F.size(F.split(a, "/")) - 1, F.lit(0))), F.slice(F.split(b, "/"), 1, F.greatest(F.size(F.split(b, "/")) - 1, F.lit(0)))

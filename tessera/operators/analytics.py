@@ -63,10 +63,11 @@ def cycles(edges: DataFrame, length: int | None = 3) -> DataFrame:
     return found
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float | None = 1e-9) -> DataFrame:
     """Personalised PageRank over undirected weighted edges (src, dst, weight); restart and dangling mass go to the seeds (id).
 
-    A fixed number of rounds; each is one join on the node and one aggregation, and the plan is cut after each.
+    Rounds end when the ranks move by no more than the tolerance in sum (None: never before `rounds`). Each is one join on the
+    node and one aggregation, and the plan is cut after each.
     """
     both = edges.filter("src != dst").select("src", "dst", "weight").unionAll(edges.filter("src != dst").select(F.col("dst"), F.col("src"), "weight"))
     both = cut(both.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("w")))
@@ -79,7 +80,9 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, damping: floa
     for _ in range(rounds):
         moved = rank.join(step, rank["id"] == step["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
         stuck = rank.join(out, rank["id"] == out["src"], "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("stuck"))
-        rank = cut(base.select("id", "s").join(moved, "id", "left").crossJoin(F.broadcast(stuck)).select("id", "s", (damping * (F.coalesce("got", F.lit(0.0)) + F.col("stuck") * F.col("s")) + (1 - damping) * F.col("s")).alias("rank")))
+        rank = cut(rank.select("id", "s", "rank").join(moved, "id", "left").crossJoin(F.broadcast(stuck)).select("id", "s", (damping * (F.coalesce("got", F.lit(0.0)) + F.col("stuck") * F.col("s")) + (1 - damping) * F.col("s")).alias("rank"), F.col("rank").alias("was")))
+        if tolerance is not None and (rank.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) <= tolerance:
+            break
     return rank.select("id", F.round("rank", 6).alias("rank"))
 
 

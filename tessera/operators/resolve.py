@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import jaccard
+from tessera.plans.cuts import cut
 
 
 def unique_or_refuse(candidates: DataFrame, keys: list[str], target: str = "target", rung: str = "rung") -> DataFrame:
@@ -64,13 +65,42 @@ def near_misses(names: DataFrame, asked: DataFrame, distance: int = 3) -> DataFr
     return met.withColumn("distance", F.levenshtein("a", "b")).filter(F.col("distance") <= distance)
 
 
+#: Characters of the runs by which names are looked for in texts.
+GRAM = 3
+
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct runs of characters of the given lengths."""
+
+    def runs(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substring(text, k, F.lit(n)))
+        return F.when(F.length(text) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*map(runs, sizes))))
+
+
 def contained_name(left: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """Rows of left and names where the name occurs in the text: each text is cut at every place into the lengths that names
-    have, and the cuts meet the names by equality, so no text meets a name that it does not hold."""
-    lengths = F.broadcast(names.agg(F.collect_set(F.length(name)).alias("_lengths")))
-    places = F.flatten(F.transform("_lengths", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda k: F.substring(F.col(text), k, n))))
-    cuts = left.crossJoin(lengths).withColumn("_cut", F.explode(F.array_distinct(places))).drop("_lengths")
-    return cuts.join(names.filter(F.length(name) > 0), F.col("_cut") == F.col(name)).drop("_cut")
+    """Rows of left and names where the name occurs in the text; an empty name occurs in none.
+
+    A name is looked for by the one of its runs of GRAM characters (all of a shorter name) that fewest texts hold, counted over
+    the texts; texts that hold it are then held against the whole name. So work grows with the texts' lengths, and with the
+    matches of rare runs, not with the product of both sides.
+    """
+    known = names.filter(F.length(name) > 0)
+    sizes = sorted(r[0] for r in known.select(F.least(F.length(name), F.lit(GRAM))).distinct().collect())  # three at most
+    if not sizes:
+        return left.crossJoin(names.limit(0))
+    own = known.select(name).distinct()
+    asked = own.select(F.col(name).alias("_name"), F.explode(F.filter(_grams(F.col(name), sizes), lambda g: F.length(g) == F.least(F.length(name), F.lit(GRAM)))).alias("_g"))
+    asked = cut(asked)
+    cuts = left.withColumn("_g", F.explode(_grams(F.col(text), sizes)))
+    held = cuts.select("_g").join(asked.select("_g").distinct(), "_g").groupBy("_g").agg(F.count("*").alias("_n"))
+    rarest = asked.join(held, "_g").groupBy("_name").agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"), F.count("*").alias("_met"))
+    # a name of which some run is in no text occurs in none
+    whole = asked.groupBy("_name").agg(F.count("*").alias("_all"))
+    chosen = cut(rarest.join(whole, "_name").filter("_met = _all").select("_name", "_g"))
+    found = cuts.join(chosen, "_g").filter(F.contains(F.col(text), F.col("_name"))).drop("_g")
+    return found.join(known, found["_name"] == known[name]).drop("_name")
 
 
 def narrow(candidates: DataFrame, keys: list[str], flag: str) -> DataFrame:

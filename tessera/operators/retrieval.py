@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.rank import top_per
+from tessera.operators.resolve import contained_name
 from tessera.operators.traverse import walk
 
 
@@ -23,19 +24,45 @@ def chunks(docs: DataFrame, key: str, text: str, size: int = 60, overlap: int =
     return rows.select(key, "chunk", start.alias("start_line"), F.least(start + size - 1, n).alias("end_line"), F.array_join(F.slice("_l", start, F.lit(size)), "\n").alias("text"))
 
 
+#: How well a needle meets a node by name, file name and path, best first; types of manifests, which count only
+#: from MANIFEST_LEAST on; members of a tier that stay where it has more than the limit.
+TIERS = {"name": 1.0, "file": 0.98, "basename": 0.97, "path": 0.95, "name_starts": 0.75, "name_holds": 0.6, "path_holds": 0.5}
+MANIFESTS, MANIFEST_LEAST, FLOOD = ("DEPENDENCY", "CONFIG_VALUE", "MANIFEST"), 0.95, 8
+
+
 def exact(nodes: DataFrame, needles: DataFrame, limit: int = 16) -> DataFrame:
-    """(q, id, score, hits, rank): the best of each node's matches of its query's needles, by name tier.
+    """(q, id, score, hits, rank): the best of each node's matches of its query's needles (q, needle), by TIERS.
 
-    Equal name 1, name that starts with the needle .75, name that holds it .6. A tier of more nodes than limit keeps 8.
+    nodes: (id, name), and where known node_type and path. A tier of more nodes than limit keeps FLOOD. Needles meet names and
+    paths by their rarest runs of characters, so no node meets a needle that neither of them holds.
     """
-    low, needle = F.lower("name"), F.lower("needle")
-    score = F.when(low == needle, 1.0).when(low.startswith(needle), 0.75).when(F.contains(low, needle), 0.6).otherwise(0.0)
-    met = nodes.select("id", "name").crossJoin(F.broadcast(needles)).select("q", "id", "name", score.alias("score")).filter("score > 0")
+    path = F.coalesce("path", F.lit("")) if "path" in nodes.columns else F.lit("")
+    kind = F.col("node_type") if "node_type" in nodes.columns else F.lit("")
+    rows = nodes.select("id", "name", kind.alias("node_type"), F.lower("name").alias("_low"), F.lower(path).alias("_path"))
+    both = rows.withColumn("_text", F.concat_ws("\n", "_low", "_path"))
+    low = needles.filter(~F.col("needle").contains("\n")).select("q", F.lower("needle").alias("needle"), F.col("needle").alias("_given"))
+    met = contained_name(both, "_text", low, "needle")
+    base, need = F.regexp_extract("_path", r"([^/]*)$", 1), F.col("needle")
+    rules = [
+        ("name", F.col("_low") == need),
+        ("file", (F.col("node_type") == "FILE") & (base == need)),
+        ("basename", base == need),
+        ("path", F.col("_path") == need),
+        ("name_starts", F.col("_low").startswith(need)),
+        ("name_holds", F.contains("_low", need)),
+        ("path_holds", F.contains("_path", need)),
+    ]
+    score = F.coalesce(*[F.when(rule, TIERS[name]) for name, rule in rules])
+    met = met.withColumn("score", score).filter("score > 0").filter(~F.col("node_type").isin(*MANIFESTS) | (F.col("score") >= MANIFEST_LEAST))
     node = met.groupBy("q", "id").agg(F.max("score").alias("score"), F.count("*").alias("hits"), F.first("name").alias("name"))
-    tier = Window.partitionBy("q", "score")
-    node = node.withColumn("_n", F.count("*").over(tier)).withColumn("_r", F.rank().over(tier.orderBy(F.desc("hits"), "id")))
-    node = node.filter((F.col("_n") <= limit) | (F.col("_r") <= 8))
-    return top_per(node.drop("_n", "_r"), ["q"], [F.desc("score"), F.desc("hits"), F.length("name"), F.col("id")], limit).drop("name")
+    size = node.groupBy("q", "score").agg(F.count("*").alias("_n"))
+    order = [F.desc("hits"), F.col("id")]
+    # the first FLOOD of a tier are found in parts before they meet
+    part = Window.partitionBy("q", "score", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy(*order)
+    near = node.withColumn("_p", F.row_number().over(part)).filter(F.col("_p") <= max(limit, FLOOD))
+    near = near.withColumn("_r", F.rank().over(Window.partitionBy("q", "score").orderBy(*order))).join(size, ["q", "score"])
+    near = near.filter((F.col("_n") <= limit) | (F.col("_r") <= FLOOD))
+    return top_per(near.drop("_n", "_r", "_p"), ["q"], [F.desc("score"), F.desc("hits"), F.length("name"), F.col("id")], limit).drop("name")
 
 
 def graph_channel(edges: DataFrame, seeds: DataFrame, edge_types: tuple[str, ...], first: int = 12, limit: int = 12) -> DataFrame:

@@ -34,7 +34,9 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def blast_radius(edges: DataFrame, nodes: DataFrame, changed: DataFrame, depth: int = 2, limit: int = 25, source_types: tuple[str, ...] = ("ORDER",)) -> DataFrame:
     """Nodes that reach the changed ones, the nearest first, source types before others, then by id; limit of them with the count of all."""
+    edges = cut(edges.select("src", "dst").distinct())  # read by every hop
     hit = walk(edges, changed, depth, "in").filter("depth > 0").join(nodes.select("id", "node_type", "name"), "id")
+    hit = cut(hit)
     total = hit.agg(F.count("*").alias("total"))
     other = F.when(F.col("node_type").isin(*source_types), 0).otherwise(1).alias("other")
     top = hit.select("*", other).orderBy("depth", "other", "id").limit(limit)

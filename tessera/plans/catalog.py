@@ -147,7 +147,7 @@ r0 as (select id, case when id in (0, 1, 2) then 1.0 / 3 else 0.0 end::double as
 @query(_ppr_sql())
 def g3_personalised_pagerank(t):
     seeds = t.nation.filter("n_nationkey in (0, 1, 2)").select(F.col("n_nationkey").alias("id"))
-    return analytics.pagerank(t.trade, seeds, rounds=8)
+    return analytics.pagerank(t.trade, seeds, rounds=8, tolerance=None)
 
 
 @query("""with b as (select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey % 10 <> 3), a as (select o_orderkey, o_orderstatus, case when o_orderkey % 10 = 5 then 0 else o_totalprice end as o_totalprice from orders where o_orderkey % 10 <> 4)
@@ -295,9 +295,19 @@ def c15_url_path(t):
     return t.pages.select("page_id", X.url_path(F.col("url")).alias("path"))
 
 
-@query("select p_partkey, array_to_string(string_split(p_type, ' '), '_') as snake, lower(p_type) as low from part")
+_ENTITY = """array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') || case p_partkey % 6 when 0 then 'Box' when 1 then 'Baby' when 2 then 'Bus' when 3 then 'Day' when 4 then 'Watch' else '' end"""
+
+
+@query(rf"""with e as (select p_partkey, {_ENTITY} as entity, case when p_partkey % 7 = 0 then 'T_' || p_size when p_partkey % 7 = 1 then '' end as given from part),
+s as (select *, lower(regexp_replace(entity, '([a-z0-9])([A-Z])', '\1_\2', 'g')) as snake from e),
+p as (select *, case when regexp_matches(snake, '(s|x|z|ch|sh)$') then snake || 'es' when regexp_matches(snake, '[^aeiou]y$') then snake[:-2] || 'ies' else snake || 's' end as plural from s)
+select p_partkey, snake, plural, case when given <> '' then given else plural end as table_name from p""")
 def c17_snake_case(t):
-    return t.part.select("p_partkey", F.array_join(F.split("p_type", " "), "_").alias("snake"), F.lower("p_type").alias("low"))
+    """Names of tables: what an entity states, else the plural of its name in snake case."""
+    entity = F.concat(F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.expr("case p_partkey % 6 when 0 then 'Box' when 1 then 'Baby' when 2 then 'Bus' when 3 then 'Day' when 4 then 'Watch' else '' end"))
+    given = F.expr("case when p_partkey % 7 = 0 then concat('T_', p_size) when p_partkey % 7 = 1 then '' end")
+    snake = X.snake_case(entity)
+    return t.part.select("p_partkey", snake.alias("snake"), X.plural(snake).alias("plural"), X.table_name(given, entity).alias("table_name"))
 
 
 @query(r"select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '(?i)\b(bearer\s+)[A-Za-z0-9._-]{8,}', '\1[token]', 'g'), '\b[A-Fa-f0-9]{32,}\b', '[hex]', 'g') as text from documents")

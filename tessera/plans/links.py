@@ -69,9 +69,19 @@ def e14_partials(t):
     return inherit.partials(t.part, ["p_brand", "p_type"], "p_partkey")
 
 
-@query(f"with {SQL_EDGES}, {SQL_NODES} select (select count(*) from nodes where node_type = 'PART') as nodes, (select count(*) from edges where edge_type = 'IMPORTS') as edges, 'error' as verdict")
+_CHECKED = [("PART", "IMPORTS"), ("ORDER", "CALLS"), ("COUNTRY", "IMPORTS"), ("CUSTOMER", "DEPENDS_ON"), ("REGION", "EXTENDS")]
+
+
+@query(f"""with {SQL_EDGES}, {SQL_NODES}, c(kind, edge_type) as (values {', '.join(map(str, _CHECKED))}),
+n as (select kind, c.edge_type, (select count(*) from nodes where node_type = kind) as nodes, (select count(*) from edges e where e.edge_type = c.edge_type) as edges from c)
+select *, case when nodes > 0 and edges = 0 then 'error' else 'ok' end as verdict from n""")
 def g5_coverage_assertion(t):
-    return inherit.coverage_assertion(t.nodes, t.edges, "PART", "IMPORTS")
+    """Kinds of nodes that ought to have edges of a type: with both, without edges, without nodes."""
+    out = None
+    for kind, edge_type in _CHECKED:
+        row = inherit.coverage_assertion(t.nodes, t.edges, kind, edge_type).withColumn("kind", F.lit(kind)).withColumn("edge_type", F.lit(edge_type))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("""select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_quantity desc, case when l_returnflag <> 'N' then l_linenumber end nulls last, l_suppkey, l_partkey::varchar || '/' || l_linenumber)::int as rank from lineitem""")
