@@ -5,7 +5,7 @@ finds its proportions from the trigram likelihoods, and the number of languages
 likelihood. The answer is the language of largest proportion, and its proportion is the score.
 
 Defined cases: a text that is null or has no letter gets `und` and score 0; with no labelled row every text is `und`;
-a label with one row still counts as a language; ties go to the language first in name order; ids may repeat or be
+a label with one row still counts as a language, unless LANGUAGES others have more; ties go to the language first in name order; ids may repeat or be
 null, each row is answered by itself; only the id and text columns are read, so others may have any name.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import held_out, slices
 
 BUCKETS = 1 << 16
+#: Languages that are learned at most, those of most rows, then by name; so the table has a bounded size.
+LANGUAGES = 256
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes that are no letters become spaces.
 _PLAIN = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
@@ -56,8 +58,14 @@ def _count(batches):
 
 
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(language names, likelihood table) of rows (lang, text). All rows count; the driver gets BUCKETS x languages sums."""
-    rows = labelled.select("lang", "text").filter("lang is not null and text is not null").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    """(language names, likelihood table) of rows (lang, text). All rows of a language count; the driver gets BUCKETS sums of each of
+    LANGUAGES at most."""
+    given = labelled.select("lang", "text").filter("lang is not null and text is not null")
+    known = given.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").select("lang").limit(LANGUAGES + 1)
+    known = [r["lang"] for r in known.collect()]
+    if len(known) > LANGUAGES:
+        given = given.filter(F.col("lang").isin(known[:LANGUAGES]))
+    rows = given.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(rows["lang"].unique())
     counts = np.full((BUCKETS, len(names)), 0.5)
     for k, name in enumerate(names):

@@ -48,7 +48,9 @@ class Splitter:
         tok = Tokenizer.from_file(path)
         spec = json.loads(tok.to_str())
         added = spec.get("added_tokens") or []
-        plain = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and spec["model"]["type"] == "BPE"
+        first = spec.get("pre_tokenizer") or {}
+        plain = spec.get("normalizer") is None and first.get("type") == "ByteLevel" and spec["model"]["type"] == "BPE"
+        plain = plain and not first.get("add_prefix_space") and first.get("use_regex", True)  # else pre-tokens are others than PATTERN's
         if not plain or any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added):
             raise ValueError(f"{path}: only byte-level BPE without a normaliser, and added tokens that match as they are")
         self.tokenizer = tok

@@ -2,8 +2,8 @@
 
 A text is the set of its hashed byte n-grams (orders ORDERS over letters, other ASCII as spaces). Each n-gram has the
 log ratio of its smoothed document frequency under the two labels; logistic regression is fitted on the so scaled
-features. The fit is on a bounded sample of labelled rows (SAMPLE of each label, by hash order of the id); every row
-is scored.
+features. The fit is on a bounded sample of labelled rows (SAMPLE of each label and SAMPLE_BYTES of their texts, by hash
+order of the id); every row is scored.
 
 Texts stay on the executors: they count document frequencies, of which the driver gets the 2 ** BITS sums at most, and
 then send for each sampled row the numbers of its n-grams that tell something. ORDERS were chosen on a split of the
@@ -27,8 +27,8 @@ from tessera.llm.quality import labelled, sample_ids
 
 ORDERS = (6, 7)
 BITS = 20
-#: Labelled rows of each label that a model is fitted on, at most.
-SAMPLE = 3_000
+#: Labelled rows of each label that a model is fitted on, and bytes of their texts, at most.
+SAMPLE, SAMPLE_BYTES = 3_000, 48 << 20
 _LETTERS = bytes(c | 32 if chr(c).isalpha() and c < 128 else c if c > 127 else 32 for c in range(256))
 
 
@@ -104,6 +104,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
         some = own if some is None else some.unionAll(own)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = staged(labelled(docs, some, id_col, text_col).withColumn("label", F.col("label").cast("int")).repartition(tasks_for(spark, 2 * rows, 250), "id"), "labelled")
+    # the driver gets some numbers for each byte of these, so they are bounded too: SAMPLE sizes of each label at most
+    room, over = {0: SAMPLE_BYTES, 1: SAMPLE_BYTES}, []
+    for r in texts.select("id", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("id"), "id", "label").collect():
+        room[r["label"]] -= r["size"]
+        if room[r["label"]] < 0:
+            over.append(r["id"])
+    texts = texts.filter(~F.col("id").isin(over)) if over else texts
     sizes = texts.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     counts = texts.select("text", "label").mapInArrow(_frequencies, "gram int, pos long, df long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("df").alias("df")).toArrow()
     pos, df = np.zeros(1 << BITS), np.zeros(1 << BITS)
