@@ -180,7 +180,7 @@ select scope, fail_id, max(id) filter (kind = 'purchase') as pass_id, count(*) f
 from p where passed = 0 group by scope, session, fail_id having count(*) filter (kind = 'purchase') > 0""")
 def r24_fail_fix_stream(t):
     rows = streams.read(t.spark, f"{t.sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.col("user_id").alias("scope"), "ts", F.col("event_type").alias("kind"))
-    return streams.drained(streams.fail_fix(rows, "error", ("click", "view"), "purchase", 259_200))
+    return streams.drained(streams.fail_fix(rows, "error", ("click", "view"), "purchase", 259_200)).filter(F.col("verdict") != streams.LATE)
 
 
 @query("select event_id, user_id from events")

@@ -1,7 +1,8 @@
 """Event streams: fail-to-fix per scope with kept state, replay without repeats, session windows.
 
 Events are rows (id, scope, ts, kind). Within a micro-batch a scope's rows are put in order (ts, id); a row older than
-what the scope's state has seen is late and is dropped, as order decides which edit lies between a failure and a pass.
+what the scope's state has seen is late: order decides which edit lies between a failure and a pass, so it changes nothing
+any more, but it is told, as a row of the verdict LATE, and can be counted or replayed.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.plans.cuts import shared_folder
 
+LATE = "late"
 OUT = "scope long, fail_id long, pass_id long, edits long, verdict string"
 STATE = "last_us long, last_id long, fail_id long, edits long"
 
 
 def fail_fix(events: DataFrame, fail: str, edit: tuple[str, ...], done: str, gap: float = 1800.0) -> DataFrame:
-    """(scope, fail_id, pass_id, edits, verdict): each failure with the next pass of its session, as in memory.fail_fix, but over a stream.
+    """(scope, fail_id, pass_id, edits, verdict): each failure with the next pass of its session, as in memory.fail_fix, but over a stream;
+    and a row (scope, null, id, null, LATE) for each late event. An event that comes twice is late the second time.
 
     A failure replaces the one before; idle time of strictly more than gap seconds clears the state. A scope's state is four
     numbers, whatever it has seen; a batch's rows of one scope are bounded by the source's rate limit (maxFilesPerTrigger).
@@ -33,6 +36,7 @@ def fail_fix(events: DataFrame, fail: str, edit: tuple[str, ...], done: str, gap
         out = []
         for us, i, kind in zip(rows["us"], rows["id"], rows["kind"]):
             if last_us is not None and (us, i) <= (last_us, last_id):
+                out.append((key[0], None, int(i), None, LATE))
                 continue
             if last_us is not None and us - last_us > gap_us:
                 armed, edits = -1, 0
@@ -45,7 +49,7 @@ def fail_fix(events: DataFrame, fail: str, edit: tuple[str, ...], done: str, gap
                 out.append((key[0], armed, int(i), edits, "observation" if edits else "flaky"))
                 armed, edits = -1, 0
         state.update((last_us, last_id, armed, edits))
-        yield pd.DataFrame(out, columns=["scope", "fail_id", "pass_id", "edits", "verdict"])
+        yield pd.DataFrame(out, columns=["scope", "fail_id", "pass_id", "edits", "verdict"]).astype({"fail_id": "Int64", "edits": "Int64"})
 
     slim = events.filter("scope is not null and id is not null and ts is not null").select("scope", "id", "kind", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return slim.groupBy("scope").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)

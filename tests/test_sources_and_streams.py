@@ -36,12 +36,12 @@ def test_history_reads_every_slice_once(spark, tmp_path):
 
 
 def test_state_is_kept_across_batches(spark, tmp_path):
-    rows = [(1, 7, "2024-01-01 00:00:00", "fail"), (2, 7, "2024-01-01 00:01:00", "edit"), (3, 7, "2024-01-01 00:02:00", "pass"), (4, 7, "2024-01-01 00:03:00", "fail"), (5, 7, "2024-01-01 01:00:00", "pass"), (6, None, "2024-01-01 01:00:00", "pass"), (7, 8, "2024-01-01 00:00:00", "fail"), (8, 8, "2024-01-01 00:30:00", "pass")]
+    rows = [(1, 7, "2024-01-01 00:00:00", "fail"), (2, 7, "2024-01-01 00:01:00", "edit"), (3, 7, "2024-01-01 00:02:00", "pass"), (4, 7, "2024-01-01 00:03:00", "fail"), (5, 7, "2024-01-01 01:00:00", "pass"), (6, None, "2024-01-01 01:00:00", "pass"), (7, 8, "2024-01-01 00:00:00", "fail"), (8, 8, "2024-01-01 00:30:00", "pass"), (9, 8, "2024-01-01 00:10:00", "edit")]
     df = spark.createDataFrame(rows, "id long, scope long, ts string, kind string").withColumn("ts", F.col("ts").cast("timestamp"))
-    for k in range(1, 9):  # a file a row, so that each micro-batch holds one event
+    for k in range(1, 10):  # a file a row, so that each micro-batch holds one event
         df.filter(F.col("id") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = streams.drained(streams.fail_fix(streams.read(spark, str(tmp_path / "in/*.parquet"), 1), "fail", ("edit",), "pass"))
-    assert {tuple(r) for r in got.collect()} == {(7, 1, 3, 1, "observation"), (8, 7, 8, 0, "flaky")}
+    assert {tuple(r) for r in got.collect()} == {(7, 1, 3, 1, "observation"), (8, 7, 8, 0, "flaky"), (8, None, 9, None, "late")}
 
 
 def test_exports_are_whole_files(spark, tmp_path):
