@@ -92,20 +92,24 @@ class Encoder:
             self.pretokens = regex.compile(rf"\n|{steps[0]['pattern']['Regex']}").findall
             self.lower = "Lowercase" in str(spec["normalizer"])
             self.runs, self.parts = _Kept(), _Kept()  # parts: pre-tokens
+            # the same model for what is normalised and split already
+            bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None}
+            bare["pre_tokenizer"] = bare["pre_tokenizer"] | {"pretokenizers": steps[1:]}
+            self.bare = Tokenizer.from_str(json.dumps(bare))
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def _ids(self, text: str, by=None) -> np.ndarray:
+        return np.array((by or self.tokenizer).encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _ask(self, names: list[str], into: _Kept) -> None:
+    def _ask(self, names: list[str], into: _Kept, by=None) -> None:
         """Encodes names, as one text in which a special token, that always splits, stands between them."""
         for k in range(0, len(names), ASKED):
             part = [x for x in names[k : k + ASKED] if self.mark not in x]
-            ids = self._ids(self.mark.join(part))
+            ids = self._ids(self.mark.join(part), by)
             ends = np.flatnonzero(ids == self.mark_id)
             size = np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
             into.add(part, ids[ids != self.mark_id], size[: len(part)])
             for odd in (x for x in names[k : k + ASKED] if self.mark in x):
-                ids = self._ids(odd)
+                ids = self._ids(odd, by)
                 into.add([odd], ids, np.array([len(ids)]))
 
     def _numbers(self, runs: list[str]) -> np.ndarray:
@@ -116,7 +120,8 @@ class Encoder:
         if len(self.runs.number) > KEPT:
             self.runs = _Kept()
             numbers[:] = -1
-        missing = [runs[k] for k in np.flatnonzero(numbers < 0).tolist()]
+        new = np.flatnonzero(numbers < 0)
+        asked = missing = [runs[k] for k in new.tolist()]
         safe = "\n".join(missing)
         if not _SAFE(safe) or self.special(safe):
             odd = [r for r in missing if not _SAFE(r) or self.special(r)]
@@ -128,13 +133,14 @@ class Encoder:
             found = self.pretokens(safe.lower() if self.lower else safe)
             if len(self.parts.number) > KEPT:
                 self.parts = _Kept()
-            self._ask([p for p in set(found) if p != "\n" and p not in self.parts.number], self.parts)
+            self._ask([p for p in set(found) if p != "\n" and p not in self.parts.number], self.parts, self.bare)
             part = self.parts.numbers(found)  # -1: a line feed, between runs
             of_run = np.cumsum(part < 0)[part >= 0]
             ids, _ = self.parts.together(part[part >= 0])
             size = np.bincount(of_run, self.parts.size[part[part >= 0]], len(missing)).astype(np.int64)
             self.runs.add(missing, ids, size)
-        return self.runs.numbers(runs)
+        numbers[new] = self.runs.numbers(asked)
+        return numbers
 
     def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's end."""
