@@ -191,3 +191,25 @@ def failure(text: Column) -> Column:
 
     kinds = [met("environment", *x) for x in SURROUNDINGS.items()] + [met("code", *x) for x in FAULTS.items()]
     return F.coalesce(F.when(F.size(lines) == 0, said("environment", "empty", F.lit(""))), *kinds, said("environment", "unrecognised", F.lit("")))
+
+
+def json_length(text: Column) -> Column:
+    """Items of a JSON array; null for anything else."""
+    return F.json_array_length(text)
+
+
+def json_set(text: Column, key: str, value: Column) -> Column:
+    """A JSON object with the key set to a JSON value, whatever it was before; what is no object counts as an empty one."""
+    return json_merge(text, F.concat(F.to_json(F.create_map(F.lit(key), F.lit(0))).substr(F.lit(1), F.lit(len(key) + 4)), value, F.lit("}")))
+
+
+def json_remove(text: Column, *keys: str) -> Column:
+    """A JSON object without the keys; what is no object counts as an empty one."""
+    held = F.coalesce(F.from_json(text, "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+    return F.to_json(F.map_filter(held, lambda k, _: ~k.isin(*keys)))
+
+
+def json_each(df: DataFrame, column: str) -> DataFrame:
+    """df without the column, once for each member of its JSON object: `key` and `value`, as JSON; none for what is no object."""
+    held = F.from_json(F.col(column), "map<string,variant>")
+    return df.select(*[c for c in df.columns if c != column], F.explode(held).alias("key", "_v")).withColumn("value", F.coalesce(F.to_json("_v"), F.lit("null"))).drop("_v")

@@ -60,3 +60,9 @@ def volatility(touches: DataFrame) -> DataFrame:
 def change_type(files: Column, nodes: Column, added: Column, removed: Column) -> Column:
     """Bulk, additive, alter or unknown, in that order."""
     return F.when((files > 8) | (nodes > 12), "bulk").when((added > 0) & (removed == 0), "additive").when(removed > 0, "alter").otherwise("unknown")
+
+
+def file_plane(touches: DataFrame, owners: DataFrame, support: int = 3, most: int | None = 20) -> DataFrame:
+    """pairs() of files instead of items: (a, b, n). owners: (item, file); a commit touches each file once."""
+    of_file = touches.join(owners.select("item", "file"), "item").select("commit", F.col("file").alias("item")).distinct()
+    return pairs(of_file, support, most)

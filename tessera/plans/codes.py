@@ -158,3 +158,17 @@ def c6_greatest_or_null(t):
     size = F.when(F.col("p_size") % 3 != 0, F.col("p_size").cast("double"))
     key = F.when(F.col("p_partkey") % 5 != 0, (F.col("p_partkey") % 50).cast("double"))
     return t.part.select("p_partkey", X.greatest_or_null(size, key, F.lit(0.36)).alias("top"))
+
+
+@query("""with x as (select p_partkey, p_size, p_brand from part)
+select p_partkey, case p_partkey % 3 when 0 then 3 when 1 then 0 end as items, k as key, case k when 'a' then case when p_partkey % 2 = 0 then p_size::varchar else 'null' end when 'b' then '[1,"x"]' else '"' || p_brand || '"' end as value
+from x, (select unnest(['a', 'b', 'c']) as k) where k <> 'b' or p_partkey % 5 > 0""")
+def c5_json_changes(t):
+    """Lengths of arrays, and the members of objects after keys were set and removed."""
+    array = F.expr("case p_partkey % 3 when 0 then '[1,[2],{}]' when 1 then '[]' else '{}' end")
+    given = F.expr("""case when p_partkey % 2 = 0 then '{"a":1,"b":[1,"x"],"d":0}' else '{"a":null,"b":[1,"x"]}' end""")
+    changed = C.json_set(C.json_remove(given, "d"), "c", F.to_json(F.struct("p_brand")).substr(F.lit(12), F.length("p_brand") + 2))
+    changed = F.when(F.col("p_partkey") % 2 == 0, C.json_set(changed, "a", F.col("p_size").cast("string"))).otherwise(changed)
+    changed = F.when(F.col("p_partkey") % 5 == 0, C.json_remove(changed, "b", "none")).otherwise(changed)
+    rows = t.part.select("p_partkey", C.json_length(array).alias("items"), changed.alias("o"))
+    return C.json_each(rows, "o")

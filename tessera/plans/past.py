@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import history
+from tessera.operators import coupling, history
+from tessera.plans.graphview import SQL_TOUCHES
 from tessera.plans.registry import query
 
 # -- declarations that patches touch -------------------------------------------------------------------------------------
@@ -99,3 +100,11 @@ def r30_episode_work(t):
         "concat('v', cast(floor(value) as int) % 4) as old_fp", "concat('v', (cast(floor(value) as int) + event_id) % 4) as new_fp",
     )
     return history.episodes(prompts, events, _KINDS)
+
+
+@query(f"""with {SQL_TOUCHES}, f as (select distinct commit, (item // 16)::bigint as item from touches), z as (select commit from f group by commit having count(*) between 2 and 20), t as (select f.* from f semi join z using (commit))
+select a.item as a, b.item as b, count(*) as n from t a join t b on a.commit = b.commit and a.item < b.item group by all having count(*) >= 4""")
+def p7_file_plane(t):
+    """Coupled files: parts of sixteen by number as a file's declarations."""
+    owners = t.part.selectExpr("p_partkey as item", "p_partkey div 16 as file")
+    return coupling.file_plane(t.touches, owners, 4)
