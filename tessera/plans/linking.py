@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import STEM_SUFFIXES
-from tessera.operators import generations, reach, routes, waterfall
+from tessera.operators import generations, packages, reach, routes, waterfall
 from tessera.plans.cuts import cut
 from tessera.plans.registry import query
 
@@ -267,3 +267,57 @@ def e23_e24_generations(t):
     nodes = graph.nodes.selectExpr("'node' as part", "key as a", "cast(null as bigint) as b", "status as x", "concat(coalesce(evidence, ''), '|', body) as y")
     edges = graph.edges.selectExpr("'edge'", "src", "dst", "edge_type", "called")
     return nodes.union(edges).union(graph.members.selectExpr("'member'", "key", "cast(generation as bigint)", "cast(null as string)", "cast(null as string)"))
+
+
+# -- coverage and packages ---------------------------------------------------------------------------------------------
+
+
+@query("""with f as (select case when p_partkey % 2 = 0 then '/repo/src/' || p_brand else 'src/' || p_brand end as file, p_size * 2 + p_partkey % 3 as line, p_partkey % 11 as hits from part where p_partkey % 3 > 0),
+r as (select case when starts_with(file, '/repo/') then file[7:] else file end as file, line, max(hits) as hits from f where hits > 0 group by all),
+m as (select p_partkey as id, 'src/' || p_brand as file, p_size * 2 as start_line from part where p_partkey % 3 = 0),
+n as (
+  select r.file, line, hits, id from r join m on r.file = m.file and abs(line - start_line) <= 2
+  qualify row_number() over (partition by r.file, line order by abs(line - start_line), id) = 1)
+select id, max(hits) as hits from n group by id""")
+def e22_coverage_marks(t):
+    """Covered functions on the nearest methods of their files, which some reports name by absolute paths."""
+    file = "concat(case when p_partkey % 2 = 0 then '/repo/src/' else 'src/' end, p_brand) as file"
+    functions = t.part.filter("p_partkey % 3 > 0").selectExpr(file, "p_size * 2 + p_partkey % 3 as line", "p_partkey % 11 as hits")
+    methods = t.part.filter("p_partkey % 3 = 0").selectExpr("p_partkey as id", "concat('src/', p_brand) as file", "p_size * 2 as start_line")
+    return packages.coverage_marks(methods, functions, "/repo")
+
+
+_PACKAGES = """d as (
+  select s_suppkey as id, ['npm', 'pypi', 'maven', 'go', 'cargo'][s_suppkey % 5 + 1] as eco,
+    case s_suppkey % 5 when 0 then (case when s_suppkey % 10 = 0 then '@s/' else '' end) || 'Pkg' || s_suppkey when 1 then 'Py_' || s_suppkey % 70 || '.x'
+      when 2 then 'org.g' || s_suppkey // 10 || (case when s_suppkey % 10 = 7 then '.sub' else '' end) || ':art' when 3 then 'go/m' || s_suppkey when 4 then 'crate' || s_suppkey end as name from supplier),
+i as (
+  select c_custkey as id, case c_custkey % 7 when 0 then (case when c_custkey % 2 = 0 then '@s/' else '' end) || 'pkg' || c_custkey % 100 || '/lib/x' when 1 then 'py-' || c_custkey % 70 || '-x.mod' when 2 then 'org.g' || c_custkey % 12 || '.sub.Cls'
+    when 3 then 'go/m' || c_custkey % 100 || '/pkg' when 4 then 'Crate' || c_custkey % 100 when 5 then 'crate' || c_custkey % 100 || '.part' else '' end as name from customer)"""
+
+
+@query(rf"""with {_PACKAGES}, whole as (select lower(name) as key, id from d where eco in ('npm', 'cargo') union all select regexp_replace(lower(name), '[-_.]+', '-', 'g'), id from d where eco = 'pypi'),
+exact as (select key, min(id) as id from whole group by key having count(distinct id) = 1),
+starts as (select case eco when 'maven' then split_part(lower(name), ':', 1) || '.' when 'go' then lower(name) || '/' else lower(name) || '.' end as key, id from d where eco in ('maven', 'go', 'cargo')),
+prefix as (select key, min(id) as id from starts group by key having count(distinct id) = 1),
+tries as (
+  select id, 0 as r, regexp_extract(lower(name), '^(@[^/]+/[^/]+|[^/]+)', 1) as key from i where name <> ''
+  union all select id, 1, regexp_replace(lower(split_part(name, '.', 1)), '[-_.]+', '-', 'g') from i where name <> '' union all select id, 2, lower(name) from i where name <> ''),
+first as (select tries.id as imported, exact.id as declared from tries join exact using (key) qualify row_number() over (partition by tries.id order by r) = 1),
+rest as (
+  select i.id as imported, p.id as declared from i join prefix p on starts_with(lower(i.name) || '.', p.key) or starts_with(lower(i.name) || '/', p.key)
+  where name <> '' and i.id not in (select imported from first) qualify row_number() over (partition by i.id order by length(p.key) desc, p.key desc) = 1)
+select * from first union all select * from rest""")
+def e16_declared_dependencies(t):
+    """Imports of five ecosystems to the packages that declare them."""
+    d = t.supplier.selectExpr(
+        "s_suppkey as id", "array('npm', 'pypi', 'maven', 'go', 'cargo')[cast(s_suppkey % 5 as int)] as ecosystem",
+        """case s_suppkey % 5 when 0 then concat(case when s_suppkey % 10 = 0 then '@s/' else '' end, 'Pkg', s_suppkey) when 1 then concat('Py_', s_suppkey % 70, '.x')
+          when 2 then concat('org.g', s_suppkey div 10, case when s_suppkey % 10 = 7 then '.sub' else '' end, ':art') when 3 then concat('go/m', s_suppkey) else concat('crate', s_suppkey) end as name""",
+    )
+    i = t.customer.selectExpr(
+        "c_custkey as id",
+        """case c_custkey % 7 when 0 then concat(case when c_custkey % 2 = 0 then '@s/' else '' end, 'pkg', c_custkey % 100, '/lib/x') when 1 then concat('py-', c_custkey % 70, '-x.mod') when 2 then concat('org.g', c_custkey % 12, '.sub.Cls')
+          when 3 then concat('go/m', c_custkey % 100, '/pkg') when 4 then concat('Crate', c_custkey % 100) when 5 then concat('crate', c_custkey % 100, '.part') else '' end as name""",
+    )
+    return packages.declared_dependencies(d, i)
