@@ -93,3 +93,23 @@ def test_channels_that_found_nothing_do_not_weigh(spark):
     b = spark.createDataFrame([(1, 7, 1.0)], "q int, id int, score double")
     got = {r["q"]: r["fused"] for r in rank.fuse({"a": (a, 1.0), "b": (b, 0.5)}).collect()}
     assert got == {1: round(1 / 60, 9), 2: round(1 / 60, 9)}
+
+
+@pytest.mark.parametrize("allowed", [False, True])
+def test_a_search_shuffles_terms_and_not_pairs(spark, monkeypatch, allowed):
+    """Many groups and blocks give what one gives, and no row of a query and a document is exchanged before it is an answer."""
+    from tessera.operators import blocks
+
+    rng = random.Random(5)
+    docs = [(k, " ".join(f"w{rng.randint(10, 40)}" for _ in range(rng.randint(1, 12)))) for k in range(400)]
+    index = lexical.build_index(spark.createDataFrame(docs, "id long, text string"), shard=4)
+    queries = spark.createDataFrame(docs[::10], "q long, text string")
+    few = spark.range(400).filter("id % 3 = 0") if allowed else None
+    want = {(r["q"], r["id"], r["rank"], round(r["score"], 5)) for r in lexical.search(index, queries, 5, few).collect()}
+    assert len(want) == 200 and (not allowed or all(i % 3 == 0 for _, i, _, _ in want))
+    monkeypatch.setattr(blocks, "ENTRIES", 50)
+    monkeypatch.setattr(blocks, "TERMS", 30)
+    got = lexical.search(index, queries, 5, few)
+    assert {(r["q"], r["id"], r["rank"], round(r["score"], 5)) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [q" not in plan and "inline" not in plan.lower()
