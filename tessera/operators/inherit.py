@@ -50,11 +50,17 @@ def overrides(bases: DataFrame, methods: DataFrame) -> DataFrame:
 
 
 def owners(methods: DataFrame, types: DataFrame) -> DataFrame:
-    """(method, type) of methods (method, name, folder) and types (type, name, folder): the only type of the name, else the only one in the folder."""
-    rungs = methods.join(types.select("type", "name"), "name").select("method", F.lit(0).alias("rung"), "type")
-    near = methods.join(types, ["name", "folder"]).select("method", F.lit(1).alias("rung"), "type")
-    one = rungs.unionAll(near).groupBy("method", "rung").agg(F.count_distinct("type").alias("_n"), F.min("type").alias("type")).filter("_n = 1")
-    return one.groupBy("method").agg(F.min_by("type", "rung").alias("type"))
+    """(method, type) of methods (method, name, folder) and types (type, name, folder): the only type of the name, else the only one in the folder.
+
+    Types become one row a name, and one a name and folder, before methods meet them.
+    """
+
+    def rung(k: int, keys: list[str]) -> DataFrame:
+        ends = types.groupBy(*keys).agg(F.min("type").alias("_lo"), F.max("type").alias("_hi"))
+        met = methods.join(ends, keys).groupBy("method").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        return met.filter("_lo = _hi").select("method", F.lit(k).alias("rung"), F.col("_lo").alias("type"))
+
+    return rung(0, ["name"]).unionAll(rung(1, ["name", "folder"])).groupBy("method").agg(F.min_by("type", "rung").alias("type"))
 
 
 def partials(parts: DataFrame, keys: list[str], part: str) -> DataFrame:

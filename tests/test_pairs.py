@@ -18,3 +18,13 @@ def test_equal_sets_are_compared_once(spark, monkeypatch):
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(want) and set(rows) == want
     assert "explode(_y" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_types_are_one_row_a_name_before_methods_meet_them(spark):
+    methods = spark.createDataFrame([(k, "ab"[k % 2], k % 3) for k in range(60)] + [(99, "c", 0)], "method long, name string, folder int")
+    types = spark.createDataFrame([(100, "a", 0), (101, "a", 1), (102, "a", 1), (103, "b", 2), (103, "b", 2)], "type long, name string, folder int")
+    got = inherit.owners(methods, types)
+    want = {(k, 103) for k in range(1, 60, 2)} | {(k, 100) for k in range(0, 60, 2) if k % 3 == 0}
+    assert {tuple(r) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("max(type") == 2
