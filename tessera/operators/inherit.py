@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.resolve import opened, packs
 from tessera.plans.cuts import cut
 
 
@@ -41,12 +42,23 @@ def inherited(bases: DataFrame, members: DataFrame, hops: int = 5) -> DataFrame:
     return found.unionAll(far).groupBy("id", "name").agg(best).select("id", "name", "_b.owner", "_b.depth")
 
 
+def _named(methods: DataFrame) -> DataFrame:
+    return methods.select("owner", F.lower("name").alias("_name"), "id").filter("owner is not null and _name is not null and id is not null").distinct()
+
+
 def overrides(bases: DataFrame, methods: DataFrame) -> DataFrame:
-    """(src, dst): methods (owner, name, id) of a type with the name, in any case, of a method of a direct base (src, dst)."""
-    m = methods.select("owner", F.lower("name").alias("_name"), "id")
-    low = bases.select("src", "dst").distinct().join(m.select(F.col("owner").alias("src"), "_name", F.col("id").alias("_low")), "src")
-    high = m.select(F.col("owner").alias("dst"), "_name", F.col("id").alias("_high"))
-    return low.join(high, ["dst", "_name"]).filter("_low <> _high").select(F.col("_low").alias("src"), F.col("_high").alias("dst")).distinct()
+    """(src, dst): methods (owner, name, id) of a type with the name, in any case, of a method of a direct base (src, dst).
+
+    Methods of one owner and name are packs of ids that meet as wholes, so one name that very many have is dealt to all tasks.
+    """
+    m = cut(_named(methods))
+    held = packs(m, ["owner", "_name"], "id")
+    low = held.withColumnsRenamed({"owner": "src", "_ids": "_low"}).join(bases.select("src", "dst").distinct(), "src")
+    met = low.join(held.withColumnsRenamed({"owner": "dst", "_ids": "_high"}), ["dst", "_name"]).select("_low", "_high")
+    pairs = opened(met, "_low", "_high", "src", "dst").filter("src <> dst")
+    # an id of one owner and name meets another once
+    several = m.groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1").limit(1).count()
+    return pairs.distinct() if several else pairs
 
 
 def owners(methods: DataFrame, types: DataFrame) -> DataFrame:

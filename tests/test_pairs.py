@@ -28,3 +28,18 @@ def test_types_are_one_row_a_name_before_methods_meet_them(spark):
     assert {tuple(r) for r in got.collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("max(type") == 2
+
+
+def _methods(spark, ids):
+    return spark.createDataFrame([(f"t{k % 4}", "Run" if k % 3 else "run", k) for k in range(ids)], "owner string, name string, id long")
+
+
+def test_overrides_open_packs_without_an_exchange_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "PACK", 2)
+    bases = spark.createDataFrame([("t0", "t1"), ("t0", "t1"), ("t1", "t2"), ("t3", "t3")], "src string, dst string")
+    got = inherit.overrides(bases, _methods(spark, 40))
+    want = {(a, b) for a in range(40) for b in range(40) if a != b and (a % 4, b % 4) in {(0, 1), (1, 2), (3, 3)}}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(_high") < plan.index("Repartition")
