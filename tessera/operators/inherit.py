@@ -61,6 +61,30 @@ def overrides(bases: DataFrame, methods: DataFrame) -> DataFrame:
     return pairs.distinct() if several else pairs
 
 
+def override_walk(bases: DataFrame, methods: DataFrame, seeds: DataFrame, hops: int = 8) -> DataFrame:
+    """(id, depth): least depth of every method within hops of the seeds (id) along overrides(bases, methods), either way.
+
+    All methods of an owner and name have the same neighbours, so owners and names are walked, each left once and reached
+    once, and their pairs of methods are never formed.
+    """
+    m = cut(_named(methods))
+    pair = bases.select("src", "dst").distinct()
+    ways = pair.select(F.col("src").alias("owner"), F.col("dst").alias("to")).union(pair.select("dst", "src")).distinct()
+    classes = m.select("owner", "_name").distinct()
+    step = cut(classes.join(ways, "owner").join(classes.withColumnRenamed("owner", "to"), ["to", "_name"]).select("owner", "_name", "to"))
+    seen = frontier = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
+    left = reached = cut(classes.limit(0))
+    for depth in range(1, hops + 1):
+        going = cut(m.join(frontier.select("id"), "id", "left_semi").select("owner", "_name").distinct().join(left, ["owner", "_name"], "left_anti"))
+        left = left.unionAll(going)
+        there = cut(going.join(step, ["owner", "_name"]).select(F.col("to").alias("owner"), "_name").distinct().join(reached, ["owner", "_name"], "left_anti"))
+        reached = reached.unionAll(there)
+        new = m.join(there, ["owner", "_name"], "left_semi").select("id").distinct().join(seen.select("id"), "id", "left_anti")
+        frontier = cut(new.withColumn("depth", F.lit(depth)))
+        seen = seen.unionAll(frontier)
+    return seen
+
+
 def owners(methods: DataFrame, types: DataFrame) -> DataFrame:
     """(method, type) of methods (method, name, folder) and types (type, name, folder): the only type of the name, else the only one in the folder.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
-from tessera.operators import inherit, memory, rank, retrieval, traverse
+from tessera.operators import inherit, memory, rank, retrieval
 from tessera.plans.graphview import SQL_EDGES, SQL_NODES, node_id
 from tessera.plans.registry import query
 from tessera.sources import exports, files, manifests
@@ -39,21 +39,20 @@ _BASES = "ba as (select distinct p_brand as src, 'Brand#' || (substr(p_brand, 7)
 _OVERRIDES = f"{_BASES}, ov as (select distinct a.p_partkey as src, b.p_partkey as dst from part a join ba on a.p_brand = ba.src join part b on b.p_brand = ba.dst and lower(b.p_name || ' ' || b.p_type) = lower(a.p_name || ' ' || a.p_type))"
 
 
-def _overrides(t):
+def _declared(t):
     bases = t.part.select(F.col("p_brand").alias("src"), F.concat(F.lit("Brand#"), (F.substring("p_brand", 7, 9).cast("int") + 1).cast("string")).alias("dst"))
-    return inherit.overrides(bases, t.part.select(F.col("p_brand").alias("owner"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.col("p_partkey").alias("id")))
+    return bases, t.part.select(F.col("p_brand").alias("owner"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.col("p_partkey").alias("id"))
 
 
 @query(f"with {_OVERRIDES} select * from ov")
 def e6_overrides(t):
-    return _overrides(t)
+    return inherit.overrides(*_declared(t))
 
 
 @query(f"""with recursive {_OVERRIDES}, u as (select src as a, dst as b from ov union all select dst, src from ov), s as (select p_partkey as id from part where p_partkey % 20 = 0),
 w as (select id, 0 as depth from s union select b, depth + 1 from w join u on id = a where depth < 8) select id, min(depth)::int as depth from w group by id""")
 def g4_override_closure(t):
-    edges = _overrides(t).withColumn("edge_type", F.lit("OVERRIDES"))
-    return traverse.override_closure(edges, t.part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id")))
+    return inherit.override_walk(*_declared(t), t.part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id")))
 
 
 @query("""with ty as (select p_partkey as type, p_brand || p_type as name, p_size % 3 as folder from part where p_partkey % 7 = 0), me as (select p_partkey as method, p_brand || p_type as name, p_size % 3 as folder from part where p_partkey % 7 <> 0),

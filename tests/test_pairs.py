@@ -43,3 +43,13 @@ def test_overrides_open_packs_without_an_exchange_of_pairs(spark, monkeypatch):
     assert len(rows) == len(want) and set(rows) == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode(_high") < plan.index("Repartition")
+
+
+def test_an_override_walk_equals_the_walk_over_pairs(spark):
+    bases = spark.createDataFrame([("t0", "t1"), ("t1", "t2"), ("t3", "t3")], "src string, dst string")
+    methods = _methods(spark, 24).unionByName(spark.createDataFrame([("t3", "go", 0), ("t3", "go", 50), ("t0", "lone", 51), (None, "run", 52)], "owner string, name string, id long"))
+    seeds = spark.createDataFrame([(0,), (51,), (77,)], "id long")
+    pairs = inherit.overrides(bases, methods).withColumn("edge_type", F.lit("OVERRIDES"))
+    for hops in (1, 2, 8):
+        want = {(r["id"], r["depth"]) for r in traverse.override_closure(pairs, seeds, hops).collect()}
+        assert {(r["id"], r["depth"]) for r in inherit.override_walk(bases, methods, seeds, hops).collect()} == want
