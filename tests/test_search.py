@@ -113,3 +113,19 @@ def test_a_search_shuffles_terms_and_not_pairs(spark, monkeypatch, allowed):
     assert {(r["q"], r["id"], r["rank"], round(r["score"], 5)) for r in got.collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [q" not in plan and "inline" not in plan.lower()
+
+
+def test_relevance_counts_pairs_where_they_meet(spark):
+    docs = spark.createDataFrame([(k, "xy"[k % 2] if k < 30 else None, f"t{k % 5} t{k % 7} all") for k in range(40)], "id long, grp string, text string")
+    telling = lexical.distinctive(docs, "grp", "text", share=0.5)
+    got = lexical.relevance(docs.filter("id % 4 = 0").withColumnRenamed("id", "q"), docs, telling, "grp")
+    split = {r["id"]: (r["grp"], set(r["text"].split())) for r in docs.collect()}
+    known = {(r["grp"], r["term"]) for r in telling.collect()}
+    want = set()
+    for q, (g, a) in split.items():
+        for i, (h, b) in split.items():
+            n = sum((g, w) in known for w in a & b)
+            if q % 4 == 0 and g and g == h and n:
+                want.add((q, i, n))
+    assert {tuple(r) for r in got.collect()} == want
+    assert "Aggregate [q" not in got._jdf.queryExecution().optimizedPlan().toString()
