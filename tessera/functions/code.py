@@ -175,8 +175,20 @@ def glob_pattern(glob: str) -> str:
     return f"{begin}{inner}(?:/|$)"
 
 
+def _cause(family: str, line: Column, phrases: str) -> Column:
+    """What a line of a family says, without what varies between repeats: positions, packages, and what follows a module's name."""
+    if family == "module_not_found":
+        return F.coalesce(F.nullif(F.regexp_extract(line, rf"(?i)((?:{phrases})\s+['\"]?[^'\"\s]+)", 1), F.lit("")), line)
+    own = {
+        "sql": (r"^.*?\b\w+Error\b\s*:\s*(?=\S)", ""),
+        "compile": (r"^\.?/?(\S+?\.\w+):\d+(?::\d+)?:\s*(?=\S)", "$1 "),
+        "exception": (r"^(?:\w+\.)+(?=\w*(?:Error|Exception)\b)", ""),
+    }
+    return F.regexp_replace(line, *own[family]) if family in own else line
+
+
 def failure(text: Column) -> Column:
-    """Struct (class, family, message) of a failed command's output: the first kind of which any line has a phrase, and that line.
+    """Struct (class, family, message) of a failed command's output: the first kind of which any line has a phrase, and that line's cause.
 
     Lines that only tell the exit code are passed over. Output without text is `empty` and output of no kind
     `unrecognised`, both of the class environment, with an empty message; null counts as empty.
@@ -186,8 +198,9 @@ def failure(text: Column) -> Column:
     said = lambda kind, family, message: F.struct(F.lit(kind).alias("class"), F.lit(family).alias("family"), message.alias("message"))
 
     def met(kind: str, family: str, phrases: tuple[str, ...]) -> Column:
-        line = F.get(F.filter(lines, lambda x: F.lower(x).rlike("|".join(map(re.escape, phrases)))), F.lit(0))
-        return F.when(line.isNotNull(), said(kind, family, line))
+        any_of = "|".join(map(re.escape, phrases))
+        line = F.get(F.filter(lines, lambda x: F.lower(x).rlike(any_of)), F.lit(0))
+        return F.when(line.isNotNull(), said(kind, family, _cause(family, line, any_of)))
 
     kinds = [met("environment", *x) for x in SURROUNDINGS.items()] + [met("code", *x) for x in FAULTS.items()]
     return F.coalesce(F.when(F.size(lines) == 0, said("environment", "empty", F.lit(""))), *kinds, said("environment", "unrecognised", F.lit("")))
