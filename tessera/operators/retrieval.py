@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators.rank import top_per
 from tessera.operators.resolve import contained_name
 from tessera.operators.traverse import walk
+from tessera.plans.cuts import cut
 
 
 def chunks(docs: DataFrame, key: str, text: str, size: int = 60, overlap: int = 15, most: int | None = None) -> DataFrame:
@@ -35,13 +36,17 @@ def exact(nodes: DataFrame, needles: DataFrame, limit: int = 16) -> DataFrame:
 
     nodes: (id, name), and where known node_type and path. A tier of more nodes than limit keeps FLOOD. Needles meet names and
     paths by their rarest runs of characters, so no node meets a needle that neither of them holds.
+
+    A needle is matched once, however many queries have it, and no query takes all nodes of its most frequent needle: those
+    that hold another of its needles too come by that one, and of the rest it takes numbers, and the first of each tier.
     """
     path = F.coalesce("path", F.lit("")) if "path" in nodes.columns else F.lit("")
     kind = F.col("node_type") if "node_type" in nodes.columns else F.lit("")
     rows = nodes.select("id", "name", kind.alias("node_type"), F.lower("name").alias("_low"), F.lower(path).alias("_path"))
     both = rows.withColumn("_text", F.concat_ws("\n", "_low", "_path"))
-    low = needles.filter(~F.col("needle").contains("\n")).select("q", F.lower("needle").alias("needle"), F.col("needle").alias("_given"))
-    met = contained_name(both, "_text", low, "needle")
+    low = needles.filter(~F.col("needle").contains("\n")).groupBy("q", F.lower("needle").alias("needle")).agg(F.count("*").alias("_times"))
+    low = cut(low)
+    met = contained_name(both, "_text", low.select("needle").distinct(), "needle")
     base, need = F.regexp_extract("_path", r"([^/]*)$", 1), F.col("needle")
     rules = [
         ("name", F.col("_low") == need),
@@ -54,12 +59,34 @@ def exact(nodes: DataFrame, needles: DataFrame, limit: int = 16) -> DataFrame:
     ]
     score = F.coalesce(*[F.when(rule, TIERS[name]) for name, rule in rules])
     met = met.withColumn("score", score).filter("score > 0").filter(~F.col("node_type").isin(*MANIFESTS) | (F.col("score") >= MANIFEST_LEAST))
-    node = met.groupBy("q", "id").agg(F.max("score").alias("score"), F.count("*").alias("hits"), F.first("name").alias("name"))
-    size = node.groupBy("q", "score").agg(F.count("*").alias("_n"))
+    one = cut(met.groupBy("needle", "id").agg(F.max("score").alias("score"), F.count("*").alias("hits"), F.first("name").alias("name")))
+    tiers = cut(one.groupBy("needle", "score").agg(F.count("*").alias("_n")))
+    asked = cut(low.join(tiers.groupBy("needle").agg(F.sum("_n").alias("_all")), "needle"))
+    big = cut(asked.groupBy("q").agg(F.max(F.struct("_all", "needle", "_times")).alias("_b")).select("q", "_b.needle", "_b._times"))
+    small = asked.join(big, ["q", "needle"], "left_anti").join(one, "needle").groupBy("q", "id")
+    small = small.agg(F.max("score").alias("score"), F.sum(F.col("hits") * F.col("_times")).alias("hits"), F.first("name").alias("name"))
+    own = one.select("needle", "id", F.col("score").alias("_of_big"), F.col("hits").alias("_more"))
+    small = small.join(big, "q").join(own, ["needle", "id"], "left")
+    small = cut(small.select("q", "id", F.greatest("score", "_of_big").alias("score"), (F.col("hits") + F.coalesce(F.col("_more") * F.col("_times"), F.lit(0))).alias("hits"), "name", "needle", "_of_big"))
+    # what a query's most frequent needle has in each tier, without what its other needles brought
+    twice = small.filter("_of_big is not null").groupBy("q", F.col("_of_big").alias("score")).agg(F.count("*").alias("_twice"))
+    alone = cut(big.join(tiers, "needle").join(twice, ["q", "score"], "left").withColumn("_twice", F.coalesce("_twice", F.lit(0))))
+    size = alone.select("q", "score", (F.col("_n") - F.col("_twice")).alias("_n")).unionByName(small.groupBy("q", "score").agg(F.count("*").alias("_n")))
+    size = size.groupBy("q", "score").agg(F.sum("_n").alias("_n"))
+    # so many of a tier hold the first that a query takes, whichever of them it has already
+    first = max(limit, FLOOD)
+    deep = alone.groupBy("needle", "score").agg(F.max("_twice").alias("_deep"))
     order = [F.desc("hits"), F.col("id")]
+    part = Window.partitionBy("needle", "score", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(*order)
+    head = one.join(deep, ["needle", "score"]).withColumn("_p", F.row_number().over(part)).filter(F.col("_p") <= F.col("_deep") + first)
+    head = head.withColumn("_k", F.row_number().over(Window.partitionBy("needle", "score").orderBy(*order))).filter(F.col("_k") <= F.col("_deep") + first)
+    head = head.select("needle", "score", "_k", "id", "hits", "name")
+    taken = alone.withColumn("_k", F.explode(F.sequence(F.lit(1), (F.col("_twice") + first).cast("int")))).join(head, ["needle", "score", "_k"])
+    taken = taken.select("q", "id", "score", (F.col("hits") * F.col("_times")).alias("hits"), "name").join(small.filter("_of_big is not null").select("q", "id"), ["q", "id"], "left_anti")
+    node = small.select("q", "id", "score", "hits", "name").unionByName(taken)
     # the first FLOOD of a tier are found in parts before they meet
     part = Window.partitionBy("q", "score", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy(*order)
-    near = node.withColumn("_p", F.row_number().over(part)).filter(F.col("_p") <= max(limit, FLOOD))
+    near = node.withColumn("_p", F.row_number().over(part)).filter(F.col("_p") <= first)
     near = near.withColumn("_r", F.rank().over(Window.partitionBy("q", "score").orderBy(*order))).join(size, ["q", "score"])
     near = near.filter((F.col("_n") <= limit) | (F.col("_r") <= FLOOD))
     return top_per(near.drop("_n", "_r", "_p"), ["q"], [F.desc("score"), F.desc("hits"), F.length("name"), F.col("id")], limit).drop("name")
