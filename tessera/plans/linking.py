@@ -76,8 +76,7 @@ def e13_reresolve(t):
     calls = t.orders.crossJoin(F.broadcast(n)).selectExpr("o_orderkey as edge", "o_custkey", "o_orderkey % n + 1 as p_partkey").join(t.part, "p_partkey")
     loose = calls.selectExpr("edge", "case when edge % 3 = 0 then p_partkey else -o_custkey end as caller", "concat(p_name, p_size) as name", "o_custkey % 50 as file")
     imports = t.customer.filter("c_custkey % 4 = 0").selectExpr("c_custkey % 50 as file", "concat('T', c_custkey % 43) as name")
-    known = loose.filter("edge % 6 = 0").join(methods.filter("target % 2 = 0"), "name").select("caller", "target")
-    return reach.reresolve(loose, methods, reach.closure(up), imports, types, known)
+    return reach.reresolve(loose, methods, reach.closure(up), imports, types, loose.filter("edge % 6 = 0"), methods.filter("target % 2 = 0"))
 
 
 # -- the waterfall of references ---------------------------------------------------------------------------------------

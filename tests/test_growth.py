@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict
 
-from tessera.operators import retrieval
+from tessera.operators import reach, retrieval
 
 
 def moved(spark, run):
@@ -55,3 +55,18 @@ def test_a_needle_of_many_queries_is_matched_once(spark):
     want = _tiered(nodes, [x for x in needles if "\n" not in x[1]])
     assert len(got) == len(want) and {(r["q"], r["id"], r["score"], r["hits"], r["rank"]) for r in got} == want
     assert rows < 60_000  # 320 nodes to each of 120 queries, through each exchange, are above 100,000
+
+
+def test_known_calls_are_not_paired_with_the_methods_of_their_name(spark):
+    rng = random.Random(3)
+    methods = [(1000 + k, f"m{0 if k < 300 else k}", k % 4) for k in range(320)]
+    loose = [(k, rng.choice([7, 8, 1310]), f"m{0 if k < 300 else rng.randrange(300, 320)}", k % 3) for k in range(400)]
+    make = spark.createDataFrame
+    calls, all_methods = make(loose, "edge long, caller long, name string, file long"), make(methods, "target long, name string, owner long")
+    few = make([(2, 1)], "src long, dst long"), make([(f, f"T{k}") for f in range(3) for k in range(12)], "file long, name string"), make([(k, f"T{k}") for k in range(12)], "id long, name string")
+    known = calls.filter("edge % 2 = 0"), all_methods.filter("target % 2 = 0")
+    run = lambda *how: reach.reresolve(calls, all_methods, *few, *how).collect()
+    got, rows = moved(spark, lambda: run(*known))
+    want = run(known[0].join(known[1], "name").select("caller", "target"))
+    assert got and sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r["verdict"] for r in got} == {"dropped", "upgraded"}
+    assert rows < 8_000  # 150 calls with 150 methods are 22,500
