@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.cuts import cut
+
 
 def sized(touches: DataFrame, least: int, most: int | None) -> DataFrame:
     """Touches of commits with least to most items (None: any number). The sweep filter stands before the self-join, so pairs stay
@@ -13,16 +17,30 @@ def sized(touches: DataFrame, least: int, most: int | None) -> DataFrame:
     return touches.join(size.select("commit"), "commit", "left_semi")
 
 
+#: Pairs, about, that one task forms or counts.
+TASK_PAIRS = 1_000_000
+
+
 def pairs(touches: DataFrame, support: int = 3, most: int | None = 20) -> DataFrame:
     """(a, b, n): unordered pairs that at least support commits touch.
 
     A commit of more than most items is a sweep that says nothing of any two, and is left out; None counts every commit. An
-    item that fewer commits touch is in no pair, and goes before pairs are formed.
+    item that fewer commits touch is in no pair, and goes before pairs are formed. A commit's items are one row, which its pairs
+    come from, and tasks are as many as the pairs ask for, so what one task holds doesn't grow with the touches.
     """
-    t = sized(touches, 2, most).select("commit", "item")
-    t = t.join(t.groupBy("item").agg(F.count_distinct("commit").alias("_n")).filter(F.col("_n") >= support).select("item"), "item", "left_semi")
-    other = t.withColumnRenamed("item", "b")
-    return t.withColumnRenamed("item", "a").join(other, "commit").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+    spark = touches.sparkSession
+    packed = touches.filter("commit is not null").groupBy("commit").agg(F.count("*").alias("_n"), F.sort_array(F.collect_list("item")).alias("_items"))
+    packed = cut(packed.filter((F.col("_n") >= 2) & (F.lit(most is None) | (F.col("_n") <= (most or 0)))).select("commit", "_items"))
+    rare = cut(packed.select(F.explode("_items").alias("item")).groupBy("item").agg(F.count("*").alias("_n")).filter(F.col("_n") < support).select("item"))
+    if not rare.isEmpty():
+        rest = packed.select("commit", F.explode("_items").alias("item")).join(rare.hint("shuffle_hash"), "item", "left_anti")
+        packed = cut(rest.groupBy("commit").agg(F.sort_array(F.collect_list("item")).alias("_items")))
+    n = F.size("_items").cast("long")
+    total = packed.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_PAIRS))
+    each = packed.repartition(tasks).select("_items", F.posexplode("_items").alias("_k", "a"))
+    each = each.select("a", F.explode(F.slice("_items", F.col("_k") + 2, F.size("_items"))).alias("b")).filter("a < b")
+    return each.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
 
 
 def decay(age_days: Column, mode: str = "exponential", half_life: float = 1095.0, floor: float = 0.05, span: float = 1095.0) -> Column:

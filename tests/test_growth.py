@@ -1,9 +1,10 @@
 """Steps whose work must follow the input: results against brute force, and what passes between tasks."""
 
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
-from tessera.operators import reach, retrieval
+from tessera.operators import coupling, reach, retrieval
 
 
 def moved(spark, run):
@@ -70,3 +71,20 @@ def test_known_calls_are_not_paired_with_the_methods_of_their_name(spark):
     want = run(known[0].join(known[1], "name").select("caller", "target"))
     assert got and sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r["verdict"] for r in got} == {"dropped", "upgraded"}
     assert rows < 8_000  # 150 calls with 150 methods are 22,500
+
+
+def test_coupled_pairs_come_from_tasks_that_follow_their_number(spark, monkeypatch):
+    rng = random.Random(4)
+    touches = list({(c, rng.randrange(30)) for c in range(120) for _ in range(rng.randint(0, 25))} | {(c, None) for c in range(9)} | {(500, k) for k in range(100, 120)})
+    frame = spark.createDataFrame(touches, "commit long, item long")
+    of = defaultdict(list)
+    for c, i in touches:
+        of[c].append(i)
+    for most in (20, None):
+        n = Counter((a, b) for items in of.values() if len(items) >= 2 and (not most or len(items) <= most) for a in items for b in items if a is not None and b is not None and a < b)
+        got = coupling.pairs(frame, 3, most).collect()
+        assert {tuple(r) for r in got} == {(a, b, k) for (a, b), k in n.items() if k >= 3} and len({(r["a"], r["b"]) for r in got}) == len(got)
+    monkeypatch.setattr(coupling, "TASK_PAIRS", 500)
+    plan = coupling.pairs(frame)._jdf.queryExecution().optimizedPlan().toString()
+    tasks = [max(map(int, re.findall(r"(?<![#\w])\d+", x))) for x in plan.splitlines() if "Repartition" in x]
+    assert "Join" not in plan and len(tasks) == 2 and min(tasks) >= 8 > int(spark.conf.get("spark.sql.shuffle.partitions"))
