@@ -12,14 +12,22 @@ from tessera.plans.cuts import cut
 #: how many times the wanted nodes are ranked at all, and the least length of a name that a question may hold verbatim.
 DECAY, ENDPOINTS, FAN_OUT, PRELIMIT, VERBATIM = 0.6, 8, 15, 20, 4
 
+#: Ids of a frontier that are sent to every task; more are dealt.
+FEW = 1_000_000
 
-def _typed_steps(edges: DataFrame, cap: int) -> DataFrame:
-    """(at, to): both ways, of each node at most `cap` steps of an edge type and way, the first by id. Capped before any walk."""
+
+def _typed_steps(edges: DataFrame, cap: int, frontier: DataFrame) -> DataFrame:
+    """(at, to) of the frontier's nodes: both ways, of each at most `cap` steps of an edge type and way, the first by id.
+
+    Edges of other nodes go before any is ranked; the frontier's ids are hashed, so that edges aren't sorted for that.
+    """
+    ids = cut(frontier.select(F.col("id").alias("src")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= FEW else ids.hint("shuffle_hash")
     both = None
     for way in ("out", "in"):
         side = edges.select("src", "dst", "edge_type") if way == "out" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_type")
         place = F.row_number().over(Window.partitionBy("src", "edge_type").orderBy("dst"))
-        own = side.distinct().withColumn("_r", place).filter(F.col("_r") <= cap).select(F.col("src").alias("at"), F.col("dst").alias("to"))
+        own = side.join(ids, "src", "left_semi").distinct().withColumn("_r", place).filter(F.col("_r") <= cap).select(F.col("src").alias("at"), F.col("dst").alias("to"))
         both = own if both is None else both.unionAll(own)
     return both.distinct()
 
@@ -33,9 +41,9 @@ def expanded(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, hops: int = 2
     nodes of one name and file the one with most lines stays; of the endpoint type the first ENDPOINTS of the ranking.
     nodes: (id, node_type, name, file, size).
     """
-    step = cut(_typed_steps(edges, cap))
     frontier = seen = cut(seeds.select("q", "id").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, hops + 1):
+        step = cut(_typed_steps(edges, cap, frontier))
         new = frontier.join(step, frontier["id"] == step["at"]).select("q", F.col("to").alias("id")).distinct()
         frontier = cut(new.join(seen, ["q", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
@@ -57,19 +65,32 @@ def expanded(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, hops: int = 2
 
 def pulled_through(edges: DataFrame, nodes: DataFrame, kept: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """(q, id): what the rules (type of a kept node, edge type, type of its target) add to kept (q, id), without what is there."""
-    spark = kept.sparkSession
-    table = F.broadcast(spark.createDataFrame(rules, "_from string, edge_type string, _to string"))
+    row = F.array(*[F.struct(F.lit(a).alias("_from"), F.lit(b).alias("edge_type"), F.lit(c).alias("_to")) for a, b, c in rules])
+    table = F.broadcast(kept.sparkSession.range(1).select(F.inline(row)))
     kind = nodes.select("id", "node_type")
-    source = kept.select("q", "id").join(kind, "id").select("q", F.col("id").alias("src"), F.col("node_type").alias("_from"))
-    met = source.join(edges.select("src", "dst", "edge_type"), "src").join(table, ["_from", "edge_type"])
+    # a rule's edge types part a kept node's edges before they meet it: a node of very many other edges brings none of them
+    source = kept.select("q", "id").join(kind, "id").select("q", F.col("id").alias("src"), F.col("node_type").alias("_from")).join(table, "_from")
+    used = edges.select("src", "dst", "edge_type").filter(F.col("edge_type").isin(*{rule[1] for rule in rules}))
+    met = source.join(used, ["src", "edge_type"])
     target = met.join(kind.select(F.col("id").alias("dst"), F.col("node_type").alias("_to")), ["dst", "_to"])
     return target.select("q", F.col("dst").alias("id")).distinct().join(kept.select("q", "id"), ["q", "id"], "left_anti")
 
 
 def kept_edges(edges: DataFrame, kept: DataFrame, capped: tuple[str, ...] = ("CONTAINS", "USES_CONFIG")) -> DataFrame:
-    """(q, src, dst, edge_type) among the kept nodes of each query; of a capped type the first FAN_OUT of a node by its target."""
+    """(q, src, dst, edge_type) among the kept nodes of each query; of a capped type the first FAN_OUT of a node by its target.
+
+    Only edges between nodes that some query keeps are looked at, and a query finds each by the end that has fewer of them, so
+    that a node of very many edges doesn't bring all of them to each query that keeps it.
+    """
     ids = kept.select("q", "id")
-    met = edges.select("src", "dst", "edge_type").distinct().join(ids.withColumnRenamed("id", "src"), "src").join(ids.withColumnRenamed("id", "dst"), ["q", "dst"])
+    some = ids.select("id").distinct()
+    held = edges.select("src", "dst", "edge_type").join(some.toDF("src"), "src", "left_semi").join(some.toDF("dst"), "dst", "left_semi")
+    held = cut(held.distinct())
+    degree = held.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("_n"))
+    held = held.join(degree.toDF("src", "_out"), "src").join(degree.toDF("dst", "_in"), "dst")
+    ends = held.select("src", "dst", "edge_type", F.when(F.col("_out") <= F.col("_in"), F.col("src")).otherwise(F.col("dst")).alias("id"))
+    far = F.when(F.col("id") == F.col("src"), F.col("dst")).otherwise(F.col("src"))
+    met = ends.join(ids, "id").withColumn("_far", far).join(ids.withColumnRenamed("id", "_far"), ["q", "_far"])
     place = F.row_number().over(Window.partitionBy("q", "src", "edge_type").orderBy("dst"))
     return met.withColumn("_r", place).filter(~F.col("edge_type").isin(*capped) | (F.col("_r") <= FAN_OUT)).select("q", "src", "dst", "edge_type")
 

@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from tessera.operators import coupling, reach, retrieval
+from tessera.operators import coupling, expansion, reach, retrieval
 
 
 def moved(spark, run):
@@ -88,3 +88,45 @@ def test_coupled_pairs_come_from_tasks_that_follow_their_number(spark, monkeypat
     plan = coupling.pairs(frame)._jdf.queryExecution().optimizedPlan().toString()
     tasks = [max(map(int, re.findall(r"(?<![#\w])\d+", x))) for x in plan.splitlines() if "Repartition" in x]
     assert "Join" not in plan and len(tasks) == 2 and min(tasks) >= 8 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _hub(spark):
+    """A hub of 1,500 members that 40 queries keep, each with one member and a leaf of it."""
+    edges = [(0, k, "CONTAINS") for k in range(1, 1501)] + [(k, 5000 + k, "USES") for k in range(1, 1501)]
+    kept = [(q, i) for q in range(40) for i in (0, q + 1, 5001 + q)]
+    nodes = [(0, "HUB")] + [(k, "MEMBER") for k in range(1, 1501)] + [(5000 + k, "LEAF") for k in range(1, 1501)]
+    return spark.createDataFrame(edges, "src long, dst long, edge_type string"), spark.createDataFrame(kept, "q long, id long"), spark.createDataFrame(nodes, "id long, node_type string")
+
+
+def test_a_hub_does_not_bring_its_edges_to_each_query(spark):
+    edges, kept, _ = _hub(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, rows = moved(spark, lambda: expansion.kept_edges(edges, kept).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, got)) == sorted([(q, 0, q + 1, "CONTAINS") for q in range(40)] + [(q, q + 1, 5001 + q, "USES") for q in range(40)])
+    assert rows < 20_000  # 1,500 members for 40 queries are 60,000
+
+
+def test_pulling_through_joins_on_the_rules_edge_types(spark):
+    edges, kept, nodes = _hub(spark)
+    some = kept.filter("id < 5000")
+    got = expansion.pulled_through(edges, nodes, some, [("MEMBER", "USES", "LEAF"), ("LEAF", "USES", "MEMBER")])
+    assert {tuple(r) for r in got.collect()} == {(q, 5001 + q) for q in range(40)}
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert any("edge_type" in x and "src" in x for x in joins)
+
+
+def test_steps_are_ranked_for_the_frontier_only(spark):
+    edges, _, _ = _hub(spark)
+    nodes = spark.range(7000).selectExpr("id", "'N' as node_type", "cast(id as string) as name", "'f' as file", "1 as size")
+    run = lambda: sorted((r["q"], r["id"], r["depth"]) for r in expansion.expanded(edges, nodes, spark.createDataFrame([(1, 7, 1.0)], "q long, id long, score double"), 2, 3).collect())
+    got, rows = moved(spark, run)
+    want = [(1, 0, 1), (1, 1, 2), (1, 2, 2), (1, 3, 2), (1, 7, 0), (1, 5007, 1)]
+    assert got == want and rows < 3_000  # 3,000 edges, each way, are 6,000
+    few, expansion.FEW = expansion.FEW, 0
+    try:
+        assert run() == want
+    finally:
+        expansion.FEW = few
