@@ -5,8 +5,8 @@ variable that takes its result (both may be null). A declaration is `target, nam
 test`: owner is the type that has it, returns the type of its result.
 
 Every rung needs one target; a reference to which it offers several goes on to the next. The types of variables come from
-what is declared and from the results of references that are settled already, so the rungs are passed again as long as
-that settles more. Declarations are counted by a rung's key before references meet them, so a name that very many
+what is declared and from the results of references that are settled already, so the rung that asks them is passed again
+as long as that settles more. Declarations are counted by a rung's key before references meet them, so a name that very many
 declarations share costs no more than one that two share.
 """
 
@@ -22,6 +22,9 @@ from tessera.plans.cuts import cut
 
 RUNGS = ("import", "receiver_import", "receiver_type", "module", "global", "folded", "stem")
 
+#: The rung that asks the types found so far, and so the one that later passes can settle more by.
+TYPED = "receiver_type"
+
 
 def _lone(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, target) of the keys with one target."""
@@ -65,7 +68,8 @@ def resolve(references: DataFrame, declared: DataFrame, imports: DataFrame, vari
     while True:
         passes += 1
         settled = None
-        for rung in RUNGS:
+        # what other rungs offer a reference never changes, so what they left once they leave again
+        for rung in RUNGS if passes == 1 else (TYPED,):
             held = left.filter("receiver is not null")
             new = {
                 "import": lambda: left.filter("receiver is null").join(imported, ["file", "name"]),

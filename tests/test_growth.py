@@ -4,7 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from tessera.operators import coupling, expansion, reach, retrieval
+from tessera.operators import coupling, expansion, reach, retrieval, waterfall
+from tessera.plans.cuts import cut
 
 
 def moved(spark, run):
@@ -130,3 +131,23 @@ def test_steps_are_ranked_for_the_frontier_only(spark):
         assert run() == want
     finally:
         expansion.FEW = few
+
+
+def test_later_passes_take_only_the_rung_that_types_can_change(spark, monkeypatch):
+    """Each call's result is the next one's receiver: a pass for each, of one rung but for the first."""
+    n, made = 4, []
+    monkeypatch.setattr(waterfall, "cut", lambda df: made.append(1) or cut(df))
+    make = spark.createDataFrame
+    # two declarations of each name, in folders equally far, so only a receiver's type tells them apart
+    declared = [(k, f"m{k // 2}", f"T{k // 2}" if k % 2 == 0 else "Other", f"T{k // 2 + 1}", f"d{k % 2}", "s", False) for k in range(2 * n)]
+    refs = [(k, "f", "src", "g", f"m{k % n}", f"v{k % n}", f"v{k % n + 1}") for k in range(3 * n)] + [(90, "f", "src", "g", "m1", None, None), (91, "f", "src", "g", "none", "v1", None)]
+    got = waterfall.resolve(
+        make(refs[::-1], "ref long, file string, folder string, stem string, name string, receiver string, assigned string"),
+        make(declared, "target long, name string, owner string, returns string, folder string, stem string, test boolean"),
+        make([], "file string, name string, target long"),
+        make([("f", "v0", "T0")], "file string, name string, type string"),
+        make([], "src string, dst string"),
+    )
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == 3 * n and set(rows) == {(k, 2 * (k % n), "receiver_type", k % n + 1) for k in range(3 * n)}
+    assert len(made) <= 6 + 7 + 3 * n + 4
