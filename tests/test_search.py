@@ -129,3 +129,53 @@ def test_relevance_counts_pairs_where_they_meet(spark):
                 want.add((q, i, n))
     assert {tuple(r) for r in got.collect()} == want
     assert "Aggregate [q" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_build_shuffles_shards_lists_and_not_each_count(spark):
+    from tests.test_growth import moved
+
+    rng = random.Random(6)
+    docs = [(k, " ".join(f"w{rng.randint(10, 60)}" for _ in range(30))) for k in range(3_000)]
+    frame = spark.createDataFrame(docs, "id long, text string")
+    index, rows = moved(spark, lambda: lexical.build_index(frame))
+    assert rows < 3_000  # some 70,000 counts of a term in a document
+    queries = docs[::500]
+    got = lexical.search(index, spark.createDataFrame(queries, "q long, text string"), 6)
+    assert {(r["q"], r["id"], r["rank"], round(r["score"], 5)) for r in got.collect()} == best(docs, queries, 6)
+
+
+def test_packed_words_are_the_terms_of_texts(spark, monkeypatch):
+    from tessera.operators import blocks
+
+    monkeypatch.setattr(blocks, "BYTES", 40)
+    texts = ["ab", "cd ef", None, "", "AB cd-ab_x", "Ünïcode ÉA1 İstanbul Kelvin straße", "a b c 9", " x1\ny22\ty22 ", "日本ab語cd", "end9", "9start", "aa" * 40]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    want = Counter((r["id"], w) for r in rows.select("id", exprs.terms(F.col("text")).alias("w")).collect() for w in r["w"] or [])
+    got, lens, shards = Counter(), {}, Counter()
+    held = blocks.packed(rows.select("id", F.lower("text").alias("text")), 3).collect()
+    own = {r["shard"]: r for r in held if r["term"] is None}
+    for r in held:
+        for at, tf in zip(r["ats"], r["tfs"]) if r["term"] else ():
+            got[own[r["shard"]]["ids"][at], r["term"]] += tf
+        assert r["term"] is None or r["docs"] == len(r["ats"])
+    for r in own.values():
+        lens |= dict(zip(r["ids"], r["lens"]))
+    assert got == want and sorted(lens) == list(range(len(texts))) and all(len(r["ids"]) <= 3 for r in own.values())
+    assert all(n == sum(k for (i, _), k in want.items() if i == d) for d, n in lens.items())
+
+
+@pytest.mark.parametrize("share", [1, 4, 1000])
+def test_frequent_terms_that_cannot_lift_a_document_are_left(spark, monkeypatch, share):
+    from tessera.operators import blocks
+
+    rng = random.Random(7)
+    vocab = [f"w{int(rng.paretovariate(0.5))}" for _ in range(200)]
+    docs = [(k, " ".join(rng.choices(vocab, k=rng.randint(1, 40)))) for k in range(500)]
+    docs += [(600 + k, docs[k][1]) for k in range(0, 60)]  # ties go by id
+    queries = [(k, docs[k][1]) for k in range(0, 500, 25)] + [(900, "w1 w2 w3")]
+    index = lexical.build_index(spark.createDataFrame(docs, "id long, text string").repartition(5), shard=16)
+    monkeypatch.setattr(blocks, "ENTRIES", 200)
+    monkeypatch.setattr(blocks, "DENSE", share)
+    monkeypatch.setattr(lexical, "FIRST", 2)
+    got = lexical.search(index, spark.createDataFrame(queries, "q long, text string"), 6)
+    assert {(r["q"], r["id"], r["rank"], round(r["score"], 5)) for r in got.collect()} == best(docs, queries, 6)
