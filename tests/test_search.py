@@ -179,3 +179,24 @@ def test_frequent_terms_that_cannot_lift_a_document_are_left(spark, monkeypatch,
     monkeypatch.setattr(lexical, "FIRST", 2)
     got = lexical.search(index, spark.createDataFrame(queries, "q long, text string"), 6)
     assert {(r["q"], r["id"], r["rank"], round(r["score"], 5)) for r in got.collect()} == best(docs, queries, 6)
+
+
+def test_error_lookup_counts_shared_terms_where_they_meet(spark, monkeypatch):
+    """Signatures come without their texts: what they share with a query is counted by the search."""
+    from tessera.operators import blocks
+
+    monkeypatch.setattr(blocks, "ENTRIES", 50)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(10, 40)]
+    texts = {k: " ".join(rng.choices(words, k=rng.randint(1, 9))) for k in range(200)}
+    index = lexical.build_index(spark.createDataFrame(list(texts.items()), "id long, text string"), shard=16)
+    places = spark.createDataFrame([(k, f"f{k}", "s", k, "commit") for k in texts], "id long, file string, symbol string, fact long, origin string")
+    asked = {1: texts[3] + " nowhere", 2: "w10", 3: texts[7] + " w11 w12 w13 w14 w15 w16 w17"}
+    got = lexical.error_lookup(index, places, spark.createDataFrame(list(asked.items()), "q long, text string"), 200)
+    want = set()
+    for q, text in asked.items():
+        terms = set(text.split())
+        for k, t in texts.items():
+            if len(terms & set(t.split())) >= min(len(terms), max(2, math.ceil(len(terms) * 0.3))):
+                want.add((q, f"f{k}"))
+    assert want and {(r["q"], r["file"]) for r in got.collect()} == want
